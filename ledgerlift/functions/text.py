@@ -59,11 +59,9 @@ def business_id(col: Column, *, on_fail: str = "null", country_prefix: str = "le
     text = F.trim(col)
     pattern = r"^(?i)FI" if country_prefix == "leading" else r"(?i)FI"
     digits = F.regexp_replace(F.regexp_replace(text, pattern, ""), r"[^0-9]", "")
-    digits = F.when(F.length(digits) == 7, F.concat(F.lit("0"), digits)).otherwise(digits)
-    formatted = F.when(
-        F.length(digits) >= 8,
-        F.concat_ws("-", F.substring(digits, F.lit(1), F.length(digits) - 1), F.right(digits, F.lit(1))),
-    )
+    seven = F.regexp_replace(digits, r"^(\d{6})(\d)$", "0$1-$2")
+    longer = F.regexp_replace(seven, r"^(\d{7,})(\d)$", "$1-$2")
+    formatted = F.nullif(F.regexp_extract(longer, r"^\d+-\d$", 0), F.lit(""))
     if on_fail == "null":
         return formatted
     if on_fail == "blank":

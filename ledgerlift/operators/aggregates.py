@@ -52,11 +52,11 @@ def sample_values(df: DataFrame, keys: Sequence[str], col: str, order_col: str,
 
 def share_of_total(df: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFrame:
     """Share of a row in its group total; 0 where the total is not positive."""
-    totals = df.groupBy(*keys).agg(F.sum(value).alias("_total"))
-    joined = join_on(df, totals, keys, "left") if keys else df.withColumn("_total", totals.scalar())
+    totals = df.groupBy(*keys).agg(F.sum(value).alias("__total"))
+    joined = join_on(df, totals, keys, "left") if keys else df.withColumn("__total", totals.scalar())
     return joined.withColumn(
-        out, F.when(F.col("_total") > 0, F.col(value) / F.col("_total")).otherwise(F.lit(0.0))
-    ).drop("_total")
+        out, F.when(F.col("__total") > 0, F.col(value) / F.col("__total")).otherwise(F.lit(0.0))
+    ).drop("__total")
 
 
 def pivot_sum(df: DataFrame, keys: Sequence[str], pivot: str, value: str, names: Mapping[object, str]) -> DataFrame:
