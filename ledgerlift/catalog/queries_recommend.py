@@ -123,9 +123,9 @@ _PRODREC = {
  JOIN st s USING (product_code) WHERE NOT excluded_from_recommendations
  UNION ALL SELECT c.business_id, c.expected_potential_eur, 'new', s.product_code, s.product_group, s.share, s.peer, s.buyers FROM custs c CROSS JOIN pool s
  WHERE NOT EXISTS (SELECT 1 FROM psales p WHERE p.business_id = c.business_id AND p.product_code = s.product_code)""",
-    "scored": """SELECT *, round(CASE WHEN gap * share * chance <= 0 THEN e * (share * chance * 0.01) ELSE e * (gap * share * chance) END, 6) AS pot FROM (SELECT c.*, greatest(c.peer - coalesce(o.share, 0), 0) AS gap,
- least(CASE kind WHEN 'current' THEN 0.85::DOUBLE ELSE 0.2::DOUBLE END + 0.1::DOUBLE * least(buyers, 10) / 10.0::DOUBLE, 0.95) AS chance FROM cand c LEFT JOIN own o ON o.business_id = c.business_id AND o.product_group = c.product_group)""",
-    "ranked": """SELECT *, row_number() OVER (PARTITION BY business_id, kind, product_code LIKE 'DIF%' ORDER BY pot DESC, product_code) AS r FROM scored""",
+    "scored": """SELECT *, round(e * u, 6) AS pot, round(u, 12) AS o FROM (SELECT *, CASE WHEN gap * share * chance <= 0 THEN share * chance * 0.01 ELSE gap * share * chance END AS u FROM (SELECT c.*, greatest(c.peer - coalesce(o.share, 0), 0) AS gap,
+ least(CASE kind WHEN 'current' THEN 0.85::DOUBLE ELSE 0.2::DOUBLE END + 0.1::DOUBLE * least(buyers, 10) / 10.0::DOUBLE, 0.95) AS chance FROM cand c LEFT JOIN own o ON o.business_id = c.business_id AND o.product_group = c.product_group))""",
+    "ranked": """SELECT *, row_number() OVER (PARTITION BY business_id, kind, product_code LIKE 'DIF%' ORDER BY o DESC, product_code) AS r FROM scored""",
     "picked": """SELECT * FROM ranked WHERE kind = 'current' UNION ALL SELECT * FROM ranked q WHERE kind = 'new' AND ((product_code LIKE 'DIF%' AND r = 1)
  OR (product_code NOT LIKE 'DIF%' AND r <= 5 - (SELECT count(*) FROM ranked d WHERE d.business_id = q.business_id AND d.kind = 'new' AND d.product_code LIKE 'DIF%' AND d.r = 1)))""",
 }
@@ -133,7 +133,7 @@ _PRODREC = {
 
 @query("rec_07_product_recommendations", sql("pmaster psales custs", """
 SELECT business_id, kind AS recommendation_type, product_code, rn AS recommendation_rank, pot AS potential_eur, round(chance, 6) AS purchase_probability FROM (
-SELECT *, row_number() OVER (PARTITION BY business_id, kind ORDER BY pot DESC, product_code) AS rn FROM picked) WHERE rn <= 5""", _PRODREC))
+SELECT *, row_number() OVER (PARTITION BY business_id, kind ORDER BY o DESC, product_code) AS rn FROM picked) WHERE rn <= 5""", _PRODREC))
 def _(spark, sf):
     out = rc.product_recommendations(scored_customers(spark, sf), product_master(spark, sf), product_sales(spark, sf))
     return out.select(

@@ -7,7 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlift.operators.ranking import Order, first_per_key, join_on, top_n
+from ledgerlift.operators.ranking import first_per_key, join_on, top_n
+from ledgerlift.session import stage
 
 
 def sum_or_zero(col: Column) -> Column:
@@ -105,12 +106,15 @@ def consolidate_small(df: DataFrame, levels: Sequence[str], minimum: int, source
     """Merge leaves with fewer than ``minimum`` rows into "other" of their top level, else into review.
 
     The rounds work on leaf counts (one row per leaf), not on products: a mapping old leaf ->
-    new leaf is grown round by round and joined to the products once at the end.
+    new leaf is grown round by round and joined to the products once at the end.  Each round is
+    written, so the plan stays flat, and the loop stops when nothing moves.
     """
     leaf_cols = list(levels)
     start = [f"_o_{c}" for c in leaf_cols]
     leaves = df.groupBy(*leaf_cols).agg(F.count("*").alias("_n"))
-    mapping = leaves.select(*[F.col(c).alias(s) for c, s in zip(leaf_cols, start)], *leaf_cols, "_n", F.lit(0).alias("_moved"))
+    mapping = stage(
+        leaves.select(*[F.col(c).alias(s) for c, s in zip(leaf_cols, start)], *leaf_cols, "_n", F.lit(0).alias("_moved")), "leaves"
+    )
     top = leaf_cols[0]
     for _ in range(rounds):
         size = mapping.groupBy(*leaf_cols).agg(F.sum("_n").alias("_leaf"))
@@ -124,11 +128,15 @@ def consolidate_small(df: DataFrame, levels: Sequence[str], minimum: int, source
         changed = F.lit(False)
         for c in leaf_cols:
             changed = changed | ~F.col(c).eqNullSafe(F.col(f"_t_{c}"))
-        mapping = (
+        moved_before = mapping.agg(F.sum("_moved")).first()[0]
+        mapping = stage(
             sized.withColumns({f"_t_{c}": expr for c, expr in moved.items()})
             .withColumn("_moved", F.col("_moved") + changed.cast("int"))
-            .select(*start, *[F.col(f"_t_{c}").alias(c) for c in leaf_cols], "_n", "_moved")
+            .select(*start, *[F.col(f"_t_{c}").alias(c) for c in leaf_cols], "_n", "_moved"),
+            "leaves",
         )
+        if mapping.agg(F.sum("_moved")).first()[0] == moved_before:
+            break
     final = mapping.groupBy(*leaf_cols).agg(F.sum("_n").alias("_leaf"))
     sized = join_on(mapping, final, leaf_cols, "left")
     last = F.col("_leaf") < minimum

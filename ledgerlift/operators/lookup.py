@@ -204,10 +204,22 @@ def unique_containment(open_rows: DataFrame, row_id: str, name: str, known: Data
     return rows.join(single, "_name").select(row_id, known_id)
 
 
-@F.pandas_udf("double")
-def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Sequence similarity ratio of two texts (0-1); only ever called on blocked candidates."""
-    return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)], dtype="float64")
+def similarity_at(threshold: float):
+    """Vectorised sequence-similarity ratio (0-1) for blocked candidates.
+
+    Pairs whose length or letter counts already rule the threshold out get 0 without the costly part.
+    """
+
+    @F.pandas_udf("double")
+    def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+        out = []
+        for x, y in zip(a, b):
+            matcher = SequenceMatcher(None, x, y)
+            possible = matcher.real_quick_ratio() >= threshold and matcher.quick_ratio() >= threshold
+            out.append(matcher.ratio() if possible else 0.0)
+        return pd.Series(out, dtype="float64")
+
+    return ratio
 
 
 def _segments(text: Column, parts: Column) -> Column:
@@ -229,13 +241,13 @@ def _max_edits(total: Column, threshold: float) -> Column:
     return F.floor(total * (1.0 - threshold) + 1e-9).cast("int")
 
 
-def similar_pairs(left: DataFrame, left_key: str, right: DataFrame, right_key: str, threshold: float) -> DataFrame:
+def similar_pairs(left: DataFrame, left_key: str, right: DataFrame, right_key: str, threshold: float, *, condition=None) -> DataFrame:
     """All pairs of distinct texts with similarity >= ``threshold``.
 
     A ratio r over lengths m and n allows (1-r)(m+n) insertions and deletions.  Cut the right
     text into one piece more than that: one piece survives unchanged in the left text, shifted by
     no more than the edits.  Equality on (lengths, piece number, piece) finds every such pair, and
-    only those candidates are scored.
+    only those candidates are scored.  ``condition(left text, right text)`` may narrow them first.
     """
     rights = right.select(F.col(right_key).alias("_r")).filter(F.length("_r") > 0).distinct()
     lefts = left.select(F.col(left_key).alias("_l")).filter(F.length("_l") > 0).distinct()
@@ -274,7 +286,10 @@ def similar_pairs(left: DataFrame, left_key: str, right: DataFrame, right_key: s
         _max_edits(F.col("_m") + F.length("_r"), threshold) + 1 > F.length("_r")
     )
     tiny = lefts.join(tiny_right, F.length("_l") == F.col("_m")).select("_l", "_r")
-    scored = candidates.unionByName(tiny).distinct().withColumn("similarity", similarity("_l", "_r"))
+    pairs = candidates.unionByName(tiny).distinct()
+    if condition is not None:
+        pairs = pairs.filter(condition(F.col("_l"), F.col("_r")))
+    scored = pairs.withColumn("similarity", similarity_at(threshold)("_l", "_r"))
     return scored.filter(F.col("similarity") >= threshold).select(
         F.col("_l").alias(left_key), F.col("_r").alias(right_key), "similarity"
     )
@@ -287,9 +302,9 @@ def fuzzy_best(
 
     A rival only matters above ``accept - margin``, so pairs from there on are all that is needed.
     """
-    pairs = similar_pairs(left, left_key, right, right_key, accept - margin)
-    shares_word = F.arrays_overlap(tx.tokens(F.col(left_key), min_token), tx.tokens(F.col(right_key), min_token))
-    top = top_n(pairs.filter(shares_word), [left_key], [("similarity", "desc"), (right_key, "asc")], 2, "_rank")
+    shares_word = lambda a, b: F.arrays_overlap(tx.tokens(a, min_token), tx.tokens(b, min_token))
+    pairs = similar_pairs(left, left_key, right, right_key, accept - margin, condition=shares_word)
+    top = top_n(pairs, [left_key], [("similarity", "desc"), (right_key, "asc")], 2, "_rank")
     best = top.groupBy(left_key).agg(
         F.max_by(right_key, -F.col("_rank")).alias(right_key),
         F.max("similarity").alias("similarity"),

@@ -290,14 +290,18 @@ def product_recommendations(customers: DataFrame, products: DataFrame, sales: Da
     both = current.select(*columns).unionByName(new.select(*columns)).withColumn("customer_group_share", nm.zero_if_null(F.col("customer_group_share")))
     chance = _chance(F.col("recommendation_type"), F.col("product_customer_count"))
     gap = F.greatest(F.col("peer_group_share") - F.col("customer_group_share"), F.lit(0.0))
-    scored = both.withColumns({"purchase_probability": chance, "white_space_gap": gap}).withColumns(
+    scored = both.withColumns({"purchase_probability": chance, "white_space_gap": gap}).withColumn(
+        "_unit", _unit_value(F.col("white_space_gap"), F.col("product_share"), F.col("purchase_probability"))
+    )
+    # per customer the order of potentials is the order of unit values, which also orders customers expected to buy nothing
+    scored = scored.withColumns(
         {
-            "potential_eur": F.col("expected") * _unit_value(F.col("white_space_gap"), F.col("product_share"), F.col("purchase_probability")),
+            "_o": F.round("_unit", 12), "potential_eur": F.col("expected") * F.col("_unit"),
             "suitability_score": 100 * F.least(
                 F.col("white_space_gap") * 0.5 + F.least("product_share", F.lit(1.0)) * 0.3 + F.col("purchase_probability") * 0.2, F.lit(1.0)
             ),
         }
-    ).withColumn("_o", F.round("potential_eur", 6))
+    ).drop("_unit")
     order = [("_o", "desc"), ("product_code", "asc")]
     top_current = top_n(scored.filter("recommendation_type = 'current'"), ["business_id"], order, n, "recommendation_rank")
     top_new = quota_top(
