@@ -40,7 +40,7 @@ def accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     status = (
         F.when(F.col("c_mktsegment") == "BUILDING", "Active")
         .when(F.col("c_mktsegment") == "AUTOMOBILE", " active ")
-        .when(F.col("c_mktsegment") == "MACHINERY", "GOKEEP+")
+        .when(F.col("c_mktsegment") == "MACHINERY", "ACTIVE+")
         .when(F.col("c_mktsegment") == "HOUSEHOLD", "Passive")
     )
     raw = _raw_id(number, F.col("c_custkey"))
@@ -197,7 +197,7 @@ SELECT c_custkey AS account_id, c_name AS account_name, c_name AS company_accoun
   {_raw_sql('c_custkey // 2 + 1000000')} AS business_id_raw,
   {bid_sql(_raw_sql('c_custkey // 2 + 1000000'))} AS business_id,
   {bid_sql("CASE WHEN c_custkey % 4 <> 0 THEN (c_custkey // 8 + 1000000)::VARCHAR END")} AS parent_business_id,
-  CASE c_mktsegment WHEN 'BUILDING' THEN 'Active' WHEN 'AUTOMOBILE' THEN ' active ' WHEN 'MACHINERY' THEN 'GOKEEP+'
+  CASE c_mktsegment WHEN 'BUILDING' THEN 'Active' WHEN 'AUTOMOBILE' THEN ' active ' WHEN 'MACHINERY' THEN 'ACTIVE+'
     WHEN 'HOUSEHOLD' THEN 'Passive' END AS customer_status,
   c_nationkey AS country, c_mktsegment AS category
 FROM customer"""),
@@ -270,4 +270,7 @@ def sql(names: str | tuple[str, ...], body: str, extra: dict[str, str] | None =
         add(name)
     parts = [f"{name} AS ({CTES[name][1].strip()})" for name in ordered]
     parts += [f"{name} AS ({text.strip()})" for name, text in (extra or {}).items()]
-    return ("WITH " + ",\n".join(parts) + "\n" if parts else "") + body.strip()
+    body = body.strip()
+    if body.upper().startswith("WITH ") and parts:
+        return "WITH " + ",\n".join(parts) + ",\n" + body[5:]
+    return ("WITH " + ",\n".join(parts) + "\n" if parts else "") + body

@@ -51,8 +51,8 @@ def _(spark, sf):
 @query("flt_02_completed_by_feed", sql("lines", """
 SELECT order_id, line_no FROM lines WHERE total_value > 0 AND ((account_id % 2 = 0 AND status = 'Invoiced') OR (account_id % 2 = 1 AND trim(status) = 'processed'))"""))
 def _(spark, sf):
-    fed = sales_lines(spark, sf).withColumn("source_file", F.when(F.col("account_id") % 2 == 0, "GoSales_a.csv").otherwise("gokeep_b.csv"))
-    return ft.completed_sales(fed).select("order_id", "line_no")
+    fed = sales_lines(spark, sf).withColumn("source_file", F.when(F.col("account_id") % 2 == 0, "Orders_a.csv").otherwise("shop_b.csv"))
+    return ft.completed_sales(fed, {"orders": ft.INVOICE_STATUSES, "shop": ft.OTHER_FEED_STATUSES}).select("order_id", "line_no")
 
 
 @query("flt_03_excluded_groups", sql("hist", f"SELECT order_id, line_no, group_code FROM hist WHERE {_EXCL}"))
@@ -88,24 +88,24 @@ def _(spark, sf):
 
 
 @query("ft_05_account_status", sql("hist acc", """
-SELECT h.line_id, trim(s.customer_status) AS customer_status, CASE WHEN x.business_id IS NOT NULL THEN 'GoKeep+' ELSE trim(s.customer_status) END AS fixed_status FROM hist h
+SELECT h.line_id, trim(s.customer_status) AS customer_status, CASE WHEN x.business_id IS NOT NULL THEN 'Active+' ELSE trim(s.customer_status) END AS fixed_status FROM hist h
 LEFT JOIN (SELECT business_id, arg_min(struct_pack(v := customer_status), account_id).v AS customer_status FROM acc WHERE business_id IS NOT NULL GROUP BY 1) s USING (business_id)
 LEFT JOIN (SELECT DISTINCT business_id FROM acc WHERE country < 5) x USING (business_id)"""))
 def _(spark, sf):
     a = accounts(spark, sf)
     lines = history_lines(spark, sf).select("line_id", "business_id")
     joined = ft.with_account_status(lines, a)
-    fixed = ft.with_fixed_status(joined.withColumn("own", F.col("customer_status")), a.filter("country < 5"), "GoKeep+")
+    fixed = ft.with_fixed_status(joined.withColumn("own", F.col("customer_status")), a.filter("country < 5"), "Active+")
     return fixed.select("line_id", F.col("own").alias("customer_status"), F.col("customer_status").alias("fixed_status"))
 
 
 CTES["annual"] = (("shist",), """
-SELECT business_id, coalesce(sum(net_sales), 0) AS annual_sales_eur FROM shist WHERE lower(trim(customer_status)) IN ('active', 'gokeep+') AND business_id IS NOT NULL
- AND sold_on > (SELECT max(sold_on) FROM shist WHERE lower(trim(customer_status)) IN ('active', 'gokeep+')) - 365 GROUP BY 1""")
+SELECT business_id, coalesce(sum(net_sales), 0) AS annual_sales_eur FROM shist WHERE lower(trim(customer_status)) IN ('active', 'active+') AND business_id IS NOT NULL
+ AND sold_on > (SELECT max(sold_on) FROM shist WHERE lower(trim(customer_status)) IN ('active', 'active+')) - 365 GROUP BY 1""")
 
 
 def eligible_history(spark, sf):
-    return prepared_history(spark, sf).filter(F.lower(F.trim("customer_status")).isin("active", "gokeep+"))
+    return prepared_history(spark, sf).filter(F.lower(F.trim("customer_status")).isin("active", "active+"))
 
 
 @query("tg_03_annual_sales", sql("annual", "SELECT business_id, round(annual_sales_eur, 4) AS annual_sales_eur FROM annual"))
@@ -114,7 +114,7 @@ def _(spark, sf):
 
 
 @query("flt_04_eligible_training_sales", sql("shist annual", """
-SELECT line_id, business_id, round(net_sales, 4) AS net_sales FROM shist WHERE lower(trim(customer_status)) IN ('active', 'gokeep+')
+SELECT line_id, business_id, round(net_sales, 4) AS net_sales FROM shist WHERE lower(trim(customer_status)) IN ('active', 'active+')
  AND business_id IN (SELECT business_id FROM annual WHERE annual_sales_eur >= 100000)"""))
 def _(spark, sf):
     return ft.eligible_training_sales(prepared_history(spark, sf), minimum=100000.0, check=False).select(
@@ -285,7 +285,7 @@ def _(spark, sf):
 
 @query("tg_07_training_sales", sql("hist", f"""
 SELECT line_id, business_id, round(total_value * CASE line_no WHEN 1 THEN 1.0::DOUBLE WHEN 2 THEN 0.95 WHEN 3 THEN 0.85 WHEN 4 THEN 0.8 WHEN 5 THEN 0.75 WHEN 6 THEN 0.7 ELSE 0.0 END, 6) AS weighted_sales_eur
-FROM hist WHERE status = 'Invoiced' AND business_id IS NOT NULL AND group_code IS NOT NULL AND group_code NOT IN ('SMALL bolt', 'LARGE gear') AND lower(trim(customer_status)) IN ('active', 'gokeep+')"""))
+FROM hist WHERE status = 'Invoiced' AND business_id IS NOT NULL AND group_code IS NOT NULL AND group_code NOT IN ('SMALL bolt', 'LARGE gear') AND lower(trim(customer_status)) IN ('active', 'active+')"""))
 def _(spark, sf):
     return training_sales(spark, sf).select("line_id", "business_id", F.round("weighted_sales_eur", 6).alias("weighted_sales_eur"))
 
@@ -296,7 +296,7 @@ def training_sales(spark, sf):
     from ledgerlift.plans.targets import status_in
 
     lines = ft.without_groups(ft.invoiced_only(history_lines(spark, sf)), "group_code", EXCLUDED)
-    lines = lines.filter(F.col("business_id").isNotNull() & F.col("group_code").isNotNull() & status_in(F.col("customer_status"), ("active", "gokeep+")))
+    lines = lines.filter(F.col("business_id").isNotNull() & F.col("group_code").isNotNull() & status_in(F.col("customer_status"), ("active", "active+")))
     confidence = bk.match_confidence(F.col("product_group_match_method"), rule_order="first")
     return lines.withColumns({"sales_eur": F.col("total_value"), "product_group_match_confidence": confidence}).withColumn(
         "weighted_sales_eur", F.col("sales_eur") * clip(F.col("product_group_match_confidence"), 0, 1)

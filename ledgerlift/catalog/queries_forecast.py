@@ -211,13 +211,13 @@ def case_frame(spark, sf):
 
 
 @query("bt_06_potential_case", sql("nyf hist", """
-SELECT business_id, round(gp, 2) AS growth_potential_eur, round(realistic, 2) AS realistic_potential_eur, round(upside, 2) AS upside_potential_eur, cnt AS recommended_product_group_count, names AS top_recommended_product_groups,
+SELECT business_id, round(gp, 4) AS growth_potential_eur, round(realistic, 4) AS realistic_potential_eur, round(upside, 4) AS upside_potential_eur, cnt AS recommended_product_group_count, names AS top_recommended_product_groups,
  CASE WHEN sales_y4_ytd_eur <= 0 AND actual_sales_y3_eur > 0 THEN 'Reactivate customer and test top product groups' WHEN gp > 25000 THEN 'Expand into top recommended product groups'
   WHEN gp > 5000 THEN 'Target selected white-space product groups' ELSE 'Maintain base sales and monitor opportunity' END AS recommended_growth_action FROM c1""", _CASE))
 def _(spark, sf):
     return case_frame(spark, sf).select(
-        "business_id", F.round("growth_potential_eur", 2).alias("growth_potential_eur"), F.round("realistic_potential_eur", 2).alias("realistic_potential_eur"),
-        F.round("upside_potential_eur", 2).alias("upside_potential_eur"), "recommended_product_group_count", "top_recommended_product_groups", "recommended_growth_action",
+        "business_id", F.round("growth_potential_eur", 4).alias("growth_potential_eur"), F.round("realistic_potential_eur", 4).alias("realistic_potential_eur"),
+        F.round("upside_potential_eur", 4).alias("upside_potential_eur"), "recommended_product_group_count", "top_recommended_product_groups", "recommended_growth_action",
     )
 
 

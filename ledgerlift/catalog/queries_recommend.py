@@ -63,7 +63,7 @@ def _(spark, sf):
 CTES["training"] = (("hist",), """
 SELECT *, total_value AS sales_eur, conf AS product_group_match_confidence, total_value * conf AS weighted_sales_eur, upper(group_code) AS product_group_name FROM
 (SELECT * EXCLUDE (product_group), group_code AS product_group, CASE line_no WHEN 1 THEN 1.0::DOUBLE WHEN 2 THEN 0.95 WHEN 3 THEN 0.85 WHEN 4 THEN 0.8 WHEN 5 THEN 0.75 WHEN 6 THEN 0.7 ELSE 0.0 END AS conf
- FROM hist WHERE status = 'Invoiced' AND business_id IS NOT NULL AND group_code IS NOT NULL AND group_code NOT IN ('SMALL bolt', 'LARGE gear') AND lower(trim(customer_status)) IN ('active', 'gokeep+'))""")
+ FROM hist WHERE status = 'Invoiced' AND business_id IS NOT NULL AND group_code IS NOT NULL AND group_code NOT IN ('SMALL bolt', 'LARGE gear') AND lower(trim(customer_status)) IN ('active', 'active+'))""")
 CTES["gprofile"] = (("training",), """
 SELECT product_group, max(product_group_name) AS product_group_name, count(*) AS training_rows, count(DISTINCT business_id) AS customer_count, sum(sales_eur) AS sales_eur,
  sum(weighted_sales_eur) AS weighted_sales_eur, avg(product_group_match_confidence) AS avg_match_confidence, sum(weighted_sales_eur) / sum(sum(weighted_sales_eur)) OVER () AS global_group_share
@@ -178,7 +178,7 @@ def top_groups(spark, sf):
 
 CTES["weights"] = (("shist",), """
 SELECT business_id, product_service, sum(greatest(coalesce(net_sales, 1) * least(greatest(product_group_match_confidence, 0.1), 1), 1)) AS weight FROM shist
-WHERE lower(trim(customer_status)) IN ('active', 'gokeep+') AND business_id IS NOT NULL GROUP BY ALL""")
+WHERE lower(trim(customer_status)) IN ('active', 'active+') AND business_id IS NOT NULL GROUP BY ALL""")
 
 
 @query("rec_02_customer_products", sql("weights", "SELECT business_id, product_service, round(weight, 6) AS weight FROM weights"))

@@ -47,7 +47,7 @@ def _(spark, sf):
 
 
 _LEGAL = r"\b(oyj|oy|ab|ltd|limited|inc|gmbh|as)\b"
-_STATUS = r"\b(suljettu|closed|myynti|gokeep|hr lahjat|ei saa laskuttaa|ylitoimituksia)\b"
+_STATUS = r"\b(suljettu|closed|myynti|hr lahjat|ei saa laskuttaa|ylitoimituksia)\b"
 
 
 def name_for_matching_sql(expr: str) -> str:

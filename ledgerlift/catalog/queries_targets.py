@@ -12,7 +12,7 @@ from ledgerlift.plans import potential as po
 from ledgerlift.plans import targets as tg
 
 # --------------------------------------------------------------------------- SQL twins, layered
-_ELIGIBLE = "lower(trim(customer_status)) IN ('active', 'gokeep+')"
+_ELIGIBLE = "lower(trim(customer_status)) IN ('active', 'active+')"
 
 CTES["esales"] = (("acc", "months"), f"""
 SELECT m.*, a.business_id FROM months m JOIN acc a USING (account_id) WHERE a.business_id IS NOT NULL AND {_ELIGIBLE}""")

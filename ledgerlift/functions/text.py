@@ -13,7 +13,7 @@ FOLD_TO = "aaaaaaceeeeiiiinooooouuuuyyaaaccdeeegilnnoorrsssttuuuzzz"
 
 # Words dropped from company names before matching.
 LEGAL_FORMS = ("oyj", "oy", "ab", "ltd", "limited", "inc", "gmbh", "as")
-STATUS_WORDS = ("suljettu", "closed", "myynti", "gokeep", "hr lahjat", "ei saa laskuttaa", "ylitoimituksia")
+STATUS_WORDS = ("suljettu", "closed", "myynti", "hr lahjat", "ei saa laskuttaa", "ylitoimituksia")
 ACCOUNT_FORMS = ("oyj", "oy", "ab", "ltd", "limited", "inc", "gmbh", "plc", "konserni", "group")
 
 # Words damaged in earlier exports (the last letter became U+FFFD), and the right word.
@@ -79,11 +79,11 @@ def name_plain(col: Column) -> Column:
     return F.coalesce(collapse(F.regexp_replace(F.lower(col), rf"[^{WORD_CHARS}]+", " ")), F.lit(""))
 
 
-def name_for_matching(col: Column) -> Column:
-    """Name without brackets, legal forms and status words, folded to a-z; nothing left is null."""
+def name_for_matching(col: Column, *, own_words: Sequence[str] = ()) -> Column:
+    """Name without brackets, legal forms and status words (and ``own_words``), folded to a-z; nothing left is null."""
     text = F.regexp_replace(F.lower(F.trim(col)), r"\([^)]*\)", " ")
     text = F.translate(text, "äöå", "aoa")
-    text = _without_words(_without_words(text, LEGAL_FORMS), STATUS_WORDS)
+    text = _without_words(_without_words(text, LEGAL_FORMS), [*STATUS_WORDS, *own_words])
     return F.nullif(collapse(F.regexp_replace(text, r"[^a-z0-9]+", " ")), F.lit(""))
 
 

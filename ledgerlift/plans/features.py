@@ -40,12 +40,13 @@ def without_groups(sales: DataFrame, code_col: str, excluded: Sequence[str] = EX
     return sales.filter(code.isNull() | ~code.isin(*excluded))
 
 
-def completed_sales(sales: DataFrame, *, source_col: str = "source_file") -> DataFrame:
-    """Completed lines by feed (each feed has its own finished statuses) with a positive value."""
+def completed_sales(sales: DataFrame, feeds: Mapping[str, Sequence[str]], *, source_col: str = "source_file") -> DataFrame:
+    """Completed lines with a positive value; every feed (named by a part of its file name) has its own finished statuses."""
     source, status = F.lower(F.col(source_col)), F.lower(F.trim("status"))
-    main = source.contains("gosales") & (status == "invoiced")
-    other = source.contains("gokeep") & status.isin(*OTHER_FEED_STATUSES)
-    return sales.filter((main | other) & F.col("account_id").isNotNull() & F.col("sold_on").isNotNull() & (F.col("total_value") > 0))
+    done = F.lit(False)
+    for name, statuses in feeds.items():
+        done = done | (source.contains(name.lower()) & status.isin(*[s.lower() for s in statuses]))
+    return sales.filter(done & F.col("account_id").isNotNull() & F.col("sold_on").isNotNull() & (F.col("total_value") > 0))
 
 
 def product_fallback_key(sales: DataFrame, code: str, name: str, reference: str, category: str) -> DataFrame:
@@ -94,7 +95,7 @@ def annual_sales(sales: DataFrame, *, lookback_days: int = 365, as_of: str | Non
 
 def eligible_training_sales(sales: DataFrame, *, minimum: float = 4000.0, lookback_days: int = 365, as_of: str | None = None, check: bool = True) -> DataFrame:
     """Sales of eligible customers that reach the yearly minimum."""
-    eligible = sales.filter(status_in(F.col("customer_status"), ("active", "gokeep+")))
+    eligible = sales.filter(status_in(F.col("customer_status"), ("active", "active+")))
     ids = annual_sales(eligible, lookback_days=lookback_days, as_of=as_of).filter(F.col("annual_sales_eur") >= minimum)
     kept = eligible.join(ids.select("business_id"), "business_id", "left_semi")
     if check and kept.limit(1).isEmpty():

@@ -13,7 +13,6 @@ from ledgerlift.functions import text as tx
 from ledgerlift.operators.lookup import flag_member
 from ledgerlift.operators.ranking import first_per_key, global_row_number
 
-EXCLUDED_NAME_TERMS = ("outokumpu",)
 FLAGS = (
     "excluded_current_customer", "excluded_external_business_id", "excluded_customer_parent_company",
     "excluded_customer_group", "excluded_manual_name_term",
@@ -21,7 +20,7 @@ FLAGS = (
 
 
 def exclusion_flags(
-    frame: DataFrame, accounts: DataFrame, excluded_ids: DataFrame, *, terms: Sequence[str] = EXCLUDED_NAME_TERMS
+    frame: DataFrame, accounts: DataFrame, excluded_ids: DataFrame, *, terms: Sequence[str] = ()
 ) -> DataFrame:
     """Five reasons not to treat a company as a prospect, each as a flag."""
     own = accounts.select("business_id")
@@ -32,7 +31,7 @@ def exclusion_flags(
     out = flag_member(out, "parent_business_id", own.union(parents), "business_id", "excluded_customer_group")
     words = [t for t in (" ".join(term.lower().split()) for term in terms) if t]
     hit = F.lit(False)
-    for name in ("company_name", "marketing_name"):
+    for name in ("company_name", "marketing_name") if words else ():
         hit = hit | tx.has_any(tx.name_plain(F.col(name)), words)
     return out.withColumn("excluded_manual_name_term", hit)
 

@@ -15,7 +15,8 @@ from ledgerlift.operators.lookup import flag_member
 from ledgerlift.operators.ranking import first_per_key, head
 from ledgerlift.session import stage
 
-ELIGIBLE_STATUSES = ("active", "gokeep+")
+# Statuses of customers the models learn from; pass your own where they are called otherwise.
+ELIGIBLE_STATUSES = ("active", "active+")
 TOP_N = 1000
 LOOKBACK_DAYS = 365 * 3
 MIN_ANNUAL_SALES = 4000.0
