@@ -321,7 +321,7 @@ SELECT line_id, coalesce(g1, g2) AS product_group, CASE WHEN g1 IS NOT NULL THEN
 LEFT JOIN (SELECT product_name AS nk, min(product_group) AS g FROM (SELECT DISTINCT product_name, product_group, sku FROM hist WHERE product_group IS NOT NULL) GROUP BY 1 HAVING count(DISTINCT sku) = 1) n ON n.nk = h.product_name)"""))
 def _(spark, sf):
     """Code first, exact name for what is left: on distinct names, joined back to every row."""
-    from ledgerlift.operators.lookup import split_blank_keys, unique_lookup
+    from ledgerlift.operators.lookup import sparse_join, unique_lookup
 
     lines = history_lines(spark, sf).select("line_id", "sku", F.col("product_name").alias("name_key"), "product_group")
     master = lines.filter(F.col("product_group").isNotNull()).select("name_key", F.col("sku").alias("product_code"), "product_group").distinct()
@@ -329,7 +329,7 @@ def _(spark, sf):
         lines.drop("product_group").withColumn("product_code", F.when(F.col("line_id") % 2 == 0, F.col("sku")).otherwise("")), master.select("product_code", "product_group").distinct()
     )
     names = unique_lookup(master, ["name_key"], ["product_code", "product_group"], must_agree=["product_code", "product_group"]).select("name_key", F.col("product_group").alias("_g"))
-    out = split_blank_keys(by_code, names, ["name_key"], F.col("product_group_from_code").isNull())
+    out = sparse_join(by_code, names, ["name_key"], F.col("product_group_from_code").isNull())
     step = F.when(F.col("product_group_from_code").isNotNull(), "code").when(F.col("_g").isNotNull(), "name").otherwise("open")
     return out.select("line_id", F.coalesce("product_group_from_code", "_g").alias("product_group"), step.alias("step"))
 

@@ -191,7 +191,7 @@ def _(spark, sf):
 
 # potential case on group recommendations made from last year's group sales
 _CASE = {
-    "rec": """SELECT *, row_number() OVER (PARTITION BY business_id ORDER BY v DESC, product_group) AS rk FROM (SELECT business_id, product_group, round(sum(total_value) * 0.05, 4) AS v FROM hist WHERE business_id IS NOT NULL AND product_group IS NOT NULL GROUP BY 1, 2)""",
+    "rec": """SELECT *, row_number() OVER (PARTITION BY business_id ORDER BY v DESC, product_group) AS rk FROM (SELECT business_id, product_group, sum(amount) * 20 AS v FROM hist WHERE business_id IS NOT NULL AND product_group IS NOT NULL GROUP BY 1, 2)""",
     "pool": """SELECT business_id, sum(v) AS pool, count(*) AS cnt, array_to_string(list(product_group ORDER BY rk) FILTER (rk <= 3), ', ') AS names FROM rec WHERE rk <= 10 GROUP BY 1""",
     "c0": """SELECT n.*, coalesce(pool, 0) AS pool, coalesce(cnt, 0) AS cnt, coalesce(names, '') AS names, greatest(next_year_forecast_eur, actual_sales_y3_eur) AS ref,
  CASE priority WHEN 'A' THEN 1.0::DOUBLE WHEN 'B' THEN 0.85 WHEN 'C' THEN 0.65 WHEN 'D' THEN 0.45 ELSE 0.55 END AS mul, CASE priority WHEN 'A' THEN 0.6::DOUBLE WHEN 'B' THEN 0.45 WHEN 'C' THEN 0.3 WHEN 'D' THEN 0.2 ELSE 0.25 END AS pct,
@@ -202,7 +202,7 @@ _CASE = {
 
 def case_frame(spark, sf):
     grouped = history_lines(spark, sf).filter(F.col("business_id").isNotNull() & F.col("product_group").isNotNull()).groupBy("business_id", "product_group").agg(
-        F.round(F.sum("total_value") * 0.05, 4).alias("recommended_group_calibrated_expected_eur")
+        (F.sum("amount") * 20).alias("recommended_group_calibrated_expected_eur")
     )
     from ledgerlift.operators.ranking import top_n
 

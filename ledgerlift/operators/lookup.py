@@ -82,11 +82,15 @@ def key_status(df: DataFrame, key: str, value: str) -> DataFrame:
     )
 
 
-def split_blank_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], need: Column | None = None) -> DataFrame:
-    """Left join for keys that are often blank.
+SALTS = 4096
 
-    Rows without a key (or without need) take no part in the exchange: a third of all rows may
-    share the blank key, and they would all land in one task.
+
+def sparse_join(left: DataFrame, right: DataFrame, keys: Sequence[str], need: Column | None = None) -> DataFrame:
+    """Left join for keys that are often blank; one pass over the left side.
+
+    A third of all rows may share the blank key (or need no lookup at all) and would land in one
+    task.  Their first key is replaced by one of many values that match nothing, chosen by the
+    row's own hash, so a retried task places them the same way again.
     """
     usable = F.lit(True)
     for key in keys:
@@ -94,8 +98,11 @@ def split_blank_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], nee
     if need is not None:
         usable = usable & need
     usable = F.coalesce(usable, F.lit(False))
-    matched = left.filter(usable).join(right, list(keys), "left")
-    return matched.unionByName(left.filter(~usable), allowMissingColumns=True)
+    nothing = F.concat(F.lit("\u0000"), F.pmod(F.xxhash64(*left.columns), F.lit(SALTS)).cast("string"))
+    salted = {f"_k{i}": F.col(k).cast("string") if i else F.when(usable, F.col(k).cast("string")).otherwise(nothing) for i, k in enumerate(keys)}
+    others = [c for c in right.columns if c not in keys]
+    lookup = right.select(*[F.col(k).cast("string").alias(f"_k{i}") for i, k in enumerate(keys)], *others)
+    return left.withColumns(salted).join(lookup, list(salted), "left").drop(*salted)
 
 
 def cascade_fill(
@@ -113,7 +120,7 @@ def cascade_fill(
             *[F.col(v).alias(f"_v_{v}") for v in values],
             F.lit(True).alias("_hit"),
         )
-        out = split_blank_keys(out, renamed, left_keys, F.col("_open"))
+        out = sparse_join(out, renamed, left_keys, F.col("_open"))
         hit = F.col("_open") & F.coalesce(F.col("_hit"), F.lit(False))
         out = (
             out.withColumns(

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ledgerlift.functions import numbers as nm
 from ledgerlift.functions import text as tx
 from ledgerlift.operators.lookup import (
-    cascade_fill, contained_names, first_of_columns, fuzzy_best, index_join, key_status, similar_pairs, split_blank_keys, token_in_text_join,
+    cascade_fill, contained_names, first_of_columns, fuzzy_best, index_join, key_status, similar_pairs, sparse_join, token_in_text_join,
     unique_lookup,
 )
 from ledgerlift.operators.ranking import first_per_key, join_on
@@ -108,7 +108,7 @@ def fill_by_rules(df: DataFrame, rules: Sequence[tax.Rule], text: Column, catego
 def group_by_code(sales: DataFrame, master: DataFrame) -> DataFrame:
     """Group by product code and how the code stands: missing, unmatched, ambiguous or unique."""
     status = key_status(master, "product_code", "product_group").withColumnRenamed("product_group", "product_group_from_code")
-    out = split_blank_keys(sales, status, ["product_code"])
+    out = sparse_join(sales, status, ["product_code"])
     return out.withColumn(
         "product_code_match",
         F.when(F.coalesce("product_code", F.lit("")) == "", "missing_code").when(F.col("key_status") == "unique", "unique_master_code")
@@ -137,10 +137,10 @@ def group_by_name(names: DataFrame, master: DataFrame, *, terms: Sequence[str],
         return one.join(groups, key)
 
     exact = codes(known, "name_key").select("name_key", F.col("product_code").alias("c1"), F.col("product_group").alias("g1"))
-    out = split_blank_keys(keys, exact, ["name_key"])
+    out = sparse_join(keys, exact, ["name_key"])
     compact = codes(known.withColumn("compact", tx.compact_key(F.col("name_key"))).filter(F.col("compact") != ""), "compact")
     compact = compact.select("compact", F.col("product_code").alias("c2"), F.col("product_group").alias("g2"))
-    out = split_blank_keys(out.withColumn("compact", tx.compact_key(F.col("name_key"))), compact, ["compact"], F.col("g1").isNull())
+    out = sparse_join(out.withColumn("compact", tx.compact_key(F.col("name_key"))), compact, ["compact"], F.col("g1").isNull())
     by_name = F.coalesce("g1", "g2")
     out = out.withColumn("g3", F.when(by_name.isNull() & tx.has_any(F.col("name_key"), terms), F.lit(packaging_group)))
     leaves = known.select("product_group").distinct().withColumn("leaf", tx.product_name_key(F.element_at(F.split("product_group", LEAF_SPLIT), -1)))
@@ -149,7 +149,7 @@ def group_by_name(names: DataFrame, master: DataFrame, *, terms: Sequence[str],
         alias = F.when(tx.has_any(F.col("name_key"), [word], whole_words=True), F.lit(leaf.lower())).otherwise(alias)
     leaf_group = leaves.groupBy("leaf").agg(F.min("product_group").alias("g4"))
     out = out.withColumn("leaf", F.when(by_name.isNull() & F.col("g3").isNull(), alias))
-    out = stage(split_blank_keys(out, leaf_group, ["leaf"]).drop("leaf"), "names-sure")
+    out = stage(sparse_join(out, leaf_group, ["leaf"]).drop("leaf"), "names-sure")
     open_names = out.filter(by_name.isNull() & F.col("g3").isNull() & F.col("g4").isNull()).select("name_key").distinct()
 
     pairs = known.select("product_group", F.explode(F.array_distinct(tx.bigrams(tx.tokens(F.col("name_key"), 3)))).alias("pair"))
@@ -171,7 +171,7 @@ def group_by_name(names: DataFrame, master: DataFrame, *, terms: Sequence[str],
 
     parts = known.select("product_group").distinct().select("product_group", F.explode(F.split("product_group", LEAF_SPLIT)).alias("p"))
     category = unique_lookup(parts.select("product_group", tx.product_name_key(F.col("p")).alias("category_key")), ["category_key"], ["product_group"])
-    out = split_blank_keys(out, category.withColumnRenamed("product_group", "g7"), ["category_key"], by_name.isNull())
+    out = sparse_join(out, category.withColumnRenamed("product_group", "g7"), ["category_key"], by_name.isNull())
 
     unnamed = out.filter(by_name.isNull()).select("name_key").distinct()
     sure = codes(known, "name_key").select(F.col("name_key").alias("master_key"), F.col("product_code").alias("c8"), F.col("product_group").alias("g8"))
@@ -198,7 +198,7 @@ def group_by_context(sales: DataFrame, *, aliases: DataFrame | None = None, grou
     out = sales.withColumns({"context_source": F.when(F.col(group).isNotNull(), F.lit(None)).otherwise(F.lit("unmatched")), "_row_open": F.col(group).isNull()})
 
     def fill(df: DataFrame, keys: Sequence[str], table: DataFrame, tag: str) -> DataFrame:
-        joined = split_blank_keys(df, table.withColumnRenamed(group, "_g"), keys, F.col(group).isNull())
+        joined = sparse_join(df, table.withColumnRenamed(group, "_g"), keys, F.col(group).isNull())
         hit = F.col(group).isNull() & F.col("_g").isNotNull()
         return stage(
             joined.withColumns({"context_source": F.when(hit, F.lit(tag)).otherwise(F.col("context_source")), group: F.coalesce(group, "_g")}).drop("_g"), "context"
@@ -215,7 +215,7 @@ def lowest_group_of_sales(sales: DataFrame, master: DataFrame, keys: Sequence[st
     """Lowest master group by any of the product keys, else the sales category or reference."""
     clean = lambda c: F.nullif(tx.code_key(c.cast("string"), drop_spaces=True), F.lit(""))
     table = first_of_columns(master, keys, [group], order, clean).select(F.col("key").alias("_key"), group)
-    joined = split_blank_keys(sales.withColumn("_key", tx.code_key(F.col("sku"), drop_spaces=True)), table, ["_key"]).drop("_key")
+    joined = sparse_join(sales.withColumn("_key", tx.code_key(F.col("sku"), drop_spaces=True)), table, ["_key"]).drop("_key")
     own = F.nullif(F.trim(group), F.lit(""))
     fallback = F.coalesce(F.nullif(F.trim(F.coalesce("category", "reference")), F.lit("")), F.lit("Unmapped product group"))
     return joined.withColumns(
@@ -440,7 +440,7 @@ def merge_boxes(products: DataFrame, stable: DataFrame, fields: Sequence[str]) -
     """Carton fields filled where empty, with a note of the source."""
     keyed = products.withColumns({"brand_key": tx.fold(F.col("brand_name")), "name_key": tx.fold(F.col("product_name"))})
     renamed = stable.select("brand_key", "name_key", *[F.col(f).alias(f"_b_{f}") for f in fields])
-    joined = split_blank_keys(keyed, renamed, ["brand_key", "name_key"])
+    joined = sparse_join(keyed, renamed, ["brand_key", "name_key"])
     filled = F.lit(False)
     for f in fields:
         filled = filled | (nm.to_number(F.col(f)).isNull() & F.col(f"_b_{f}").isNotNull())
@@ -460,7 +460,7 @@ def with_brands(products: DataFrame, brands: DataFrame) -> tuple[DataFrame, Data
     """Brand names by id (0 counts as none), and the ids that have no brand row."""
     keyed = products.withColumn("brand_key", F.nullif(tx.numeric_id_key(F.col("brand_id").cast("string")), F.lit("0")))
     table = first_per_key(brands.withColumn("brand_key", tx.numeric_id_key(F.col("brand_id").cast("string"))), ["brand_key"], [("brand_name", "asc")]).select("brand_key", "brand_name")
-    joined = split_blank_keys(keyed, table, ["brand_key"])
+    joined = sparse_join(keyed, table, ["brand_key"])
     unmapped = joined.filter((F.coalesce("brand_key", F.lit("")) != "") & F.col("brand_name").isNull()).groupBy("brand_key").agg(F.count("*").alias("products"))
     return joined.drop("brand_key"), unmapped
 

@@ -49,22 +49,24 @@ def read_json(spark: SparkSession, path: str, *, schema: T.StructType | str | No
     return (reader.schema(schema) if schema is not None else reader).json(path)
 
 
-def read_records(spark: SparkSession, path: str) -> DataFrame:
+def read_records(spark: SparkSession, path: str, *, lines: bool = False) -> DataFrame:
     """Records from (gzip) JSON: lines, an array, or an object holding the array under a known key.
 
-    One record per line stays splittable; a single large document cannot be split by any reader.
+    ``lines`` says that every line is a document of its own: such files stay splittable, while one
+    large document can only be read by one task.
     """
-    df = spark.read.option("multiLine", True).json(path)
+    df = spark.read.option("multiLine", not lines).json(path)
     for key in CONTAINER_KEYS:
         if key in df.columns and isinstance(df.schema[key].dataType, T.ArrayType) and isinstance(df.schema[key].dataType.elementType, T.StructType):
             return df.select(F.explode(key).alias("_r")).select("_r.*")
-    lines = spark.read.json(path)
-    return lines if "_corrupt_record" not in lines.columns else df
+    if not lines and "_corrupt_record" in df.columns:
+        return read_records(spark, path, lines=True)
+    return df
 
 
-def read_account_documents(spark: SparkSession, path: str) -> DataFrame:
+def read_account_documents(spark: SparkSession, path: str, *, lines: bool = False) -> DataFrame:
     """One document per account ``{account_id, data: [...]}`` as one row per item, with the file name."""
-    df = spark.read.option("multiLine", True).json(path).withColumn("source_file", F.col("_metadata.file_name"))
+    df = spark.read.option("multiLine", not lines).json(path).withColumn("source_file", F.col("_metadata.file_name"))
     return df.select("source_file", "account_id", F.explode("data").alias("_d")).select("source_file", "account_id", "_d.*")
 
 
@@ -104,10 +106,12 @@ def flatten_products(products: DataFrame, *, record_id: Column, text_columns: Se
     """
     lists = [f.name for f in products.schema if isinstance(f.dataType, T.ArrayType) and f.name != "texts"]
     key = lambda t: F.concat_ws("_", F.lower(F.trim(t["code"])), F.lower(F.trim(t["lang"])))
-    texts = {
-        c: F.nullif(F.array_join(F.transform(F.filter("texts", lambda t, c=c: key(t) == c), lambda t: t["content"]), "\n"), F.lit(""))
-        for c in text_columns
-    }
+
+    def joined(column: str) -> Column:
+        mine = F.filter("texts", lambda t: key(t) == column)
+        return F.nullif(F.array_join(F.transform(mine, lambda t: t["content"]), "\n"), F.lit(""))
+
+    texts = {c: joined(c) for c in text_columns}
     return products.select(
         record_id.alias("record_id"), "info.*", *[F.coalesce(F.size(c), F.lit(0)).alias(f"{c}_count") for c in lists], *[e.alias(c) for c, e in texts.items()]
     )
