@@ -222,7 +222,7 @@ def _(spark, sf):
 
 @query("num_05_continuous_baseline", sql("comp", """
 SELECT business_id, round((greatest(ln(1 + coalesce(greatest(revenue_k_eur * 1000.0::DOUBLE, 0), 0)) - ln(1000001::DOUBLE), 0) * 22000
-  + ln(1 + coalesce(greatest(headcount, 1), 25)) * 6500) * least(greatest(coalesce(growth_pct / 100, 1), 0.7), 1.8), 3) AS baseline FROM comp"""))
+  + ln(1 + greatest(coalesce(headcount, 25), 1)) * 6500) * least(greatest(coalesce(growth_pct / 100, 1), 0.7), 1.8), 3) AS baseline FROM comp"""))
 def _(spark, sf):
     value = nm.continuous_baseline(F.col("revenue_k_eur"), F.col("headcount"), F.col("growth_pct") / 100)
     return companies(spark, sf).select("business_id", F.round(value, 3).alias("baseline"))

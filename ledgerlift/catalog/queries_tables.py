@@ -133,6 +133,16 @@ def _(spark, sf):
     return rd.read_csv(spark, path, schema="n_nationkey int, n_name string")
 
 
+@query("snk_02_table_write", "SELECT c_mktsegment, 2 * count(*) AS n FROM customer GROUP BY 1")
+def _(spark, sf):
+    path = stage_path(spark, "table")
+    name = "ledgerlift_" + path.rsplit("-", 1)[1]
+    c = table(spark, sf, "customer").select("c_custkey", "c_mktsegment")
+    sk.write_table(c, name, path=path)
+    sk.write_table(c, name, "append", path=path)
+    return spark.table(name).groupBy("c_mktsegment").agg(F.count("*").alias("n"))
+
+
 @query("snk_03_export_modes", "SELECT r_regionkey, r_name FROM region")
 def _(spark, sf):
     path = stage_path(spark, "out")

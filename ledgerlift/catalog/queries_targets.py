@@ -74,7 +74,7 @@ _LIFTED = "CASE WHEN lift < 0.7 THEN 0.7 WHEN lift > 1.8 THEN 1.8 ELSE lift END"
 
 def values_sql(source: str, model: str) -> str:
     return f"""SELECT *, 0.70::DOUBLE * model_value_eur + 0.30::DOUBLE * baseline_value_eur AS final_value_eur FROM (SELECT *, score * segment_median_value_eur AS model_value_eur,
-  (greatest(ln(1 + coalesce(greatest(revenue_k_eur * 1000.0::DOUBLE, 0), 0)) - ln(1000001::DOUBLE), 0) * 22000 + ln(1 + coalesce(greatest(headcount, 1), 25)) * 6500)
+  (greatest(ln(1 + coalesce(greatest(revenue_k_eur * 1000.0::DOUBLE, 0), 0)) - ln(1000001::DOUBLE), 0) * 22000 + ln(1 + greatest(coalesce(headcount, 25), 1)) * 6500)
    * least(greatest(segment_lift, 0.7), 1.8) AS baseline_value_eur
   FROM (SELECT s.*, coalesce(m.med, (SELECT coalesce(median(avg_annual_sales_3y_eur), 0) FROM {model} WHERE label = 1)) AS segment_median_value_eur FROM {source} s
   LEFT JOIN (SELECT company_segment, median(avg_annual_sales_3y_eur) AS med FROM {model} WHERE label = 1 AND avg_annual_sales_3y_eur IS NOT NULL GROUP BY 1) m USING (company_segment)))"""
@@ -174,6 +174,14 @@ def _(spark, sf):
     return out.select("business_id", "has_sales_history", F.round("actual_avg_annual_sales_3y_eur", 4).alias("actual_avg_annual_sales_3y_eur"))
 
 
+@query("sg_01_segment_features", sql("seg", "SELECT company_segment, growth_bucket, count(*) AS companies, round(sum(revenue_k_eur), 4) AS revenue_k_eur FROM seg GROUP BY 1, 2"))
+def _(spark, sf):
+    from ledgerlift.functions.buckets import add_segment_features
+
+    frame = add_segment_features(tg.company_base(companies(spark, sf), accounts(spark, sf)))
+    return frame.groupBy("company_segment", "growth_bucket").agg(F.count("*").alias("companies"), F.round(F.sum("revenue_k_eur"), 4).alias("revenue_k_eur"))
+
+
 @query("sg_02_segment_lift", sql("model_targets", "SELECT business_id, company_segment, round(segment_lift, 6) AS segment_lift FROM model_targets"))
 def _(spark, sf):
     return plain_model(spark, sf).select("business_id", "company_segment", F.round("segment_lift", 6).alias("segment_lift"))

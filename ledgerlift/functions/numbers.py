@@ -97,8 +97,9 @@ def missing_or_zero(col: Column) -> Column:
 
 def continuous_baseline(revenue_k_eur: Column, headcount: Column, lift: Column) -> Column:
     """Euro value read from size alone: revenue over a million, staff, bounded by segment lift."""
-    revenue = F.coalesce(F.greatest(revenue_k_eur * 1000.0, F.lit(0.0)), F.lit(0.0))
-    staff = F.coalesce(F.greatest(headcount, F.lit(1.0)), F.lit(25.0))
+    # greatest() skips nulls, so a missing figure is replaced before it is compared
+    revenue = F.greatest(F.coalesce(revenue_k_eur * 1000.0, F.lit(0.0)), F.lit(0.0))
+    staff = F.greatest(F.coalesce(headcount, F.lit(25.0)), F.lit(1.0))
     size_part = F.greatest(F.log1p(revenue) - F.log1p(F.lit(1_000_000.0)), F.lit(0.0)) * 22_000.0
     staff_part = F.log1p(staff) * 6_500.0
     return (size_part + staff_part) * clip(F.coalesce(lift, F.lit(1.0)), 0.7, 1.8)

@@ -64,26 +64,26 @@ def _weights(base: DataFrame, keys: list[str], cap: float | None) -> DataFrame:
     most = math.floor(1.0 / cap + 1e-9) + 1
     anchor = keys or ["_all"]
     with_key = sized if keys else sized.withColumn("_all", F.lit(1))
-    lead = top_n(with_key, anchor, [("weight", "desc"), ("product_id", "asc")], most, "_rank")
-    before = Window.partitionBy(*anchor).orderBy("_rank").rowsBetween(Window.unboundedPreceding, -1)
-    lead = lead.withColumn("_before", F.coalesce(F.sum("weight").over(before), F.lit(0.0)))
-    left = 1.0 - F.col("_before")
-    scaled = F.when(left > 1e-15, F.col("weight") * (1.0 - (F.col("_rank") - 1) * cap) / left).otherwise(F.lit(0.0))
-    fits = scaled <= cap + 1e-12
+    lead = top_n(with_key, anchor, [("weight", "desc"), ("product_id", "asc")], most, "_rank").select(*anchor, "product_id", "weight", "_n", "_rank")
+    marked = with_key.join(lead.select(*anchor, "product_id", "_rank"), [*anchor, "product_id"], "left")
+    # sums of what is left are added up, never found by subtraction: a tail of 1e-10 must keep its digits
+    beyond = marked.groupBy(*anchor).agg(F.coalesce(F.sum(F.when(F.col("_rank").isNull(), F.col("weight"))), F.lit(0.0)).alias("_beyond"))
+    onward = Window.partitionBy(*anchor).orderBy("_rank").rowsBetween(0, Window.unboundedFollowing)  # at most `most` rows per group
+    heads = lead.join(beyond, anchor).withColumn("_rest", F.sum("weight").over(onward) + F.col("_beyond"))
+    mass = 1.0 - (F.col("_rank") - 1) * cap
+    scaled = F.when(F.col("_rest") > 0, F.col("weight") / F.col("_rest") * mass).otherwise(mass / F.greatest(F.col("_n") - F.col("_rank") + 1, F.lit(1)))
     # k capped products: one less than the first rank that fits; all leaders if none does
-    chosen = lead.groupBy(*anchor).agg(
-        F.coalesce(F.min(F.when(fits, F.col("_rank"))) - 1, F.max("_rank")).alias("_k")
+    chosen = heads.withColumn("_fits", scaled <= cap + 1e-12).groupBy(*anchor).agg(
+        F.coalesce(F.min(F.when(F.col("_fits"), F.col("_rank"))) - 1, F.max("_rank")).alias("_k"), F.max("_n").alias("_size"), F.max("_beyond").alias("_beyond"),
     )
-    heads = lead.join(chosen, anchor)
-    facts = heads.groupBy(*anchor).agg(
-        F.first("_k").alias("_k"), F.first("_n").alias("_size"), F.sum(F.when(F.col("_rank") <= F.col("_k"), F.col("weight")).otherwise(0.0)).alias("_head")
+    tails = heads.join(chosen.select(*anchor, "_k"), anchor).groupBy(*anchor).agg(
+        F.coalesce(F.sum(F.when(F.col("_rank") > F.col("_k"), F.col("weight"))), F.lit(0.0)).alias("_tail")
     )
-    capped = heads.filter(F.col("_rank") <= F.col("_k")).select(*anchor, "product_id", F.lit(True).alias("_capped"))
-    out = with_key.join(facts, anchor).join(capped, [*anchor, "product_id"], "left")
-    rest = 1.0 - F.col("_head")
-    mass = 1.0 - F.col("_k") * cap
-    free = F.when(rest > 1e-15, F.col("weight") / rest * mass).otherwise(mass / F.greatest(F.col("_size") - F.col("_k"), F.lit(1)))
-    return out.select(*keys, "product_id", F.when(F.col("_capped"), F.lit(cap)).otherwise(free).alias("weight"))
+    facts = chosen.join(tails, anchor).select(*anchor, "_k", "_size", (F.col("_tail") + F.col("_beyond")).alias("_free"))
+    out = marked.join(facts, anchor)
+    left = 1.0 - F.col("_k") * cap
+    free = F.when(F.col("_free") > 0, F.col("weight") / F.col("_free") * left).otherwise(left / F.greatest(F.col("_size") - F.col("_k"), F.lit(1)))
+    return out.select(*keys, "product_id", F.when(F.coalesce(F.col("_rank") <= F.col("_k"), F.lit(False)), F.lit(cap)).otherwise(free).alias("weight"))
 
 
 def product_weights(sales: DataFrame, *, max_weight: float | None = None) -> tuple[DataFrame, DataFrame]:

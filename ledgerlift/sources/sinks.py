@@ -23,11 +23,13 @@ def write_csv(df: DataFrame, path: str, *, mode: str = "overwrite", sep: str = "
     complex_to_json(df).write.mode(mode).option("header", True).option("sep", sep).option("escape", '"').csv(path)
 
 
-def write_table(df: DataFrame, name: str, disposition: str = "truncate") -> None:
+def write_table(df: DataFrame, name: str, disposition: str = "truncate", *, path: str | None = None) -> None:
+    """Catalog table, replaced or appended to; ``path`` keeps its files outside the warehouse folder."""
     modes = {"truncate": "overwrite", "append": "append"}
     if disposition not in modes:
         raise SinkError(f"unknown disposition {disposition!r}")
-    df.write.mode(modes[disposition]).saveAsTable(name)
+    writer = df.write.mode(modes[disposition])
+    (writer.option("path", path) if path else writer).saveAsTable(name)
 
 
 def export(df: DataFrame, mode: str, *, path: str | None = None, table: str | None = None, disposition: str = "truncate") -> None:
