@@ -85,7 +85,13 @@ def white_space(customers: DataFrame, sales: DataFrame, *, n: int = 5) -> DataFr
     wide = base.join(has, "business_id", "left").withColumn("_m", F.coalesce("_m", F.lit(0)))
     zero = nm.zero_if_null(F.col("model_estimated_potential_eur")) <= 0
     place = F.when(zero, F.col("_by_total")).otherwise(F.col("_by_share"))
-    offered = wide.join(lists, "company_segment").filter(place <= F.col("_m") + n)
+    # positions are spelled out and joined by equality: m + n rows per customer, never the whole list
+    wanted = wide.withColumns({"_zero": zero, "_place": F.explode(F.sequence(F.lit(1).cast("bigint"), (F.col("_m") + n).cast("bigint")))})
+    facts = ["company_segment", "product_group", "peer_share", "total_group_sales_eur"]
+    placed = lists.select(*facts, F.lit(False).alias("_zero"), F.col("_by_share").alias("_place")).unionByName(
+        lists.select(*facts, F.lit(True).alias("_zero"), F.col("_by_total").alias("_place"))
+    )
+    offered = wanted.join(placed, ["company_segment", "_zero", "_place"])
     offered = offered.join(
         owned.select("business_id", "product_group", "customer_sales_eur", "customer_group_share"), ["business_id", "product_group"], "left"
     )
@@ -355,7 +361,8 @@ def next_groups(customers: DataFrame, products: DataFrame, sales: DataFrame, *,
     ranked = stage(grouped_row_number(table.withColumn("_o", F.round("group_score", 12)), ["company_segment"], order, "_place"), "next-ranking")
     has = owned.groupBy("business_id").agg(F.count("*").alias("_m"))
     wide = base.join(has, "business_id", "left").withColumn("_m", F.coalesce("_m", F.lit(0)))
-    candidates = wide.join(ranked, "company_segment").filter(F.col("_place") <= F.col("_m") + n)
+    wanted = wide.withColumn("_place", F.explode(F.sequence(F.lit(1).cast("bigint"), (F.col("_m") + n).cast("bigint"))))
+    candidates = wanted.join(ranked, ["company_segment", "_place"])
     candidates = candidates.join(owned.select("business_id", "product_group"), ["business_id", "product_group"], "left_anti")
     best = top_n(candidates, ["business_id"], [("_place", "asc")], n, "recommendation_rank")
     codes = positive.groupBy("product_group", "product_code").agg(F.sum("sales_eur").alias("s"))
