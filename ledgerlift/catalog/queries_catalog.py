@@ -64,11 +64,15 @@ def _(spark, sf):
     return tax.classify_or_review(table(spark, sf, "part"), _TEXT_RULES, text).select("p_partkey", "source", "l3")
 
 
-@query("tx_01_review_suggestions")
+_SUGGEST = tax.word_rules("review_suggestions", with_confidence=True)
+
+
+@query("tx_01_review_suggestions", f"""
+WITH t AS (SELECT {fold_sql('text')} AS x FROM documents)
+SELECT coalesce({_rules_sql(_SUGGEST, 'x', 'name', folded=False)}, 'none') AS reason, count(*) AS documents FROM t GROUP BY 1""")
 def _(spark, sf):
     """Word rules over whole documents: how many documents each rule would move."""
-    rules = tax.word_rules("review_suggestions", with_confidence=True)
-    out = tax.classify(table(spark, sf, "documents"), rules, tx.fold(F.col("text")))
+    out = tax.classify(table(spark, sf, "documents"), _SUGGEST, tx.fold(F.col("text")))
     return out.groupBy(F.coalesce(F.col("group.source"), F.lit("none")).alias("reason")).agg(F.count("*").alias("documents"))
 
 

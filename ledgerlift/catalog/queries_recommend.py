@@ -324,26 +324,28 @@ def _(spark, sf):
 
 # brute force of the cap: for every number of capped products k, the smallest k that works
 _CAP = {
-    "s": "SELECT c_mktsegment || ' ' || c_nationkey AS segment, o_orderpriority AS product_id, sum(o_totalprice) AS sales FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY 1, 2",
+    "s": """SELECT c_mktsegment || ' ' || (c_nationkey % 3) AS segment, o_orderpriority AS product_id, sum(o_totalprice * CASE left(o_orderpriority, 1) WHEN '1' THEN 4 WHEN '2' THEN 2 ELSE 1 END) AS sales
+ FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY 1, 2""",
     "w": "SELECT segment, product_id, sales / sum(sales) OVER (PARTITION BY segment) AS w, row_number() OVER (PARTITION BY segment ORDER BY sales DESC, product_id) AS rn, count(*) OVER (PARTITION BY segment) AS n FROM s",
     "t": "SELECT *, coalesce(sum(w) OVER (PARTITION BY segment ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM w",
-    "k": "SELECT segment, min(rn) - 1 AS k FROM t WHERE w * (1 - (rn - 1) * 0.22) / (1 - before) <= 0.22 + 1e-12 GROUP BY 1",
+    "k": "SELECT segment, min(rn) - 1 AS k FROM t WHERE w * (1 - (rn - 1) * 0.25) / (1 - before) <= 0.25 + 1e-12 GROUP BY 1",
     "c": "SELECT t.*, coalesce(k.k, t.n) AS k, sum(CASE WHEN rn > coalesce(k.k, t.n) THEN w END) OVER (PARTITION BY t.segment) AS rest FROM t LEFT JOIN k USING (segment)",
 }
 
 
-@query("alc_02_capped_weights", sql("", "SELECT segment, product_id, round(CASE WHEN rn <= k THEN 0.22 ELSE w * (1 - k * 0.22) / rest END, 9) AS weight FROM c", _CAP))
+@query("alc_02_capped_weights", sql("", "SELECT segment, product_id, round(CASE WHEN rn <= k THEN 0.25 ELSE w * (1 - k * 0.25) / rest END, 9) AS weight FROM c", _CAP))
 def _(spark, sf):
     o, c = table(spark, sf, "orders"), table(spark, sf, "customer")
     sold = o.join(c, o.o_custkey == c.c_custkey).select(
-        F.concat_ws(" ", "c_mktsegment", F.col("c_nationkey").cast("string")).alias("segment"), F.col("o_orderpriority").alias("product_id"), F.col("o_totalprice").alias("sales")
+        F.concat_ws(" ", "c_mktsegment", (F.col("c_nationkey") % 3).cast("string")).alias("segment"), F.col("o_orderpriority").alias("product_id"),
+        (F.col("o_totalprice") * F.when(F.col("o_orderpriority").startswith("1"), 4).when(F.col("o_orderpriority").startswith("2"), 2).otherwise(1)).alias("sales"),
     )
-    weights, _ = al.product_weights(sold, max_weight=0.22)
+    weights, _ = al.product_weights(sold, max_weight=0.25)
     return weights.select("segment", "product_id", F.round("weight", 9).alias("weight"))
 
 
 _ALLOC = {
-    **{k: v for k, v in _CAP.items() if k == "s"},
+    "s": "SELECT c_mktsegment || ' ' || c_nationkey AS segment, o_orderpriority AS product_id, sum(o_totalprice) AS sales FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY 1, 2",
     "w": "SELECT segment, product_id, sales / sum(sales) OVER (PARTITION BY segment) AS w FROM s",
     "g": "SELECT product_id, sum(sales) / (SELECT sum(sales) FROM s) AS w FROM s GROUP BY 1",
     "a": "SELECT c_custkey::VARCHAR AS business_id, greatest(c_acctbal, 0) AS pot, CASE WHEN c_custkey % 10 = 0 THEN 'elsewhere' ELSE c_mktsegment || ' ' || c_nationkey END AS segment FROM customer",
