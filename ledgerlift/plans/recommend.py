@@ -128,15 +128,28 @@ PROFILE_LEVELS = (
 PROFILE_COLUMNS = ("company_segment", "industry", "revenue_class", "headcount_class")
 
 
+def customer_groups(training: DataFrame) -> DataFrame:
+    """Training lines added up per customer and group variant: the only pass over the lines.
+
+    A table that is already added up is handed back.
+    """
+    if "confidence_sum" in training.columns:
+        return training
+    return training.groupBy("business_id", "product_group", "product_group_name").agg(
+        F.count("*").alias("lines"), F.sum("sales_eur").alias("sales_eur"), F.sum("weighted_sales_eur").alias("weighted_sales_eur"),
+        F.sum("product_group_match_confidence").alias("confidence_sum"),
+    )
+
+
 def group_profile(training: DataFrame) -> DataFrame:
     """Per group: sales, weighted sales, customers, match confidence and share of everything.
 
     Customers is the highest count over the group's name variants and confidence the mean of their
     means, as in the figures this must match.
     """
-    variants = training.groupBy("product_group", "product_group_name").agg(
-        F.count("*").alias("training_rows"), F.count_distinct("business_id").alias("customer_count"), F.sum("sales_eur").alias("sales_eur"),
-        F.sum("weighted_sales_eur").alias("weighted_sales_eur"), F.avg("product_group_match_confidence").alias("avg_match_confidence"),
+    variants = customer_groups(training).groupBy("product_group", "product_group_name").agg(
+        F.sum("lines").alias("training_rows"), F.count("business_id").alias("customer_count"), F.sum("sales_eur").alias("sales_eur"),
+        F.sum("weighted_sales_eur").alias("weighted_sales_eur"), (F.sum("confidence_sum") / F.sum("lines")).alias("avg_match_confidence"),
     )
     merged = variants.groupBy("product_group").agg(
         F.max_by("product_group_name", F.struct("weighted_sales_eur", "product_group_name")).alias("product_group_name"),
@@ -165,6 +178,8 @@ def profile_recommendations(companies: DataFrame, training: DataFrame, *, n: int
     The score depends only on the company's profile, so it is computed once per distinct profile
     and joined back; groups known only globally come from the head of the global ranking.
     """
+    training = stage(customer_groups(training), "customer-groups")
+    companies = stage(companies, "companies")
     group = stage(group_profile(training), "group-profile")
     levels = segment_profiles(training, companies)
     combos = stage(companies.select(*PROFILE_COLUMNS).distinct().withColumn("_combo", F.xxhash64(*[F.coalesce(c, F.lit("\u0000")) for c in PROFILE_COLUMNS])), "profiles")
@@ -251,11 +266,12 @@ def product_recommendations(customers: DataFrame, products: DataFrame, sales: Da
     customer with m owned groups and p owned products needs the first n + m * pool + p of that
     ranking.  Pool products of the customer's own groups are joined on the group.
     """
+    sales = stage(
+        sales.filter(F.col("business_id").isNotNull()).groupBy("business_id", "product_group", "product_code").agg(F.sum("sales_eur").alias("sales_eur")), "bought"
+    )
     stats = stage(product_stats(products, sales), "product-stats")
     allowed = stats.filter(~F.col("excluded_from_recommendations"))
-    bought = stage(
-        sales.filter(F.col("business_id").isNotNull()).groupBy("business_id", "product_group", "product_code").agg(F.sum("sales_eur").alias("s")), "bought"
-    )
+    bought = sales.withColumnRenamed("sales_eur", "s")
     by_product = bought.filter(F.col("product_code") != "").groupBy("business_id", "product_code").agg(F.sum("s").alias("s"))
     # the share divides by positive product sales only, blank codes included
     spent = bought.groupBy("business_id", "product_code").agg(F.sum("s").alias("s")).groupBy("business_id").agg(
@@ -264,7 +280,10 @@ def product_recommendations(customers: DataFrame, products: DataFrame, sales: Da
     shares = bought.filter(F.col("product_group").isNotNull()).groupBy("business_id", "product_group").agg(F.sum("s").alias("_g")).join(spent, "business_id").select(
         "business_id", "product_group", (F.col("_g") / F.when(F.col("_spent") > 0, F.col("_spent")).otherwise(1.0)).alias("customer_group_share")
     )
-    base = customers.filter(F.col("business_id").isNotNull()).select("business_id", "company_segment", nm.zero_if_null(F.col("expected_potential_eur")).alias("expected"))
+    base = stage(
+        customers.filter(F.col("business_id").isNotNull()).select("business_id", "company_segment", nm.zero_if_null(F.col("expected_potential_eur")).alias("expected")),
+        "customers",
+    )
     facts = ["product_code", "product_name", "product_group", "product_share", "peer_group_share", "product_customer_count"]
     current = base.join(by_product.select("business_id", "product_code"), "business_id").join(allowed.select(*facts), "product_code")
     current = current.join(shares, ["business_id", "product_group"], "left").withColumn("recommendation_type", F.lit("current"))
@@ -346,8 +365,9 @@ def next_groups(customers: DataFrame, products: DataFrame, sales: DataFrame, *,
     segment's ranking.  Segments without sales use everyone's figures.
     """
     positive = sales.filter(F.col("business_id").isNotNull() & F.col("product_group").isNotNull() & (F.col("product_code") != "") & (F.col("sales_eur") > 0))
+    positive = stage(positive.groupBy("business_id", "product_group", "product_code").agg(F.sum("sales_eur").alias("sales_eur")), "owned-products")
     owned = stage(positive.groupBy("business_id", "product_group").agg(F.sum("sales_eur").alias("s")), "owned-groups")
-    base = customers.filter(F.col("business_id").isNotNull()).select("business_id", "company_segment")
+    base = stage(customers.filter(F.col("business_id").isNotNull()).select("business_id", "company_segment"), "customers")
     peers = base.groupBy("company_segment").agg(F.count_distinct("business_id").alias("peers"))
     in_segment = owned.join(base, "business_id")
     seg = in_segment.groupBy("company_segment", "product_group").agg(F.count("*").alias("buyers"), F.sum("s").alias("s"))
