@@ -18,20 +18,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def add_columns(df: DataFrame, schema: str, rows: Callable[[pa.RecordBatch], list[pa.Array]], once: Callable[[], None] | None = None) -> DataFrame:
+def add_columns(df: DataFrame, schema: str, rows: Callable[[pa.RecordBatch], list[pa.Array]], drop: tuple[str, ...] = ()) -> DataFrame:
     """``df`` with computed columns; ``rows`` turns one Arrow batch into the arrays of the new columns.
 
-    Columns of ``df`` that bear a new column's name (in any case) are replaced.
+    Columns of ``df`` that bear a new column's name (in any case) are replaced; those in ``drop`` are
+    read but not handed back.
     """
     new = StructType.fromDDL(schema)
     df = df.drop(*[c for c in df.columns if c.lower() in {n.lower() for n in new.names}])
-    out = StructType([*df.schema.fields, *new.fields])
+    out = StructType([*(f for f in df.schema.fields if f.name not in drop), *new.fields])
     names = out.names
 
     def apply(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                yield pa.RecordBatch.from_arrays([*batch.columns, *rows(batch)], names=names)
+                kept = [c for n, c in zip(batch.schema.names, batch.columns, strict=True) if n not in drop]
+                yield pa.RecordBatch.from_arrays([*kept, *rows(batch)], names=names)
 
     return df.mapInArrow(apply, out)
 

@@ -167,19 +167,20 @@ def _shards(items: DataFrame, window: int, shard_words: int) -> list[Automaton]:
     return shards
 
 
-def match_items(docs: DataFrame, items: DataFrame, window: int = 10, shard_words: int = 250_000) -> DataFrame:
+def match_items(docs: DataFrame, items: DataFrame, window: int = 10, shard_words: int = 250_000, drop: tuple[str, ...] = ()) -> DataFrame:
     """``docs`` (text) with ``n_words``, ``hit_items`` (sorted ids) and ``hit_spans`` (maximal runs of hit words).
 
-    ``items`` has (item_id, text).
+    ``items`` has (item_id, text).  Columns named in ``drop`` are left out of the result.
     """
     if window < 1:
         raise ValueError("window must be at least 1")
     spark = docs.sparkSession
     shards = _shards(items, window, shard_words)
-    out = _marked(docs, spark.sparkContext.broadcast(shards[0]) if shards else None)
-    for shard in shards[1:]:
+    last = len(shards) - 1
+    out = _marked(docs, spark.sparkContext.broadcast(shards[0]) if shards else None, drop if last < 1 else ())
+    for k, shard in enumerate(shards[1:], 1):
         first = stage(out, "contamination")
-        again = _marked(first.withColumnsRenamed({"hit_items": "_items", "hit_spans": "_spans"}), spark.sparkContext.broadcast(shard))
+        again = _marked(first.withColumnsRenamed({"hit_items": "_items", "hit_spans": "_spans"}), spark.sparkContext.broadcast(shard), drop if k == last else ())
         out = again.withColumns({
             "hit_items": F.array_sort(F.array_union("_items", "hit_items")), "hit_spans": F.concat("_spans", "hit_spans"),
         }).drop("_items", "_spans")
@@ -194,7 +195,7 @@ def match_items(docs: DataFrame, items: DataFrame, window: int = 10, shard_words
     return out
 
 
-def _marked(docs: DataFrame, shared) -> DataFrame:
+def _marked(docs: DataFrame, shared, drop: tuple[str, ...]) -> DataFrame:
     def rows(batch: pa.RecordBatch) -> list[pa.Array]:
         raws = raw_texts(batch)
         counts, items, spans = [], [], []
@@ -218,7 +219,7 @@ def _marked(docs: DataFrame, shared) -> DataFrame:
         span = pa.list_(pa.struct([("first", pa.int32()), ("length", pa.int32())]))
         return [pa.array(counts, pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array(spans, span)]
 
-    return add_columns(docs, "n_words bigint, hit_items array<string>, hit_spans array<struct<first:int,length:int>>", rows)
+    return add_columns(docs, "n_words bigint, hit_items array<string>, hit_spans array<struct<first:int,length:int>>", rows, drop)
 
 
 def _hits(automaton: Automaton, docs: list[np.ndarray]):
@@ -248,9 +249,9 @@ def _hits(automaton: Automaton, docs: list[np.ndarray]):
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = 10, shard_words: int = 250_000) -> DataFrame:
-    """``docs`` with n_words, n_hit, n_items, items_sha256 and contaminated instead of the lists."""
+    """``docs`` with n_words, n_hit, n_items, items_sha256 and contaminated instead of the text and the lists."""
     hit = F.aggregate("hit_spans", F.lit(0).cast("bigint"), lambda a, s: a + s["length"])
-    return match_items(docs, items, window, shard_words).withColumns({
+    return match_items(docs, items, window, shard_words, drop=("text",)).withColumns({
         "n_hit": hit, "n_items": F.size("hit_items").cast("bigint"), "items_sha256": F.sha2(F.array_join("hit_items", ","), 256),
     }).withColumn("contaminated", F.col("n_hit") > 0).drop("hit_items", "hit_spans")
 

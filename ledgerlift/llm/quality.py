@@ -14,6 +14,7 @@ and ablations of 0; columns of the documents that bear a result's name are repla
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from dataclasses import dataclass, field
 
@@ -30,6 +31,7 @@ _CONTINUED = bytes(range(0x80, 0xC0))
 #: Texts with more words count their windows in arrays instead of a dictionary.
 _ARRAY_WORDS = 20_000
 
+_OWN = "__quality_"
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_capital_words", "n_distinct_words")
 
 
@@ -112,16 +114,25 @@ POLICIES = {p.version: p for p in (BASE, Policy("v1", tuple(BIT)))}
 CURRENT = "v1"
 
 
-def ledger(docs: DataFrame) -> DataFrame:
-    """``docs`` (text) with the measurements and ``failures``, the bits of the failed rules."""
+def _measured(docs: DataFrame, drop: tuple[str, ...]) -> tuple[DataFrame, Column]:
+    """``docs`` with the measurements under names of their own, and the failure bits over these."""
 
     def rows(batch: pa.RecordBatch) -> list[pa.Array]:
         found = [measure(r) for r in raw_texts(batch)]
         return [pa.array([f[k] for f in found], pa.int64()) for k in range(len(MEASURES))]
 
-    measured = add_columns(docs, ", ".join(f"{m} bigint" for m in MEASURES), rows)
-    bits = " + ".join(f"IF({r.fails}, {BIT[r.name]}L, 0L)" for r in RULES)
-    return measured.drop("failures").withColumn("failures", F.expr(bits))
+    out = add_columns(docs, ", ".join(f"{_OWN}{m} bigint" for m in MEASURES), rows, drop)
+    name = re.compile(r"\b(" + "|".join(MEASURES) + r")\b")
+    return out, F.expr(" + ".join(f"IF({name.sub(_OWN + chr(92) + '1', r.fails)}, {BIT[r.name]}L, 0L)" for r in RULES))
+
+
+def ledger(docs: DataFrame, drop: tuple[str, ...] = ()) -> DataFrame:
+    """``docs`` (text) with the measurements and ``failures``, the bits of the failed rules.
+
+    Columns named in ``drop`` are left out of the result.
+    """
+    measured, bits = _measured(docs.drop(*MEASURES, "failures"), drop)
+    return measured.withColumn("failures", bits).withColumnsRenamed({f"{_OWN}{m}": m for m in MEASURES})
 
 
 def ablations(kept: DataFrame, policy: Policy) -> DataFrame:
@@ -142,13 +153,13 @@ def ablations(kept: DataFrame, policy: Policy) -> DataFrame:
     return one.select(F.lit(policy.version).alias("policy"), "n_docs", "n_rejected", F.inline(F.array(*[f"_{r}" for r in rules])))
 
 
-def judged(docs: DataFrame, policy: Policy = POLICIES[CURRENT]) -> DataFrame:
+def judged(docs: DataFrame, policy: Policy = POLICIES[CURRENT], drop: tuple[str, ...] = ()) -> DataFrame:
     """The ledger with ``base_failed`` and ``kept`` (neither the base rules nor the policy reject)."""
     base = BASE.rejects()
-    return ledger(docs).drop("base_failed", "kept").withColumns({"base_failed": base, "kept": ~base & ~policy.rejects()})
+    return ledger(docs, drop).drop("base_failed", "kept").withColumns({"base_failed": base, "kept": ~base & ~policy.rejects()})
 
 
 def keep(docs: DataFrame, policy: Policy = POLICIES[CURRENT]) -> DataFrame:
-    """The rows of ``docs`` that the policy keeps, with their own columns."""
-    marked = judged(docs.select(F.struct("*").alias("_row"), "text"), policy)
-    return marked.where("kept").select("_row.*")
+    """The rows of ``docs`` that neither the base rules nor the policy reject, with their own columns."""
+    measured, bits = _measured(docs, ())
+    return measured.where(~BASE.rejects(bits) & ~policy.rejects(bits)).select(*docs.columns)
