@@ -22,8 +22,6 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.linalg import SparseVector, VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,7 +32,7 @@ _BITS = 20
 BUCKETS = 1 << _BITS
 _SIZES = (4, 5, 6)
 _SLICE = 1 << 20
-FOLDS, SAMPLE, FEATURES = 3, 10_000, 2048
+FOLDS, SAMPLE, FEATURES = 3, 10_000, 512
 _MIX = 0x9E3779B97F4A7C15
 
 #: Words that tell what kind of toxicity a labelled English document holds.
@@ -146,19 +144,60 @@ def weak_categories(text: str = "text", label: str = "toxic") -> dict:
     return {"insult": kind(INSULT), "contempt": kind(CONTEMPT), "toxic": F.col(label)}
 
 
-def _fit(rows: DataFrame, y: str, width: int) -> tuple[np.ndarray, float]:
-    known = rows.where(F.col(y).isNotNull())
-    share = known.agg(F.avg(y)).first()[0] or 0.0
+def regress(x: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, width: int, steps: int = 300, rate: float = 0.1, shrink: float = 1e-4) -> tuple[np.ndarray, float]:
+    """Weights and bias of a logistic regression over sparse rows (places, values), by full-batch Adam steps."""
+    share = float(y.mean()) if len(y) else 0.0
     if share in (0.0, 1.0):
         p = min(max(share, 1e-6), 1 - 1e-6)
         return np.zeros(width), float(np.log(p / (1 - p)))
-    model = LogisticRegression(featuresCol="x", labelCol=y, regParam=1e-4, maxIter=50, standardization=False).fit(known.withColumn(y, F.col(y).cast("double")))
-    return np.array(model.coefficients.toArray()), float(model.intercept)
+    row = np.repeat(np.arange(len(x)), [len(i) for i, _ in x])
+    col, val = np.concatenate([i for i, _ in x]).astype(np.int64), np.concatenate([v for _, v in x])
+    w = np.zeros(width + 1)
+    w[-1] = np.log(share / (1 - share))
+    m, v = np.zeros_like(w), np.zeros_like(w)
+    for t in range(1, steps + 1):
+        z = np.bincount(row, w[col] * val, len(x)) + w[-1]
+        off = (1 / (1 + np.exp(-np.clip(z, -500, 500))) - y) / len(x)
+        g = np.append(np.bincount(col, off[row] * val, width) + shrink * w[:-1], off.sum())
+        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+        w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+    return w[:-1], float(w[-1])
+
+
+def _fit_all(rows: DataFrame, y: str, width: int, folds: int) -> list[tuple[np.ndarray, float]]:
+    """The model of all rows with a label, then one without each fold; every model is a task over the bounded sample."""
+    models = F.array(F.lit(-1), *[F.when(F.col("fold") != f, f) for f in range(folds)])
+    each = rows.where(F.col(y).isNotNull()).select(F.explode(F.array_compact(models)).alias("model"), F.col(y).cast("double").alias("y"), "idx", "val", "before")
+
+    def train(key, table):
+        before = table["before"].to_pylist()
+        last = width - (len(before[0]) if before else 0)
+        x = [(np.array([*i, *range(last, width)], dtype=np.int64), np.array([*v, *b])) for i, v, b in zip(table["idx"].to_pylist(), table["val"].to_pylist(), before, strict=True)]
+        w, bias = regress(x, table["y"].to_numpy(), width)
+        return pa.table({"model": pa.array([key[0].as_py()], pa.int32()), "w": pa.array([w.tolist()], pa.list_(pa.float64())), "bias": pa.array([bias])})
+
+    found = {r["model"]: (np.array(r["w"]), r["bias"]) for r in each.groupBy("model").applyInArrow(train, "model int, w array<double>, bias double").collect()}
+    empty = regress([], np.zeros(0), width)
+    return [found.get(f, empty) for f in range(-1, folds)]
+
+
+def _with_out_of_fold(rows: DataFrame, models: list[tuple[np.ndarray, float]], width: int) -> DataFrame:
+    """``rows`` with one more probability in ``before``, from the model that hasn't seen the row."""
+
+    def predict(batch: pa.RecordBatch) -> list[pa.Array]:
+        column = {n: c.to_pylist() for n, c in zip(batch.schema.names, batch.columns, strict=True)}
+        out = []
+        for fold, i, v, b in zip(column["fold"], column["idx"], column["val"], column["_before"], strict=True):
+            w, bias = models[fold]
+            z = bias + float(w[np.array(i, dtype=np.int64)] @ np.array(v, dtype=float)) + float(w[width:] @ np.array(b, dtype=float)) if i or b else bias
+            out.append([*b, float(1 / (1 + np.exp(-z))) if z > -700 else 0.0])
+        return [pa.array(out, pa.list_(pa.float64()))]
+
+    return add_columns(rows.withColumnRenamed("before", "_before"), "before array<double>", predict, ("_before",))
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, n_features: int = FEATURES, folds: int = FOLDS) -> Chain:
     """Trains a chain on ``docs`` (doc_id, text) with ``labels`` (doc_id, toxic)."""
-    spark = docs.sparkSession
     one = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     chosen = None
     for kind in (0, 1):
@@ -182,31 +221,14 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, n_features: in
     if not best:
         place[0] = 0
     counted = _counted(texts, place).withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(folds)))
-    base = stage(counted.select("doc_id", "fold", *names, "idx", "val"), "features").repartition(8, "doc_id").cache()
-    oof: dict[str, DataFrame] = {}
+    base = stage(counted.select("doc_id", "fold", *names, "idx", "val"), "features")
     weights: list[tuple[np.ndarray, float]] = []
     rows = base.withColumn("before", F.array().cast("array<double>"))
     for k, name in enumerate(names):
-        size = width + k
-
-        @F.udf(VectorUDT())
-        def vector(idx, val, before, size=size, width=width):
-            return SparseVector(size, [*idx, *range(width, size)], [*val, *before])
-
-        rows = stage(rows.drop("x").withColumn("x", vector("idx", "val", "before")), "chain")
-        weights.append(_fit(rows, name, size))
-        fitted = [_fit(rows.where(F.col("fold") != f), name, size) for f in range(folds)]
-        shared = spark.sparkContext.broadcast(fitted)
-
-        @F.udf("double")
-        def predicted(x, fold, shared=shared):
-            w, bias = shared.value[fold]
-            z = bias + float(w[x.indices] @ x.values)
-            return float(1 / (1 + np.exp(-z))) if z > -700 else 0.0
-
-        rows = rows.withColumn("p", predicted("x", "fold")).withColumn("before", F.concat("before", F.array("p")))
-    base.unpersist()
-    return Chain(names, place, weights, _limit([(r["p"], r[names[-1]]) for r in rows.select("p", names[-1]).collect()]))
+        whole, *others = _fit_all(rows, name, width + k, folds)
+        weights.append(whole)
+        rows = stage(_with_out_of_fold(rows, others, width), "chain")
+    return Chain(names, place, weights, _limit([(r["p"], r[names[-1]]) for r in rows.select(F.element_at("before", -1).alias("p"), names[-1]).collect()]))
 
 
 def _limit(seen: list[tuple[float, int]]) -> float:
