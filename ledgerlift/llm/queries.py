@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlift.llm import decontaminate, packing, pii, quality, toxicity, url_filter, warc
+from ledgerlift.llm import decontaminate, near, packing, pii, quality, toxicity, url_filter, warc
 from ledgerlift.llm.common import table
 from ledgerlift.session import stage_path
 
@@ -114,3 +114,8 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+@_query("op7_ngram_join")
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near.link(table(spark, sf_dir, "documents").select("doc_id", "text"))

@@ -37,21 +37,25 @@ _HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Le
 FILE_RECORDS, PART_BYTES = 2_000, 32 << 20
 
 
-def records(pages: DataFrame, min_revisit: int = MIN_REVISIT) -> DataFrame:
-    """One row per page (page_id, url, html): record id, type, digests, the record's header block and its payload.
+def _with_digests(pages: DataFrame) -> DataFrame:
+    payload = F.encode(F.coalesce("html", F.lit("")), "utf-8")
+    return pages.select(F.col("page_id").cast("bigint").alias("page_id"), "url", payload.alias("payload")).withColumns({
+        "payload_bytes": F.length("payload").cast("bigint"), "sha256": F.sha2("payload", 256),
+    })
+
+
+def headers(pages: DataFrame, min_revisit: int = MIN_REVISIT) -> DataFrame:
+    """One row per page (page_id, url, html): record id and type, digest and the record's header block.
 
     The header block is everything before the payload: WARC fields, an empty line and the HTTP header.
     """
-    payload = F.encode(F.coalesce("html", F.lit("")), "utf-8")
-    pages = pages.select(F.col("page_id").cast("bigint").alias("page_id"), "url", payload.alias("payload"))
-    rows = stage(pages.select(
-        "page_id", F.regexp_replace(F.regexp_replace(F.coalesce("url", F.lit("")), "\r", "%0D"), "\n", "%0A").alias("url"), "payload",
-        F.length("payload").cast("bigint").alias("payload_bytes"), F.sha1("payload").alias("sha1"), F.sha2("payload", 256).alias("sha256"),
-        F.monotonically_increasing_id().alias("row"),
+    rows = stage(_with_digests(pages).select(
+        "page_id", F.regexp_replace(F.regexp_replace(F.coalesce("url", F.lit("")), "\r", "%0D"), "\n", "%0A").alias("url"),
+        "payload_bytes", F.sha1("payload").alias("sha1"), "sha256", F.monotonically_increasing_id().alias("row"),
     ), "records")  # written once: the row numbers are fixed from here on
     own = F.struct(F.coalesce("page_id", F.lit(-(1 << 63)).cast("bigint")).alias("page_id"), F.col("row"))
     first = rows.where(F.col("payload_bytes") >= min_revisit).groupBy("sha256", "payload_bytes").agg(F.max(own).alias("first"), F.count("*").alias("n")).where("n > 1")
-    marked = rows.join(first.drop("n"), ["sha256", "payload_bytes"], "left")
+    marked = rows.join(stage(first.drop("n"), "groups"), ["sha256", "payload_bytes"], "left")
     revisit = F.coalesce(F.col("first.row") != F.col("row"), F.lit(False))
     uuid = lambda row: F.format_string("<urn:uuid:%s>", F.regexp_replace(F.md5(F.concat(F.lit("record "), row.cast("string"))), "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5"))
     marked = marked.withColumns({
@@ -73,17 +77,19 @@ def records(pages: DataFrame, min_revisit: int = MIN_REVISIT) -> DataFrame:
         )).otherwise(""),
         F.lit("Content-Type: application/http; msgtype=response\r\n"), line("Content-Length", block.cast("string")), F.lit("\r\n"), http,
     )
-    return marked.select("record_id", "page_id", "record_type", "refers_to", "payload_bytes", "sha1", "sha256", header.alias("header"), "payload")
+    return marked.select("record_id", "record_type", "sha256", "payload_bytes", header.alias("header"))
 
 
 def archive(pages: DataFrame, path: str, min_revisit: int = MIN_REVISIT) -> None:
     """Writes ``path/headers`` (one row per record) and ``path/payloads`` (one row per different payload)."""
-    rows = records(pages, min_revisit)
-    rows.select("record_id", "record_type", "sha256", "payload_bytes", "header").write.mode("errorifexists").parquet(f"{path}/headers")
-    # a response of at least min_revisit bytes stands alone; smaller payloads may come many times
-    response = rows.where("record_type = 'response'").select("sha256", "payload_bytes", "payload")
-    large, small = response.where(F.col("payload_bytes") >= min_revisit), response.where(F.col("payload_bytes") < min_revisit)
-    large.unionByName(small.dropDuplicates(["sha256", "payload_bytes"])).write.mode("errorifexists").parquet(f"{path}/payloads")
+    own = headers(pages, min_revisit)
+    own.write.mode("errorifexists").option("compression", "zstd").parquet(f"{path}/headers")
+    key = ["sha256", "payload_bytes"]
+    many = own.sparkSession.read.parquet(f"{path}/headers").groupBy(*key).agg(F.count("*").alias("n")).where("n > 1")
+    # only payloads that come again need a shuffle; which do is a written table, so that its size is known
+    payloads = _with_digests(pages).select(*key, "payload").join(stage(many, "again"), key, "left")
+    alone, again = payloads.where("n is null").drop("n"), payloads.where("n is not null").drop("n")
+    alone.unionByName(again.dropDuplicates(key)).write.mode("errorifexists").option("compression", "zstd").parquet(f"{path}/payloads")
 
 
 def reconstruct(spark: SparkSession, path: str, verify: bool = True) -> DataFrame:
