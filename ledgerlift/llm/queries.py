@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlift.llm import decontaminate, near, packing, pii, quality, toxicity, url_filter, warc
+from ledgerlift.llm import decontaminate, extract, near, packing, pii, quality, toxicity, url_filter, warc
 from ledgerlift.llm.common import table
 from ledgerlift.session import stage_path
 
@@ -119,3 +119,8 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op7_ngram_join")
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.link(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@_query("op4_html_extraction")
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.extract(table(spark, sf_dir, "pages"))
