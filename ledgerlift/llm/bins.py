@@ -1,6 +1,6 @@
 """Exchange of many small keyed numbers between tasks, packed.
 
-Keys are 64-bit hashes.  Each task sorts its (key, document) entries into bins by key and emits one row per
+Keys are 64-bit hashes; an entry may carry one more 64-bit number.  Each task sorts its (key, document) entries into bins by key and emits one row per
 bin with the arrays as bytes; bins are then grouped by an ordinary shuffle.  A key's entries always meet in
 one bin, and a bin holds a bounded number of entries on average because the number of bins follows the data.
 """
@@ -14,7 +14,8 @@ import pyarrow as pa
 
 #: Entries that one bin should hold, and entries that a task gathers before it emits rows.
 BIN_ENTRIES, TASK_ENTRIES = 1 << 20, 1 << 21
-SCHEMA = "kind int, bin bigint, keys binary, docs binary"
+SCHEMA = "kind int, bin bigint, keys binary, docs binary, notes binary"
+_NONE = np.zeros(0, dtype=np.uint64)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -36,11 +37,11 @@ class Packer:
 
     def __init__(self, bins: int):
         self.bins = bins
-        self.held: dict[int, list[tuple[np.ndarray, int]]] = {}
+        self.held: dict[int, list[tuple[np.ndarray, int, np.ndarray]]] = {}
         self.n = 0
 
-    def add(self, kind: int, keys: np.ndarray, doc: int) -> None:
-        self.held.setdefault(kind, []).append((keys, doc))
+    def add(self, kind: int, keys: np.ndarray, doc: int, notes: np.ndarray | None = None) -> None:
+        self.held.setdefault(kind, []).append((keys, doc, _NONE if notes is None else notes))
         self.n += len(keys)
 
     @property
@@ -49,17 +50,21 @@ class Packer:
 
     def rows(self) -> Iterator[pa.RecordBatch]:
         for kind, parts in self.held.items():
-            keys = np.concatenate([k for k, _ in parts]).astype(np.uint64)
-            docs = np.repeat(np.array([d for _, d in parts], dtype=np.int64), [len(k) for k, _ in parts])
+            keys = np.concatenate([k for k, _, _ in parts]).astype(np.uint64)
+            docs = np.repeat(np.array([d for _, d, _ in parts], dtype=np.int64), [len(k) for k, _, _ in parts])
+            notes = np.concatenate([x for _, _, x in parts])
             place = (mix(keys, 77) >> np.uint64(32)) * np.uint64(self.bins) >> np.uint64(32)
             order = np.argsort(place.astype(np.int32 if self.bins > 32767 else np.int16), kind="stable")
             keys, docs = keys[order], docs[order]
+            if len(notes):
+                notes = notes[order]
             edges = np.searchsorted(place[order], np.arange(self.bins + 1, dtype=np.uint64))
             at = [b for b in range(self.bins) if edges[b] < edges[b + 1]]
             yield pa.RecordBatch.from_arrays([
                 pa.array([kind] * len(at), pa.int32()), pa.array(at, pa.int64()),
                 pa.array([keys[edges[b]:edges[b + 1]].tobytes() for b in at], pa.binary()), pa.array([docs[edges[b]:edges[b + 1]].tobytes() for b in at], pa.binary()),
-            ], names=["kind", "bin", "keys", "docs"])
+                pa.array([notes[edges[b]:edges[b + 1]].tobytes() for b in at], pa.binary()),
+            ], names=["kind", "bin", "keys", "docs", "notes"])
         self.held, self.n = {}, 0
 
 

@@ -10,8 +10,9 @@ hash of its own.
 
 1. One pass counts shingles and gives each text's size and set digest; equal sets become one class.
 2. A second pass sends the prefixes of each order to bins; texts that repeat inside a task are sent once.
-3. A shingle's list of at most ``LIST`` documents gives pairs.  Longer lists give links to their smallest
-   document only (a star).  Pairs are intersected over the orders, mapped to classes and verified.
+3. A shingle's list of documents gives pairs whose sizes and places in the order allow the similarity.  Lists
+   with very many such pairs give links to their smallest document only (a star).  Pairs are intersected over
+   the orders, mapped to classes and verified.
 4. What stars leave open is decided in blocks: documents of a star outside its centre's component are
    compared with all its documents, blocks against blocks, inside tasks; only links come out.
 5. Components of the verified links, in which classes and so all copies are included.
@@ -27,7 +28,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterable, Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -39,9 +39,10 @@ from ledgerlift.llm.common import raw_texts
 from ledgerlift.llm.components import components
 from ledgerlift.session import stage
 
-WIDTH, PERCENT, ORDERS = 4, 85, 3
-#: Longest list whose pairs are enumerated; documents in a block; counters of the frequency table.
-LIST, BLOCK, COUNTERS = 32, 256, 1 << 20
+WIDTH, PERCENT, ORDERS = 4, 85, 2
+#: Lists with more than LIST / 2 similar-sized partners for each document, and more pairs than LIST documents have,
+#: give stars; documents in a block; counters of the frequency table; pairs looked at together.
+LIST, BLOCK, COUNTERS, _PAIRS = 32, 256, 1 << 20, 1 << 21
 _SLICE = 2 << 20
 _SPACE = b" \t\n\r\x0b\x0c"
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else 32 if c in _SPACE else c for c in range(256))
@@ -111,9 +112,11 @@ def prefix_length(n: int, percent: int) -> int:
 
 
 def _prefix(s: np.ndarray, classes: np.ndarray, order: int, percent: int) -> np.ndarray:
+    """The first shingles of a set under an order, in that order."""
     p = prefix_length(len(s), percent)
     key = (classes[_counter(s)].astype(np.uint64) << np.uint64(58)) | (bins.mix(s, 200 + order) >> np.uint64(6))
-    return s[np.argpartition(key, p - 1)[:p]] if p < len(s) else s
+    first = np.argpartition(key, p - 1)[:p] if p < len(s) else np.arange(len(s))
+    return s[first[np.argsort(key[first])]]
 
 
 def signatures(docs: DataFrame, width: int) -> tuple[DataFrame, np.ndarray]:
@@ -168,7 +171,9 @@ def _prefix_rows(docs: DataFrame, classes: np.ndarray, n_bins: int, width: int,
                     continue  # one of its class is sent
                 seen.add(digest)
                 for order in range(orders):
-                    packer.add(order, _prefix(s, shared.value, order, percent), doc_id)
+                    prefix = _prefix(s, shared.value, order, percent)
+                    left = len(s) - np.arange(len(prefix), dtype=np.uint64)  # shingles from this one on
+                    packer.add(order, prefix, doc_id, (np.uint64(len(s)) << np.uint64(32)) | left)
             if packer.full:
                 yield from packer.rows()
         yield from packer.rows()
@@ -176,35 +181,54 @@ def _prefix_rows(docs: DataFrame, classes: np.ndarray, n_bins: int, width: int,
     return docs.select("doc_id", "text").mapInArrow(emit, bins.SCHEMA)
 
 
-def _pairs_of(kind: int, keys: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs of the short lists, and (centre, document) of the long ones, marked by the third array."""
+def _pairs_of(keys: np.ndarray, docs: np.ndarray, size: np.ndarray, left: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+    """(a, b) of one bin: pairs of lists, and centre and document of lists with too many pairs, marked by the third value.
+
+    Pairs whose sizes, or whose places in the order, leave no room for the similarity are left out: if the
+    first shingle that two sets share has ``left`` of each set from it on, they share at most the smaller of these.
+    """
+    order = np.lexsort((docs, size, keys))
+    keys, docs, size, left = keys[order], docs[order], size[order], left[order]
     begin = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-    size = np.diff(np.append(begin, len(keys)))
-    a, b, star = [], [], []
-    for n in range(2, LIST + 1):
-        if len(at := begin[size == n]):
-            members = docs[at[:, None] + np.arange(n)]
-            for i, j in combinations(range(n), 2):
-                a.append(members[:, i])
-                b.append(members[:, j])
-                star.append(np.zeros(len(at), dtype=bool))
-    for at, n in zip(begin[size > LIST], size[size > LIST], strict=True):
-        a.append(np.full(n - 1, docs[at]))
-        b.append(docs[at + 1:at + n])
-        star.append(np.ones(n - 1, dtype=bool))
-    if not a:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
-    rows = np.unique(np.stack([np.concatenate(star).astype(np.int64), np.concatenate(a), np.concatenate(b)], axis=1), axis=0)
-    return rows[:, 1], rows[:, 2], rows[:, 0] > 0
-
-
-def candidates(prefixes: DataFrame, orders: int) -> tuple[DataFrame, DataFrame]:
+    n = np.diff(np.append(begin, len(keys)))
+    group = np.repeat(np.arange(len(begin)), n)
+    # partners of an entry stand behind it in its list, up to the largest size that can be similar
+    band = group.astype(np.int64) << np.int64(34)
+    last = np.searchsorted(band + size, band + 100 * size // percent, side="right")
+    partners = last - np.arange(len(keys)) - 1
+    pairs = np.bincount(group, partners, len(begin))
+    starry = pairs > np.maximum(LIST * LIST // 2, LIST // 2 * n)
+    for g in np.flatnonzero(starry).tolist():
+        own = np.unique(docs[begin[g]:begin[g] + n[g]])
+        if len(own) > 1:
+            yield np.full(len(own) - 1, own[0]), own[1:], True
+    partners[starry[group]] = 0
+    some = np.flatnonzero(partners)
+    cuts = np.searchsorted(np.cumsum(partners[some]), np.arange(0, partners.sum() + _PAIRS, _PAIRS), side="left")
+    for a, b in zip(cuts, [*cuts[1:], len(some)], strict=False):
+        x = some[a:b]
+        if not len(x):
+            continue
+        k = partners[x]
+        i = np.repeat(x, k)
+        j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(k) - k, k)
+        room = np.minimum(left[i], left[j])
+        good = (100 * room >= percent * (size[i] + size[j] - room)) & (docs[i] != docs[j])
+        one, two = docs[i[good]], docs[j[good]]
+        rows = np.unique(np.stack([np.minimum(one, two), np.maximum(one, two)], axis=1), axis=0)
+        yield rows[:, 0], rows[:, 1], False
+
+
+def candidates(prefixes: DataFrame, orders: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """(a, b) of pairs that pass every order, and (a, b) of stars: centre and document."""
 
     def meet(key, table):
-        keys, docs = bins.unpack(table)
-        a, b, star = _pairs_of(key[0].as_py(), keys, docs)
-        return pa.table({"kind": pa.array([key[0].as_py()] * len(a), pa.int32()), "a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "star": pa.array(star)})
+        keys, docs, notes = (np.concatenate([np.frombuffer(x, dtype=d) for x in table[c].to_pylist()]) for c, d in (("keys", np.uint64), ("docs", np.int64), ("notes", np.uint64)))
+        found = list(_pairs_of(keys, docs, (notes >> np.uint64(32)).astype(np.int64), (notes & np.uint64(2**32 - 1)).astype(np.int64), percent))
+        none = [np.zeros(0, dtype=np.int64)]
+        kind = pa.array(np.full(sum(len(a) for a, _, _ in found), key[0].as_py()), pa.int32())
+        star = np.concatenate([none[0].astype(bool), *(np.full(len(a), s) for a, _, s in found)])
+        return pa.table({"kind": kind, "a": np.concatenate(none + [a for a, _, _ in found]), "b": np.concatenate(none + [b for _, b, _ in found]), "star": pa.array(star, pa.bool_())})
 
     rows = stage(prefixes.groupBy("kind", "bin").applyInArrow(meet, "kind int, a bigint, b bigint, star boolean").distinct(), "candidates")
     stars = rows.where("star").select("a", "b").distinct()
@@ -293,7 +317,7 @@ def link(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, orders: in
     first = signed.where("n > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"))
     reps = stage(signed.where("n > 0 and doc_id is not null").join(first, "digest").select("doc_id", "rep").distinct(), "classes")
     prefixes = _prefix_rows(docs, classes, bins.count(int(entries)), width, percent, orders)
-    pairs, stars = candidates(prefixes, orders)
+    pairs, stars = candidates(prefixes, orders, percent)
 
     def of_classes(df: DataFrame) -> DataFrame:
         for c in ("a", "b"):
