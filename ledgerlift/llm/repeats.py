@@ -41,7 +41,7 @@ _SPAN = LEAST - GRAM  # an anchor's window starts at most so many bytes before i
 _WIDE = 2 * _SPAN + GRAM  # bytes of a context
 #: Contexts that a bin should hold, contexts sorted together, bytes whose grams are hashed together.
 BIN_CONTEXTS, CHUNK, _SLICE = 200_000, 20_000, 1 << 18
-_CONTEXTS = "bin bigint, keys binary, docs binary, places binary, rooms binary, contexts binary"
+_CONTEXTS = "bin bigint, keys binary, docs binary, owners binary, places binary, rooms binary, contexts binary"
 
 
 def _sliding(x: np.ndarray, width: int, best) -> np.ndarray:
@@ -180,8 +180,8 @@ def _covered(contexts: np.ndarray, docs: np.ndarray, low: np.ndarray, high: np.n
     return out
 
 
-def _judge(keys: np.ndarray, docs: np.ndarray, places: np.ndarray, rooms: np.ndarray, contexts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(document, from, to) of the covered ranges that one bin's contexts show."""
+def _judge(keys: np.ndarray, docs: np.ndarray, owners: np.ndarray, places: np.ndarray, rooms: np.ndarray, contexts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(content, from, to) of the covered ranges that one bin's contexts show."""
     low, high = np.maximum(_SPAN - places, 0), rooms.astype(np.int64) - GRAM
     # equal contexts, cut alike, are one; all but its smallest document's are covered
     wide = np.concatenate((contexts, low.astype(np.uint8)[:, None], rooms[:, None]), axis=1)
@@ -191,12 +191,13 @@ def _judge(keys: np.ndarray, docs: np.ndarray, places: np.ndarray, rooms: np.nda
         digest = bins.mix(digest ^ np.ascontiguousarray(contexts[:, at:at + 8]).view(np.uint64).ravel(), at)
     digest = bins.mix(digest ^ (low.astype(np.uint64) << np.uint64(8)) ^ rooms.astype(np.uint64), 999)
     order = np.lexsort((docs, digest, keys))
+    owners = owners[order]
     keys, docs, places, low, high, digest, names = keys[order], docs[order], places[order], low[order], high[order], digest[order], names[order]
     contexts = contexts[order]
     head = np.concatenate(([True], (digest[1:] != digest[:-1]) | (keys[1:] != keys[:-1]) | (names[1:] != names[:-1])))
     smallest = docs[head][np.cumsum(head) - 1]
     whole = docs > smallest
-    yield docs[whole], (places - _SPAN + low)[whole], (places - _SPAN + high + LEAST)[whole]
+    yield owners[whole], (places - _SPAN + low)[whole], (places - _SPAN + high + LEAST)[whole]
     # the rest: contexts of anchors that have several
     heads = np.flatnonzero(head)
     several = np.concatenate(([True], keys[heads][1:] != keys[heads][:-1]))
@@ -224,7 +225,7 @@ def _judge(keys: np.ndarray, docs: np.ndarray, places: np.ndarray, rooms: np.nda
         edge = np.diff(np.pad(table.astype(np.int8), ((0, 0), (1, 1))), axis=1)
         r, s = np.nonzero(edge == 1)
         _, e = np.nonzero(edge == -1)
-        yield docs[occ[r]], places[occ[r]] - _SPAN + s, places[occ[r]] - _SPAN + e - 1 + LEAST
+        yield owners[occ[r]], places[occ[r]] - _SPAN + s, places[occ[r]] - _SPAN + e - 1 + LEAST
 
 
 def _merged(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -237,7 +238,7 @@ def _merged(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 def covered_ranges(docs: DataFrame, contents: DataFrame) -> DataFrame:
-    """(doc_id, ranges): byte ranges of the smallest document of each content; ranges hold pairs of 64-bit numbers.
+    """(content, ranges): byte ranges of a content's smallest document; ranges hold pairs of 64-bit numbers.
 
     ``docs`` has (doc_id, content, text), ``contents`` (content, rep, n_bytes).
     """
@@ -279,13 +280,13 @@ def covered_ranges(docs: DataFrame, contents: DataFrame) -> DataFrame:
         n = 0
         for batch in batches:
             ids, lists = batch.column(batch.schema.get_field_index("doc_id")).to_pylist(), batch.column(batch.schema.get_field_index("anchors")).to_pylist()
-            raws = raw_texts(batch)
-            for doc_id, own, raw, (at, h) in zip(ids, lists, raws, anchors(raws), strict=True):
+            raws, names = raw_texts(batch), batch.column(batch.schema.get_field_index("content")).to_pylist()
+            for doc_id, name, own, raw, (at, h) in zip(ids, names, lists, raws, anchors(raws), strict=True):
                 good = np.isin(h, np.concatenate([np.frombuffer(a, dtype=np.uint64) for a in own]))
                 at, h = at[good], h[good]
                 padded = np.frombuffer(b"\0" * _SPAN + raw + b"\0" * LEAST, dtype=np.uint8)
                 view = np.lib.stride_tricks.sliding_window_view(padded, _WIDE)[at]
-                held.append((h, np.full(len(at), doc_id, dtype=np.int64), at.astype(np.int64), np.minimum(len(raw) - at, LEAST).astype(np.uint8), view))
+                held.append((h, np.full(len(at), doc_id, dtype=np.int64), np.full(len(at), name, dtype=np.int64), at.astype(np.int64), np.minimum(len(raw) - at, LEAST).astype(np.uint8), view))
                 n += len(at)
                 if n >= 2 * BIN_CONTEXTS:
                     yield pack(held)
@@ -300,21 +301,21 @@ def covered_ranges(docs: DataFrame, contents: DataFrame) -> DataFrame:
         columns = [c[order] for c in columns]
         edges = np.searchsorted(place[order], np.arange(context_bins + 1, dtype=np.uint64))
         at = [b for b in range(context_bins) if edges[b] < edges[b + 1]]
-        return pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), *(pa.array([c[edges[b]:edges[b + 1]].tobytes() for b in at], pa.binary()) for c in columns)], names=["bin", "keys", "docs", "places", "rooms", "contexts"])
+        return pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), *(pa.array([c[edges[b]:edges[b + 1]].tobytes() for b in at], pa.binary()) for c in columns)], names=["bin", "keys", "docs", "owners", "places", "rooms", "contexts"])
 
     def judge(key, table):
-        whole = [b"".join(table[c].to_pylist()) for c in ("keys", "docs", "places", "rooms", "contexts")]
-        arrays = [np.frombuffer(w, dtype=d) for w, d in zip(whole, (np.uint64, np.int64, np.int64, np.uint8, np.uint8), strict=True)]
-        parts = list(_judge(*arrays[:4], arrays[4].reshape(-1, _WIDE)))
+        whole = [b"".join(table[c].to_pylist()) for c in ("keys", "docs", "owners", "places", "rooms", "contexts")]
+        arrays = [np.frombuffer(w, dtype=d) for w, d in zip(whole, (np.uint64, np.int64, np.int64, np.int64, np.uint8, np.uint8), strict=True)]
+        parts = list(_judge(*arrays[:5], arrays[5].reshape(-1, _WIDE)))
         owner, start, end = (np.concatenate([p[k] for p in parts]) for k in range(3))
         order = np.argsort(owner, kind="stable")
         owner, start, end = owner[order], start[order], end[order]
         edges = [*np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1]))).tolist(), len(owner)] if len(owner) else [0]
         ranges = [np.stack(_merged(start[a:b], end[a:b]), axis=1).astype(np.int64).tobytes() for a, b in zip(edges, edges[1:], strict=False)]
-        return pa.table({"doc_id": pa.array(owner[edges[:-1]], pa.int64()), "ranges": pa.array(ranges, pa.binary())})
+        return pa.table({"content": pa.array(owner[edges[:-1]], pa.int64()), "ranges": pa.array(ranges, pa.binary())})
 
     texts = known.join(wanted, ["content", "doc_id"])
-    return texts.select("doc_id", "anchors", "text").mapInArrow(contexts, _CONTEXTS).groupBy("bin").applyInArrow(judge, "doc_id bigint, ranges binary")
+    return texts.select("doc_id", "content", "anchors", "text").mapInArrow(contexts, _CONTEXTS).groupBy("bin").applyInArrow(judge, "content bigint, ranges binary")
 
 
 def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
@@ -325,8 +326,8 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("content"))
     contents = stage(docs.where("doc_id is not null").groupBy("content").agg(F.min("doc_id").alias("rep"), F.max(F.coalesce(F.octet_length("text"), F.lit(0))).cast("bigint").alias("n_bytes")), "contents")
     long = contents.where(F.col("n_bytes") >= LEAST)
-    ranges = stage(covered_ranges(docs, long), "ranges").groupBy("doc_id").agg(F.collect_list("ranges").alias("ranges"))
-    info = long.join(ranges.withColumnRenamed("doc_id", "rep"), "rep", "left").select("content", "rep", "ranges")
+    ranges = stage(covered_ranges(docs, long), "ranges").groupBy("content").agg(F.collect_list("ranges").alias("ranges"))
+    info = long.join(ranges, "content", "left").select("content", "rep", "ranges")
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
