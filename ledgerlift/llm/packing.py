@@ -2,9 +2,9 @@
 
 Texts become token ids and an end id; a document longer than a sequence is cut into whole sequences,
 its first piece taking what is left over.  Pieces are packed where they are made: each task packs blocks
-of pieces best-fit, largest first.  Sequences that are (nearly) full are final.  The others are carried
-as items, by their fill, to the next level, where several tasks' leftovers meet and are packed again; a
-level's output becomes items of the next until one group is left.
+of pieces best-fit, largest first.  Sequences that are (nearly) full are final.  The pieces of the others
+are items of the next level, where several tasks' leftovers meet and are packed again; a level's
+underfull sequences become items of the next until one group is left.
 
 Sizes.  After best-fit no two leftovers of a block fit together, so a block hands on a bounded choice:
 at most ``CARRIED`` leftovers for each fill, whatever the number of its pieces; the rest are final too.
@@ -183,14 +183,14 @@ def best_fit(sizes: list[int], length: int = LENGTH) -> tuple[list[int], list[in
     return bins, places, fills
 
 
-def _choice(fills: list[int], length: int, spare: int) -> list[int]:
+def _choice(fills: list[int], length: int, spare: int) -> set[int]:
     """Bins to hand on: not nearly full, and of each fill a bounded number."""
     taken: dict[int, int] = {}
-    chosen = []
+    chosen = set()
     for b, fill in enumerate(fills):
         if length - fill > spare and taken.get(fill, 0) < CARRIED:
             taken[fill] = taken.get(fill, 0) + 1
-            chosen.append(b)
+            chosen.add(b)
     return chosen
 
 
@@ -227,60 +227,54 @@ def pack(docs: DataFrame, tokenizer_path: str, length: int = LENGTH, end_id: int
     names = StructType.fromDDL(_PIECE).names
     placed = stage(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(pieces, _PIECE), "pieces")
     moves = _levels(placed, length, spare, fan_in)
-    out = placed.join(moves, "bin", "left") if moves is not None else placed.withColumns({"target": F.lit(None).cast("bigint"), "shift": F.lit(0).cast("bigint")})
-    return out.select(
-        "doc_id", "piece", "start", "length", "ids_crc32", F.coalesce("target", "bin").alias("sequence_id"),
-        (F.col("place") + F.coalesce("shift", F.lit(0))).cast("bigint").alias("offset"),
+    return placed.join(moves, ["bin", "place"], "left").select(
+        "doc_id", "piece", "start", "length", "ids_crc32", F.coalesce("sequence", "bin").alias("sequence_id"), F.coalesce("at", "place").cast("bigint").alias("offset"),
     )
 
 
-def _levels(placed: DataFrame, length: int, spare: int, fan_in: int) -> DataFrame | None:
-    """(bin, target, shift) of the bins that moved into another: the higher levels of the packing."""
-    fills = placed.groupBy("bin").agg(F.sum("length").alias("fill"))
-    # a task's own number stands in the upper half of a bin's; each block of bins hands on its choice
-    items = stage(_rounds(fills.withColumn("grp", F.shiftright("bin", 32)), length, spare, pack_first=False), "leftovers")
-    moves = None
-    groups = items.agg(F.max("grp")).first()[0]
-    while groups is not None:
-        items = items.withColumn("grp", F.floor(F.col("grp") / fan_in).cast("bigint"))
-        groups = groups // fan_in
-        done = stage(_rounds(items, length, spare, pack_first=True), "leftovers")
-        here = done.where("bin <> target or shift > 0").select("bin", "target", "shift")
-        if moves is None:
-            moves = here
-        else:  # what moved before moves on with its bin
-            then = here.select(F.col("bin").alias("_bin"), F.col("target").alias("_target"), F.col("shift").alias("_shift"))
-            moves = moves.join(then, F.col("target") == F.col("_bin"), "left").select(
-                "bin", F.coalesce("_target", "target").alias("target"), (F.col("shift") + F.coalesce("_shift", F.lit(0))).alias("shift"),
-            ).unionByName(here)
-        items = done.where("carried").groupBy("grp", F.col("target").alias("bin")).agg(F.max("total").alias("fill"))
+def _levels(placed: DataFrame, length: int, spare: int, fan_in: int) -> DataFrame:
+    """(bin, place, sequence, at): where the pieces go that the higher levels of the packing take."""
+    # a task's own number stands in the upper half of a bin's
+    pieces = placed.select(F.shiftright("bin", 32).alias("grp"), "bin", "place", "length")
+    underfull = pieces.groupBy("bin").agg(F.sum("length").alias("fill")).where(F.col("fill") < length - spare).select("bin")
+    level = stage(_level(pieces.join(underfull, "bin"), length, spare, pack=False), "leftovers")
+    moves = level.limit(0)
+    groups = level.agg(F.max("grp")).first()[0] or 0
+    while True:
+        groups //= fan_in
+        items = level.where("carried").select(F.floor(F.col("grp") / fan_in).cast("bigint").alias("grp"), "bin", "place", "length")
+        level = stage(_level(items, length, spare, pack=True), "leftovers")
+        final = level if groups == 0 else level.where("not carried")
+        moves = moves.unionByName(final)
         if groups == 0:
-            return stage(moves, "moves")
-    return moves
+            return stage(moves.select("bin", "place", "sequence", "at"), "moves")
 
 
-def _rounds(items: DataFrame, length: int, spare: int, pack_first: bool) -> DataFrame:
-    """One level over (grp, bin, fill): where each bin goes, and whether the result is handed on."""
-    schema = "grp bigint, bin bigint, fill bigint, target bigint, shift bigint, total bigint, carried boolean"
+def _level(items: DataFrame, length: int, spare: int, pack: bool) -> DataFrame:
+    """One level over pieces (grp, bin, place, length): their sequence and place there, and whether that is handed on.
 
-    def level(key, table):
-        table = table.sort_by("bin")
-        ids, sizes = table["bin"].to_pylist(), table["fill"].to_pylist()
-        if pack_first:
+    Without ``pack`` the bins are taken as they are.  New sequences have negative numbers, made from
+    their first piece, so they are unique whatever tasks do.
+    """
+    schema = "grp bigint, bin bigint, place bigint, length bigint, sequence bigint, at bigint, carried boolean"
+
+    def place(key, table):
+        table = table.sort_by([("bin", "ascending"), ("place", "ascending")])
+        own, sizes = table["bin"].to_pylist(), table["length"].to_pylist()
+        if pack:
             bins, places, fills = best_fit(sizes, length)
         else:
-            bins, places, fills = list(range(len(sizes))), [0] * len(sizes), sizes
-        names = {}
-        for i, b in zip(ids, bins, strict=True):
-            names.setdefault(b, i)
-        chosen = set(_choice(fills, length, spare))
+            numbers = {b: k for k, b in enumerate(dict.fromkeys(own))}
+            bins, places, fills = [numbers[b] for b in own], table["place"].to_pylist(), [0] * len(numbers)
+            for b, size in zip(bins, sizes, strict=True):
+                fills[b] += size
+        names: dict[int, int] = {}
+        for b, old, at in zip(bins, own, table["place"].to_pylist(), strict=True):
+            names.setdefault(b, -(old * length + at) - 1)
+        chosen = _choice(fills, length, spare)
         return pa.table({
-            "grp": pa.array([key[0].as_py()] * len(ids), pa.int64()), "bin": pa.array(ids, pa.int64()), "fill": pa.array(sizes, pa.int64()),
-            "target": pa.array([names[b] for b in bins], pa.int64()), "shift": pa.array(places, pa.int64()),
-            "total": pa.array([fills[b] for b in bins], pa.int64()), "carried": pa.array([b in chosen for b in bins]),
+            "grp": pa.array([key[0].as_py()] * len(own), pa.int64()), "bin": table["bin"], "place": table["place"], "length": table["length"],
+            "sequence": pa.array([names[b] for b in bins], pa.int64()), "at": pa.array(places, pa.int64()), "carried": pa.array([b in chosen for b in bins], pa.bool_()),
         })
 
-    if pack_first:
-        return items.select("grp", "bin", "fill").groupBy("grp").applyInArrow(level, schema)
-    kept = items.where(F.col("fill") < length - spare)
-    return kept.groupBy("grp").applyInArrow(level, schema).where("carried").select("grp", "bin", "fill")
+    return items.select("grp", "bin", "place", "length").groupBy("grp").applyInArrow(place, schema)
