@@ -301,8 +301,9 @@ def test_pipeline(spark, docs, none, sf_dir):
     windows = {tuple(w[k:k + 10]) for w in items for k in range(max(1, len(w) - 9)) if w}
     last = []
     for i in left:
-        at = [m.span() for m in re.finditer("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", text[i])]
-        w = [text[i][a:b].translate({c: c + 32 for c in range(65, 91)}) for a, b in at]
+        low = text[i].translate({c: c + 32 for c in range(65, 91)})
+        at = [m.span() for m in re.finditer("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", low)]
+        w = [low[a:b] for a, b in at]
         hit = sorted({p for k in range(len(w)) for n in {len(x) for x in windows} if tuple(w[k:k + n]) in windows for p in range(k, k + n)})
         if 2 * len(hit) > len(w):
             continue
