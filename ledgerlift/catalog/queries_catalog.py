@@ -288,7 +288,7 @@ def _(spark, sf):
     key = F.col("p_partkey")
     master = table(spark, sf, "part").filter("p_partkey % 5 <> 0").select(F.concat(F.lit("K"), (key % 1200).cast("string")).alias("product_code"), F.col("p_type").alias("product_group"))
     code = F.when(F.col("l_partkey") % 9 != 0, F.concat(F.lit("K"), (F.col("l_partkey") % 1500).cast("string"))).otherwise("")
-    out = en.group_by_code(table(spark, sf, "lineitem").withColumn("product_code", code), master)
+    out = en.group_by_code(table(spark, sf, "lineitem").withColumn("product_code", code), master, row_id=["l_orderkey", "l_linenumber"])
     return out.select("l_orderkey", "l_linenumber", "l_partkey", "product_group_from_code", "product_code_match")
 
 
@@ -317,7 +317,7 @@ def _(spark, sf):
     lines = history_lines(spark, sf).select(
         "line_id", "account_id", "order_id", "reference", F.col("product_name").alias("name_key"), F.when(F.col("line_id") % 3 == 0, F.col("product_group")).alias("product_group")
     )
-    return en.group_by_context(lines).select("line_id", "product_group", "context_source")
+    return en.group_by_context(lines, row_id=["line_id"]).select("line_id", "product_group", "context_source")
 
 
 @query("en_08_enrich_sales_rows", sql("hist", """
@@ -330,10 +330,10 @@ def _(spark, sf):
     lines = history_lines(spark, sf).select("line_id", "sku", F.col("product_name").alias("name_key"), "product_group")
     master = lines.filter(F.col("product_group").isNotNull()).select("name_key", F.col("sku").alias("product_code"), "product_group").distinct()
     by_code = en.group_by_code(
-        lines.drop("product_group").withColumn("product_code", F.when(F.col("line_id") % 2 == 0, F.col("sku")).otherwise("")), master.select("product_code", "product_group").distinct()
+        lines.drop("product_group").withColumn("product_code", F.when(F.col("line_id") % 2 == 0, F.col("sku")).otherwise("")), master.select("product_code", "product_group").distinct(), row_id=["line_id"],
     )
     names = unique_lookup(master, ["name_key"], ["product_code", "product_group"], must_agree=["product_code", "product_group"]).select("name_key", F.col("product_group").alias("_g"))
-    out = sparse_join(by_code, names, ["name_key"], F.col("product_group_from_code").isNull())
+    out = sparse_join(by_code, names, ["name_key"], F.col("product_group_from_code").isNull(), spread=["line_id"])
     step = F.when(F.col("product_group_from_code").isNotNull(), "code").when(F.col("_g").isNotNull(), "name").otherwise("open")
     return out.select("line_id", F.coalesce("product_group_from_code", "_g").alias("product_group"), step.alias("step"))
 
@@ -344,7 +344,7 @@ FROM hist h LEFT JOIN prod p USING (product_id)"""))
 def _(spark, sf):
     master = products(spark, sf).withColumn("lowest_group", F.col("product_group_l3_name"))
     lines = history_lines(spark, sf).select("line_id", "sku", F.col("inventory_category").alias("category"), "reference")
-    return en.lowest_group_of_sales(lines, master, ["sku", "code", "product_id"]).select("line_id", "lowest_group", "product_group_source")
+    return en.lowest_group_of_sales(lines, master, ["sku", "code", "product_id"], row_id=["line_id"]).select("line_id", "lowest_group", "product_group_source")
 
 
 # --------------------------------------------------------------------------- measures

@@ -85,12 +85,13 @@ def key_status(df: DataFrame, key: str, value: str) -> DataFrame:
 SALTS = 4096
 
 
-def sparse_join(left: DataFrame, right: DataFrame, keys: Sequence[str], need: Column | None = None) -> DataFrame:
+def sparse_join(left: DataFrame, right: DataFrame, keys: Sequence[str], need: Column | None = None, *, spread: Sequence[str] = ()) -> DataFrame:
     """Left join for keys that are often blank; one pass over the left side.
 
-    A third of all rows may share the blank key (or need no lookup at all) and would land in one
-    task.  Their first key is replaced by one of many values that match nothing, chosen by the
-    row's own hash, so a retried task places them the same way again.
+    A third of all rows may share the blank key (or need no lookup at all).  Their keys become null, which
+    matches nothing, and a salt from the ``spread`` columns (a row id) deals them out; a retried task deals
+    them the same way again.  Without such columns adaptive execution splits the partition they fall
+    into.  Only keys and ``spread`` columns are read for this, and keys keep their types.
     """
     usable = F.lit(True)
     for key in keys:
@@ -98,19 +99,23 @@ def sparse_join(left: DataFrame, right: DataFrame, keys: Sequence[str], need: Co
     if need is not None:
         usable = usable & need
     usable = F.coalesce(usable, F.lit(False))
-    nothing = F.concat(F.lit("\u0000"), F.pmod(F.xxhash64(*left.columns), F.lit(SALTS)).cast("string"))
-    salted = {f"_k{i}": F.col(k).cast("string") if i else F.when(usable, F.col(k).cast("string")).otherwise(nothing) for i, k in enumerate(keys)}
+    salted = {f"_k{i}": F.when(usable, F.col(k)) for i, k in enumerate(keys)}
     others = [c for c in right.columns if c not in keys]
-    lookup = right.select(*[F.col(k).cast("string").alias(f"_k{i}") for i, k in enumerate(keys)], *others)
+    lookup = right.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], *others)
+    if spread:
+        salted["_salt"] = F.when(usable, F.lit(0)).otherwise(F.pmod(F.xxhash64(*spread), F.lit(SALTS)).cast("int") + 1)
+        lookup = lookup.withColumn("_salt", F.lit(0))
     return left.withColumns(salted).join(lookup, list(salted), "left").drop(*salted)
 
 
 def cascade_fill(
     df: DataFrame, steps: Sequence[tuple[str, Sequence[str], DataFrame, Sequence[str]]], values: Sequence[str],
-    method_col: str, missing: Column,
+    method_col: str, missing: Column, *, spread: Sequence[str] = (),
 ) -> DataFrame:
     """Fill missing rows by ordered lookups; the first step that knows the key wins.
 
+    ``spread`` names a row id, see :func:`sparse_join`.
+
     A step is ``(method, key columns of df, lookup, key columns of lookup)``.  Filled rows never change.
     """
     out = df.withColumn("_open", F.coalesce(missing, F.lit(False)))
@@ -120,7 +125,7 @@ def cascade_fill(
             *[F.col(v).alias(f"_v_{v}") for v in values],
             F.lit(True).alias("_hit"),
         )
-        out = sparse_join(out, renamed, left_keys, F.col("_open"))
+        out = sparse_join(out, renamed, left_keys, F.col("_open"), spread=spread)
         hit = F.col("_open") & F.coalesce(F.col("_hit"), F.lit(False))
         out = (
             out.withColumns(

@@ -15,7 +15,6 @@ from ledgerlift.session import stage
 
 Order = Sequence[tuple[str, str]]
 
-ONE_TASK_ROWS = 1_000_000
 _ROW_BITS = 33  # monotonically_increasing_id: partition number above, row in partition below
 
 
@@ -43,23 +42,13 @@ def head(df: DataFrame, order: Order, n: int) -> DataFrame:
     return df.orderBy(*sort_columns(order)).limit(n)
 
 
-def _measured(df: DataFrame) -> tuple[DataFrame, bool]:
-    """The table written once, and whether it is small enough for one task to number it."""
-    staged = stage(df, "rank-input")
-    return staged, staged.count() <= ONE_TASK_ROWS
-
-
 def global_row_number(df: DataFrame, order: Order, rank_col: str = "rank") -> DataFrame:
-    """1, 2, 3, ... over the whole table.
+    """1, 2, 3, ... over the whole table, at every size in the same way.
 
-    Up to ``ONE_TASK_ROWS`` rows (counted, not guessed) one window does it.  Beyond that a range
-    sort spreads rows by the full sort key, so equal values spread too; the sorted table is written
-    with its row ids, and partition sizes turn local positions into global ones.
+    A range sort spreads rows by the full sort key, so equal values spread too; the sorted table is written
+    once with its row ids, and partition sizes turn local positions into global ones.
     """
-    staged, small = _measured(df)
-    if small:
-        return staged.withColumn(rank_col, F.row_number().over(Window.orderBy(*sort_columns(order))).cast("bigint"))
-    return _sorted_positions(staged, order, rank_col)
+    return _sorted_positions(df, order, rank_col)
 
 
 def _sorted_positions(df: DataFrame, order: Order, rank_col: str) -> DataFrame:
@@ -80,14 +69,9 @@ def _sorted_positions(df: DataFrame, order: Order, rank_col: str) -> DataFrame:
 def grouped_row_number(df: DataFrame, keys: Sequence[str], order: Order, rank_col: str = "rank") -> DataFrame:
     """1, 2, 3, ... within each group, also where one group holds most rows.
 
-    Small tables (counted) use a window.  Large ones are numbered over the table sorted by group,
-    and the first number of the group is taken off.
+    The table is numbered sorted by group, and the first number of the group is taken off.
     """
-    staged, small = _measured(df)
-    if small:
-        window = Window.partitionBy(*keys).orderBy(*sort_columns(order))
-        return staged.withColumn(rank_col, F.row_number().over(window).cast("bigint"))
-    numbered = _sorted_positions(staged, [*((k, "asc") for k in keys), *order], "_pos")
+    numbered = _sorted_positions(df, [*((k, "asc") for k in keys), *order], "_pos")
     firsts = numbered.groupBy(*keys).agg(F.min("_pos").alias("_first"))
     return join_on(numbered, firsts, keys, "inner").withColumn(
         rank_col, F.col("_pos") - F.col("_first") + 1

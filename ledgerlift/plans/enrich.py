@@ -105,10 +105,10 @@ def fill_by_rules(df: DataFrame, rules: Sequence[tax.Rule], text: Column, catego
     ).drop("_g")
 
 
-def group_by_code(sales: DataFrame, master: DataFrame) -> DataFrame:
+def group_by_code(sales: DataFrame, master: DataFrame, *, row_id: Sequence[str] = ()) -> DataFrame:
     """Group by product code and how the code stands: missing, unmatched, ambiguous or unique."""
     status = key_status(master, "product_code", "product_group").withColumnRenamed("product_group", "product_group_from_code")
-    out = sparse_join(sales, status, ["product_code"])
+    out = sparse_join(sales, status, ["product_code"], spread=row_id)
     return out.withColumn(
         "product_code_match",
         F.when(F.coalesce("product_code", F.lit("")) == "", "missing_code").when(F.col("key_status") == "unique", "unique_master_code")
@@ -190,7 +190,7 @@ def group_by_name(names: DataFrame, master: DataFrame, *, terms: Sequence[str],
     )
 
 
-def group_by_context(sales: DataFrame, *, aliases: DataFrame | None = None, group: str = "product_group") -> DataFrame:
+def group_by_context(sales: DataFrame, *, aliases: DataFrame | None = None, group: str = "product_group", row_id: Sequence[str] = ()) -> DataFrame:
     """Open rows take the group of their context if it is the only one there.
 
     Order: alias table (name_key, product_group), same reference, same order, same customer and name.
@@ -198,7 +198,7 @@ def group_by_context(sales: DataFrame, *, aliases: DataFrame | None = None, grou
     out = sales.withColumns({"context_source": F.when(F.col(group).isNotNull(), F.lit(None)).otherwise(F.lit("unmatched")), "_row_open": F.col(group).isNull()})
 
     def fill(df: DataFrame, keys: Sequence[str], table: DataFrame, tag: str) -> DataFrame:
-        joined = sparse_join(df, table.withColumnRenamed(group, "_g"), keys, F.col(group).isNull())
+        joined = sparse_join(df, table.withColumnRenamed(group, "_g"), keys, F.col(group).isNull(), spread=row_id)
         hit = F.col(group).isNull() & F.col("_g").isNotNull()
         return stage(
             joined.withColumns({"context_source": F.when(hit, F.lit(tag)).otherwise(F.col("context_source")), group: F.coalesce(group, "_g")}).drop("_g"), "context"
@@ -211,11 +211,11 @@ def group_by_context(sales: DataFrame, *, aliases: DataFrame | None = None, grou
     return out.withColumn("product_group_unknown", F.col(group).isNull()).drop("_row_open")
 
 
-def lowest_group_of_sales(sales: DataFrame, master: DataFrame, keys: Sequence[str], *, group: str = "lowest_group", order: str = "product_id") -> DataFrame:
+def lowest_group_of_sales(sales: DataFrame, master: DataFrame, keys: Sequence[str], *, group: str = "lowest_group", order: str = "product_id", row_id: Sequence[str] = ()) -> DataFrame:
     """Lowest master group by any of the product keys, else the sales category or reference."""
     clean = lambda c: F.nullif(tx.code_key(c.cast("string"), drop_spaces=True), F.lit(""))
     table = first_of_columns(master, keys, [group], order, clean).select(F.col("key").alias("_key"), group)
-    joined = sparse_join(sales.withColumn("_key", tx.code_key(F.col("sku"), drop_spaces=True)), table, ["_key"]).drop("_key")
+    joined = sparse_join(sales.withColumn("_key", tx.code_key(F.col("sku"), drop_spaces=True)), table, ["_key"], spread=row_id).drop("_key")
     own = F.nullif(F.trim(group), F.lit(""))
     fallback = F.coalesce(F.nullif(F.trim(F.coalesce("category", "reference")), F.lit("")), F.lit("Unmapped product group"))
     return joined.withColumns(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -27,13 +28,17 @@ def tune(spark: SparkSession) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach.
 
-    A cluster names it in ``spark.checkpoint.dir``.  Only where that is unset (tests on one
-    machine) a fresh folder is made and remembered for the session.
+    A cluster names it in ``spark.checkpoint.dir``.  Only on one machine (a local master) may that be
+    unset: a fresh folder is made and remembered for the session.  Elsewhere every executor would write
+    to its own disk and rows would be missing, so this raises instead.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
         configured = spark.conf.get("spark.ledgerlift.sharedDir", None)
     if not configured:
+        master = spark.conf.get("spark.master", "")
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         configured = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.ledgerlift.sharedDir", configured)
     return configured.rstrip("/")

@@ -8,12 +8,7 @@ from pyspark.sql import functions as F
 from ledgerlift.operators import aggregates as ag
 from ledgerlift.operators import lookup as lk
 from ledgerlift.operators import ranking as rk
-
-
-@pytest.fixture(params=[10**6, 10], ids=["one-task", "range-sorted"])
-def both_ways(request, monkeypatch):
-    """Run with the small-table window and with the distributed numbering."""
-    monkeypatch.setattr(rk, "ONE_TASK_ROWS", request.param)
+from ledgerlift.session import shared_dir
 
 
 def skewed(spark, n=3000):
@@ -21,26 +16,26 @@ def skewed(spark, n=3000):
     return spark.range(n).select("id", key.alias("g"), ((F.col("id") * 7919) % 101).alias("v"))
 
 
-def test_global_row_number(spark, both_ways):
+def test_global_row_number(spark):
     got = rk.global_row_number(skewed(spark), [("v", "desc"), ("id", "asc")]).orderBy("rank").select("v", "id", "rank").collect()
     assert [r["rank"] for r in got] == list(range(1, 3001))
     assert [(r["v"], r["id"]) for r in got] == sorted(((r["v"], r["id"]) for r in got), key=lambda t: (-t[0], t[1]))
 
 
-def test_grouped_row_number_with_a_hot_group(spark, both_ways):
+def test_grouped_row_number_with_a_hot_group(spark):
     df = skewed(spark)
     got = rk.grouped_row_number(df, ["g"], [("v", "desc"), ("id", "asc")]).select("id", "rank")
     want = df.select("id", F.row_number().over(Window.partitionBy("g").orderBy(F.desc("v"), "id")).cast("bigint").alias("rank"))
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
 
 
-def test_grouped_row_number_keeps_null_groups(spark, both_ways):
+def test_grouped_row_number_keeps_null_groups(spark):
     df = spark.createDataFrame([(None, 1), (None, 2), ("a", 3)], "g string, id int")
     got = {(r["g"], r["id"]): r["rank"] for r in rk.grouped_row_number(df, ["g"], [("id", "asc")]).collect()}
     assert got == {(None, 1): 1, (None, 2): 2, ("a", 3): 1}
 
 
-def test_exact_quantiles(spark, both_ways):
+def test_exact_quantiles(spark):
     df = skewed(spark)
     want = {(r["g"], p): v for r in df.groupBy("g").agg(F.percentile("v", F.array(F.lit(0.1), F.lit(0.5))).alias("q")).collect() for p, v in zip((0.1, 0.5), r["q"])}
     got = {(r["g"], r["quantile"]): r["value"] for r in rk.exact_quantiles(df, ["g"], "v", [0.1, 0.5]).collect()}
@@ -154,3 +149,29 @@ def test_consolidation_of_small_leaves(spark):
 def test_sum_of_nothing_is_zero(spark):
     df = spark.createDataFrame([("a", None), ("b", 2.0)], "k string, v double")
     assert {r["k"]: r["s"] for r in df.groupBy("k").agg(ag.sum_or_zero(F.col("v")).alias("s")).collect()} == {"a": 0.0, "b": 2.0}
+
+
+def test_shared_folder_is_asked_for_off_one_machine(spark):
+    class Conf:
+        def __init__(self, values):
+            self.values = values
+
+        def get(self, key, default=None):
+            return self.values.get(key, default)
+
+    class Session:
+        conf = Conf({"spark.master": "yarn"})
+
+    with pytest.raises(RuntimeError):
+        shared_dir(Session())
+    Session.conf = Conf({"spark.master": "yarn", "spark.checkpoint.dir": "/shared/"})
+    assert shared_dir(Session()) == "/shared"
+
+
+def test_sparse_join_reads_keys_only_and_keeps_their_types(spark, tmp_path):
+    spark.range(100).selectExpr("id", "IF(id % 3 = 0, NULL, cast(id as double)) k", "uuid() wide").write.parquet(f"{tmp_path}/left")
+    left = spark.read.parquet(f"{tmp_path}/left")
+    right = spark.range(50).selectExpr("id k", "id * 2 v")
+    out = lk.sparse_join(left, right, ["k"], spread=["id"]).select("id", "v")
+    assert "wide" not in out._jdf.queryExecution().executedPlan().toString()
+    assert {r["id"]: r["v"] for r in out.collect()} == {i: None if i % 3 == 0 or i >= 50 else 2 * i for i in range(100)}
