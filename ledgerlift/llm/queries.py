@@ -105,9 +105,39 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"), stage_path(spark, "archive"))
 
 
-@_query("op9_url_filter")
+@_query("op9_url_filter", r"""
+WITH p AS (
+  SELECT page_id, translate(regexp_extract(coalesce(url, ''), '://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(coalesce(url, ''), '://([^/?#]*)([^?#]*)', 2) AS path FROM pages),
+r AS (SELECT *, CASE WHEN (host = 'example.org' OR ends_with(host, '.example.org')) AND starts_with(path, '/en/1') THEN 'example.org/en/1'
+                     WHEN (host = 'example.org' OR ends_with(host, '.example.org')) AND starts_with(path, '/es/') THEN 'example.org/es/'
+                     WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/de/') THEN 'com/de/'
+                     WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/fr/') THEN 'com/fr/'
+                     WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/') THEN 'org/' END AS rule FROM p),
+k AS (SELECT *, host || path AS s, CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' END AS label FROM r),
+t AS (SELECT DISTINCT s, label, CAST('0x' || substr(md5(s), 1, 6) AS BIGINT) % 5 = 0 AS held FROM k),
+g AS (SELECT s, label, held, substr(repeat(chr(2), 4) || s || chr(3), i, 5) AS gram FROM (SELECT *, unnest(range(1, length(s) + 2)) AS i FROM t)),
+n AS (SELECT gram, count(CASE WHEN label = 'allow' AND NOT held THEN 1 END) AS a, count(CASE WHEN label = 'block' AND NOT held THEN 1 END) AS b FROM g GROUP BY gram),
+o AS (SELECT gram, a, b, k, substr(gram, 5 - k, k + 1) AS tail FROM (SELECT *, unnest(range(0, 5)) AS k FROM n)),
+tails AS (SELECT k, tail, substr(tail, 1, k) AS context, sum(a) AS a, sum(b) AS b FROM o GROUP BY k, tail),
+contexts AS (SELECT k, context, sum(a) AS ta, sum(b) AS tb, count(CASE WHEN a > 0 THEN 1 END) AS ka, count(CASE WHEN b > 0 THEN 1 END) AS kb FROM tails GROUP BY k, context),
+share AS (SELECT k, tail, CASE WHEN ta = 0 THEN 0 ELSE a / (ta + ka) END AS oa, CASE WHEN ta = 0 THEN 1 ELSE ka / (ta + ka) END AS ra,
+                 CASE WHEN tb = 0 THEN 0 ELSE b / (tb + kb) END AS ob, CASE WHEN tb = 0 THEN 1 ELSE kb / (tb + kb) END AS rb FROM tails JOIN contexts USING (k, context)),
+steps AS (SELECT gram, list(oa ORDER BY k) AS oa, list(ra ORDER BY k) AS ra, list(ob ORDER BY k) AS ob, list(rb ORDER BY k) AS rb FROM o JOIN share USING (k, tail) GROUP BY gram),
+scores AS (SELECT gram, ln(oa[5] + ra[5] * (oa[4] + ra[4] * (oa[3] + ra[3] * (oa[2] + ra[2] * (oa[1] + ra[1] / 256.0)))))
+                      - ln(ob[5] + rb[5] * (ob[4] + rb[4] * (ob[3] + rb[3] * (ob[2] + rb[2] * (ob[1] + rb[1] / 256.0))))) AS score FROM steps),
+per AS (SELECT s, label, avg(score) AS score FROM g JOIN scores USING (gram) WHERE label IS NULL OR held GROUP BY s, label),
+bins AS (SELECT CAST(greatest(-5000, least(5000, round(score * 500))) AS INTEGER) AS step, count(CASE WHEN label = 'allow' THEN 1 END) AS a, count(CASE WHEN label = 'block' THEN 1 END) AS b
+         FROM per WHERE label IS NOT NULL GROUP BY 1),
+cuts AS (SELECT (step + coalesce(lag(step) OVER w, step)) / 2.0 / 500 AS at_score, step,
+                (sum(a) OVER () - (sum(a) OVER w - a)) / sum(a) OVER () + (sum(b) OVER w - b) / sum(b) OVER () AS rate FROM bins WINDOW w AS (ORDER BY step)),
+lim AS (SELECT coalesce((SELECT at_score FROM cuts WHERE (SELECT min(x) FROM (SELECT sum(a) AS x FROM bins UNION ALL SELECT sum(b) FROM bins)) > 0 ORDER BY rate DESC, step LIMIT 1), 0) AS v,
+               (SELECT count(DISTINCT label) FROM t WHERE NOT held AND label IS NOT NULL) = 2 AS usable)
+SELECT page_id, host, path, rule, coalesce(k.label, CASE WHEN usable AND per.score < v THEN 'block' ELSE 'allow' END) AS verdict
+FROM k LEFT JOIN per ON per.s = k.s AND k.label IS NULL CROSS JOIN lim
+""")
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_filter.judged(table(spark, sf_dir, "pages").select("page_id", "url"))
+    return url_filter.judged(table(spark, sf_dir, "pages").select("page_id", "url")).drop("score", "url")
 
 
 @_query("op10_toxicity")
