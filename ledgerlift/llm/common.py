@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterable, Iterator
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 #: The byte classes of words made of letters, digits and everything beyond ASCII; upper case A-Z becomes lower case.
@@ -57,3 +58,22 @@ def slices(raws: pa.Array, most: int) -> Iterator[tuple[int, int]]:
         held += size
     if len(raws):
         yield first, len(raws)
+
+
+#: Bits of the filter of :func:`likely`: a megabyte.
+_FILTER_BITS = 1 << 23
+
+
+def likely(df: DataFrame, ids: DataFrame, column: str) -> DataFrame:
+    """The rows of ``df`` whose ``column`` may be among ``ids``; the others surely aren't.
+
+    A bitmap of fixed size (256 rows of 4 KB) is broadcast, so long texts that a join would throw away needn't
+    be shuffled for it.  With very many ids the filter lets more rows pass; the join after it decides.
+    """
+    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(_FILTER_BITS))
+    place = ids.select(bit(F.col(column).cast("bigint")).alias("_bit"))
+    maps = place.groupBy(F.bitmap_bucket_number("_bit").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_bit")).alias("_map"))
+    at = F.bitmap_bit_position(bit(F.col(column).cast("bigint")))
+    marked = df.withColumns({"_bucket": F.bitmap_bucket_number(bit(F.col(column).cast("bigint"))), "_at": at}).join(F.broadcast(maps), "_bucket")
+    byte = F.conv(F.hex(F.expr("substring(_map, cast(_at div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    return marked.withColumn("_byte", byte).where(F.expr("shiftright(_byte, cast(_at % 8 as int)) & 1 = 1")).drop("_bucket", "_map", "_at", "_byte")

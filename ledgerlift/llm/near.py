@@ -4,11 +4,12 @@ A text's set is its distinct shingles of ``width`` words (A-Z lower-cased, words
 Two sets with at least ``percent`` per cent Jaccard similarity share at least ``percent`` per cent of the
 larger one, so under *any* order of all shingles their prefixes of ``n - ceil(percent * n / 100) + 1``
 shingles share one.  Several orders give several such filters; a pair must pass all of them before it is
-verified.  Every order puts frequent shingles last (by powers of two of a count over all documents, from a
-table of fixed size), so common passages don't fill the prefixes, and orders equally frequent ones by a
-hash of its own.
+verified.  Every order puts frequent shingles last: first by powers of two of a shingle's count, so common
+passages don't fill the prefixes, then by how common its words are, so chance meetings of common words
+don't either; equally frequent ones follow a hash of the order's own.  Counts are over all documents, in
+tables of fixed size; they only shape the orders, never the result.
 
-1. One pass counts shingles and gives each text's size and set digest; equal sets become one class.
+1. One pass counts shingles and words and gives each text's size and set digest; equal sets become one class.
 2. A second pass sends the prefixes of each order to bins; texts that repeat inside a task are sent once.
 3. A shingle's list of documents gives pairs whose sizes and places in the order allow the similarity.  Lists
    with very many such pairs give links to their smallest document only (a star).  Pairs are intersected over
@@ -35,15 +36,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlift.llm import bins
-from ledgerlift.llm.common import raw_texts
+from ledgerlift.llm.common import likely, raw_texts
 from ledgerlift.llm.components import components
 from ledgerlift.session import stage
 
 WIDTH, PERCENT, ORDERS = 4, 85, 2
 #: Lists with more than LIST / 2 similar-sized partners for each document, and more pairs than LIST documents have,
 #: give stars; documents in a block; counters of the frequency table; pairs looked at together.
-LIST, BLOCK, COUNTERS, _PAIRS = 32, 256, 1 << 20, 1 << 21
-_SLICE = 2 << 20
+LIST, BLOCK, COUNTERS, _PAIRS = 32, 256, 1 << 20, 1 << 19
+_SLICE = 1 << 18
 _SPACE = b" \t\n\r\x0b\x0c"
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else 32 if c in _SPACE else c for c in range(256))
 _RANDOM = np.random.RandomState(20_011).randint(0, 2**63 - 1, 256, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
@@ -65,8 +66,8 @@ def _inverse_powers(n: int) -> np.ndarray:
 _POWERS: tuple[np.ndarray, np.ndarray] = (np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64))
 
 
-def shingles(raws: list[bytes | None], width: int = WIDTH) -> Iterator[np.ndarray]:
-    """The sorted different shingle hashes of each text."""
+def _words(raws: list[bytes | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For slices of texts: the hashes of their words, and where in these each text begins and the last ends."""
     global _POWERS
     first = 0
     while first < len(raws):
@@ -84,23 +85,52 @@ def shingles(raws: list[bytes | None], width: int = WIDTH) -> Iterator[np.ndarra
         edge = np.flatnonzero(space[1:] != space[:-1]) + 1
         begin, end = edge[::2], edge[1::2]
         sums = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(_RANDOM[block] * _POWERS[0][:len(block)], dtype=np.uint64)))
-        words = bins.mix((sums[end] - sums[begin]) * _POWERS[1][begin])
-        run = np.zeros(len(words), dtype=np.uint64)
-        for j in range(width):
-            more = words[j:]
-            run[:len(more)] = bins.mix(run[:len(more)] ^ more, j)
-        bounds = np.searchsorted(begin, starts)
+        yield bins.mix((sums[end] - sums[begin]) * _POWERS[1][begin]), np.searchsorted(begin, starts)
+
+
+def _short(words: np.ndarray) -> np.ndarray:
+    """The one shingle of fewer words than a shingle has."""
+    out = np.zeros(1, dtype=np.uint64)
+    for j in range(len(words)):
+        out = bins.mix(out ^ words[j:j + 1], 100 + j)
+    return out
+
+
+def _runs(words: np.ndarray, width: int) -> np.ndarray:
+    """The shingle that begins at each word."""
+    run = np.zeros(len(words), dtype=np.uint64)
+    for j in range(min(width, len(words))):
+        run[:len(words) - j] = bins.mix(run[:len(words) - j] ^ words[j:], j)
+    return run
+
+
+def shingles(raws: list[bytes | None], width: int = WIDTH) -> Iterator[np.ndarray]:
+    """The sorted different shingle hashes of each text."""
+    for words, bounds in _words(raws):
+        run = _runs(words, width)
         for a, b in zip(bounds, bounds[1:], strict=False):
             if b - a >= width:
                 s = np.sort(run[a:b - width + 1])
                 yield s[np.concatenate(([True], s[1:] != s[:-1]))]
-            elif b > a:
-                short = np.zeros(1, dtype=np.uint64)
-                for j in range(a, b):
-                    short = bins.mix(short ^ words[j:j + 1], 100 + int(j - a))
-                yield short
             else:
-                yield np.zeros(0, dtype=np.uint64)
+                yield _short(words[a:b]) if b > a else np.zeros(0, dtype=np.uint64)
+
+
+def scored(raws: list[bytes | None], width: int, common: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The sorted different shingles of each text, and how common their words are; ``common`` by word counter."""
+    for words, bounds in _words(raws):
+        run, own = _runs(words, width), common[_counter(words)].astype(np.uint64)
+        total = np.zeros(len(words), dtype=np.uint64)
+        for j in range(min(width, len(words))):
+            total[:len(words) - j] += own[j:]
+        for a, b in zip(bounds, bounds[1:], strict=False):
+            if b - a >= width:
+                order = np.argsort(run[a:b - width + 1])
+                s = run[a:b - width + 1][order]
+                new = np.concatenate(([True], s[1:] != s[:-1]))
+                yield s[new], total[a:b - width + 1][order][new]
+            else:
+                yield (_short(words[a:b]), np.zeros(1, dtype=np.uint64)) if b > a else (np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.uint64))
 
 
 def _counter(s: np.ndarray) -> np.ndarray:
@@ -111,29 +141,35 @@ def prefix_length(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
-def _prefix(s: np.ndarray, classes: np.ndarray, order: int, percent: int) -> np.ndarray:
+def _prefix(s: np.ndarray, words: np.ndarray, classes: np.ndarray, order: int, percent: int) -> np.ndarray:
     """The first shingles of a set under an order, in that order."""
     p = prefix_length(len(s), percent)
-    key = (classes[_counter(s)].astype(np.uint64) << np.uint64(58)) | (bins.mix(s, 200 + order) >> np.uint64(6))
+    key = (classes[_counter(s)].astype(np.uint64) << np.uint64(58)) | (words << np.uint64(48)) | (bins.mix(s, 200 + order) >> np.uint64(16))
     first = np.argpartition(key, p - 1)[:p] if p < len(s) else np.arange(len(s))
     return s[first[np.argsort(key[first])]]
 
 
-def signatures(docs: DataFrame, width: int) -> tuple[DataFrame, np.ndarray]:
-    """(doc_id, n, digest) of each row, and the class (power of two) of each counter of shingle frequency."""
+def signatures(docs: DataFrame, width: int) -> tuple[DataFrame, np.ndarray, np.ndarray]:
+    """(doc_id, n, digest) of each row; the class of each counter of shingles; how common the words of each counter are."""
 
     def sign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(COUNTERS, dtype=np.uint32)
+        counts = np.zeros((2, COUNTERS), dtype=np.uint32)
         for batch in batches:
             ids = batch.column(batch.schema.get_field_index("doc_id")).to_pylist()
             n, digests = [], []
-            for s in shingles(raw_texts(batch), width):
-                np.add.at(counts, _counter(s), 1)
-                n.append(len(s))
-                digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
+            for words, bounds in _words(raw_texts(batch)):
+                counts[1] += np.bincount(_counter(words), minlength=COUNTERS).astype(np.uint32)
+                run, seen = _runs(words, width), []
+                for a, b in zip(bounds, bounds[1:], strict=False):
+                    s = np.sort(run[a:b - width + 1]) if b - a >= width else _short(words[a:b]) if b > a else np.zeros(0, dtype=np.uint64)
+                    s = s[np.concatenate(([True], s[1:] != s[:-1]))] if len(s) else s
+                    seen.append(s)
+                    n.append(len(s))
+                    digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
+                counts[0] += np.bincount(_counter(np.concatenate(seen)), minlength=COUNTERS).astype(np.uint32)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.nulls(len(ids), pa.int32()), pa.nulls(len(ids), pa.binary())], names=names)
         size = COUNTERS // 64
-        parts = [counts[k * size:(k + 1) * size].tobytes() for k in range(64)] if counts.any() else []
+        parts = [c[k * size:(k + 1) * size].tobytes() for c in counts for k in range(64)] if counts.any() else []
         none = pa.nulls(len(parts), pa.int64())
         yield pa.RecordBatch.from_arrays([none, none, pa.nulls(len(parts), pa.binary()), pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.binary())], names=names)
 
@@ -149,21 +185,26 @@ def signatures(docs: DataFrame, width: int) -> tuple[DataFrame, np.ndarray]:
     # added up in two steps, so no task reads the counters of more than a share of all tasks
     parts = both.where("part is not null").select("part", F.pmod(F.xxhash64("counts"), F.lit(16)).alias("lot"), "counts")
     parts = parts.groupBy("part", "lot").applyInArrow(add, "part int, counts binary").groupBy("part").applyInArrow(add, "part int, counts binary")
-    total = np.zeros(COUNTERS, dtype=np.uint32)
-    for row in parts.toLocalIterator():  # 64 rows, 4 MB in all
+    total = np.zeros((2, COUNTERS), dtype=np.uint32)
+    for row in parts.toLocalIterator():  # 128 rows, 8 MB in all
         size = COUNTERS // 64
-        total[row["part"] * size:(row["part"] + 1) * size] = np.frombuffer(row["counts"], dtype=np.uint32)
-    return both.where("part is null").select("doc_id", "n", "digest"), np.ceil(np.log2(total.astype(np.float64) + 1)).astype(np.uint8)
+        k, at = divmod(row["part"], 64)
+        total[k, at * size:(at + 1) * size] = np.frombuffer(row["counts"], dtype=np.uint32)
+    logs = np.log2(total.astype(np.float64) + 1)
+    # a counter is shared by many rare shingles: only what stands out tells a frequent one
+    classes = np.ceil(logs[0])
+    classes[classes <= np.median(classes) + 1] = 0
+    return both.where("part is null").select("doc_id", "n", "digest"), classes.astype(np.uint8), np.round(logs[1] * 8).astype(np.uint8)
 
 
-def _prefix_rows(docs: DataFrame, classes: np.ndarray, n_bins: int, width: int, percent: int, orders: int) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(classes)
+def _prefix_rows(docs: DataFrame, classes: np.ndarray, common: np.ndarray, n_bins: int, width: int, percent: int, orders: int) -> DataFrame:
+    shared = docs.sparkSession.sparkContext.broadcast((classes, common))  # 2 MB
 
     def emit(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer, seen = bins.Packer(n_bins), set()
         for batch in batches:
             ids = batch.column(batch.schema.get_field_index("doc_id")).to_pylist()
-            for doc_id, s in zip(ids, shingles(raw_texts(batch), width), strict=True):
+            for doc_id, (s, words) in zip(ids, scored(raw_texts(batch), width, shared.value[1]), strict=True):
                 if doc_id is None or prefix_length(len(s), percent) == len(s) + 1:
                     continue
                 digest = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
@@ -171,11 +212,11 @@ def _prefix_rows(docs: DataFrame, classes: np.ndarray, n_bins: int, width: int,
                     continue  # one of its class is sent
                 seen.add(digest)
                 for order in range(orders):
-                    prefix = _prefix(s, shared.value, order, percent)
+                    prefix = _prefix(s, words, shared.value[0], order, percent)
                     left = len(s) - np.arange(len(prefix), dtype=np.uint64)  # shingles from this one on
                     packer.add(order, prefix, doc_id, (np.uint64(len(s)) << np.uint64(32)) | left)
-            if packer.full:
-                yield from packer.rows()
+                if packer.full:
+                    yield from packer.rows()
         yield from packer.rows()
 
     return docs.select("doc_id", "text").mapInArrow(emit, bins.SCHEMA)
@@ -312,11 +353,11 @@ def _blocks(stars: DataFrame, comps: DataFrame, texts: DataFrame, width: int, pe
 
 def link(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, orders: int = ORDERS) -> DataFrame:
     """(doc_id, n_shingles, component_id) of each row of ``docs`` (doc_id, text)."""
-    signed, classes = signatures(docs, width)
+    signed, classes, common = signatures(docs, width)
     entries = signed.agg(F.sum(F.floor(F.col("n") * (100 - percent) / 100) + 1)).first()[0] or 0
     first = signed.where("n > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"))
     reps = stage(signed.where("n > 0 and doc_id is not null").join(first, "digest").select("doc_id", "rep").distinct(), "classes")
-    prefixes = _prefix_rows(docs, classes, bins.count(int(entries)), width, percent, orders)
+    prefixes = _prefix_rows(docs, classes, common, bins.count(int(entries)), width, percent, orders)
     pairs, stars = candidates(prefixes, orders, percent)
 
     def of_classes(df: DataFrame) -> DataFrame:
@@ -326,8 +367,8 @@ def link(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, orders: in
 
     pairs, stars = stage(of_classes(pairs), "pairs"), stage(of_classes(stars), "stars")
     asked = stage(pairs.unionByName(stars).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "asked")
-    wanted = asked.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = stage(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(wanted, "doc_id", "left_semi"), "texts")
+    wanted = stage(asked.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "wanted")
+    texts = stage(likely(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), wanted, "doc_id").join(wanted, "doc_id", "left_semi"), "texts")
     links = stage(verified(asked, texts, width, percent), "verified")
     copies = reps.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     if not stars.isEmpty():
