@@ -323,16 +323,18 @@ def confidence(score: Column, has_weight: Column, has_size: Column) -> Column:
 PAGE_HINTS = ("product", "products", "tuote", "tuotteet", "shop", "catalog", "item", "collection")
 
 
-def rank_links(products: DataFrame, links: DataFrame, *, n: int = 6, scan: int = 120) -> DataFrame:
-    """Best ``n`` of a site's first ``scan`` links per product: words of the name, half a point per shop hint.
+def rank_links(products: DataFrame, links: DataFrame, *, n: int = 6, scan: int | None = None) -> DataFrame:
+    """Best ``n`` of a site's links (or its first ``scan``) per product: words of the name, half a point per shop hint.
+
+    Words are looked for in the percent-decoded link.
 
     ``products``: product_id, product_name, domain.  ``links``: domain, link, place.
     """
     from ledgerlift.operators.ranking import top_n
 
-    near = links.filter(F.col("place") <= scan)
+    near = links if scan is None else links.filter(F.col("place") <= scan)
     joined = products.withColumn("_words", tx.name_tokens(F.col("product_name"))).join(near, "domain")
-    low = F.lower("link")
+    low = F.lower(F.coalesce(F.try_url_decode(F.replace("link", F.lit("+"), F.lit("%2B"))), "link"))
     hits = F.size(F.filter("_words", lambda w: F.contains(low, w))).cast("double")
     for hint in PAGE_HINTS:
         hits = hits + F.when(low.contains(hint), 0.5).otherwise(0.0)

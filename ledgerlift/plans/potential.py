@@ -207,12 +207,12 @@ def customer_growth(df: DataFrame) -> DataFrame:
     return out.withColumn("sales_priority", bk.sales_priority(F.col("potential_score")))
 
 
-def customer_rollup(crm: DataFrame, scored: DataFrame, *, shown_ids: int = 50) -> tuple[DataFrame, DataFrame]:
+def customer_rollup(crm: DataFrame, scored: DataFrame, *, shown_ids: int | None = None) -> tuple[DataFrame, DataFrame]:
     """CRM rows with model figures, one row per customer, and the table of source rows.
 
     A customer is its business id, else its name, else the row itself.  The best row per customer
-    stays; potentials add up.  The first ``shown_ids`` source rows are listed in the text column,
-    all of them are in the second table ``(customer_key, crm_row_id)``.
+    stays; potentials add up.  Source rows are listed in the text column, all or the first ``shown_ids``;
+    one row for each is in the second table ``(customer_key, crm_row_id)``.
     """
     facts = first_per_key(scored.filter(F.col("business_id").isNotNull()), ["business_id"], [("rank", "asc")]).select(
         "business_id", F.col("estimated_potential_eur").cast("double").alias("model_estimated_potential_eur"), "priority", "company",
@@ -235,7 +235,9 @@ def customer_rollup(crm: DataFrame, scored: DataFrame, *, shown_ids: int = 50) -
     ).drop("_model", "crm_row_potential_eur")
     from ledgerlift.operators.ranking import top_n
 
-    listed = top_n(rows.select("customer_key", "crm_row_id"), ["customer_key"], [("crm_row_id", "asc")], shown_ids, "_r")
+    listed = rows.select("customer_key", "crm_row_id")
+    if shown_ids is not None:
+        listed = top_n(listed, ["customer_key"], [("crm_row_id", "asc")], shown_ids, "_r")
     ids = listed.groupBy("customer_key").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list("crm_row_id")), lambda x: x.cast("string")), ", ").alias("crm_source_row_ids")
     )

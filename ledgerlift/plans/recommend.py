@@ -413,16 +413,15 @@ def association_rules(baskets: DataFrame, basket: str, item: str, *, min_support
     Items below the support cannot be in a rule and go first.  A pair needs two common baskets, so
     each item may leave out its largest basket while candidates are looked for: one huge basket
     never produces its pairs.  The left-out baskets are then counted exactly for the candidates.
+    With a support of 1 every pair of every basket is a rule's, so none is left out.
     """
-    if min_support < 2:
-        raise ValueError("min_support below 2 would admit every pair of every basket")
     pairs = baskets.select(F.col(basket).alias("b"), F.col(item).alias("i")).filter(F.col("b").isNotNull() & F.col("i").isNotNull()).distinct()
     n_baskets = pairs.select("b").distinct().agg(F.count("*").alias("n")).scalar()
     counts = pairs.groupBy("i").agg(F.count("*").alias("n_i")).filter(F.col("n_i") >= min_support)
     sizes = pairs.groupBy("b").agg(F.count("*").alias("size"))
     kept = pairs.join(counts, "i").join(sizes, "b")
     largest = kept.groupBy("i").agg(F.max_by("b", F.struct("size", "b")).alias("_big"))
-    kept = stage(kept.join(largest, "i").withColumn("is_big", F.col("b") == F.col("_big")).select("b", "i", "n_i", "is_big"), "baskets")
+    kept = stage(kept.join(largest, "i").withColumn("is_big", (F.col("b") == F.col("_big")) & F.lit(min_support > 1)).select("b", "i", "n_i", "is_big"), "baskets")
     light, heavy = kept.filter(~F.col("is_big")).select("b", "i"), kept.filter("is_big").select("b", "i")
     left, right = light.withColumnRenamed("i", "x"), light.withColumnRenamed("i", "y")
     both = left.join(right, "b").filter("x < y").groupBy("x", "y").agg(F.count("*").alias("support"))

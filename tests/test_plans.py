@@ -253,3 +253,11 @@ def test_repeated_batches_change_nothing(spark):
         write(batch, number)
         state = {r["k"]: r["v"] for r in feeds.current_rows(spark, target).collect()}
     assert state == {"a": 3.0, "c": 4.0}
+
+
+def test_rules_with_a_support_of_one(spark):
+    from ledgerlift.plans.recommend import association_rules
+
+    baskets = spark.createDataFrame([(1, "a"), (1, "b"), (2, "a"), (3, "c")], "b int, i string")
+    got = {(r["antecedent"], r["consequent"]): r["support_count"] for r in association_rules(baskets, "b", "i", min_support=1).collect()}
+    assert got == {("a", "b"): 1, ("b", "a"): 1}
