@@ -14,7 +14,8 @@ removed.  Matches don't cross documents, and strings are judged on the input.
    members but those of its smallest document are covered.
 4. Covered ranges return to their documents, are merged, cut out and digested.
 
-Sizes.  The bins of both exchanges follow the number of entries; a task sorts ``CHUNK`` contexts at a time.
+Sizes.  The bins of both exchanges follow the number of entries; a task sorts about ``CHUNK`` contexts at a
+time, and an anchor with many more place by place.  Texts without a covered byte aren't shuffled for step 4.
 Anchors of one content only, the bulk of a corpus, are never sent beyond step 2.
 
 Defined cases: null and empty texts have 0 bytes and nothing to remove; texts shorter than ``LEAST`` bytes
@@ -33,14 +34,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlift.llm import bins
-from ledgerlift.llm.common import raw_texts
+from ledgerlift.llm.common import maybe, raw_texts
 from ledgerlift.session import stage
 
 LEAST, GRAM = 50, 20
 _SPAN = LEAST - GRAM  # an anchor's window starts at most so many bytes before it
 _WIDE = 2 * _SPAN + GRAM  # bytes of a context
 #: Contexts that a bin should hold, contexts sorted together, bytes whose grams are hashed together.
-BIN_CONTEXTS, CHUNK, _SLICE = 200_000, 20_000, 1 << 18
+BIN_CONTEXTS, CHUNK, _SLICE = 100_000, 8_000, 1 << 18
 _CONTEXTS = "bin bigint, keys binary, docs binary, owners binary, places binary, rooms binary, contexts binary"
 
 
@@ -180,6 +181,26 @@ def _covered(contexts: np.ndarray, docs: np.ndarray, low: np.ndarray, high: np.n
     return out
 
 
+def _crowded(contexts: np.ndarray, docs: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """As :func:`_covered`, for many contexts of one anchor: equal windows hold it at equal places, so each
+    place's windows are sorted on their own, in memory that doesn't grow with their length."""
+    out = np.zeros((len(docs), _SPAN + 1), dtype=bool)
+    for s in range(_SPAN + 1):
+        row = np.flatnonzero((low <= s) & (s <= high))
+        if len(row) < 2:
+            continue
+        words = [np.ascontiguousarray(contexts[row, s + at:s + at + 8]).view(np.uint64).ravel() for at in (*range(0, LEAST - 8, 8), LEAST - 8)]
+        order = np.lexsort(words)
+        equal = np.ones(len(row) - 1, dtype=bool)
+        for w in words:
+            equal &= w[order[1:]] == w[order[:-1]]
+        owner = docs[row[order]]
+        begin = np.concatenate(([0], np.flatnonzero(~equal) + 1))
+        smallest = np.repeat(np.minimum.reduceat(owner, begin), np.diff(np.append(begin, len(row))))
+        out[row[order], s] = owner > smallest
+    return out
+
+
 def _judge(keys: np.ndarray, docs: np.ndarray, owners: np.ndarray, places: np.ndarray, rooms: np.ndarray, contexts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(content, from, to) of the covered ranges that one bin's contexts show."""
     low, high = np.maximum(_SPAN - places, 0), rooms.astype(np.int64) - GRAM
@@ -205,7 +226,9 @@ def _judge(keys: np.ndarray, docs: np.ndarray, owners: np.ndarray, places: np.nd
     heads = heads[np.repeat(n > 1, n)]
     cut = np.flatnonzero(np.concatenate(([True], keys[heads][1:] != keys[heads][:-1]))) if len(heads) else np.zeros(0, np.int64)
     edges = [0]
-    for c in [*cut[1:].tolist(), len(heads)]:
+    for begin, c in zip(cut.tolist(), [*cut[1:].tolist(), len(heads)], strict=True):
+        if c - begin > CHUNK and begin > edges[-1]:
+            edges.append(begin)  # an anchor with very many contexts stands alone
         if c - edges[-1] >= CHUNK or c == len(heads):
             edges.append(c)
     class_of = np.cumsum(head) - 1
@@ -213,7 +236,7 @@ def _judge(keys: np.ndarray, docs: np.ndarray, owners: np.ndarray, places: np.nd
         at = heads[a:b]
         if not len(at):
             continue
-        hit = _covered(contexts[at], docs[at], low[at], high[at])
+        hit = (_crowded if len(at) > 2 * CHUNK and keys[at[0]] == keys[at[-1]] else _covered)(contexts[at], docs[at], low[at], high[at])
         # every occurrence in the smallest document has what its context has
         of = {int(class_of[k]): r for r, k in enumerate(at.tolist()) if hit[r].any()}
         if not of:
@@ -288,7 +311,7 @@ def covered_ranges(docs: DataFrame, contents: DataFrame) -> DataFrame:
                 view = np.lib.stride_tricks.sliding_window_view(padded, _WIDE)[at]
                 held.append((h, np.full(len(at), doc_id, dtype=np.int64), np.full(len(at), name, dtype=np.int64), at.astype(np.int64), np.minimum(len(raw) - at, LEAST).astype(np.uint8), view))
                 n += len(at)
-                if n >= 2 * BIN_CONTEXTS:
+                if n >= 250_000:
                     yield pack(held)
                     held, n = [], 0
         if n:
@@ -327,7 +350,12 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     contents = stage(docs.where("doc_id is not null").groupBy("content").agg(F.min("doc_id").alias("rep"), F.max(F.coalesce(F.octet_length("text"), F.lit(0))).cast("bigint").alias("n_bytes")), "contents")
     long = contents.where(F.col("n_bytes") >= LEAST)
     ranges = stage(covered_ranges(docs, long), "ranges").groupBy("content").agg(F.collect_list("ranges").alias("ranges"))
-    info = long.join(ranges, "content", "left").select("content", "rep", "ranges")
+    copies = docs.where("doc_id is not null").select("doc_id", "content").join(long.select("content", "rep"), "content").where("doc_id > rep").select("content").distinct()
+    info = stage(ranges.join(copies, "content", "full").join(long.select("content", "rep"), "content").select("content", "rep", "ranges"), "info")
+    marked = maybe(docs, info, "content")
+    none = {"rep": F.lit(None).cast("bigint"), "ranges": F.lit(None).cast("array<binary>")}
+    joined = marked.where("maybe").drop("maybe").join(info, "content", "left").select("doc_id", "text", "rep", "ranges")
+    judged = joined.unionByName(marked.where("not maybe").withColumns(none).select("doc_id", "text", "rep", "ranges"))
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -354,4 +382,4 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
 
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * with_text
     schema = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + ", kept binary" * with_text
-    return docs.join(info, "content", "left").select("doc_id", "text", "rep", "ranges").mapInArrow(cut, schema)
+    return judged.mapInArrow(cut, schema)
