@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlift.llm import bins
-from ledgerlift.llm.common import likely, raw_texts
+from ledgerlift.llm.common import likely, raw_texts, stage_packed
 from ledgerlift.llm.components import components
 from ledgerlift.session import stage
 
@@ -368,7 +368,7 @@ def link(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, orders: in
     pairs, stars = stage(of_classes(pairs), "pairs"), stage(of_classes(stars), "stars")
     asked = stage(pairs.unionByName(stars).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "asked")
     wanted = stage(asked.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "wanted")
-    texts = stage(likely(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), wanted, "doc_id").join(wanted, "doc_id", "left_semi"), "texts")
+    texts = stage_packed(likely(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), wanted, "doc_id").join(wanted, "doc_id", "left_semi"), "texts")
     links = stage(verified(asked, texts, width, percent), "verified")
     copies = reps.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     if not stars.isEmpty():
