@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Entries that one bin should hold, and entries that a task gathers before it emits rows.
-BIN_ENTRIES, TASK_ENTRIES = 1 << 20, 1 << 21
+BIN_ENTRIES, TASK_ENTRIES = 1 << 19, 1 << 19
 SCHEMA = "kind int, bin bigint, keys binary, docs binary, notes binary"
 _NONE = np.zeros(0, dtype=np.uint64)
 _MIX = np.uint64(0xD6E8FEB86659FD93)

@@ -17,6 +17,18 @@ _WORD = b"0123456789abcdefghijklmnopqrstuvwxyz" + bytes(range(128, 256))
 WORD_TABLE = bytes(c + 32 if 65 <= c <= 90 else c if c in _WORD else 32 for c in range(256))
 
 
+#: Rows in one Arrow batch: with documents of a few kilobytes some megabytes, and copies of it stay small.
+BATCH_ROWS = 1000
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, after asking its session for Arrow batches that suit long texts."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(name)) <= BATCH_ROWS:
+        df.sparkSession.conf.set(name, BATCH_ROWS)
+    return df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
@@ -38,7 +50,7 @@ def add_columns(df: DataFrame, schema: str, rows: Callable[[pa.RecordBatch], lis
                 kept = [c for n, c in zip(batch.schema.names, batch.columns, strict=True) if n not in drop]
                 yield pa.RecordBatch.from_arrays([*kept, *rows(batch)], names=names)
 
-    return df.mapInArrow(apply, out)
+    return small_batches(df).mapInArrow(apply, out)
 
 
 def texts(batch: pa.RecordBatch, name: str = "text") -> list[str | None]:

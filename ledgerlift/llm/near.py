@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlift.llm import bins
-from ledgerlift.llm.common import likely, raw_texts, stage_packed
+from ledgerlift.llm.common import likely, raw_texts, small_batches, stage_packed
 from ledgerlift.llm.components import components
 from ledgerlift.session import stage
 
@@ -154,11 +154,19 @@ def signatures(docs: DataFrame, width: int) -> tuple[DataFrame, np.ndarray, np.n
 
     def sign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros((2, COUNTERS), dtype=np.uint32)
+        held: tuple[list[np.ndarray], list[np.ndarray]] = ([], [])
+
+        def count() -> None:
+            for k, parts in enumerate(held):
+                if parts:
+                    counts[k] += np.bincount(np.concatenate(parts), minlength=COUNTERS).astype(np.uint32)
+                    parts.clear()
+
         for batch in batches:
             ids = batch.column(batch.schema.get_field_index("doc_id")).to_pylist()
             n, digests = [], []
             for words, bounds in _words(raw_texts(batch)):
-                counts[1] += np.bincount(_counter(words), minlength=COUNTERS).astype(np.uint32)
+                held[1].append(_counter(words))
                 run, seen = _runs(words, width), []
                 for a, b in zip(bounds, bounds[1:], strict=False):
                     s = np.sort(run[a:b - width + 1]) if b - a >= width else _short(words[a:b]) if b > a else np.zeros(0, dtype=np.uint64)
@@ -166,8 +174,11 @@ def signatures(docs: DataFrame, width: int) -> tuple[DataFrame, np.ndarray, np.n
                     seen.append(s)
                     n.append(len(s))
                     digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
-                counts[0] += np.bincount(_counter(np.concatenate(seen)), minlength=COUNTERS).astype(np.uint32)
+                held[0].append(_counter(np.concatenate(seen)))
+            if sum(map(len, held[1])) > 1 << 19:
+                count()
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.nulls(len(ids), pa.int32()), pa.nulls(len(ids), pa.binary())], names=names)
+        count()
         size = COUNTERS // 64
         parts = [c[k * size:(k + 1) * size].tobytes() for c in counts for k in range(64)] if counts.any() else []
         none = pa.nulls(len(parts), pa.int64())
@@ -353,7 +364,7 @@ def _blocks(stars: DataFrame, comps: DataFrame, texts: DataFrame, width: int, pe
 
 def link(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, orders: int = ORDERS) -> DataFrame:
     """(doc_id, n_shingles, component_id) of each row of ``docs`` (doc_id, text)."""
-    signed, classes, common = signatures(docs, width)
+    signed, classes, common = signatures(small_batches(docs), width)
     entries = signed.agg(F.sum(F.floor(F.col("n") * (100 - percent) / 100) + 1)).first()[0] or 0
     first = signed.where("n > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"))
     reps = stage(signed.where("n > 0 and doc_id is not null").join(first, "digest").select("doc_id", "rep").distinct(), "classes")

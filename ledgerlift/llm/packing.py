@@ -33,12 +33,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ledgerlift.llm.common import slices
+from ledgerlift.llm.common import slices, small_batches
 from ledgerlift.session import stage
 
 LENGTH, END_ID = 1024, 2
 #: Pieces packed together; leftovers carried for each fill; words whose ids a worker remembers; bytes of text encoded together.
-BLOCK_PIECES, CARRIED, REMEMBERED, SLICE_BYTES = 200_000, 2, 500_000, 16 << 20
+BLOCK_PIECES, CARRIED, REMEMBERED, SLICE_BYTES = 200_000, 2, 250_000, 8 << 20
 #: Fixed: the words and signs a byte-level vocabulary of this family is merged within.
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _PIECE = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, bin bigint, place bigint"
@@ -225,7 +225,7 @@ def pack(docs: DataFrame, tokenizer_path: str, length: int = LENGTH, end_id: int
             yield emit()
 
     names = StructType.fromDDL(_PIECE).names
-    placed = stage(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(pieces, _PIECE), "pieces")
+    placed = stage(small_batches(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(pieces, _PIECE), "pieces")
     moves = _levels(placed, length, spare, fan_in)
     return placed.join(moves, ["bin", "place"], "left").select(
         "doc_id", "piece", "start", "length", "ids_crc32", F.coalesce("sequence", "bin").alias("sequence_id"), F.coalesce("at", "place").cast("bigint").alias("offset"),

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlift.llm import bins
-from ledgerlift.llm.common import maybe, raw_texts
+from ledgerlift.llm.common import maybe, raw_texts, small_batches
 from ledgerlift.session import stage
 
 LEAST, GRAM = 50, 20
@@ -346,7 +346,7 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
 
     ``with_text`` adds ``kept``, the bytes that are left.
     """
-    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("content"))
+    docs = small_batches(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("content"))
     contents = stage(docs.where("doc_id is not null").groupBy("content").agg(F.min("doc_id").alias("rep"), F.max(F.coalesce(F.octet_length("text"), F.lit(0))).cast("bigint").alias("n_bytes")), "contents")
     long = contents.where(F.col("n_bytes") >= LEAST)
     ranges = stage(covered_ranges(docs, long), "ranges").groupBy("content").agg(F.collect_list("ranges").alias("ranges"))

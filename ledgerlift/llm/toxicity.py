@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlift.llm.common import WORD_TABLE, add_columns, raw_texts
+from ledgerlift.llm.common import WORD_TABLE, add_columns, raw_texts, small_batches
 from ledgerlift.session import stage
 
 _BITS = 20
@@ -87,7 +87,7 @@ def _presence(sample: DataFrame, label: str) -> DataFrame:
             part = at[k:k + 50_000]
             yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(found[0][part]), pa.array(found[1][part])], names=["bucket", "n_yes", "n_no"])
 
-    return sample.select("text", label).mapInArrow(count, "bucket bigint, n_yes bigint, n_no bigint").groupBy("bucket").agg(F.sum("n_yes").alias("n_yes"), F.sum("n_no").alias("n_no"))
+    return small_batches(sample).select("text", label).mapInArrow(count, "bucket bigint, n_yes bigint, n_no bigint").groupBy("bucket").agg(F.sum("n_yes").alias("n_yes"), F.sum("n_no").alias("n_no"))
 
 
 def _counted(docs: DataFrame, place: np.ndarray, drop: tuple[str, ...] = ("text",)) -> DataFrame:
