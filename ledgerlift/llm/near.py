@@ -4,8 +4,8 @@ A text's set is its distinct shingles of ``width`` words (A-Z lower-cased, words
 Two sets with at least ``percent`` per cent Jaccard similarity share at least ``percent`` per cent of the
 larger one, so under *any* order of all shingles their prefixes of ``n - ceil(percent * n / 100) + 1``
 shingles share one.  Several orders give several such filters; a pair must pass all of them before it is
-verified.  Every order puts frequent shingles last: first by powers of two of a shingle's count, so common
-passages don't fill the prefixes, then by how common its words are, so chance meetings of common words
+verified.  Every order puts frequent shingles last: first by powers of two of what a shingle's counter has
+above the usual, so common passages don't fill the prefixes, then by how common its words are, so chance meetings of common words
 don't either; equally frequent ones follow a hash of the order's own.  Counts are over all documents, in
 tables of fixed size; they only shape the orders, never the result.
 
@@ -201,11 +201,12 @@ def signatures(docs: DataFrame, width: int) -> tuple[DataFrame, np.ndarray, np.n
         size = COUNTERS // 64
         k, at = divmod(row["part"], 64)
         total[k, at * size:(at + 1) * size] = np.frombuffer(row["counts"], dtype=np.uint32)
-    logs = np.log2(total.astype(np.float64) + 1)
-    # a counter is shared by many rare shingles: only what stands out tells a frequent one
-    classes = np.ceil(logs[0])
-    classes[classes <= np.median(classes) + 1] = 0
-    return both.where("part is null").select("doc_id", "n", "digest"), classes.astype(np.uint8), np.round(logs[1] * 8).astype(np.uint8)
+    # a counter is shared by many rare shingles: what stands out of their number and its spread tells frequent ones
+    own, noise = total[0].astype(np.float64), float(np.median(total[0]))
+    excess = own - noise - 3 * np.sqrt(noise)
+    classes = np.where(excess > 1, 1 + np.floor(np.log2(np.maximum(excess, 1))), 0)
+    common = np.round(np.log2(total[1].astype(np.float64) + 1) * 8)
+    return both.where("part is null").select("doc_id", "n", "digest"), classes.astype(np.uint8), common.astype(np.uint8)
 
 
 def _prefix_rows(docs: DataFrame, classes: np.ndarray, common: np.ndarray, n_bins: int, width: int, percent: int, orders: int) -> DataFrame:
