@@ -86,18 +86,18 @@ _FILTER_BITS = 1 << 23
 
 
 def maybe(df: DataFrame, ids: DataFrame, column: str) -> DataFrame:
-    """``df`` with ``maybe``: false where ``column`` is surely not among ``ids``.
+    """``df`` with ``__maybe``: false where ``column`` is surely not among ``ids``.
 
     A bitmap of fixed size (256 rows of 4 KB) is broadcast, so long texts that a join would do nothing with
     needn't be shuffled for it.  With very many ids the filter lets more rows pass; the join after it decides.
     """
     bit = F.pmod(F.xxhash64(F.col(column).cast("bigint")), F.lit(_FILTER_BITS))
-    maps = ids.select(bit.alias("_bit")).groupBy(F.bitmap_bucket_number("_bit").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_bit")).alias("_map"))
-    marked = df.withColumns({"_bucket": F.bitmap_bucket_number(bit), "_at": F.bitmap_bit_position(bit)}).join(F.broadcast(maps), "_bucket", "left")
-    byte = F.conv(F.hex(F.expr("substring(_map, cast(_at div 8 as int) + 1, 1)")), 16, 10).cast("int")
-    return marked.withColumn("_byte", byte).withColumn("maybe", F.expr("coalesce(shiftright(_byte, cast(_at % 8 as int)) & 1, 0) = 1")).drop("_bucket", "_map", "_at", "_byte")
+    maps = ids.select(bit.alias("__bit")).groupBy(F.bitmap_bucket_number("__bit").alias("__bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("__bit")).alias("__map"))
+    marked = df.withColumns({"__bucket": F.bitmap_bucket_number(bit), "__at": F.bitmap_bit_position(bit)}).join(F.broadcast(maps), "__bucket", "left")
+    byte = F.conv(F.hex(F.expr("substring(__map, cast(__at div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    return marked.withColumn("__byte", byte).withColumn("__maybe", F.expr("coalesce(shiftright(__byte, cast(__at % 8 as int)) & 1, 0) = 1")).drop("__bucket", "__map", "__at", "__byte")
 
 
 def likely(df: DataFrame, ids: DataFrame, column: str) -> DataFrame:
     """The rows of ``df`` whose ``column`` may be among ``ids``."""
-    return maybe(df, ids, column).where("maybe").drop("maybe")
+    return maybe(df, ids, column).where("__maybe").drop("__maybe")

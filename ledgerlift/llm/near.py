@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlift.llm import bins
-from ledgerlift.llm.common import likely, raw_texts, small_batches, stage_packed
+from ledgerlift.llm.common import likely, maybe, raw_texts, small_batches, stage_packed
 from ledgerlift.llm.components import components
 from ledgerlift.session import stage
 
@@ -395,9 +395,15 @@ def keep_one(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, orders
     Rows with an empty set or a null id stay.  Of rows that share the smallest id one stays, the smallest text first.
     """
     out = link(docs, width, percent, orders)
-    gone = out.where("component_id <> doc_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti")
-    again = kept.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("_n"), F.min("text").alias("_text")).where("_n > 1")
-    few = kept.join(again.select("doc_id", "_text"), "doc_id", "left").where("_text is null or text = _text")
-    twice = few.where("_text is not null").dropDuplicates(["doc_id"])
-    return few.where("_text is null").unionByName(twice).select(*docs.columns)
+    # whole rows are joined only where an id may be concerned
+    gone = stage(out.where("component_id <> doc_id").select("doc_id").distinct(), "gone")
+    marked = maybe(docs, gone, "doc_id")
+    kept = marked.where("not __maybe").drop("__maybe").unionByName(marked.where("__maybe").drop("__maybe").join(gone, "doc_id", "left_anti").select(*docs.columns))
+    again = stage(docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "shared-ids")
+    if again.isEmpty():
+        return kept
+    marked = kept.join(again.withColumn("__shared", F.lit(True)), "doc_id", "left")
+    alone, shared = marked.where("__shared is null").select(*docs.columns), marked.where("__shared").select(*docs.columns)
+    least = shared.groupBy("doc_id").agg(F.min(F.struct(F.col("text").isNull().alias("none"), "text")).alias("__least"))
+    one = shared.join(least, "doc_id").where(F.col("text").eqNullSafe(F.col("__least.text"))).select(*docs.columns).dropDuplicates(["doc_id"])
+    return alone.unionByName(one)

@@ -354,8 +354,8 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     info = stage(ranges.join(copies, "content", "full").join(long.select("content", "rep"), "content").select("content", "rep", "ranges"), "info")
     marked = maybe(docs, info, "content")
     none = {"rep": F.lit(None).cast("bigint"), "ranges": F.lit(None).cast("array<binary>")}
-    joined = marked.where("maybe").drop("maybe").join(info, "content", "left").select("doc_id", "text", "rep", "ranges")
-    judged = joined.unionByName(marked.where("not maybe").withColumns(none).select("doc_id", "text", "rep", "ranges"))
+    joined = marked.where("__maybe").drop("__maybe").join(info, "content", "left").select("doc_id", "text", "rep", "ranges")
+    judged = joined.unionByName(marked.where("not __maybe").withColumns(none).select("doc_id", "text", "rep", "ranges"))
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
