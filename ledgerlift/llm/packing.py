@@ -2,14 +2,15 @@
 
 Texts become token ids and an end id; a document longer than a sequence is cut into whole sequences,
 its first piece taking what is left over.  Pieces are packed where they are made: each task packs blocks
-of pieces best-fit, largest first.  Sequences that are (nearly) full are final.  The pieces of the others
-are items of the next level, where several tasks' leftovers meet and are packed again; a level's
-underfull sequences become items of the next until one group is left.
+of pieces best-fit, largest first.  Sequences that are (nearly) full are final.  The pieces of all others
+are items of the next level, where the leftovers of all tasks meet in groups and are packed again; a
+level's underfull sequences become items of the next, in ``fan_in`` times fewer groups, until one is left.
 
-Sizes.  After best-fit no two leftovers of a block fit together, so a block hands on a bounded choice:
-at most ``CARRIED`` leftovers for each fill, whatever the number of its pieces; the rest are final too.
-Nothing is dropped: leftovers that are not handed on stay sequences.  A level's task holds at most
-``fan_in`` such choices.
+Sizes.  A level has at least a group for every ``BLOCK_PIECES`` items and deals them by a hash with a salt
+of its own, so a group's memory is bounded, every group mixes sizes of all tasks and no leftover is held
+back.  After best-fit no two leftovers of a group fit together, so at most one is half full or less.  More
+items than one group holds are dealt anew while that makes at least a thousandth fewer sequences; a level
+that makes none fewer isn't taken.
 
 Defined cases: a null or empty text is the end id alone; repeated rows are packed each for itself; an
 empty table gives no pieces.
@@ -24,6 +25,7 @@ from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -37,8 +39,8 @@ from ledgerlift.llm.common import slices, small_batches
 from ledgerlift.session import stage
 
 LENGTH, END_ID = 1024, 2
-#: Pieces packed together; leftovers carried for each fill; words whose ids a worker remembers; bytes of text encoded together.
-BLOCK_PIECES, CARRIED, REMEMBERED, SLICE_BYTES = 200_000, 2, 250_000, 8 << 20
+#: Pieces packed together; words whose ids a worker remembers; bytes of text encoded together.
+BLOCK_PIECES, REMEMBERED, SLICE_BYTES = 200_000, 250_000, 8 << 20
 #: Fixed: the words and signs a byte-level vocabulary of this family is merged within.
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _PIECE = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, bin bigint, place bigint"
@@ -183,17 +185,6 @@ def best_fit(sizes: list[int], length: int = LENGTH) -> tuple[list[int], list[in
     return bins, places, fills
 
 
-def _choice(fills: list[int], length: int, spare: int) -> set[int]:
-    """Bins to hand on: not nearly full, and of each fill a bounded number."""
-    taken: dict[int, int] = {}
-    chosen = set()
-    for b, fill in enumerate(fills):
-        if length - fill > spare and taken.get(fill, 0) < CARRIED:
-            taken[fill] = taken.get(fill, 0) + 1
-            chosen.add(b)
-    return chosen
-
-
 def pack(docs: DataFrame, tokenizer_path: str, length: int = LENGTH, end_id: int = END_ID, spare: int = 8, fan_in: int = 16) -> DataFrame:
     """One row per piece of ``docs`` (doc_id, text): doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     end = end_id.to_bytes(4, "little")
@@ -234,47 +225,44 @@ def pack(docs: DataFrame, tokenizer_path: str, length: int = LENGTH, end_id: int
 
 def _levels(placed: DataFrame, length: int, spare: int, fan_in: int) -> DataFrame:
     """(bin, place, sequence, at): where the pieces go that the higher levels of the packing take."""
-    # a task's own number stands in the upper half of a bin's
-    pieces = placed.select(F.shiftright("bin", 32).alias("grp"), "bin", "place", "length")
-    underfull = pieces.groupBy("bin").agg(F.sum("length").alias("fill")).where(F.col("fill") < length - spare).select("bin")
-    level = stage(_level(pieces.join(underfull, "bin"), length, spare, pack=False), "leftovers")
-    moves = level.limit(0)
-    groups = level.agg(F.max("grp")).first()[0] or 0
-    while True:
-        groups //= fan_in
-        items = level.where("carried").select(F.floor(F.col("grp") / fan_in).cast("bigint").alias("grp"), "bin", "place", "length")
-        level = stage(_level(items, length, spare, pack=True), "leftovers")
-        final = level if groups == 0 else level.where("not carried")
-        moves = moves.unionByName(final)
-        if groups == 0:
-            return stage(moves.select("bin", "place", "sequence", "at"), "moves")
-
-
-def _level(items: DataFrame, length: int, spare: int, pack: bool) -> DataFrame:
+    underfull = placed.groupBy("bin").agg(F.sum("length").alias("fill")).where(F.col("fill") < length - spare).select("bin")
+    items = stage(placed.select("bin", "place", "length", F.col("bin").alias("sequence"), F.col("place").alias("at")).join(underfull, "bin"), "leftovers")
+    moves = items.limit(0)
+    groups = (placed.agg(F.max(F.shiftright("bin", 32))).first()[0] or 0) + 1  # a task's own number stands in the upper half of a bin's
+    for salt in count():
+        # each sequence has one piece at 0
+        n, before = items.agg(F.count("*"), F.count_if(F.col("at") == 0)).first()
+        if not n:
+            break
+        least = -(-n // BLOCK_PIECES)
+        groups = max(-(-groups // fan_in), least)
+        level = stage(_level(items.withColumn("grp", F.pmod(F.xxhash64("bin", "place", F.lit(salt)), F.lit(groups))), length, spare), "leftovers")
+        after = level.where("at = 0").count()
+        if after < before:
+            moves = moves.unionByName(level.where("not carried").drop("carried"))
+            items = level.where("carried").drop("carried")
+        if groups == 1 or groups == least and 1000 * (before - after) < before:
+            break
+    return stage(moves.unionByName(items).select("bin", "place", "sequence", "at"), "moves")
+
+
+def _level(items: DataFrame, length: int, spare: int) -> DataFrame:
     """One level over pieces (grp, bin, place, length): their sequence and place there, and whether that is handed on.
 
-    Without ``pack`` the bins are taken as they are.  New sequences have negative numbers, made from
-    their first piece, so they are unique whatever tasks do.
+    New sequences have negative numbers, made from their first piece, so they are unique whatever tasks do.
     """
-    schema = "grp bigint, bin bigint, place bigint, length bigint, sequence bigint, at bigint, carried boolean"
 
     def place(key, table):
         table = table.sort_by([("bin", "ascending"), ("place", "ascending")])
-        own, sizes = table["bin"].to_pylist(), table["length"].to_pylist()
-        if pack:
-            bins, places, fills = best_fit(sizes, length)
-        else:
-            numbers = {b: k for k, b in enumerate(dict.fromkeys(own))}
-            bins, places, fills = [numbers[b] for b in own], table["place"].to_pylist(), [0] * len(numbers)
-            for b, size in zip(bins, sizes, strict=True):
-                fills[b] += size
+        own, old = table["bin"].to_pylist(), table["place"].to_pylist()
+        bins, places, fills = best_fit(table["length"].to_pylist(), length)
         names: dict[int, int] = {}
-        for b, old, at in zip(bins, own, table["place"].to_pylist(), strict=True):
-            names.setdefault(b, -(old * length + at) - 1)
-        chosen = _choice(fills, length, spare)
+        for b, n, at in zip(bins, own, old, strict=True):
+            names.setdefault(b, -(n * length + at) - 1)
         return pa.table({
-            "grp": pa.array([key[0].as_py()] * len(own), pa.int64()), "bin": table["bin"], "place": table["place"], "length": table["length"],
-            "sequence": pa.array([names[b] for b in bins], pa.int64()), "at": pa.array(places, pa.int64()), "carried": pa.array([b in chosen for b in bins], pa.bool_()),
+            "bin": table["bin"], "place": table["place"], "length": table["length"], "sequence": pa.array([names[b] for b in bins], pa.int64()),
+            "at": pa.array(places, pa.int64()), "carried": pa.array([length - fills[b] > spare for b in bins], pa.bool_()),
         })
 
+    schema = "bin bigint, place bigint, length bigint, sequence bigint, at bigint, carried boolean"
     return items.select("grp", "bin", "place", "length").groupBy("grp").applyInArrow(place, schema)

@@ -255,6 +255,36 @@ def test_packing(spark, docs, none):
     assert n <= -(-tokens // 1024) + 2  # forty tasks' leftovers have met
 
 
+def levels(spark, tasks):
+    """Sequences after the higher levels, for the lengths of pieces of each task, and what they were before."""
+    placed, fills = [], 0
+    for part, sizes in enumerate(tasks):
+        bins, places, made = packing.best_fit(sizes)
+        fills += len(made)
+        placed += [((part << 32) + b, p, n) for b, p, n in zip(bins, places, sizes, strict=True)]
+    df = spark.createDataFrame(placed, "bin bigint, place bigint, length bigint").repartition(8)
+    moves = {(r["bin"], r["place"]): (r["sequence"], r["at"]) for r in packing._levels(df, 1024, 8, 4).collect()}
+    at = {}
+    for b, p, n in placed:
+        s, a = moves.get((b, p), (b, p))
+        at.setdefault(s, []).append((a, n))
+    for parts in at.values():
+        assert [a for a, _ in sorted(parts)] == [sum(n for _, n in sorted(parts)[:k]) for k in range(len(parts))] and sum(n for _, n in parts) <= 1024
+    return len(at), fills
+
+
+def test_leftovers_of_unlike_tasks_meet(spark, monkeypatch):
+    rng = np.random.RandomState(8)
+    tasks = [rng.randint(*((600, 751) if k % 2 else (200, 401)), 4000).tolist() for k in range(4)]
+    volume = sum(map(sum, tasks)) / 1024
+    n, before = levels(spark, tasks)
+    assert n < 1.25 * volume < before
+    monkeypatch.setattr(packing, "BLOCK_PIECES", 2000)  # more leftovers than a group may hold
+    n, _ = levels(spark, tasks)
+    assert n < 1.25 * volume
+    assert levels(spark, [[700] * 500] * 4) == (2000, 2000)  # nothing fits
+
+
 def test_urls(spark):
     urls = [("http://Sub.EXAMPLE.org/es/1", "allow"), ("https://x.com/fr/a?x#y", "allow"), ("http://x.com/de/", "block"), ("http://example.org/en/1", "block"), ("no url", None), (None, None), ("http://a.net", None)]
     urls += [(f"http://good{k}.org/{prose(k, 1)}", "allow") for k in range(60)] + [(f"http://bad{k}.com/de/zzzz{k}", "block") for k in range(60)] + [("http://zz.com/en/zzzz9", None), ("http://good7.net/abc", None)] * 2
