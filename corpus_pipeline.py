@@ -30,8 +30,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id stays."""
-    return near.keep_one(docs)
+    """Of each group of near duplicates (five words, 0.8) the document with the smallest id stays; rows that share an id are judged each for itself."""
+    return near.keep_one(docs, width=5, percent=80, by_row=True)
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -389,21 +389,42 @@ def link(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, orders: in
     return signed.join(comps.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
-def keep_one(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, orders: int = ORDERS) -> DataFrame:
+def keep_one(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, orders: int = ORDERS, by_row: bool = False) -> DataFrame:
     """``docs`` with one row of each group of near duplicates: that with the smallest id.
 
     Rows with an empty set or a null id stay.  Of rows that share the smallest id one stays, the smallest text first.
+    With ``by_row`` rows that share an id are nodes of their own, so each goes only if its own text is a near copy.
     """
+    again = stage(docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "shared-ids")
+    alike = again.isEmpty()
+    if by_row and not alike:
+        return _keep_rows(docs, width, percent, orders)
     out = link(docs, width, percent, orders)
     # whole rows are joined only where an id may be concerned
     gone = stage(out.where("component_id <> doc_id").select("doc_id").distinct(), "gone")
     marked = maybe(docs, gone, "doc_id")
     kept = marked.where("not __maybe").drop("__maybe").unionByName(marked.where("__maybe").drop("__maybe").join(gone, "doc_id", "left_anti").select(*docs.columns))
-    again = stage(docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "shared-ids")
-    if again.isEmpty():
+    if alike:
         return kept
     marked = kept.join(again.withColumn("__shared", F.lit(True)), "doc_id", "left")
     alone, shared = marked.where("__shared is null").select(*docs.columns), marked.where("__shared").select(*docs.columns)
     least = shared.groupBy("doc_id").agg(F.min(F.struct(F.col("text").isNull().alias("none"), "text")).alias("__least"))
     one = shared.join(least, "doc_id").where(F.col("text").eqNullSafe(F.col("__least.text"))).select(*docs.columns).dropDuplicates(["doc_id"])
     return alone.unionByName(one)
+
+
+def _keep_rows(docs: DataFrame, width: int, percent: int, orders: int) -> DataFrame:
+    """:func:`keep_one` over rows that share ids, by numbers of their own; written once, so the numbers stay."""
+    numbered = stage_packed(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    own = numbered.where("doc_id is not null").select(F.col("__row").alias("doc_id"), "text")
+    nodes = stage(link(own, width, percent, orders).select(F.col("doc_id").alias("__row"), "component_id"), "nodes")
+    several = nodes.groupBy("component_id").agg(F.count("*").alias("n")).where("n > 1").select("component_id")
+    members = stage(nodes.join(several, "component_id").join(numbered.select("__row", "doc_id"), "__row"), "members")
+    first = members.join(members.groupBy("component_id").agg(F.min("doc_id").alias("doc_id")), ["component_id", "doc_id"])
+    # texts only where the smallest id has several rows of a group
+    ties = stage(first.join(first.groupBy("component_id").agg(F.count("*").alias("n")).where("n > 1").select("component_id"), "component_id").select("__row", "component_id"), "ties")
+    told = likely(numbered.select("__row", "text"), ties, "__row").join(ties, "__row").groupBy("component_id").agg(F.min(F.struct("text", "__row")).alias("least"))
+    kept = first.join(ties, "component_id", "left_anti").select("__row").unionByName(told.select("least.__row"))
+    gone = stage(members.join(kept, "__row", "left_anti").select("__row"), "gone")
+    marked = maybe(numbered, gone, "__row")
+    return marked.where("not __maybe").select(*docs.columns).unionByName(marked.where("__maybe").join(gone, "__row", "left_anti").select(*docs.columns))

@@ -205,6 +205,31 @@ def test_links(spark, docs, none, monkeypatch):
     assert near.link(none).count() == 0
 
 
+def test_near_duplicates_stage(spark, sf_dir):
+    base = prose(700, 120).split()
+    data = [(1, prose(701)), (1, prose(702)), (1, prose(702)), (2, None), (2, None), (3, prose(701) + " more")]
+    for k, gaps in enumerate(([], [20, 60], [20, 21, 60, 61], [10, 40, 70], [15, 45, 75, 105], [15, 16, 17])):
+        data += [(10 + k, " ".join(f"w{k}x{i}" if i in gaps else w for i, w in enumerate(base)))]
+    more = prose(703, 120).split()
+    data += [(20, " ".join(more)), (21, " ".join("new" if 40 <= i < 50 else w for i, w in enumerate(more)))]  # 0.81 over five words
+    sets = [frozenset(zip(*((t or "").split()[j:] for j in range(5)), strict=False)) for _, t in data]
+    up = list(range(len(data)))
+
+    def root(x):
+        return x if up[x] == x else root(up[x])
+
+    for a in range(len(data)):
+        for b in range(a):
+            if sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                up[max(root(a), root(b))] = min(root(a), root(b))
+    want = sorted((r for k, r in enumerate(data) if root(k) == k), key=repr)
+    shared = spark.createDataFrame(data, "doc_id bigint, text string")
+    got = rows(corpus_pipeline.near_duplicates(spark, shared, sf_dir), "doc_id", "text")
+    assert got == want and (1, prose(701)) in got and (1, prose(702)) in got and len([i for i, _ in got if i == 21]) == 0
+    alone = shared.where("doc_id > 2")
+    assert [i for i, _ in rows(corpus_pipeline.near_duplicates(spark, alone, sf_dir), "doc_id", "text")] == [i for i, _ in want if i > 9 or i == 3] + [3] * (3 not in [i for i, _ in want])
+
+
 def test_components(spark):
     rng = np.random.RandomState(2)
     pairs = [(int(a), int(b)) for a, b in rng.randint(0, 300, (220, 2))] + [(1000, k) for k in range(1001, 1100)] + [(k, k + 1) for k in range(2000, 2060)]
