@@ -7,7 +7,9 @@ out of fold, so a later model learns from predictions as good as those it will g
 Features are grams of 4 to 6 bytes within words (a leading space marks a word's begin), hashed to
 ``BUCKETS``; the ``features`` buckets whose presence tells the last category best are used, with
 log(1 + count).  Training uses a bounded, documented sample: at most ``sample`` labelled documents with
-and without the last category each, those with the smallest hashes of their ids.  All documents are scored.
+and without the last category each, those with the smallest hashes of their ids, weighted back to the shares
+of all labelled documents.  The threshold is that of the best F1 in a histogram of (score, label) over all
+labelled documents, with out-of-fold scores for the sample's.  All documents are scored.
 
 Defined cases: null and empty texts have no features and get the models' base probabilities, and are
 never called toxic; a null label leaves a document out of that category's training; labelled ids without
@@ -25,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlift.llm.common import WORD_TABLE, add_columns, raw_texts, small_batches
+from ledgerlift.llm.common import WORD_TABLE, add_columns, likely, raw_texts, small_batches
 from ledgerlift.session import stage
 
 _BITS = 20
@@ -33,6 +35,8 @@ BUCKETS = 1 << _BITS
 _SIZES = (4, 5, 6)
 _SLICE = 1 << 20
 FOLDS, SAMPLE, FEATURES = 3, 10_000, 512
+#: Steps of the histogram's log odds, and how far it reaches to both sides.
+_STEPS, _REACH = 1000, 20
 _MIX = 0x9E3779B97F4A7C15
 
 #: Words that tell what kind of toxicity a labelled English document holds.
@@ -144,9 +148,11 @@ def weak_categories(text: str = "text", label: str = "toxic") -> dict:
     return {"insult": kind(INSULT), "contempt": kind(CONTEMPT), "toxic": F.col(label)}
 
 
-def regress(x: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, width: int, steps: int = 300, rate: float = 0.1, shrink: float = 1e-4) -> tuple[np.ndarray, float]:
-    """Weights and bias of a logistic regression over sparse rows (places, values), by full-batch Adam steps."""
-    share = float(y.mean()) if len(y) else 0.0
+def regress(x: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, width: int, steps: int = 300, rate: float = 0.1, shrink: float = 1e-4, weight: np.ndarray | None = None) -> tuple[np.ndarray, float]:
+    """Weights and bias of a logistic regression over sparse rows (places, values), by full-batch Adam steps; ``weight`` is what each row counts."""
+    weight = np.ones(len(y)) if weight is None else weight
+    weight = weight / weight.sum() if len(y) else weight
+    share = float(weight @ y) if len(y) and 0 < y.mean() < 1 else float(y.mean()) if len(y) else 0.0
     if share in (0.0, 1.0):
         p = min(max(share, 1e-6), 1 - 1e-6)
         return np.zeros(width), float(np.log(p / (1 - p)))
@@ -157,7 +163,7 @@ def regress(x: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, width: int, s
     m, v = np.zeros_like(w), np.zeros_like(w)
     for t in range(1, steps + 1):
         z = np.bincount(row, w[col] * val, len(x)) + w[-1]
-        off = (1 / (1 + np.exp(-np.clip(z, -500, 500))) - y) / len(x)
+        off = (1 / (1 + np.exp(-np.clip(z, -500, 500))) - y) * weight
         g = np.append(np.bincount(col, off[row] * val, width) + shrink * w[:-1], off.sum())
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
@@ -167,13 +173,13 @@ def regress(x: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, width: int, s
 def _fit_all(rows: DataFrame, y: str, width: int, folds: int) -> list[tuple[np.ndarray, float]]:
     """The model of all rows with a label, then one without each fold; every model is a task over the bounded sample."""
     models = F.array(F.lit(-1), *[F.when(F.col("fold") != f, f) for f in range(folds)])
-    each = rows.where(F.col(y).isNotNull()).select(F.explode(F.array_compact(models)).alias("model"), F.col(y).cast("double").alias("y"), "idx", "val", "before")
+    each = rows.where(F.col(y).isNotNull()).select(F.explode(F.array_compact(models)).alias("model"), F.col(y).cast("double").alias("y"), "weight", "idx", "val", "before")
 
     def train(key, table):
         before = table["before"].to_pylist()
         last = width - (len(before[0]) if before else 0)
         x = [(np.array([*i, *range(last, width)], dtype=np.int64), np.array([*v, *b])) for i, v, b in zip(table["idx"].to_pylist(), table["val"].to_pylist(), before, strict=True)]
-        w, bias = regress(x, table["y"].to_numpy(), width)
+        w, bias = regress(x, table["y"].to_numpy(), width, weight=table["weight"].to_numpy())
         return pa.table({"model": pa.array([key[0].as_py()], pa.int32()), "w": pa.array([w.tolist()], pa.list_(pa.float64())), "bias": pa.array([bias])})
 
     found = {r["model"]: (np.array(r["w"]), r["bias"]) for r in each.groupBy("model").applyInArrow(train, "model int, w array<double>, bias double").collect()}
@@ -208,11 +214,13 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, n_features: in
     cats = weak_categories()
     names = tuple(cats)
     texts = stage(texts.withColumns({n: c for n, c in cats.items() if n != "toxic"}).repartition(16, "doc_id"), "labelled-texts")
-    total = {r["toxic"]: r["n"] for r in texts.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    known = docs.select("doc_id").join(one, "doc_id").dropDuplicates(["doc_id"])
+    taken, total = ({r["toxic"]: r["n"] for r in df.groupBy("toxic").agg(F.count("*").alias("n")).collect()} for df in (texts, known))
     n_yes, n_no = total.get(1, 0), total.get(0, 0)
+    weigh = [total.get(k, 0) / max(taken.get(k, 0), 1) for k in (0, 1)]  # labelled documents that one of the sample stands for
     place = np.full(BUCKETS, -1, dtype=np.int32)
     # chi-square of presence, for features that speak for the category or against it
-    a, b = F.col("n_yes"), F.col("n_no")
+    a, b = F.col("n_yes") * F.lit(weigh[1]), F.col("n_no") * F.lit(weigh[0])
     chi = F.pow(a * F.lit(float(n_no)) - b * F.lit(float(n_yes)), F.lit(2.0)) / ((a + b) * (F.lit(float(n_yes + n_no) + 1) - a - b))
     best = _presence(texts, "toxic").orderBy(chi.desc(), "bucket").limit(n_features).collect() if n_yes and n_no else []
     for k, r in enumerate(sorted(best, key=lambda r: r["bucket"])):
@@ -220,31 +228,41 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, n_features: in
     width = max(len(best), 1)
     if not best:
         place[0] = 0
-    counted = _counted(texts, place).withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(folds)))
-    base = stage(counted.select("doc_id", "fold", *names, "idx", "val"), "features")
+    counted = _counted(texts.withColumn("filled", F.coalesce(F.col("text") != "", F.lit(False))), place).withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(folds))).withColumn("weight", F.when(F.col("toxic") > 0, F.lit(weigh[1])).otherwise(F.lit(weigh[0])))
+    base = stage(counted.select("doc_id", "fold", "weight", "filled", *names, "idx", "val"), "features")
     weights: list[tuple[np.ndarray, float]] = []
     rows = base.withColumn("before", F.array().cast("array<double>"))
     for k, name in enumerate(names):
         whole, *others = _fit_all(rows, name, width + k, folds)
         weights.append(whole)
         rows = stage(_with_out_of_fold(rows, others, width), "chain")
-    return Chain(names, place, weights, _limit([(r["p"], r[names[-1]]) for r in rows.select(F.element_at("before", -1).alias("p"), names[-1]).collect()]))
-
-
-def _limit(seen: list[tuple[float, int]]) -> float:
-    """Where the sample's out-of-fold predictions reach the best F1; between the two neighbouring values."""
-    seen = sorted(seen, reverse=True)
-    yes = sum(y for _, y in seen)
-    if not yes or yes == len(seen):
+    seen = rows.where("filled").select(F.element_at("before", -1).alias("p"), names[-1])
+    if taken != total:  # labelled documents that the sample leaves out
+        rest = one.join(texts.select("doc_id"), "doc_id", "left_anti")
+        more = score(likely(docs.select("doc_id", "text"), rest, "doc_id").where("text <> ''"), Chain(names, place, weights, 0.5)).select("doc_id", F.col(f"p_{names[-1]}").alias("p"))
+        seen = seen.unionByName(more.join(rest, "doc_id").select("p", names[-1]))
+    return Chain(names, place, weights, _limit(_histogram(seen, names[-1])))
+
+
+def _histogram(seen: DataFrame, label: str) -> list[tuple[float, float, int, int]]:
+    """(least score, largest score, documents, of these with the label) of each step of the log odds; at most 2 * _STEPS * _REACH + 1 rows."""
+    odds = F.log(F.try_divide(F.col("p"), 1 - F.col("p")))  # null at 0 and 1
+    step = F.round(F.least(F.greatest(F.coalesce(odds, F.when(F.col("p") > 0.5, _REACH).otherwise(-_REACH)), F.lit(-_REACH)), F.lit(_REACH)) * _STEPS).cast("int")
+    found = seen.groupBy(step.alias("step")).agg(F.min("p").alias("low"), F.max("p").alias("high"), F.count("*").alias("n"), F.sum(label).alias("yes"))
+    return [(r["low"], r["high"], r["n"], r["yes"]) for r in found.orderBy(F.desc("step")).collect()]
+
+
+def _limit(steps: list[tuple[float, float, int, int]]) -> float:
+    """Where the best F1 is reached; between the two neighbouring steps."""
+    yes, n = sum(s[3] for s in steps), sum(s[2] for s in steps)
+    if not yes or yes == n:
         return 0.5
-    best, at, right = -1.0, 0.5, 0
-    for k, (p, y) in enumerate(seen):
-        right += y
-        if k + 1 < len(seen) and seen[k + 1][0] == p:
-            continue
-        f1 = 2 * right / (k + 1 + yes)
+    best, at, right, above = -1.0, 0.5, 0, 0
+    for k, (low, _, size, hits) in enumerate(steps):
+        right, above = right + hits, above + size
+        f1 = 2 * right / (above + yes)
         if f1 > best:
-            best, at = f1, (p + (seen[k + 1][0] if k + 1 < len(seen) else 0.0)) / 2
+            best, at = f1, (low + (steps[k + 1][1] if k + 1 < len(steps) else 0.0)) / 2
     return at
 
 

@@ -341,6 +341,25 @@ def test_toxicity(spark, docs, none):
     assert not any(r["toxic"] for r in toxicity.score(df, empty).collect()) and toxicity.score(none, chain).count() == 0
 
 
+def test_toxicity_does_not_move_with_the_sample(spark):
+    rng = np.random.RandomState(12)
+    data, labels = [], []
+    for k in range(1200):
+        bad = k % 10 == 0
+        data.append((k, prose(k, 20) + (" stupid " if rng.rand() < (0.6 if bad else 0.15) else " ") + prose(k + 5000, 10)))
+        labels.append((k, int(bad)))
+    df, table = spark.createDataFrame(data, "doc_id bigint, text string"), spark.createDataFrame(labels, "doc_id bigint, toxic int")
+    for sample in (10_000, 100):  # all, then as many of each kind
+        chain = toxicity.fit(df, table, sample=sample, n_features=4)
+        got = {r["doc_id"]: (r["p_toxic"], r["toxic"]) for r in toxicity.score(df, chain).collect()}
+        assert 0.07 < np.mean([p for p, _ in got.values()]) < 0.14
+        if sample == 100:
+            edges = spark.createDataFrame([(0.0, 0), (1.0, 1), (0.5, 1)], "p double, toxic int")
+            assert [h[:2] for h in toxicity._histogram(edges, "toxic")] == [(1.0, 1.0), (0.5, 0.5), (0.0, 0.0)]
+            f1 = lambda at: 2 * sum(got[k][0] >= at for k in range(0, 1200, 10)) / (sum(p >= at for p, _ in got.values()) + 120)
+            assert f1(chain.limit) > max(map(f1, {p for p, _ in got.values()})) - 0.05
+
+
 def test_pipeline(spark, docs, none, sf_dir):
     columns = docs.columns
     extra = docs.withColumn("n_words", docs.n_chars).withColumn("hit_items", docs.lang)
