@@ -30,9 +30,11 @@ _SYMBOLS = b"#*$%&|<>"
 _CONTINUED = bytes(range(0x80, 0xC0))
 #: Texts with more words count their windows in arrays instead of a dictionary.
 _ARRAY_WORDS = 20_000
+#: Words of a window whose different words are counted; the share of different words of a whole text falls with its length.
+WINDOW = 1000
 
 _OWN = "__quality_"
-MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_capital_words", "n_distinct_words")
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_capital_words", "n_distinct_words", "n_window_distinct")
 
 
 def _repeated(words: list[bytes], width: int = 5) -> int:
@@ -70,6 +72,7 @@ def measure(raw: bytes | None) -> tuple[int, ...]:
     return (
         len(words), len(raw.translate(None, _SPACE + _CONTINUED)), len(raw) - len(raw.translate(None, _SYMBOLS)), len(lines) - len(set(lines)),
         _repeated(words), len(lines), capital, len(set(words)),
+        sum(len(set(words[k:k + WINDOW])) for k in range(0, len(words), WINDOW)),
     )
 
 
@@ -89,6 +92,7 @@ RULES = (
     Rule("capitals", "100 * n_capital_words > 30 * n_words"),
     Rule("repeated_lines", "100 * n_dup_lines > 40 * n_lines"),
     Rule("few_distinct_words", "n_words >= 20 and 100 * n_distinct_words < 30 * n_words"),
+    Rule("few_distinct_in_windows", "n_words >= 20 and 100 * n_window_distinct < 30 * n_words"),
 )
 BIT = {r.name: 1 << k for k, r in enumerate(RULES)}
 
@@ -110,8 +114,10 @@ class Policy:
 
 
 BASE = Policy("base", ("few_words", "repeated_windows"))
-POLICIES = {p.version: p for p in (BASE, Policy("v1", tuple(BIT)))}
-CURRENT = "v1"
+_V1 = ("few_words", "repeated_windows", "symbols", "capitals", "repeated_lines", "few_distinct_words")
+#: v2 judges different words by windows, so long texts don't fail for their length.
+POLICIES = {p.version: p for p in (BASE, Policy("v1", _V1), Policy("v2", (*_V1[:-1], "few_distinct_in_windows")))}
+CURRENT = "v2"
 
 
 def _measured(docs: DataFrame, drop: tuple[str, ...]) -> tuple[DataFrame, Column]:

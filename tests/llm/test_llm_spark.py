@@ -93,6 +93,17 @@ def test_quality(spark, docs, none):
     assert {r["n_docs"] for r in quality.ablations(quality.ledger(none), policy).collect()} == {0}
 
 
+def test_long_texts_do_not_fail_for_their_length(spark):
+    rng = np.random.RandomState(6)
+    common = 1 / (3 + np.arange(20_000))  # about as in natural text
+    clean = " ".join(f"w{k}" for k in rng.choice(20_000, 60_000, p=common / common.sum()))
+    junk = " ".join(f"w{k}" for k in rng.randint(0, 150, 60_000))
+    df = spark.createDataFrame([(1, clean), (2, junk), (3, clean[:3000])], "doc_id bigint, text string")
+    got = {r["doc_id"]: r for r in quality.ledger(df).collect()}
+    assert 100 * got[1]["n_distinct_words"] < 30 * got[1]["n_words"] and got[1]["failures"] & quality.BIT["few_distinct_words"]
+    assert {r["doc_id"] for r in quality.keep(df.drop("n_chars")).collect()} == {1, 3}
+
+
 def test_pseudonyms(spark, docs, none):
     out = pii.pseudonymise(clash(docs), PII_KEY)
     new = {r["doc_id"]: r for r in out.collect() if r["doc_id"] not in (None, 3)}
