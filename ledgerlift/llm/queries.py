@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlift.llm import decontaminate, extract, near, packing, pii, quality, repeats, toxicity, url_filter, warc
+from ledgerlift.llm import decontaminate, extract, minhash, near, packing, periodic, pii, quality, repeats, toxicity, tries, url_filter, warc
 from ledgerlift.llm.common import table
 from ledgerlift.session import stage_path
 
@@ -170,3 +170,88 @@ def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op6_suffix_dedup")
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@_query("op11_filter_audit", r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, coalesce(CAST(lang AS VARCHAR), '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w, min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS least
+  FROM documents),
+m AS (SELECT doc_id, part, CAST(len(w) < 100 AS INTEGER) + 2 * CAST(100 * len(list_distinct(w)) < 80 * len(w) AS INTEGER)
+             + 4 * CAST(100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t) AS INTEGER) + 8 * CAST(regexp_matches(t, '[#$%&*|]') AS INTEGER)
+             + 16 * CAST(coalesce(doc_id > least, false) AS INTEGER) AS mask FROM d),
+l AS (SELECT doc_id, max(CAST(quality = 1 AS INTEGER)) AS good, max(CAST(toxic = 1 AS INTEGER)) AS toxic FROM labels GROUP BY doc_id),
+c AS (SELECT part, mask, count(*) AS n, coalesce(sum(good), 0) AS good, coalesce(sum(toxic), 0) AS toxic FROM m LEFT JOIN l USING (doc_id) GROUP BY part, mask),
+o(filter_order, step, bit, earlier) AS (
+  SELECT '', 0, 0, 0
+  UNION ALL SELECT filter_order || substr('ABCDE', k, 1), step + 1, 1 << (k - 1), earlier | bit FROM o, range(1, 6) r(k) WHERE ((earlier | bit) >> (k - 1)) & 1 = 0),
+whole AS (SELECT filter_order AS whole FROM o WHERE step = 5),
+s AS (SELECT whole AS filter_order, step, bit, earlier FROM whole JOIN o ON step > 0 AND starts_with(whole, o.filter_order)),
+parts AS (SELECT DISTINCT part FROM c)
+SELECT c.part, s.filter_order, CAST(s.step AS INTEGER) AS step,
+       CAST(sum(CASE WHEN c.mask & (s.earlier | s.bit) = 0 THEN c.n ELSE 0 END) AS BIGINT) AS kept,
+       CAST(sum(CASE WHEN c.mask & s.bit <> 0 AND c.mask & s.earlier = 0 THEN c.n ELSE 0 END) AS BIGINT) AS removed,
+       CAST(sum(CASE WHEN c.mask & s.bit <> 0 AND c.mask & s.earlier <> 0 THEN c.n ELSE 0 END) AS BIGINT) AS redundant,
+       CAST(sum(CASE WHEN c.mask = s.bit THEN c.n ELSE 0 END) AS BIGINT) AS unique_fails,
+       CAST(sum(CASE WHEN c.mask & s.bit <> 0 AND c.mask & s.earlier = 0 THEN c.good ELSE 0 END) AS BIGINT) AS good_lost,
+       CAST(sum(CASE WHEN c.mask & s.bit <> 0 AND c.mask & s.earlier = 0 THEN c.toxic ELSE 0 END) AS BIGINT) AS toxic_lost,
+       CAST(sum(sum(CASE WHEN c.mask & s.bit <> 0 AND c.mask & s.earlier = 0 THEN c.n ELSE 0 END)) OVER (PARTITION BY c.part, s.bit) AS BIGINT) AS shapley
+FROM c, s GROUP BY c.part, s.filter_order, s.step, s.bit, s.earlier
+""")
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tries.audit(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), table(spark, sf_dir, "labels"))
+
+
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """Every tenth text, by the check sum of its id, with its words periodic from one word on."""
+    rows = docs.withColumn("__h", F.crc32(F.col("doc_id").cast("string"))).withColumn("__g", F.floor(F.col("__h") / 10).cast("bigint"))
+    rows = rows.withColumn("__w", F.when(F.col("__h") % 10 == 0, F.expr(r"filter(split(text, '[ \\t\\n\\x0B\\f\\r]+'), x -> x <> '')")))
+    rows = rows.withColumn("__n", F.when(F.size("__w") > 0, F.size("__w").cast("bigint"))).withColumn("__a", F.col("__g") % F.col("__n"))
+    rows = rows.withColumn("__p", F.floor((F.col("__n") - F.col("__a")) / (3 + F.col("__g") % 8)).cast("bigint") + 1)
+    planted = F.expr("array_join(transform(sequence(0L, __n - 1), i -> __w[cast(if(i < __a, i, __a + (i - __a) % __p) as int)]), ' ')")
+    return rows.select("doc_id", F.when(F.col("__n").isNotNull(), planted).otherwise(F.col("text")).alias("text"))
+
+
+@_query("op12_periodic_runs", r"""
+WITH k AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+                  xor(list_reduce(list_concat([4294967295], list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+                                  lambda c, b: list_reduce(list_concat([xor(c, b)], range(8)), lambda e, j: CASE WHEN e % 2 = 1 THEN xor(e // 2, 3988292384) ELSE e // 2 END)), 4294967295) AS h
+           FROM documents),
+p AS (SELECT doc_id, w, len(w) AS n, h, h // 10 AS g, CASE WHEN len(w) > 0 THEN (h // 10) % len(w) ELSE 0 END AS a FROM k),
+q AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS period FROM p),
+d AS (SELECT doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(range(n), lambda i: w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % period END]) ELSE w END AS w FROM q),
+g AS (SELECT doc_id, unnest(range(n - 5)) AS i, unnest(list_transform(range(n - 5), lambda i: array_to_string(w[i + 1:i + 6], ' '))) AS gram FROM d WHERE n >= 12),
+s AS (SELECT a.doc_id, a.i, b.i - a.i AS lag FROM g a JOIN g b ON a.doc_id = b.doc_id AND a.gram = b.gram AND a.i < b.i),
+e AS (SELECT doc_id, lag, min(i) AS start, count(*) + 5 AS size FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, lag ORDER BY i) AS island FROM s) GROUP BY doc_id, lag, island),
+r AS (SELECT doc_id, start, size + lag AS length, min(lag) AS period FROM e WHERE size >= greatest(lag, 12 - lag) GROUP BY doc_id, start, size + lag),
+t AS (SELECT doc_id, count(*) AS n_runs, first(struct_pack(s := start, l := length, p := period) ORDER BY length DESC, start, period) AS best,
+             string_agg(concat(start, ',', length, ',', period, chr(10)), '' ORDER BY start, period) AS runs FROM r GROUP BY doc_id),
+gone AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM r),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS words FROM (SELECT doc_id, unnest(w) AS word, unnest(range(n)) AS i FROM d) ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT d.doc_id, CAST(coalesce(n_runs, 0) AS BIGINT) AS n_runs, CAST(best.s AS BIGINT) AS start, CAST(best.l AS BIGINT) AS length, CAST(best.p AS BIGINT) AS period,
+       CAST(1000 * best.l // best.p AS BIGINT) AS exponent_milli, sha256(coalesce(runs, '')) AS runs_sha256, sha256(coalesce(words, '')) AS collapsed_sha256
+FROM d LEFT JOIN t USING (doc_id) LEFT JOIN kept USING (doc_id)
+""")
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.periodic_runs(with_planted_runs(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    best = F.expr("array_max(transform(runs, r -> struct(r.length as length, -r.start as start, -r.period as period)))")
+    told = F.expr(r"array_join(transform(runs, r -> concat(r.start, ',', r.length, ',', r.period, '\n')), '')")
+    out = found.select("doc_id", F.size("runs").cast("bigint").alias("n_runs"), best.alias("best"), F.sha2(told.cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
+    return out.select(
+        "doc_id", "n_runs", (-F.col("best.start")).alias("start"), F.col("best.length").alias("length"), (-F.col("best.period")).alias("period"),
+        F.expr("1000 * best.length div -best.period").alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
+@_query("op13_minhash_dedup", r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, greatest(len(w) - 1, 1) + 1), lambda i: array_to_string(w[i:i + 1], ' '))) AS g FROM d WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT x, y FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * c >= 80 * (nx.n + ny.n - c)),
+e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r(doc_id, c) AS (SELECT DISTINCT x, x FROM e UNION SELECT e.y, r.c FROM r JOIN e ON e.x = r.doc_id)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, coalesce(m.c, d.doc_id) AS component_id, coalesce(m.c, d.doc_id) = d.doc_id AS kept
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT doc_id, min(c) AS c FROM r GROUP BY doc_id) m USING (doc_id)
+""")
+def op13_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.link(table(spark, sf_dir, "documents").select("doc_id", "text"))
