@@ -137,8 +137,8 @@ def _(spark, sf):
 
 _GRID = {
     "gy": "SELECT business_id, product_group, coalesce(sum(total_value) FILTER (year(sold_on) = 1999), 0) AS s2, coalesce(sum(total_value) FILTER (year(sold_on) = 2000), 0) AS s3 FROM hist WHERE business_id IS NOT NULL AND product_group IS NOT NULL AND year(sold_on) IN (1999, 2000) GROUP BY 1, 2",
-    "tg": "SELECT product_group FROM gy GROUP BY 1 ORDER BY sum(s2 + s3) DESC, 1 LIMIT 60",
-    "g0": """SELECT b.business_id, b.company_segment, b.sales_y2_eur, tg.product_group, coalesce(gy.s2, 0) AS s2, coalesce(gy.s3, 0) AS s3, coalesce(coalesce(gy.s2, 0) / nullif(b.sales_y2_eur, 0), 0) AS own FROM back b CROSS JOIN tg
+    "tg": "SELECT DISTINCT product_group FROM gy",
+    "g0": """SELECT b.business_id, b.company_segment, b.sales_y2_eur, tg.product_group, coalesce(gy.s2, 0) AS s2, coalesce(gy.s3, 0) AS s3, coalesce(coalesce(gy.s2, 0) / nullif(b.sales_y2_eur, 0), 0) AS own, gy.business_id IS NOT NULL AS listed FROM back b CROSS JOIN tg
  LEFT JOIN gy ON gy.business_id = b.business_id AND gy.product_group = tg.product_group""",
     "pe": "SELECT company_segment, product_group, coalesce(sum(s2) / nullif(sum(sales_y2_eur), 0), 0) AS peer FROM g0 WHERE company_segment IS NOT NULL GROUP BY 1, 2",
     "grid": "SELECT g0.*, greatest(peer - own, 0) AS gap, sales_y2_eur * greatest(peer - own, 0) AS expected, CASE WHEN g0.company_segment LIKE '1-5M%' THEN 100.0::DOUBLE ELSE 0 END AS rec FROM g0 LEFT JOIN pe USING (company_segment, product_group)",
@@ -151,17 +151,20 @@ _GRID = {
 def group_grid(spark, sf):
     frame = stage(back_frame(spark, sf).select("business_id", "company_segment", "sales_y2_eur", "actual_sales_y3_eur"), "back")
     grouped = history_lines(spark, sf).select("business_id", "product_group", F.year("sold_on").alias("year"), F.col("total_value").alias("sales_eur"))
-    totals = history_lines(spark, sf).filter(F.col("product_group").isNotNull()).select("product_group").distinct()
-    rec = frame.filter(F.col("company_segment").startswith("1-5M")).withColumn("_g", totals.agg(F.collect_list("product_group").alias("g")).scalar())
-    rec = rec.select("business_id", F.explode("_g").alias("product_group"), F.lit(100.0).alias("recommended_group_expected_potential_eur"), F.lit(1).alias("recommendation_rank"))
+    rec = grouped.filter(F.col("product_group").isNotNull() & (F.col("year") == 1999)).select("business_id", "product_group").distinct().withColumns(
+        {"recommended_group_expected_potential_eur": F.lit(100.0), "recommendation_rank": F.lit(1)}
+    )
     return stage(bt.group_model(grouped, frame, rec, y2=1999, y3=2000), "group-grid")
 
 
 @query("bt_03_group_grid", sql("hist back", """
-SELECT business_id, product_group, round(s2, 4) AS customer_group_sales_y2_eur, round(own, 9) AS customer_group_share_y2, round(gap, 9) AS white_space_gap_y2, round(expected, 2) AS group_model_expected_eur FROM grid""", {k: v for k, v in _GRID.items() if not k.startswith("cal")}))
+SELECT business_id, company_segment, product_group, count(*)::BIGINT AS customers, round(sum(s2), 4) AS customer_group_sales_y2_eur, round(any_value(own), 9) AS customer_group_share_y2, round(any_value(gap), 9) AS white_space_gap_y2,
+ round(sum(expected), 2) AS group_model_expected_eur FROM (
+SELECT CASE WHEN listed THEN business_id END AS business_id, CASE WHEN listed OR known THEN company_segment END AS company_segment, product_group, s2, own, gap, expected FROM (
+ SELECT *, company_segment IS NOT NULL AND bool_or(listed) OVER (PARTITION BY company_segment, product_group) AS known FROM grid)) GROUP BY ALL""", {k: v for k, v in _GRID.items() if not k.startswith("cal")}))
 def _(spark, sf):
     return group_grid(spark, sf).select(
-        "business_id", "product_group", F.round("customer_group_sales_y2_eur", 4).alias("customer_group_sales_y2_eur"), F.round("customer_group_share_y2", 9).alias("customer_group_share_y2"),
+        "business_id", "company_segment", "product_group", "customers", F.round("customer_group_sales_y2_eur", 4).alias("customer_group_sales_y2_eur"), F.round("customer_group_share_y2", 9).alias("customer_group_share_y2"),
         F.round("white_space_gap_y2", 9).alias("white_space_gap_y2"), F.round("group_model_expected_eur", 2).alias("group_model_expected_eur"),
     )
 

@@ -116,8 +116,7 @@ _PRODREC = {
     "st": """SELECT m.*, coalesce(s.v, 0) AS sold, coalesce(s.n, 0) AS buyers, coalesce(gt.peer, 0) AS peer,
  CASE WHEN gt.total > 0 THEN coalesce(s.v, 0) / gt.total ELSE 1.0 / count(*) OVER (PARTITION BY m.product_group) END AS share FROM pmaster m
  LEFT JOIN (SELECT product_code, sum(sales_eur) AS v, count(DISTINCT business_id) AS n FROM psales GROUP BY 1) s USING (product_code) LEFT JOIN gt USING (product_group)""",
-    "pool": """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY product_group ORDER BY share DESC, sold DESC, product_code) AS prn FROM st
- WHERE NOT excluded_from_recommendations AND (product_code LIKE 'IF%' OR product_code LIKE 'DIF%')) WHERE prn <= 25""",
+    "pool": "SELECT * FROM st WHERE NOT excluded_from_recommendations AND (product_code LIKE 'IF%' OR product_code LIKE 'DIF%')",
     "own": "SELECT business_id, product_group, sum(sales_eur) / (SELECT sum(x.sales_eur) FROM psales x WHERE x.business_id = p.business_id) AS share FROM psales p WHERE product_group IS NOT NULL GROUP BY 1, 2",
     "cand": """SELECT c.business_id, c.expected_potential_eur AS e, 'current' AS kind, s.product_code, s.product_group, s.share, s.peer, s.buyers FROM custs c JOIN (SELECT DISTINCT business_id, product_code FROM psales) b USING (business_id)
  JOIN st s USING (product_code) WHERE NOT excluded_from_recommendations

@@ -63,14 +63,14 @@ def _(spark, sf):
 
 @query("jn_06_customer_by_group", sql("custs psales", """
 SELECT c.business_id, g.product_group, coalesce(o.v, 0) AS v FROM (SELECT business_id FROM custs) c CROSS JOIN
- (SELECT product_group, sum(sales_eur) AS t FROM psales WHERE product_group IS NOT NULL GROUP BY 1 ORDER BY t DESC, 1 LIMIT 20) g
+ (SELECT DISTINCT product_group FROM psales WHERE product_group IS NOT NULL) g
 LEFT JOIN (SELECT business_id, product_group, round(sum(sales_eur), 4) AS v FROM psales GROUP BY ALL) o ON o.business_id = c.business_id AND o.product_group = g.product_group"""))
 def _(spark, sf):
     from ledgerlift.plans.backtest import customer_group_grid
 
     sold = product_sales(spark, sf)
     own = sold.groupBy("business_id", "product_group").agg(F.round(F.sum("sales_eur"), 4).alias("v"))
-    grid = customer_group_grid(scored_customers(spark, sf).select("business_id"), sold.filter(F.col("product_group").isNotNull()), "product_group", "sales_eur", n=20)
+    grid = customer_group_grid(scored_customers(spark, sf).select("business_id"), sold.filter(F.col("product_group").isNotNull()), "product_group", "sales_eur")
     return grid.join(own, ["business_id", "product_group"], "left").select("business_id", "product_group", F.coalesce("v", F.lit(0.0)).alias("v"))
 
 

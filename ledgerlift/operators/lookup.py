@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ledgerlift.functions import text as tx
 from ledgerlift.operators.ranking import Order, first_per_key, sort_columns, top_n
+from ledgerlift.session import stage
 
 
 class DuplicateKeyError(ValueError):
@@ -181,25 +182,42 @@ def token_in_text_join(
     return keys.join(allowed, "_key").select(record_id, item_id).distinct()
 
 
+#: Lengths of the grams that names are found by; a name is looked up by the longest that it has room for.
+GRAM_SIZES = (1, 2, 3, 4, 8, 16)
+
+
+def _grams(text: Column, size: Column | int) -> Column:
+    """The different pieces of ``size`` characters of a text that has as many."""
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - size + 1), lambda i: F.substring(text, i, F.lit(size) if isinstance(size, int) else size)))
+
+
 def contained_names(longer: DataFrame, long_id: str, long_name: str, shorter: DataFrame, short_name: str) -> DataFrame:
-    """Pairs in which a whole name is a part of a longer text, found by equality.
+    """Pairs in which a whole name is a part of a longer text; ``long_id`` names a text.
 
-    Every part of the text that has the length of some name is looked up: the lengths in use are
-    few, so a text of n characters gives at most n keys per length, and only true hits are joined.
+    A name is indexed under one of its pieces only, the one that the fewest texts hold; texts meet the names under
+    their own pieces, and what meets is verified.  A text gives at most as many rows as it has pieces of
+    the few sizes in use, whatever the names are.
     """
-    lengths = shorter.agg(F.array_sort(F.collect_set(F.length(short_name))).alias("l"))
-    texts = longer.select(long_id, F.col(long_name).alias("_t")).withColumn("_lens", lengths.scalar())
-    usable = F.filter("_lens", lambda n: n <= F.length("_t"))
-    parts = texts.filter(F.size(usable) > 0).select(long_id, "_t", F.explode(usable).alias("_n")).select(
-        long_id,
-        F.explode(
-            F.array_distinct(
-                F.transform(F.sequence(F.lit(1), F.length("_t") - F.col("_n") + 1), lambda i: F.substring("_t", i, F.col("_n")))
-            )
-        ).alias("_part"),
-    )
-    names = shorter.select(F.col(short_name).alias("_part"), *[c for c in shorter.columns if c != short_name])
-    return parts.join(names, "_part").withColumnRenamed("_part", short_name)
+    size = F.lit(GRAM_SIZES[0])
+    for g in GRAM_SIZES[1:]:
+        size = F.when(F.length("_name") >= g, F.lit(g)).otherwise(size)
+    names = shorter.filter(F.length(short_name) > 0).select(F.col(short_name).alias("_name")).distinct()
+    names = stage(names.withColumn("_size", size).withColumn("_gram", F.explode(_grams(F.col("_name"), F.col("_size")))), "name-pieces")
+    used = names.select("_size", "_gram").distinct()
+    sizes = [r["_size"] for r in names.select("_size").distinct().collect()]  # six at most
+    texts = stage(longer.select(F.col(long_id).alias("_long"), F.col(long_name).alias("_t")).filter(F.col("_t").isNotNull()), "texts")
+    pieces = F.array(*[F.struct(F.lit(g).alias("_size"), F.when(F.length("_t") >= g, _grams(F.col("_t"), g)).alias("_grams")) for g in sizes])
+    found = texts.select("_long", F.explode(pieces).alias("_p")).select("_long", F.col("_p._size").alias("_size"), F.explode("_p._grams").alias("_gram")) if sizes else texts.select(
+        "_long", F.lit(0).alias("_size"), F.lit("").alias("_gram"))
+    found = stage(found.join(used, ["_size", "_gram"], "left_semi"), "text-pieces")
+    often = found.groupBy("_size", "_gram").agg(F.count("*").alias("_often"))
+    # a piece that no text has rules its name out
+    index = names.join(often, ["_size", "_gram"], "left").groupBy("_name", "_size").agg(F.min(F.struct(F.coalesce("_often", F.lit(0)).alias("_often"), "_gram")).alias("_best"))
+    index = index.filter("_best._often > 0").select("_name", "_size", F.col("_best._gram").alias("_gram"))
+    met = found.join(index, ["_size", "_gram"]).select("_long", "_name").join(texts, "_long").filter(F.contains("_t", "_name"))
+    facts = shorter.withColumnRenamed(short_name, "_name")
+    return met.select(F.col("_long").alias(long_id), "_t", "_name").join(facts, "_name").select(
+        long_id, "_t", F.col("_name").alias(short_name), *[c for c in shorter.columns if c != short_name])
 
 
 def unique_containment(open_rows: DataFrame, row_id: str, name: str, known: DataFrame, known_name: str, known_id: str, *, min_len: int = 4) -> DataFrame:
@@ -234,18 +252,7 @@ def similarity_at(threshold: float):
     return ratio
 
 
-def _segments(text: Column, parts: Column) -> Column:
-    """A text cut into ``parts`` nearly equal pieces: structs of piece number, start and piece."""
-    base = F.floor(F.length(text) / parts).cast("int")
-    extra = F.length(text) - base * parts
-    return F.transform(
-        F.sequence(F.lit(0), parts - 1),
-        lambda i: F.struct(
-            i.alias("i"),
-            (i * base + F.least(i, extra) + 1).alias("start"),
-            F.substring(text, i * base + F.least(i, extra) + 1, base + (i < extra).cast("int")).alias("piece"),
-        ),
-    )
+GRAM = 3
 
 
 def _max_edits(total: Column, threshold: float) -> Column:
@@ -253,52 +260,59 @@ def _max_edits(total: Column, threshold: float) -> Column:
     return F.floor(total * (1.0 - threshold) + 1e-9).cast("int")
 
 
+def _partners(size: Column, threshold: float) -> tuple[Column, Column]:
+    """Shortest and longest text that can reach the threshold with one of that size."""
+    return F.ceil(size * (threshold / (2.0 - threshold)) - 1e-9).cast("int"), F.floor(size * ((2.0 - threshold) / threshold) + 1e-9).cast("int")
+
+
+def _tokens(text: Column) -> Column:
+    """The text's different grams, padded at both ends."""
+    pad = GRAM - 1
+    padded = F.concat(F.lit("\u0001" * pad), text, F.lit("\u0002" * pad))
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) + pad), lambda i: F.substring(padded, i, F.lit(GRAM))))
+
+
+def similar_candidates(left: DataFrame, left_key: str, right: DataFrame, right_key: str, threshold: float) -> DataFrame:
+    """(_l, _r): pairs of distinct texts among which are all with similarity >= ``threshold``.
+
+    A ratio r over lengths m and n allows d = (1 - r)(m + n) insertions and deletions, and each spoils the grams at
+    ``GRAM`` places at most.  So of each text's different grams all but ``GRAM * d`` are the other's too, and under
+    any order of all grams the first one in common is among the first ``GRAM * d + 1`` of both.  Grams are ordered by how many texts hold them, rare ones
+    first: what most names begin or end with is never a key.  Pairs that meet are counted on all their
+    grams before anything is scored.
+    """
+    lefts = left.select(F.col(left_key).alias("_t")).filter(F.length("_t") > 0).distinct()
+    rights = right.select(F.col(right_key).alias("_t")).filter(F.length("_t") > 0).distinct()
+    both = lefts.withColumn("_side", F.lit(0)).unionByName(rights.withColumn("_side", F.lit(1))).withColumn("_n", F.length("_t"))
+    both = stage(both.withColumn("_tokens", _tokens(F.col("_t"))).withColumn("_size", F.size("_tokens")), "name-grams")
+    held = both.select("_t", "_side", "_n", "_size", F.explode("_tokens").alias("_g"))
+    often = held.groupBy("_g").agg(F.count("*").alias("_f"))
+    low, high = _partners(F.col("_n"), threshold)
+    edits = _max_edits(F.col("_n") + high, threshold)
+    # a text so short that the edits may spoil all its grams has no prefix that must be met
+    short = GRAM * edits >= F.col("_size")
+    ranked = held.join(often, "_g").filter(~short).groupBy("_t", "_side", "_n").agg(F.array_sort(F.collect_list(F.struct("_f", "_g"))).alias("_order"))
+    prefix = ranked.withColumn("_k", F.explode(F.slice("_order", F.lit(1), GRAM * edits + 1))).select("_t", "_side", "_n", F.col("_k._g").alias("_g"), low.alias("_low"), high.alias("_high"))
+    prefix = stage(prefix, "name-prefixes")
+    a, b = (prefix.filter(F.col("_side") == k).select("_g", F.col("_t").alias(t), F.col("_n").alias(n), F.col("_low").alias(f"{n}_low"), F.col("_high").alias(f"{n}_high")) for k, t, n in ((0, "_l", "_m"), (1, "_r", "_n")))
+    met = a.join(b, "_g").filter((F.col("_n") >= F.col("_m_low")) & (F.col("_n") <= F.col("_m_high"))).select("_l", "_r").distinct()
+    met = met.withColumns({"_a": _tokens(F.col("_l")), "_b": _tokens(F.col("_r"))})
+    spoilt = GRAM * _max_edits(F.length("_l") + F.length("_r"), threshold)
+    met = met.filter(F.size(F.array_intersect("_a", "_b")) >= F.greatest(F.size("_a"), F.size("_b")) - spoilt).select("_l", "_r")
+    # the short ones meet by length
+    tiny = both.filter(short).select("_t", "_side", "_n", low.alias("_low"), high.alias("_high"))
+    reach = lambda side, t: tiny.filter(F.col("_side") == side).select(F.col("_t").alias(t), F.explode(F.sequence("_low", "_high")).alias("_n"))
+    others = lambda side, t: both.filter(F.col("_side") == side).select(F.col("_t").alias(t), "_n")
+    by_length = reach(0, "_l").join(others(1, "_r"), "_n").select("_l", "_r").unionByName(reach(1, "_r").join(others(0, "_l"), "_n").select("_l", "_r"))
+    return met.unionByName(by_length).distinct()
+
+
 def similar_pairs(left: DataFrame, left_key: str, right: DataFrame, right_key: str, threshold: float, *, condition=None) -> DataFrame:
-    """All pairs of distinct texts with similarity >= ``threshold``.
+    """All pairs of distinct texts with similarity >= ``threshold``, see :func:`similar_candidates`.
 
-    A ratio r over lengths m and n allows (1-r)(m+n) insertions and deletions.  Cut the right
-    text into one piece more than that: one piece survives unchanged in the left text, shifted by
-    no more than the edits.  Equality on (lengths, piece number, piece) finds every such pair, and
-    only those candidates are scored.  ``condition(left text, right text)`` may narrow them first.
+    ``condition(left text, right text)`` may narrow them before they are scored.
     """
-    rights = right.select(F.col(right_key).alias("_r")).filter(F.length("_r") > 0).distinct()
-    lefts = left.select(F.col(left_key).alias("_l")).filter(F.length("_l") > 0).distinct()
-    n, m = F.length("_r"), F.length("_l")
-    # lengths of a left text that can reach the threshold with a right text of length n
-    span = lambda size: F.sequence(
-        F.ceil(size * (threshold / (2.0 - threshold)) - 1e-9).cast("int"), F.floor(size * ((2.0 - threshold) / threshold) + 1e-9).cast("int")
-    )
-    right_keys = (
-        rights.select("_r", F.explode(span(n)).alias("_m"))
-        .withColumn("_d", _max_edits(F.col("_m") + F.length("_r"), threshold))
-        .filter(F.col("_d") + 1 <= F.length("_r"))
-        .select("_r", "_m", F.length("_r").alias("_n"), "_d", F.explode(_segments(F.col("_r"), F.col("_d") + 1)).alias("s"))
-        .select("_r", "_m", "_n", F.col("s.i").alias("_i"), F.col("s.piece").alias("_piece"))
-    )
-    shape = (
-        lefts.select("_l", F.length("_l").alias("_m"), F.explode(span(m)).alias("_n"))
-        .withColumn("_d", _max_edits(F.col("_m") + F.col("_n"), threshold))
-        .filter(F.col("_d") + 1 <= F.col("_n"))
-    )
-    base = F.floor(F.col("_n") / (F.col("_d") + 1)).cast("int")
-    extra = F.col("_n") - base * (F.col("_d") + 1)
-    pieces = shape.select("_l", "_m", "_n", "_d", F.explode(F.sequence(F.lit(0), F.col("_d"))).alias("_i"), base.alias("_b"), extra.alias("_e"))
-    pieces = pieces.withColumn("_start", F.col("_i") * F.col("_b") + F.least("_i", "_e") + 1).withColumn(
-        "_len", F.col("_b") + (F.col("_i") < F.col("_e")).cast("int")
-    )
-    low = F.greatest(F.lit(1), F.col("_start") - F.col("_d"))
-    high = F.least(F.col("_m") - F.col("_len") + 1, F.col("_start") + F.col("_d"))
-    left_keys = pieces.filter(low <= high).select(
-        "_l", "_m", "_n", "_i",
-        F.explode(F.array_distinct(F.transform(F.sequence(low, high), lambda p: F.substring("_l", p, F.col("_len"))))).alias("_piece"),
-    )
-    candidates = left_keys.join(right_keys, ["_m", "_n", "_i", "_piece"]).select("_l", "_r").distinct()
-    # texts so short that they allow more edits than they have characters: pair them by length only
-    tiny_right = rights.select("_r", F.explode(span(n)).alias("_m")).filter(
-        _max_edits(F.col("_m") + F.length("_r"), threshold) + 1 > F.length("_r")
-    )
-    tiny = lefts.join(tiny_right, F.length("_l") == F.col("_m")).select("_l", "_r")
-    pairs = candidates.unionByName(tiny).distinct()
+    pairs = similar_candidates(left, left_key, right, right_key, threshold)
     if condition is not None:
         pairs = pairs.filter(condition(F.col("_l"), F.col("_r")))
     scored = pairs.withColumn("similarity", similarity_at(threshold)("_l", "_r"))

@@ -139,19 +139,48 @@ def quota_top(
     return top_n(kept.drop("_special", "_r", "_taken"), keys, order, limit, rank_col)
 
 
+#: Places of a ranking that travel together, and rows that look at the same places in one task.
+PLACE_BLOCK, PLACE_SHARE = 64, 20_000
+
+
+def take_places(wanted: DataFrame, ranked: DataFrame, keys: Sequence[str], place: str, need: Column, spread: Sequence[str]) -> DataFrame:
+    """The first ``need`` rows of its key's ranking for each row of ``wanted``: columns of both, keys once.
+
+    Everyone who shares a key wants its first places, so those are hot whatever the ranking's size.  Places are cut
+    into blocks of ``PLACE_BLOCK``; a block that more than ``PLACE_SHARE`` rows want is copied as often as these fill
+    tasks, and the rows are dealt to the copies by the ``spread`` columns (an id of theirs).  Copies hold
+    no more than one block for each ``PLACE_SHARE`` rows that want it.  Places beyond the ranking's end give
+    nothing; a null key matches a null key.
+    """
+    facts = [c for c in ranked.columns if c not in keys]
+    blocks = ranked.groupBy(*keys, F.floor((F.col(place) - 1) / PLACE_BLOCK).cast("int").alias("_block")).agg(
+        F.collect_list(F.struct(*facts)).alias("_rows")  # at most as many as one block has places for each key
+    )
+    asks = wanted.withColumn("_need", need.cast("bigint")).filter(F.col("_need") > 0)
+    asks = asks.withColumn("_block", F.explode(F.sequence(F.lit(0), F.floor((F.col("_need") - 1) / PLACE_BLOCK).cast("int"))))
+    hot = asks.groupBy(*keys, "_block").agg(F.count("*").alias("_n")).filter(F.col("_n") > PLACE_SHARE)
+    hot = stage(hot.withColumn("_copies", F.ceil(F.col("_n") / PLACE_SHARE).cast("int")).drop("_n"), "hot-places")
+    copied = F.explode(F.sequence(F.lit(0), F.coalesce("_copies", F.lit(1)) - 1))
+    blocks = join_on(blocks, hot, [*keys, "_block"], "left").withColumn("_copy", copied).drop("_copies")
+    asks = join_on(asks, hot, [*keys, "_block"], "left").withColumn(
+        "_copy", F.pmod(F.xxhash64(*spread), F.coalesce("_copies", F.lit(1)).cast("bigint")).cast("int")
+    ).drop("_copies")
+    met = join_on(asks, blocks, [*keys, "_block", "_copy"], "inner").drop("_block", "_copy")
+    met = met.withColumn("_row", F.explode("_rows")).filter(F.col(f"_row.{place}") <= F.col("_need"))
+    return met.select(*wanted.columns, *[F.col(f"_row.{c}").alias(c) for c in facts])
+
+
 def fill_from_global(
     listed: DataFrame, keys: Sequence[str], item: str, global_ranked: DataFrame, rank_col: str, n: int
 ) -> DataFrame:
     """Best ``n`` items of a global ranking that a key does not list yet.
 
-    A key that lists m items needs no more than the first n + m of the ranking, so each key is
-    expanded to that many positions and equi-joined with the ranking: linear in the lists, no
-    key-by-item product.
+    A key that lists m items needs no more than the first n + m of the ranking, so that is what it looks at:
+    linear in the lists, no key-by-item product.
     """
     sizes = listed.groupBy(*keys).agg(F.count("*").alias("_m"))
-    wanted = sizes.select(*keys, F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_m") + n)).alias("_want"))
-    ranking = global_ranked.withColumnRenamed(rank_col, "_want").withColumn("_want", F.col("_want").cast("bigint"))
-    offered = wanted.join(ranking, "_want")
+    ranking = global_ranked.withColumnRenamed(rank_col, "_want")
+    offered = take_places(sizes, ranking, [], "_want", F.col("_m") + n, keys).drop("_m")
     marks = listed.select(*keys, item)
     missing = join_on(offered, marks.withColumn("_listed", F.lit(True)), [*keys, item], "left").filter(
         F.col("_listed").isNull()

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerlift.functions import buckets as bk
 from ledgerlift.functions import numbers as nm
-from ledgerlift.operators.ranking import exact_quantiles, first_per_key, global_row_number, head, join_on, top_n
+from ledgerlift.operators.ranking import exact_quantiles, first_per_key, global_row_number, head, join_on, take_places, top_n
 from ledgerlift.session import stage
 
 
@@ -82,41 +82,69 @@ def feedback_template(errors: DataFrame, n: int = 500) -> DataFrame:
     return head(errors, [("absolute_error_eur", "desc"), ("business_id", "asc")], n).withColumns({c: F.lit("") for c in FEEDBACK_COLUMNS})
 
 
-def customer_group_grid(customers: DataFrame, sales: DataFrame, group: str, value: str, *, n: int = 60) -> DataFrame:
-    """Every customer with each of the ``n`` best-selling groups.
+def customer_group_grid(customers: DataFrame, sales: DataFrame, group: str, value: str, *, n: int | None = None) -> DataFrame:
+    """Every customer (``business_id``) with each group, or with the ``n`` best-selling ones.
 
-    The full grid is the result; the groups travel as one array of at most ``n`` names.
+    The full grid is the result here; the groups travel in blocks, copied as often as the customers fill tasks.
     """
     totals = sales.groupBy(group).agg(F.sum(value).alias("_t"))
-    best = head(totals, [("_t", "desc"), (group, "asc")], n).agg(F.collect_list(group).alias("g")).scalar()
-    return customers.withColumn(group, F.explode(best))
+    if n is not None:
+        totals = head(totals, [("_t", "desc"), (group, "asc")], n)
+    listed = stage(global_row_number(totals, [("_t", "desc"), (group, "asc")], "_place").select(group, "_place"), "groups")
+    return take_places(customers, listed, [], "_place", listed.agg(F.count("*")).scalar(), ["business_id"]).drop("_place")
 
 
-def group_model(grouped: DataFrame, customers: DataFrame, recommendations: DataFrame, *, y2: int, y3: int, n: int = 60) -> DataFrame:
-    """Per customer and top group: own and peer share of year 2, what that expects of year 3, and what happened."""
+def group_model(grouped: DataFrame, customers: DataFrame, recommendations: DataFrame, *, y2: int, y3: int, n: int | None = None) -> DataFrame:
+    """Per customer and group: own and peer share of year 2, what that expects of year 3, and what happened.
+
+    Most customers buy few of the groups, so the grid is kept sparse: a row for each customer and group with sales in
+    either year or a recommendation, and rows without a ``business_id`` for all others, one for each segment
+    and group and one for each group with what no segment row counts.  These hold sums over ``customers``
+    customers, which is exact: who bought nothing of a group has no share of it and is expected to buy the
+    peers' share.  ``n`` keeps the best-selling groups only.
+    """
     valid = grouped.filter(F.col("business_id").isNotNull() & F.col("year").isin(y2, y3) & F.col("product_group").isNotNull())
-    sold = stage(
-        valid.groupBy("business_id", "product_group").agg(
-            F.sum(F.when(F.col("year") == y2, F.col("sales_eur")).otherwise(0.0)).alias("customer_group_sales_y2_eur"),
-            F.sum(F.when(F.col("year") == y3, F.col("sales_eur")).otherwise(0.0)).alias("actual_group_sales_y3_eur"),
-        ),
-        "group-years",
-    )
-    totals = sold.withColumn("_v", F.col("customer_group_sales_y2_eur") + F.col("actual_group_sales_y3_eur"))
-    base = first_per_key(customers, ["business_id"], [("business_id", "asc")]).select("business_id", "company_segment", "sales_y2_eur", "actual_sales_y3_eur")
-    grid = customer_group_grid(base, totals, "product_group", "_v", n=n).join(sold, ["business_id", "product_group"], "left")
-    grid = grid.withColumns({c: nm.zero_if_null(F.col(c)) for c in ("customer_group_sales_y2_eur", "actual_group_sales_y3_eur")})
-    grid = stage(grid.withColumn("customer_group_share_y2", nm.zero_if_null(nm.ratio(F.col("customer_group_sales_y2_eur"), F.col("sales_y2_eur")))), "grid")
-    peers = grid.filter(F.col("company_segment").isNotNull()).groupBy("company_segment", "product_group").agg(
-        F.sum("customer_group_sales_y2_eur").alias("_g"), F.sum("sales_y2_eur").alias("_t")
-    ).select("company_segment", "product_group", nm.zero_if_null(nm.ratio(F.col("_g"), F.col("_t"))).alias("similar_customer_group_share_y2"))
-    grid = grid.join(peers, ["company_segment", "product_group"], "left")
-    gap = F.greatest(F.col("similar_customer_group_share_y2") - F.col("customer_group_share_y2"), F.lit(0.0))
-    grid = grid.withColumn("white_space_gap_y2", gap).withColumn("group_model_expected_eur", F.col("sales_y2_eur") * F.col("white_space_gap_y2"))
+    sold = valid.groupBy("business_id", "product_group").agg(
+        F.sum(F.when(F.col("year") == y2, F.col("sales_eur")).otherwise(0.0)).alias("customer_group_sales_y2_eur"),
+        F.sum(F.when(F.col("year") == y3, F.col("sales_eur")).otherwise(0.0)).alias("actual_group_sales_y3_eur"),
+    )
+    sold = stage(sold, "group-years")
+    groups = sold.groupBy("product_group").agg(F.sum(F.col("customer_group_sales_y2_eur") + F.col("actual_group_sales_y3_eur")).alias("_v"))
+    if n is not None:
+        groups = head(groups, [("_v", "desc"), ("product_group", "asc")], n)
+    groups = stage(groups.select("product_group"), "groups")
+    base = stage(first_per_key(customers, ["business_id"], [("business_id", "asc")]).select("business_id", "company_segment", "sales_y2_eur"), "customers")
     rec = recommendations.select("business_id", "product_group", "recommended_group_expected_potential_eur", "recommendation_rank")
-    grid = grid.join(rec, ["business_id", "product_group"], "left").withColumn(
-        "recommended_group_expected_potential_eur", nm.zero_if_null(F.col("recommended_group_expected_potential_eur"))
+    listed = sold.join(rec, ["business_id", "product_group"], "full_outer").join(groups, "product_group", "left_semi").join(base, "business_id")
+    zeros = ("customer_group_sales_y2_eur", "actual_group_sales_y3_eur", "recommended_group_expected_potential_eur")
+    listed = listed.withColumns({c: nm.zero_if_null(F.col(c)) for c in zeros})
+    listed = stage(listed.withColumn("customer_group_share_y2", nm.zero_if_null(nm.ratio(F.col("customer_group_sales_y2_eur"), F.col("sales_y2_eur")))), "listed")
+    # what the segments hold, and what of it the listed customers do
+    held = {"_n": F.count("*"), "_y": F.sum("sales_y2_eur"), "_a": F.sum(F.abs("sales_y2_eur"))}
+    whole = base.filter(F.col("company_segment").isNotNull()).groupBy("company_segment").agg(*[e.alias(c) for c, e in held.items()])
+    own = listed.filter(F.col("company_segment").isNotNull()).groupBy("company_segment", "product_group").agg(
+        F.sum("customer_group_sales_y2_eur").alias("_g"), *[e.alias(f"_l{c}") for c, e in held.items()]
+    )
+    peers = own.join(whole, "company_segment").withColumn("similar_customer_group_share_y2", nm.zero_if_null(nm.ratio(F.col("_g"), F.col("_y"))))
+    peers = stage(peers, "peer-shares")
+    gap = F.greatest(F.col("similar_customer_group_share_y2") - F.col("customer_group_share_y2"), F.lit(0.0))
+    rows = listed.join(peers.select("company_segment", "product_group", "similar_customer_group_share_y2"), ["company_segment", "product_group"], "left")
+    rows = rows.withColumns({"customers": F.lit(1).cast("bigint"), "white_space_gap_y2": gap})
+    rows = rows.withColumn("group_model_expected_eur", F.col("sales_y2_eur") * F.col("white_space_gap_y2"))
+    rows = rows.withColumn("absolute_error_eur", F.abs(F.col("group_model_expected_eur") - F.col("actual_group_sales_y3_eur")))
+    rest = {**{c: F.lit(0.0) for c in (*zeros, "customer_group_share_y2")}, "business_id": F.lit(None).cast(base.schema["business_id"].dataType), "recommendation_rank": F.lit(None).cast("int")}
+    others = peers.withColumns(rest).withColumns({"customers": F.col("_n") - F.col("_l_n"), "sales_y2_eur": F.col("_y") - F.col("_l_y"), "white_space_gap_y2": F.greatest("similar_customer_group_share_y2", F.lit(0.0))})
+    others = others.filter(F.col("customers") > 0).withColumns(
+        {"group_model_expected_eur": F.col("sales_y2_eur") * F.col("white_space_gap_y2"), "absolute_error_eur": (F.col("_a") - F.col("_l_a")) * F.col("white_space_gap_y2")}
     )
+    counted = rows.unionByName(others.select(*rows.columns))
+    total = base.agg(F.count("*").alias("n"), F.sum("sales_y2_eur").alias("y"))
+    seen = counted.groupBy("product_group").agg(F.sum("customers").alias("_n"), F.sum("sales_y2_eur").alias("_y"))
+    seen = groups.join(seen, "product_group", "left").withColumns({"_n": F.coalesce("_n", F.lit(0)), "_y": nm.zero_if_null(F.col("_y"))})
+    last = seen.withColumns({**rest, "company_segment": F.lit(None).cast(base.schema["company_segment"].dataType), "similar_customer_group_share_y2": F.lit(None).cast("double")}).withColumns({
+        "customers": total.select("n").scalar() - F.col("_n"), "sales_y2_eur": total.select("y").scalar() - F.col("_y"), "white_space_gap_y2": F.lit(0.0), "group_model_expected_eur": F.lit(0.0), "absolute_error_eur": F.lit(0.0),
+    }).filter(F.col("customers") > 0)
+    grid = counted.unionByName(last.select(*rows.columns))
     return grid.withColumn("group_error_eur", F.col("group_model_expected_eur") - F.col("actual_group_sales_y3_eur"))
 
 
@@ -124,7 +152,7 @@ def group_calibration(grid: DataFrame) -> DataFrame:
     """Factor actual / expected per group, pulled to the overall factor where evidence is thin (.25 to 6)."""
     groups = stage(
         grid.groupBy("product_group").agg(
-            F.count("*").alias("customers"), F.count_if(F.col("actual_group_sales_y3_eur") > 0).alias("buyers"),
+            F.sum("customers").alias("customers"), F.count_if(F.col("actual_group_sales_y3_eur") > 0).alias("buyers"),
             F.sum("actual_group_sales_y3_eur").alias("actual_group_sales_y3_eur"), F.sum("group_model_expected_eur").alias("group_model_expected_eur"),
             F.sum("recommended_group_expected_potential_eur").alias("current_recommendation_expected_eur"),
         ),
@@ -160,6 +188,9 @@ def calibrated_grid(grid: DataFrame, calibration: DataFrame) -> DataFrame:
     return out.withColumns(
         {
             "group_calibrated_error_eur": F.col("group_calibrated_expected_eur") - F.col("actual_group_sales_y3_eur"),
+            # nobody in a row of others bought anything
+            "calibrated_absolute_error_eur": F.when(F.col("business_id").isNull(), F.col("absolute_error_eur") * F.col("group_calibration_factor")).otherwise(
+                F.abs(F.col("group_calibrated_expected_eur") - F.col("actual_group_sales_y3_eur"))),
             "recommended_group_calibrated_expected_eur": F.col("recommended_group_expected_potential_eur") * F.col("group_calibration_factor"),
         }
     )
@@ -168,10 +199,10 @@ def calibrated_grid(grid: DataFrame, calibration: DataFrame) -> DataFrame:
 def group_summary(grid: DataFrame) -> DataFrame:
     """Per group: buyers, sums, errors before and after calibration, improvement."""
     out = grid.groupBy("product_group").agg(
-        F.count("*").alias("customers"), F.count_if(F.col("actual_group_sales_y3_eur") > 0).alias("buyers"),
+        F.sum("customers").alias("customers"), F.count_if(F.col("actual_group_sales_y3_eur") > 0).alias("buyers"),
         *[F.sum(c).alias(c) for c in ("actual_group_sales_y3_eur", "group_model_expected_eur", "group_calibrated_expected_eur", "recommended_group_expected_potential_eur", "recommended_group_calibrated_expected_eur")],
         F.max("group_calibration_factor").alias("group_calibration_factor"), F.max("calibration_method").alias("calibration_method"),
-        F.avg(F.abs("group_error_eur")).alias("mae_eur"), F.avg(F.abs("group_calibrated_error_eur")).alias("calibrated_mae_eur"),
+        (F.sum("absolute_error_eur") / F.sum("customers")).alias("mae_eur"), (F.sum("calibrated_absolute_error_eur") / F.sum("customers")).alias("calibrated_mae_eur"),
     )
     bias, calibrated = F.col("group_model_expected_eur") - F.col("actual_group_sales_y3_eur"), F.col("group_calibrated_expected_eur") - F.col("actual_group_sales_y3_eur")
     return out.withColumns(

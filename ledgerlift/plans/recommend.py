@@ -13,7 +13,7 @@ from ledgerlift.functions import buckets as bk
 from ledgerlift.functions import numbers as nm
 from ledgerlift.operators.aggregates import share_of_total
 from ledgerlift.operators.ranking import (
-    fill_from_global, global_row_number, group_totals, grouped_row_number, join_on, quota_top, top_n,
+    fill_from_global, global_row_number, group_totals, grouped_row_number, join_on, quota_top, take_places, top_n,
 )
 from ledgerlift.session import stage
 
@@ -69,10 +69,8 @@ def white_space(customers: DataFrame, sales: DataFrame, *, n: int = 5) -> DataFr
     segments = base.select("company_segment").distinct()
     extra = fill_from_global(seg, ["company_segment"], "product_group", global_share, "_global", n)
     # segments without any sales see only the global ranking
-    empty = segments.join(seg.select("company_segment").distinct(), "company_segment", "left_anti").withColumn(
-        "_want", F.explode(F.sequence(F.lit(1), F.lit(n)))
-    )
-    empty = empty.join(global_share.withColumnRenamed("_global", "_want"), "_want").drop("_want")
+    empty = segments.join(seg.select("company_segment").distinct(), "company_segment", "left_anti")
+    empty = take_places(empty, global_share, [], "_global", F.lit(n), ["company_segment"]).drop("_global")
     lists = seg.join(names, "product_group").unionByName(extra.select("company_segment", "product_group", "peer_share", "total_group_sales_eur"))
     lists = stage(lists.unionByName(empty.select(*lists.columns)).filter(F.col("peer_share") > 0), "segment-lists")
     lists = grouped_row_number(
@@ -85,13 +83,13 @@ def white_space(customers: DataFrame, sales: DataFrame, *, n: int = 5) -> DataFr
     wide = base.join(has, "business_id", "left").withColumn("_m", F.coalesce("_m", F.lit(0)))
     zero = nm.zero_if_null(F.col("model_estimated_potential_eur")) <= 0
     place = F.when(zero, F.col("_by_total")).otherwise(F.col("_by_share"))
-    # positions are spelled out and joined by equality: m + n rows per customer, never the whole list
-    wanted = wide.withColumns({"_zero": zero, "_place": F.explode(F.sequence(F.lit(1).cast("bigint"), (F.col("_m") + n).cast("bigint")))})
+    # the first m + n places per customer, never the whole list
+    wanted = wide.withColumn("_zero", zero)
     facts = ["company_segment", "product_group", "peer_share", "total_group_sales_eur"]
     placed = lists.select(*facts, F.lit(False).alias("_zero"), F.col("_by_share").alias("_place")).unionByName(
         lists.select(*facts, F.lit(True).alias("_zero"), F.col("_by_total").alias("_place"))
     )
-    offered = wanted.join(placed, ["company_segment", "_zero", "_place"])
+    offered = take_places(wanted, placed, ["company_segment", "_zero"], "_place", F.col("_m") + n, ["business_id"])
     offered = offered.join(
         owned.select("business_id", "product_group", "customer_sales_eur", "customer_group_share"), ["business_id", "product_group"], "left"
     )
@@ -210,8 +208,8 @@ def profile_recommendations(companies: DataFrame, training: DataFrame, *, n: int
     only_global = fill_from_global(known, ["_combo"], "product_group", ranking, "_g", n).select(
         "_combo", "product_group", F.col("_global_share").alias("recommendation_score"), F.lit("global").alias("evidence_levels"), "sales_eur", "customer_count"
     )
-    bare = combos.select("_combo").join(known.select("_combo").distinct(), "_combo", "left_anti").withColumn("_g", F.explode(F.sequence(F.lit(1), F.lit(n))))
-    bare = bare.join(ranking, "_g").select(
+    bare = combos.select("_combo").join(known.select("_combo").distinct(), "_combo", "left_anti")
+    bare = take_places(bare, ranking, [], "_g", F.lit(n), ["_combo"]).select(
         "_combo", "product_group", F.col("_global_share").alias("recommendation_score"), F.lit("global").alias("evidence_levels"), "sales_eur", "customer_count"
     )
     scores = listed.unionByName(only_global).unionByName(bare).filter(F.col("recommendation_score") > 0).withColumn("_o", F.round("recommendation_score", 12))
@@ -258,13 +256,13 @@ def product_stats(products: DataFrame, sales: DataFrame) -> DataFrame:
     )
 
 
-def product_recommendations(customers: DataFrame, products: DataFrame, sales: DataFrame, *, n: int = 5, pool_size: int = 25) -> DataFrame:
+def product_recommendations(customers: DataFrame, products: DataFrame, sales: DataFrame, *, n: int = 5, pool_size: int | None = None) -> DataFrame:
     """Products to sell more of (``current``) and products not bought yet (``new``), top ``n`` each.
 
-    New candidates come from a pool of ``pool_size`` products per group.  What a group the customer
+    New candidates are all starters, or with ``pool_size`` so many of each group (``n * 5`` at least).  What a group the customer
     does not buy is worth per euro is the same for everyone, so those products are ranked once; a
-    customer with m owned groups and p owned products needs the first n + m * pool + p of that
-    ranking.  Pool products of the customer's own groups are joined on the group.
+    customer needs the first n of that ranking beyond as many as there are in its own groups and it owns.
+    Candidates of the customer's own groups are joined on the group.
     """
     sales = stage(
         sales.filter(F.col("business_id").isNotNull()).groupBy("business_id", "product_group", "product_code").agg(F.sum("sales_eur").alias("sales_eur")), "bought"
@@ -289,9 +287,9 @@ def product_recommendations(customers: DataFrame, products: DataFrame, sales: Da
     current = current.join(shares, ["business_id", "product_group"], "left").withColumn("recommendation_type", F.lit("current"))
 
     starters = allowed.filter(F.col("product_code").startswith("IF") | F.col("product_code").startswith("DIF"))
-    pool = stage(
-        top_n(starters, ["product_group"], [("product_share", "desc"), ("total_product_sales_eur", "desc"), ("product_code", "asc")], max(pool_size, n * 5), "_p").select(*facts), "pool"
-    )
+    if pool_size is not None:
+        starters = top_n(starters, ["product_group"], [("product_share", "desc"), ("total_product_sales_eur", "desc"), ("product_code", "asc")], max(pool_size, n * 5), "_p")
+    pool = stage(starters.select(*facts), "pool")
     dif = F.col("product_code").startswith("DIF")
     unit = _unit_value(F.col("peer_group_share"), F.col("product_share"), _chance(F.lit("new"), F.col("product_customer_count")))
     ranked = grouped_row_number(
@@ -299,14 +297,13 @@ def product_recommendations(customers: DataFrame, products: DataFrame, sales: Da
     ).withColumn("_place", F.col("_place").cast("bigint"))
     owned_groups = shares.select("business_id", "product_group")
     need = (
-        owned_groups.groupBy("business_id").agg(F.count("*").alias("_m"))
-        .join(by_product.groupBy("business_id").agg(F.count("*").alias("_q")), "business_id", "left")
-        .select("business_id", (F.col("_m") * max(pool_size, n * 5) + F.coalesce("_q", F.lit(0)) + n).alias("_need"))
+        owned_groups.join(pool.groupBy("product_group").agg(F.count("*").alias("_c")), "product_group").groupBy("business_id").agg(F.sum("_c").alias("_m"))
+        .join(by_product.groupBy("business_id").agg(F.count("*").alias("_q")), "business_id", "full_outer")
+        .select("business_id", (F.coalesce("_m", F.lit(0)) + F.coalesce("_q", F.lit(0)) + n).alias("_need"))
     )
     depth = pool.agg(F.count("*").alias("c")).scalar()
-    wanted = base.join(need, "business_id", "left").withColumn("_need", F.least(F.coalesce("_need", F.lit(n)), depth)).filter("_need > 0")
-    wanted = wanted.withColumn("_place", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_need").cast("bigint")))).drop("_need")
-    fresh = wanted.join(ranked.select("_place", *facts), "_place").drop("_place")
+    wanted = base.join(need, "business_id", "left").withColumn("_want", F.least(F.coalesce("_need", F.lit(n)), depth)).drop("_need")
+    fresh = take_places(wanted, ranked.select("_place", *facts), [], "_place", F.col("_want"), ["business_id"]).drop("_place", "_want")
     fresh = fresh.join(owned_groups, ["business_id", "product_group"], "left_anti").withColumn("customer_group_share", F.lit(0.0))
     inside = base.join(shares, "business_id").join(pool, "product_group").select(*fresh.columns)
     new = fresh.unionByName(inside).join(by_product.select("business_id", "product_code"), ["business_id", "product_code"], "left_anti")
@@ -373,16 +370,15 @@ def next_groups(customers: DataFrame, products: DataFrame, sales: DataFrame, *,
     seg = in_segment.groupBy("company_segment", "product_group").agg(F.count("*").alias("buyers"), F.sum("s").alias("s"))
     empty = peers.select("company_segment").join(seg.select("company_segment").distinct(), "company_segment", "left_anti")
     everyone = owned.groupBy("product_group").agg(F.count("*").alias("buyers"), F.sum("s").alias("s"))
-    every_list = everyone.agg(F.collect_list(F.struct("product_group", "buyers", "s")).alias("g")).scalar()  # one entry per group of the tree
-    borrowed = empty.withColumn("_g", F.explode(every_list)).select("company_segment", "_g.product_group", "_g.buyers", "_g.s")
+    every = global_row_number(everyone, [("product_group", "asc")], "_every")
+    borrowed = take_places(empty, every, [], "_every", everyone.agg(F.count("*")).scalar(), ["company_segment"]).select("company_segment", "product_group", "buyers", "s")
     table = share_of_total(seg.unionByName(borrowed), ["company_segment"], "s", "sales_share").join(peers, "company_segment")
     table = table.withColumn("adoption", F.col("buyers") / F.greatest("peers", F.lit(1))).withColumn("group_score", 0.70 * F.col("adoption") + 0.30 * F.col("sales_share"))
     order = [("_o", "desc"), ("adoption", "desc"), ("sales_share", "desc"), ("product_group", "asc")]
     ranked = stage(grouped_row_number(table.withColumn("_o", F.round("group_score", 12)), ["company_segment"], order, "_place"), "next-ranking")
     has = owned.groupBy("business_id").agg(F.count("*").alias("_m"))
     wide = base.join(has, "business_id", "left").withColumn("_m", F.coalesce("_m", F.lit(0)))
-    wanted = wide.withColumn("_place", F.explode(F.sequence(F.lit(1).cast("bigint"), (F.col("_m") + n).cast("bigint"))))
-    candidates = wanted.join(ranked, ["company_segment", "_place"])
+    candidates = take_places(wide, ranked, ["company_segment"], "_place", F.col("_m") + n, ["business_id"])
     candidates = candidates.join(owned.select("business_id", "product_group"), ["business_id", "product_group"], "left_anti")
     best = top_n(candidates, ["business_id"], [("_place", "asc")], n, "recommendation_rank")
     codes = positive.groupBy("product_group", "product_code").agg(F.sum("sales_eur").alias("s"))
@@ -414,6 +410,9 @@ def association_rules(baskets: DataFrame, basket: str, item: str, *, min_support
     each item may leave out its largest basket while candidates are looked for: one huge basket
     never produces its pairs.  The left-out baskets are then counted exactly for the candidates.
     With a support of 1 every pair of every basket is a rule's, so none is left out.
+
+    A basket's items are dealt into blocks of about ``BASKET_BLOCK``, and each pair of blocks is a key of its
+    own, so the pairs of a large basket are many tasks' work.
     """
     pairs = baskets.select(F.col(basket).alias("b"), F.col(item).alias("i")).filter(F.col("b").isNotNull() & F.col("i").isNotNull()).distinct()
     n_baskets = pairs.select("b").distinct().agg(F.count("*").alias("n")).scalar()
@@ -423,8 +422,7 @@ def association_rules(baskets: DataFrame, basket: str, item: str, *, min_support
     largest = kept.groupBy("i").agg(F.max_by("b", F.struct("size", "b")).alias("_big"))
     kept = stage(kept.join(largest, "i").withColumn("is_big", (F.col("b") == F.col("_big")) & F.lit(min_support > 1)).select("b", "i", "n_i", "is_big"), "baskets")
     light, heavy = kept.filter(~F.col("is_big")).select("b", "i"), kept.filter("is_big").select("b", "i")
-    left, right = light.withColumnRenamed("i", "x"), light.withColumnRenamed("i", "y")
-    both = left.join(right, "b").filter("x < y").groupBy("x", "y").agg(F.count("*").alias("support"))
+    both = _basket_pairs(light).groupBy("x", "y").agg(F.count("*").alias("support"))
     both = stage(both, "pair-counts")
     # baskets that are left out for x and hold y, then those left out for y only
     all_items = kept.select("b", "i")
@@ -442,6 +440,21 @@ def association_rules(baskets: DataFrame, basket: str, item: str, *, min_support
     return out.filter((F.col("confidence") >= min_confidence) & (F.col("lift") >= min_lift)).select("antecedent", "consequent", "support_count", "confidence", "lift")
 
 
+BASKET_BLOCK = 1000
+
+
+def _basket_pairs(rows: DataFrame) -> DataFrame:
+    """(b, x, y) of all item pairs x < y of each basket of ``rows`` (b, i)."""
+    large = rows.groupBy("b").agg(F.count("*").alias("_n")).filter(F.col("_n") > BASKET_BLOCK)
+    large = stage(large.select("b", F.ceil(F.col("_n") / BASKET_BLOCK).cast("int").alias("_blocks")), "large-baskets")
+    dealt = rows.join(large, "b", "left").withColumn("_blocks", F.coalesce("_blocks", F.lit(1)))
+    dealt = dealt.withColumn("_own", F.pmod(F.xxhash64("i"), F.col("_blocks").cast("bigint")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))
+    left = dealt.select("b", F.col("i").alias("x"), F.col("_own").alias("_bx"), every.alias("_by"))
+    right = dealt.select("b", F.col("i").alias("y"), every.alias("_bx"), F.col("_own").alias("_by"))
+    return left.join(right, ["b", "_bx", "_by"]).filter("x < y").select("b", "x", "y")
+
+
 def rule_boost(neighbour_scores: DataFrame, rules: DataFrame, *, n: int = 5, neighbour_weight: float = 0.7, rule_weight: float = 0.3) -> DataFrame:
     """Neighbour score and rule score, each scaled to its best per company, mixed; top ``n``."""
     def scaled(df: DataFrame, out: str) -> DataFrame:
