@@ -8,9 +8,9 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from ledgerlift.llm import decontaminate, extract, near, packing, pii, quality, repeats, toxicity, url_filter, warc
+from ledgerlift.llm import decontaminate, extract, minhash, near, packing, periodic, pii, quality, repeats, toxicity, tries, url_filter, warc
 from ledgerlift.llm.components import components
-from ledgerlift.llm.queries import PII_KEY, QUERIES, tokenizer_path
+from ledgerlift.llm.queries import PII_KEY, QUERIES, tokenizer_path, with_planted_runs
 from ledgerlift.session import stage_path
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -172,11 +172,11 @@ def test_repeats(spark, docs, none):
     assert repeats.remove_repeats(none).count() == 0
 
 
-def brute_links(docs):
+def brute_links(docs, width=4, percent=85):
     sets, up = {}, {}
     for k, (_, t) in enumerate(docs):
         w = re.findall("[^\x20\x09-\x0d]+", (t or "").translate({c: c + 32 for c in range(65, 91)}))
-        sets[k] = frozenset(zip(w, w[1:], w[2:], w[3:], strict=False)) if len(w) > 3 else frozenset([tuple(w)] if w else [])
+        sets[k] = frozenset(zip(*(w[j:] for j in range(width)), strict=False)) if len(w) >= width else frozenset([tuple(w)] if w else [])
 
     def root(x):
         while up.setdefault(x, x) != x:
@@ -185,7 +185,7 @@ def brute_links(docs):
 
     for a, (i, _) in enumerate(docs):
         for b, (j, _) in enumerate(docs[:a]):
-            if i is not None and j is not None and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
+            if i is not None and j is not None and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
                 x, y = root(i), root(j)
                 up[max(x, y)] = min(x, y)
     return sorted([(i, len(sets[k]), root(i) if i is not None else None) for k, (i, _) in enumerate(docs)], key=repr)
@@ -216,6 +216,104 @@ def test_links(spark, docs, none, monkeypatch):
     assert near.link(none).count() == 0
 
 
+def test_minhash(spark, docs, none, monkeypatch):
+    rng = np.random.RandomState(14)
+    big, more = prose(800, 120).split(), []
+    for k in range(80):  # a large group of near copies, many of them too far from its first
+        w = list(big)
+        for at in rng.choice(120, rng.randint(2, 9), replace=False):
+            w[at] = f"w{k % 7}x{at}"
+        more.append((300 + k, " ".join(w)))
+    more += [(400 + k, prose(900 + k, 20) + " " + " ".join(big[:60])) for k in range(40)]
+    more += [(500 + k, " ".join(["a b c d e f g h i j k l m n".split()[j] for j in rng.permutation(14)[:rng.randint(1, 6)]])) for k in range(60)]
+    data = [(r[0], r[1]) for r in ROWS] + more
+    df = spark.createDataFrame(data, "doc_id bigint, text string")
+    want = brute_links(data, 2, 80)
+    for bucket, block in ((32, 256), (2, 8)):  # with the second, stars and blocks decide
+        monkeypatch.setattr(minhash, "BUCKET", bucket)
+        monkeypatch.setattr(minhash, "BLOCK", block)
+        got = minhash.link(clash(df))
+        assert got.columns == ["doc_id", "n_shingles", "component_id", "kept"]
+        assert rows(got, "doc_id", "n_shingles", "component_id") == want
+    assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got.collect() if r["doc_id"] is not None)
+    assert minhash.link(none).count() == 0
+
+
+def test_runs_of_words(spark, docs, none):
+    words = prose(850, 30).split()
+    texts = [" ".join(words[:9] * 4 + words[9:]), "\u00a0 ".join(words[:3] * 5), "a " * 11, "\ta\n" * 12, " ".join(words) + "\r\x0b" + " ".join(words), prose(851, 200_000) + " " + " ".join(words * 2)]
+    data = [(r[0], r[1]) for r in ROWS] + [(700 + k, t) for k, t in enumerate(texts)] + [(701, texts[1])]
+    df = spark.createDataFrame(data, "doc_id bigint, text string")
+    from test_llm_units import brute_runs
+
+    want = []
+    for i, t in data:
+        w = re.findall("[^\x20\x09-\x0d]+", t or "")
+        found = brute_runs(w) if len(w) < 1000 else [(len(w) - 60, 60, 30)] if i == 705 else []
+        gone = {k for s, n, q in found for k in range(s + q, s + n)}
+        want.append((i, len(w), found, " ".join(x for k, x in enumerate(w) if k not in gone)))
+    got = periodic.periodic_runs(clash(df).withColumn("Runs", df.doc_id))
+    assert sorted(((r["doc_id"], r["n_words"], [tuple(x) for x in r["runs"]], r["collapsed"]) for r in got.collect()), key=repr) == sorted(want, key=repr)
+    assert periodic.periodic_runs(none).count() == 0
+
+
+def test_planted_runs(spark):
+    data = [(k, prose(k, k % 60)) for k in range(120)] + [(130, None), (131, ""), (None, "a b")]
+    for r in with_planted_runs(spark.createDataFrame(data, "doc_id bigint, text string")).collect():
+        text = dict(data)[r["doc_id"]]
+        h = zlib.crc32(str(r["doc_id"]).encode()) if r["doc_id"] is not None else 1
+        w = (text or "").split()
+        if h % 10 == 0 and w:
+            g, n = h // 10, len(w)
+            a = g % n
+            p = 1 + (n - a) // (3 + g % 8)
+            text = " ".join(w[i] if i < a else w[a + (i - a) % p] for i in range(n))
+        assert r["text"] == text
+
+
+def brute_audit(docs, labels):
+    from itertools import permutations
+
+    least, kinds = {}, {}
+    for i, t, _ in docs:
+        if i is not None:
+            least[t or ""] = min(least.get(t or "", i), i)
+    for i, good, toxic in labels:
+        old = kinds.get(i, (0, 0))
+        kinds[i] = max(old[0], int(good == 1)), max(old[1], int(toxic == 1))
+    fails, out, first = [], {}, {}
+    for i, t, part in docs:
+        w = re.findall("[^\x20\x09-\x0d]+", t or "")
+        own = {f for f, bad in zip("ABCD", (len(w) < 100, 100 * len(set(w)) < 80 * len(w), 100 * len(re.findall("[A-Z]", t or "")) > 10 * len(t or ""), re.search(r"[#$%&*|]", t or "")), strict=True) if bad}
+        fails.append((part or "", own | ({"E"} if i is not None and least[t or ""] < i else set()), *(kinds.get(i, (0, 0)) if i is not None else (0, 0))))
+    for part in {f[0] for f in fails}:
+        for order in map("".join, permutations("ABCDE")):
+            left = [f for f in fails if f[0] == part]
+            every = left
+            for step, x in enumerate(order):
+                gone, left = [f for f in left if x in f[1]], [f for f in left if x not in f[1]]
+                bad = [f for f in every if x in f[1]]
+                out[part, order, step + 1] = [len(left), len(gone), len(bad) - len(gone), sum(f[1] == {x} for f in every), sum(f[2] for f in gone), sum(f[3] for f in gone)]
+                first[part, x] = first.get((part, x), 0) + len(gone)
+    return sorted(((*k, *v, first[k[0], k[1][k[2] - 1]]) for k, v in out.items()), key=repr)
+
+
+def test_filter_audit(spark, docs, none, monkeypatch):
+    rng = np.random.RandomState(21)
+    data = [(r[0], r[1], r[2]) for r in ROWS] + [(600 - k, "the same long beginning of a text " * 4 + "abc"[k % 3] * (k % 5), ("en", "de")[k % 2]) for k in range(60)]
+    data += [(700 + k, prose(k % 9, 130).upper() if k % 2 else prose(k % 9, 130) + " #", "fr") for k in range(40)] + [(700, prose(0, 130) + " #", "fr"), (1, "", None), (0, None, "")]
+    labels = [(int(i), int(rng.randint(2)), int(rng.randint(2))) for i in rng.randint(0, 740, 300)] + [(1, None, 1), (None, 1, 1), (99_999, 1, 1)]
+    df = spark.createDataFrame(data, "doc_id bigint, text string, lang string").repartition(5)
+    table = spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")
+    columns = ("part", "filter_order", "step", "kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost", "shapley")
+    want = brute_audit(data, labels)
+    assert rows(tries.audit(clash(df).withColumn("mask", df.doc_id), table), *columns) == want
+    monkeypatch.setattr(tries, "GROUP", 200)  # prefixes grow to whole texts
+    monkeypatch.setattr(tries, "TASK_BYTES", 5000)
+    assert rows(tries.audit(df, table), *columns) == want
+    assert tries.audit(none, table).count() == 0 and tries.audit(docs, table.limit(0)).count() > 0
+
+
 def test_near_duplicates_stage(spark, sf_dir):
     base = prose(700, 120).split()
     data = [(1, prose(701)), (1, prose(702)), (1, prose(702)), (2, None), (2, None), (3, prose(701) + " more")]
@@ -403,4 +501,4 @@ def test_pipeline(spark, docs, none, sf_dir):
 
 
 def test_queries_are_named():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))

@@ -8,7 +8,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from ledgerlift.llm import decontaminate, extract, near, packing, pii, quality, repeats, toxicity
+from ledgerlift.llm import decontaminate, extract, minhash, near, packing, periodic, pii, quality, repeats, toxicity, tries
 from ledgerlift.llm.queries import tokenizer_path
 
 KEY = b"test key"
@@ -164,3 +164,77 @@ def test_regression_separates():
     p = np.array([bias + w[i] @ v for i, v in x]) > 0
     assert (p == (y > 0)).all()
     assert toxicity.regress([], np.zeros(0), 2)[1] < -10
+
+
+def brute_runs(w):
+    found = {}
+    for q in range(1, len(w) // 2 + 1):
+        i = 0
+        while i + q < len(w):
+            begin = i
+            while i + q < len(w) and w[i] == w[i + q]:
+                i += 1
+            if i - begin >= q and i - begin + q >= 12:
+                found.setdefault((begin, i - begin + q), q)
+            i += 1
+    return sorted(((s, n, q) for (s, n), q in found.items()), key=lambda r: (r[0], r[2]))
+
+
+def powers(rng, letters):
+    """Words with powers of powers among them."""
+    block = [b"%d" % rng.randint(letters) for _ in range(rng.randint(1, 25))]
+    for _ in range(rng.randint(4)):
+        block = block * rng.randint(1, 5) + block[:rng.randint(len(block) + 1)] + [b"%d" % rng.randint(letters)] * rng.randint(3)
+        if len(block) > 400:
+            break
+    return [b"%d" % rng.randint(letters) for _ in range(rng.randint(30))] + block[:600] + [b"%d" % rng.randint(letters) for _ in range(rng.randint(30))]
+
+
+def test_periodic_runs():
+    rng = np.random.RandomState(17)
+    for _ in range(150):
+        texts = [[], *(powers(rng, (1, 2, 3, 40)[k]) + powers(rng, 2) for k in range(4)), [b"a"] * rng.randint(30)]
+        got = periodic.find(texts)
+        assert got == [brute_runs(t) for t in texts]
+        for words, runs in zip(texts, got, strict=True):
+            gone = {i for s, n, q in runs for i in range(s + q, s + n)}
+            assert periodic.collapse(words, runs) == b" ".join(w for i, w in enumerate(words) if i not in gone)
+    for texts in ([[b"a"] * 200_000], [([b"a", b"b"] * 1000 + [b"a"]) * 30]):  # seeds don't grow with the square
+        assert len(periodic.find(texts)[0]) >= 1
+    assert periodic.find([([b"a", b"b"] * 50 + [b"a"]) * 2]) == [brute_runs(([b"a", b"b"] * 50 + [b"a"]) * 2)]
+
+
+def test_signatures():
+    rng = np.random.RandomState(5)
+    sets = [rng.randint(0, 2**62, n).astype(np.uint64) for n in (1, 3, 70_000, 2, 65_536, 5)]
+    got = minhash.signatures(sets, 7)
+    for s, row in zip(sets, got, strict=True):
+        for k in range(7):
+            x = minhash.scatter(s) - np.uint32(k)  # the second permutation, shifted by k places
+            assert row[k] == minhash.permute(x, np.empty_like(x), np.empty_like(x)).min()
+    every = np.arange(1 << 16, dtype=np.uint32) * np.uint32(65_537)
+    assert len(np.unique(minhash.permute(every, np.empty_like(every), np.empty_like(every)))) == len(every)
+    # as often as two sets are similar, their coordinates are the same
+    common = rng.randint(0, 2**62, 800).astype(np.uint64)
+    one, two = (np.concatenate((common, rng.randint(0, 2**62, 100).astype(np.uint64))) for _ in range(2))
+    a, b = minhash.signatures([one, two], 2000)
+    assert abs((a == b).mean() - 0.8) < 0.03
+    assert minhash.signatures([], 5).shape == (0, 5)
+
+
+@given(st.lists(st.text(alphabet="abä", max_size=12), max_size=40))
+@settings(max_examples=200, deadline=None)
+def test_trie(texts):
+    trie, least = tries.Trie(), {}
+    ends = [trie.insert(t.encode(), k) for k, t in reversed(list(enumerate(texts)))][::-1]
+    for k, t in enumerate(texts):
+        least.setdefault(t, k)
+    assert [e[2] for e in ends] == [least[t] for t in texts]
+
+
+@given(st.text(alphabet="aB1 #é|\n\t ", max_size=400))
+@settings(max_examples=150, deadline=None)
+def test_filters(text):
+    w = re.findall("[^\x20\x09-\x0d]+", text)
+    want = (len(w) < 100) + 2 * (100 * len(set(w)) < 80 * len(w)) + 4 * (100 * len(re.findall("[A-Z]", text)) > 10 * len(text)) + 8 * bool(re.search(r"[#$%&*|]", text))
+    assert tries.own_mask(text.encode()) == want
