@@ -236,7 +236,7 @@ _FILL_KEYS = {
 @query("en_01_fill_cascade", sql("hist prod", "SELECT line_id, g3 AS group_l3, m AS match_method FROM r9", _FILL_KEYS))
 def _(spark, sf):
     sales, master = _fill_rows(spark, sf)
-    return en.fill_missing_groups(sales, master).select("line_id", "group_l3", "match_method")
+    return en.fill_missing_groups(sales, master, row_id=["line_id"]).select("line_id", "group_l3", "match_method")
 
 
 @query("en_02_same_key_fill", """
@@ -441,7 +441,7 @@ def _(spark, sf):
     boxes = p.filter("p_partkey % 3 = 0").select(F.col("p_brand").alias("brand"), F.col("p_name").alias("product_name"), F.col("p_size").cast("string").alias("box_height"))
     stable = en.stable_boxes(boxes, ["box_height"], in_mm=["box_height"])
     items = p.select("p_partkey", F.col("p_brand").alias("brand_name"), F.col("p_name").alias("product_name"), F.when(F.col("p_partkey") % 5 == 0, 99.0).alias("box_height"))
-    return en.merge_boxes(items, stable, ["box_height"]).select("p_partkey", "box_height", "box_data_source")
+    return en.merge_boxes(items, stable, ["box_height"], row_id=["p_partkey"]).select("p_partkey", "box_height", "box_data_source")
 
 
 @query("en_14_backfill_measures", "SELECT p_partkey AS product_id, CASE WHEN p_partkey % 2 = 0 THEN 5.0::DOUBLE WHEN p_partkey % 3 = 0 THEN p_size::DOUBLE ELSE 0 END AS weight_value FROM part")
@@ -456,7 +456,7 @@ def _(spark, sf):
 def _(spark, sf):
     p = table(spark, sf, "part")
     brands = p.filter("p_size % 10 BETWEEN 1 AND 7").select((F.col("p_size") % 10).cast("double").alias("brand_id")).distinct().withColumn("brand_name", F.concat(F.lit("Brand "), F.col("brand_id").cast("int").cast("string")))
-    out, _ = en.with_brands(p.select("p_partkey", (F.col("p_size") % 10).alias("brand_id")), brands)
+    out, _ = en.with_brands(p.select("p_partkey", (F.col("p_size") % 10).alias("brand_id")), brands, row_id=["p_partkey"])
     return out.select("p_partkey", "brand_name")
 
 
@@ -464,7 +464,7 @@ def _(spark, sf):
 def _(spark, sf):
     p = table(spark, sf, "part")
     brands = p.filter("p_size % 10 BETWEEN 1 AND 7").select((F.col("p_size") % 10).alias("brand_id")).distinct().withColumn("brand_name", F.lit("b"))
-    return en.with_brands(p.select("p_partkey", (F.col("p_size") % 10).alias("brand_id")), brands)[1]
+    return en.with_brands(p.select("p_partkey", (F.col("p_size") % 10).alias("brand_id")), brands, row_id=["p_partkey"])[1]
 
 
 _MASTER = tax.pattern_rules("master_categories")

@@ -78,7 +78,7 @@ def _(spark, sf):
 
 
 def fold_sql(expr: str) -> str:
-    return f"coalesce(trim(regexp_replace(translate(lower(trim({expr})), '{tx.FOLD_FROM}', '{tx.FOLD_TO}'), '[^a-z0-9]+', ' ', 'g')), '')"
+    return f"coalesce(trim(regexp_replace(strip_accents(lower(trim({expr}))), '[^a-z0-9]+', ' ', 'g')), '')"
 
 
 @query("str_07_fold", f"SELECT doc_id, md5({fold_sql('text')}) AS folded_md5, length({fold_sql('text')})::INTEGER AS folded_length FROM documents")

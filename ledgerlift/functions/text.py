@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import json
+import sys
+import unicodedata
+from collections.abc import Iterable, Sequence
+from html.entities import html5
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Letters folded to their base letter (Latin letters with marks).
-FOLD_FROM = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿāăąćčďēęěğīłńňōőŕřśşšţťūůűźżž"
-FOLD_TO = "aaaaaaceeeeiiiinooooouuuuyyaaaccdeeegilnnoorrsssttuuuzzz"
-
 # Words dropped from company names before matching.
 LEGAL_FORMS = ("oyj", "oy", "ab", "ltd", "limited", "inc", "gmbh", "as")
 STATUS_WORDS = ("suljettu", "closed", "myynti", "hr lahjat", "ei saa laskuttaa", "ylitoimituksia")
@@ -34,6 +34,41 @@ NAME_STOP_WORDS = ("and", "the", "for", "with", "sis", "cm", "mm", "kpl", "sekä
 WORD_CHARS = "a-z0-9åäö"
 
 
+def _decompositions() -> tuple[str, dict[str, str], dict[str, str]]:
+    """From Unicode's own data: all combining marks, and what lower-case characters beyond ASCII decompose to
+    (compatibly, marks left out) where that has a letter or digit: one character, or several."""
+    marks, one, several = [], {}, {}
+    for code in (*range(0x80, 0xD800), *range(0xE000, sys.maxunicode + 1)):
+        char = chr(code)
+        if unicodedata.combining(char):
+            marks.append(char)
+        elif char == char.lower() and (plain := unicodedata.normalize("NFKD", char)) != char:
+            plain = "".join(c for c in plain if not unicodedata.combining(c)).lower()
+            if any(c.isascii() and c.isalnum() for c in plain):
+                (one if len(plain) == 1 else several)[char] = plain
+    return "".join(marks), one, several
+
+
+def _ranges(chars: Iterable[str]) -> str:
+    """A pattern for any of these characters, neighbours as ranges."""
+    out: list[list[int]] = []
+    for code in sorted(map(ord, chars)):
+        if out and out[-1][1] == code - 1:
+            out[-1][1] = code
+        else:
+            out.append([code, code])
+    return f"[{''.join(f'{chr(a)}-{chr(b)}' for a, b in out)}]"
+
+
+_MARKS, _ONE, _SEVERAL = _decompositions()
+_ANY_OF_SEVERAL = _ranges(_SEVERAL)
+
+
+def _lookup(table: dict[str, str]) -> Column:
+    """A table as one constant."""
+    return F.from_json(F.lit(json.dumps(table)), "map<string,string>")
+
+
 def collapse(col: Column) -> Column:
     return F.trim(F.regexp_replace(col, r"\s+", " "))
 
@@ -94,9 +129,16 @@ def name_of_account(col: Column) -> Column:
 
 
 def fold(col: Column) -> Column:
-    """Lower case without marks, other characters become single spaces; null becomes ""."""
-    folded = F.translate(F.lower(F.trim(col)), FOLD_FROM, FOLD_TO)
-    return F.coalesce(collapse(F.regexp_replace(folded, r"[^a-z0-9]+", " ")), F.lit(""))
+    """Lower case, compatibly decomposed, without combining marks; other characters become single spaces; null becomes "".
+
+    One ``translate`` folds what becomes one character and drops the marks; only texts in which ligatures, fractions
+    and the like are left are taken apart by character.
+    """
+    text = F.translate(F.lower(F.trim(col)), "".join(_ONE) + _MARKS, "".join(_ONE.values()))
+    apart = _lookup(_SEVERAL)
+    spelt = F.array_join(F.transform(F.split(text, ""), lambda c: F.coalesce(F.element_at(apart, c), c)), "")
+    text = F.when(text.rlike(r"[^\x00-\x7F]") & text.rlike(_ANY_OF_SEVERAL), spelt).otherwise(text)
+    return F.coalesce(collapse(F.regexp_replace(text, r"[^a-z0-9]+", " ")), F.lit(""))
 
 
 def product_name_key(col: Column) -> Column:
@@ -252,8 +294,23 @@ def html_text(html: Column) -> Column:
     text = F.regexp_replace(html, r"(?is)<(script|style|noscript)\b.*?</\1\s*>", " ")
     text = F.regexp_replace(text, r"(?s)<!--.*?-->", " ")
     text = F.regexp_replace(text, r"(?s)<[^>]*>", " ")
-    for entity, plain in (
-        ("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&times;", "×"), ("&amp;", "&"),
-    ):
-        text = F.replace(text, F.lit(entity), F.lit(plain))
+    text = decode_references(text)
     return collapse(F.translate(text, " ", " "))
+
+
+def decode_references(text: Column) -> Column:
+    """HTML's named and numeric character references as the characters they stand for; unknown ones stay."""
+    pieces = F.regexp_extract_all(text, F.lit(r"(?s)(&#?[0-9a-zA-Z]+;?|&|[^&]+)"), F.lit(1))
+    named = _lookup(dict(html5))
+
+    def plain(piece: Column) -> Column:
+        number = F.coalesce(
+            F.try_to_number(F.regexp_extract(piece, r"^&#0*([0-9]{1,7});?$", 1), F.lit("9999999")).cast("int"),
+            F.conv(F.nullif(F.regexp_extract(piece, r"^&#[xX]0*([0-9a-fA-F]{1,6});?$", 1), F.lit("")), 16, 10).cast("int"),
+        )
+        valid = number.between(1, 0x10FFFF) & ~number.between(0xD800, 0xDFFF)
+        char = F.decode(F.unhex(F.lpad(F.hex(F.when(valid, number)), 8, "0")), "UTF-32")
+        name = F.substring(piece, 2, 64)
+        return F.when(~piece.startswith("&"), piece).otherwise(F.coalesce(char, F.element_at(named, name), piece))
+
+    return F.when(F.contains(text, F.lit("&")), F.array_join(F.transform(pieces, plain), "")).otherwise(text)

@@ -86,14 +86,15 @@ def key_status(df: DataFrame, key: str, value: str) -> DataFrame:
 SALTS = 4096
 
 
-def sparse_join(left: DataFrame, right: DataFrame, keys: Sequence[str], need: Column | None = None, *, spread: Sequence[str] = ()) -> DataFrame:
+def sparse_join(left: DataFrame, right: DataFrame, keys: Sequence[str], need: Column | None = None, *, spread: Sequence[str]) -> DataFrame:
     """Left join for keys that are often blank; one pass over the left side.
 
     A third of all rows may share the blank key (or need no lookup at all).  Their keys become null, which
     matches nothing, and a salt from the ``spread`` columns (a row id) deals them out; a retried task deals
-    them the same way again.  Without such columns adaptive execution splits the partition they fall
-    into.  Only keys and ``spread`` columns are read for this, and keys keep their types.
+    them the same way again.  Only keys and ``spread`` columns are read for this, and keys keep their types.
     """
+    if not spread:
+        raise ValueError("spread needs the columns of a row id")
     usable = F.lit(True)
     for key in keys:
         usable = usable & F.col(key).isNotNull() & (F.col(key).cast("string") != "")
@@ -103,15 +104,14 @@ def sparse_join(left: DataFrame, right: DataFrame, keys: Sequence[str], need: Co
     salted = {f"_k{i}": F.when(usable, F.col(k)) for i, k in enumerate(keys)}
     others = [c for c in right.columns if c not in keys]
     lookup = right.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], *others)
-    if spread:
-        salted["_salt"] = F.when(usable, F.lit(0)).otherwise(F.pmod(F.xxhash64(*spread), F.lit(SALTS)).cast("int") + 1)
-        lookup = lookup.withColumn("_salt", F.lit(0))
+    salted["_salt"] = F.when(usable, F.lit(0)).otherwise(F.pmod(F.xxhash64(*spread), F.lit(SALTS)).cast("int") + 1)
+    lookup = lookup.withColumn("_salt", F.lit(0))
     return left.withColumns(salted).join(lookup, list(salted), "left").drop(*salted)
 
 
 def cascade_fill(
     df: DataFrame, steps: Sequence[tuple[str, Sequence[str], DataFrame, Sequence[str]]], values: Sequence[str],
-    method_col: str, missing: Column, *, spread: Sequence[str] = (),
+    method_col: str, missing: Column, *, spread: Sequence[str],
 ) -> DataFrame:
     """Fill missing rows by ordered lookups; the first step that knows the key wins.
 

@@ -30,9 +30,9 @@ def match_customers(crm: DataFrame, accounts: DataFrame) -> DataFrame:
 
     open_row = F.col("business_id").isNull()
     by_account = first_per_key(known, ["account_id"], [("_bid", "asc")]).select("account_id", "_bid")
-    rows = take(sparse_join(rows, by_account, ["account_id"], open_row), "account_id")
+    rows = take(sparse_join(rows, by_account, ["account_id"], open_row, spread=["crm_row_id"]), "account_id")
     by_name = first_per_key(known.filter(F.col("_name").isNotNull()), ["_name"], [("account_id", "asc")]).select(F.col("_name").alias("name_key"), "_bid")
-    rows = take(sparse_join(rows, by_name, ["name_key"], open_row), "name")
+    rows = take(sparse_join(rows, by_name, ["name_key"], open_row, spread=["crm_row_id"]), "name")
     contained = unique_containment(rows.filter(open_row), "crm_row_id", "name_key", known, "_name", "_bid")
     return take(rows.join(contained, "crm_row_id", "left"), "contained_name")
 

@@ -26,7 +26,7 @@ def has_group(code: str, name: str) -> Column:
     return (F.coalesce(F.trim(code), F.lit("")) != "") & (F.coalesce(F.trim(name), F.lit("")) != "")
 
 
-def fill_missing_groups(sales: DataFrame, master: DataFrame, *, groups: Sequence[str] = GROUP) -> DataFrame:
+def fill_missing_groups(sales: DataFrame, master: DataFrame, *, row_id: Sequence[str], groups: Sequence[str] = GROUP) -> DataFrame:
     """Eleven ordered lookups for rows without a group; each key must lead to exactly one group.
 
     First the master (codes, then name and category, then name), then the rows of the same table
@@ -50,7 +50,7 @@ def fill_missing_groups(sales: DataFrame, master: DataFrame, *, groups: Sequence
         ("source_zip_name_category_unique", ["name_key", "category_key"], lookup(names, ["name_key", "category_key"]), ["name_key", "category_key"]),
         ("source_zip_name_unique", ["name_key"], lookup(names, ["name_key"]), ["name_key"]),
     ]
-    after_master = stage(cascade_fill(sales, first_steps, groups, "match_method", missing), "fill-master")
+    after_master = stage(cascade_fill(sales, first_steps, groups, "match_method", missing, spread=row_id), "fill-master")
     grouped = after_master.filter(F.coalesce(F.trim(groups[-1]), F.lit("")) != "")
     own = {
         "same_sales_productcode_unique": ["code_key"],
@@ -60,7 +60,7 @@ def fill_missing_groups(sales: DataFrame, master: DataFrame, *, groups: Sequence
         "same_sales_name_unique": ["name_key"],
     }
     steps = [(method, keys, lookup(grouped, keys), keys) for method, keys in own.items()]
-    return cascade_fill(after_master, steps, groups, "match_method", missing)
+    return cascade_fill(after_master, steps, groups, "match_method", missing, spread=row_id)
 
 
 def fill_from_same_key(sales: DataFrame, keys: Sequence[str], category: str, *, groups: Sequence[str] = GROUP, method: str = "match_method") -> DataFrame:
@@ -105,7 +105,7 @@ def fill_by_rules(df: DataFrame, rules: Sequence[tax.Rule], text: Column, catego
     ).drop("_g")
 
 
-def group_by_code(sales: DataFrame, master: DataFrame, *, row_id: Sequence[str] = ()) -> DataFrame:
+def group_by_code(sales: DataFrame, master: DataFrame, *, row_id: Sequence[str]) -> DataFrame:
     """Group by product code and how the code stands: missing, unmatched, ambiguous or unique."""
     status = key_status(master, "product_code", "product_group").withColumnRenamed("product_group", "product_group_from_code")
     out = sparse_join(sales, status, ["product_code"], spread=row_id)
@@ -123,13 +123,16 @@ IGNORED_GROUP_WORDS = ("ja", "sekä", "muut", "other", "tuotteet", "products")
 def group_by_name(names: DataFrame, master: DataFrame, *, terms: Sequence[str], aliases: dict[str, str], packaging_group: str = "Muut pakkaukset") -> DataFrame:
     """Group for each distinct product name, by falling certainty.
 
-    ``names``: name_key, category_key (one row each pair).  ``master``: product_code, name_key,
-    product_group.  Order: exact name, compact name, cost words, alias words, word pairs, similar
-    words, category, similar name.  Works on distinct names, so copies of a line cost nothing.
+    ``names``: name_key, category_key and, if there are any, description_key (one row each combination).
+    ``master``: product_code, name_key, product_group and, if there are any, description_key.  The first that is
+    known counts: exact name, compact name, similar name, exact description, category, cost words, word pairs, alias
+    words, similar words.  Works on distinct names, so copies of a line cost nothing.
     Result columns: product_group, product_code, name_match.
     """
     known = stage(master.filter((F.col("name_key") != "") & (F.col("product_code") != "") & (F.col("product_group") != "")), "master-names")
-    keys = stage(names.select("name_key", "category_key").distinct(), "names")
+    described = "description_key" in names.columns and "description_key" in master.columns
+    row_id = ["name_key", "category_key", *["description_key"] * described]
+    keys = stage(names.select(row_id).distinct(), "names")
 
     def codes(df: DataFrame, key: str) -> DataFrame:
         one = unique_lookup(df, [key], ["product_code"])
@@ -137,10 +140,10 @@ def group_by_name(names: DataFrame, master: DataFrame, *, terms: Sequence[str],
         return one.join(groups, key)
 
     exact = codes(known, "name_key").select("name_key", F.col("product_code").alias("c1"), F.col("product_group").alias("g1"))
-    out = sparse_join(keys, exact, ["name_key"])
+    out = sparse_join(keys, exact, ["name_key"], spread=row_id)
     compact = codes(known.withColumn("compact", tx.compact_key(F.col("name_key"))).filter(F.col("compact") != ""), "compact")
     compact = compact.select("compact", F.col("product_code").alias("c2"), F.col("product_group").alias("g2"))
-    out = sparse_join(out.withColumn("compact", tx.compact_key(F.col("name_key"))), compact, ["compact"], F.col("g1").isNull())
+    out = sparse_join(out.withColumn("compact", tx.compact_key(F.col("name_key"))), compact, ["compact"], F.col("g1").isNull(), spread=row_id)
     by_name = F.coalesce("g1", "g2")
     out = out.withColumn("g3", F.when(by_name.isNull() & tx.has_any(F.col("name_key"), terms), F.lit(packaging_group)))
     leaves = known.select("product_group").distinct().withColumn("leaf", tx.product_name_key(F.element_at(F.split("product_group", LEAF_SPLIT), -1)))
@@ -149,7 +152,7 @@ def group_by_name(names: DataFrame, master: DataFrame, *, terms: Sequence[str],
         alias = F.when(tx.has_any(F.col("name_key"), [word], whole_words=True), F.lit(leaf.lower())).otherwise(alias)
     leaf_group = leaves.groupBy("leaf").agg(F.min("product_group").alias("g4"))
     out = out.withColumn("leaf", F.when(by_name.isNull() & F.col("g3").isNull(), alias))
-    out = stage(sparse_join(out, leaf_group, ["leaf"]).drop("leaf"), "names-sure")
+    out = stage(sparse_join(out, leaf_group, ["leaf"], spread=row_id).drop("leaf"), "names-sure")
     open_names = out.filter(by_name.isNull() & F.col("g3").isNull() & F.col("g4").isNull()).select("name_key").distinct()
 
     pairs = known.select("product_group", F.explode(F.array_distinct(tx.bigrams(tx.tokens(F.col("name_key"), 3)))).alias("pair"))
@@ -171,29 +174,50 @@ def group_by_name(names: DataFrame, master: DataFrame, *, terms: Sequence[str],
 
     parts = known.select("product_group").distinct().select("product_group", F.explode(F.split("product_group", LEAF_SPLIT)).alias("p"))
     category = unique_lookup(parts.select("product_group", tx.product_name_key(F.col("p")).alias("category_key")), ["category_key"], ["product_group"])
-    out = sparse_join(out, category.withColumnRenamed("product_group", "g7"), ["category_key"], by_name.isNull())
+    out = sparse_join(out, category.withColumnRenamed("product_group", "g7"), ["category_key"], by_name.isNull(), spread=row_id)
+    if described:
+        text = codes(known.filter(F.col("description_key") != ""), "description_key").select("description_key", F.col("product_code").alias("c9"), F.col("product_group").alias("g9"))
+        out = sparse_join(out, text, ["description_key"], by_name.isNull(), spread=row_id)
+    else:
+        out = out.withColumns({c: F.lit(None).cast("string") for c in ("c9", "g9")})
 
     unnamed = out.filter(by_name.isNull()).select("name_key").distinct()
     sure = codes(known, "name_key").select(F.col("name_key").alias("master_key"), F.col("product_code").alias("c8"), F.col("product_group").alias("g8"))
     close = fuzzy_best(unnamed, "name_key", sure, "master_key").join(sure, "master_key").select("name_key", "c8", "g8")
     out = out.join(close, "name_key", "left")
     tags = {
-        "g8": "fuzzy_high_confidence", "g7": "category_exact", "g6": "product_group_word", "g5": "product_group_pair", "g4": "explicit_product_group_alias",
+        "g8": "fuzzy_high_confidence", "g9": "description_exact", "g7": "category_exact", "g6": "product_group_word", "g5": "product_group_pair", "g4": "explicit_product_group_alias",
         "g3": "transport_packaging_keyword", "g2": "normalized_master_name", "g1": "unique_master_name",
     }
     method = F.lit("unmatched")
     for column, tag in reversed(list(tags.items())):
         method = F.when(F.col(column).isNotNull(), F.lit(tag)).otherwise(method)
     return out.select(
-        "name_key", "category_key", F.coalesce("g1", "g2", "g8", "g7", "g3", "g5", "g4", "g6").alias("product_group"),
-        F.coalesce("c1", "c2", "c8").alias("product_code"), method.alias("name_match"),
+        *row_id, F.coalesce("g1", "g2", "g8", "g9", "g7", "g3", "g5", "g4", "g6").alias("product_group"),
+        F.coalesce("c1", "c2", "c8", "c9").alias("product_code"), method.alias("name_match"),
     )
 
 
-def group_by_context(sales: DataFrame, *, aliases: DataFrame | None = None, group: str = "product_group", row_id: Sequence[str] = ()) -> DataFrame:
+def name_audit(lines: DataFrame, matched: DataFrame, *, invoiced: Column) -> DataFrame:
+    """Lines by the way their name was matched: how many, how many with a code and how many of them invoiced.
+
+    ``matched`` is the result of :func:`group_by_name`; lines without a key there count as ``no_name``.
+    """
+    keys = [c for c in ("name_key", "category_key", "description_key") if c in matched.columns]
+    per_key = lines.groupBy(*keys).agg(F.count("*").alias("n"), F.count_if(invoiced).alias("n_invoiced"))
+    joined = join_on(per_key, matched.select(*keys, "product_code", "name_match"), keys, "left")
+    return joined.groupBy(F.coalesce("name_match", F.lit("no_name")).alias("name_match")).agg(
+        F.sum("n").alias("lines"), F.sum("n_invoiced").alias("invoiced_lines"),
+        F.coalesce(F.sum(F.when(F.col("product_code").isNotNull(), F.col("n"))), F.lit(0)).alias("codes_filled"),
+        F.coalesce(F.sum(F.when(F.col("product_code").isNotNull(), F.col("n_invoiced"))), F.lit(0)).alias("invoiced_codes_filled"),
+    )
+
+
+def group_by_context(sales: DataFrame, *, aliases: DataFrame | None = None, group: str = "product_group", row_id: Sequence[str], master: DataFrame | None = None) -> DataFrame:
     """Open rows take the group of their context if it is the only one there.
 
-    Order: alias table (name_key, product_group), same reference, same order, same customer and name.
+    Order: alias table (name_key, product_group), same reference, same order, same customer and name, and with a
+    ``master`` (name_key, product_group) the one master name that is clearly the most similar.
     """
     out = sales.withColumns({"context_source": F.when(F.col(group).isNotNull(), F.lit(None)).otherwise(F.lit("unmatched")), "_row_open": F.col(group).isNull()})
 
@@ -208,10 +232,15 @@ def group_by_context(sales: DataFrame, *, aliases: DataFrame | None = None, grou
         out = fill(out, ["name_key"], unique_lookup(aliases, ["name_key"], [group]), "alias")
     for keys, tag in ((["reference"], "reference_context"), (["order_id"], "order_context"), (["account_id", "name_key"], "customer_history")):
         out = fill(out, keys, unique_lookup(out.filter(F.col(group).isNotNull()), keys, [group]), tag)
+    if master is not None:
+        named = first_per_key(master.filter((F.col("name_key") != "") & (F.col(group) != "")), ["name_key"], [(group, "asc")]).select(F.col("name_key").alias("master_key"), group)
+        open_names = out.filter(F.col(group).isNull() & (F.col("name_key") != "")).select("name_key").distinct()
+        close = fuzzy_best(open_names, "name_key", named, "master_key").join(named, "master_key").select("name_key", group)
+        out = fill(out, ["name_key"], close, "fuzzy_high_confidence")
     return out.withColumn("product_group_unknown", F.col(group).isNull()).drop("_row_open")
 
 
-def lowest_group_of_sales(sales: DataFrame, master: DataFrame, keys: Sequence[str], *, group: str = "lowest_group", order: str = "product_id", row_id: Sequence[str] = ()) -> DataFrame:
+def lowest_group_of_sales(sales: DataFrame, master: DataFrame, keys: Sequence[str], *, group: str = "lowest_group", order: str = "product_id", row_id: Sequence[str]) -> DataFrame:
     """Lowest master group by any of the product keys, else the sales category or reference."""
     clean = lambda c: F.nullif(tx.code_key(c.cast("string"), drop_spaces=True), F.lit(""))
     table = first_of_columns(master, keys, [group], order, clean).select(F.col("key").alias("_key"), group)
@@ -438,11 +467,11 @@ def stable_boxes(boxes: DataFrame, fields: Sequence[str], *, in_mm: Sequence[str
     return same.select("brand_key", "name_key", *[F.nullif(F.col(f"lo.{f}"), F.lit(-1.0)).alias(f) for f in fields])
 
 
-def merge_boxes(products: DataFrame, stable: DataFrame, fields: Sequence[str]) -> DataFrame:
+def merge_boxes(products: DataFrame, stable: DataFrame, fields: Sequence[str], *, row_id: Sequence[str]) -> DataFrame:
     """Carton fields filled where empty, with a note of the source."""
     keyed = products.withColumns({"brand_key": tx.fold(F.col("brand_name")), "name_key": tx.fold(F.col("product_name"))})
     renamed = stable.select("brand_key", "name_key", *[F.col(f).alias(f"_b_{f}") for f in fields])
-    joined = sparse_join(keyed, renamed, ["brand_key", "name_key"])
+    joined = sparse_join(keyed, renamed, ["brand_key", "name_key"], spread=row_id)
     filled = F.lit(False)
     for f in fields:
         filled = filled | (nm.to_number(F.col(f)).isNull() & F.col(f"_b_{f}").isNotNull())
@@ -458,11 +487,11 @@ def backfill_measures(products: DataFrame, curated: DataFrame, key: str, columns
     return joined.withColumns({c: set_if_missing(F.col(c), F.col(f"_c_{c}")) for c in columns}).drop("_key", *[f"_c_{c}" for c in columns])
 
 
-def with_brands(products: DataFrame, brands: DataFrame) -> tuple[DataFrame, DataFrame]:
+def with_brands(products: DataFrame, brands: DataFrame, *, row_id: Sequence[str]) -> tuple[DataFrame, DataFrame]:
     """Brand names by id (0 counts as none), and the ids that have no brand row."""
     keyed = products.withColumn("brand_key", F.nullif(tx.numeric_id_key(F.col("brand_id").cast("string")), F.lit("0")))
     table = first_per_key(brands.withColumn("brand_key", tx.numeric_id_key(F.col("brand_id").cast("string"))), ["brand_key"], [("brand_name", "asc")]).select("brand_key", "brand_name")
-    joined = sparse_join(keyed, table, ["brand_key"])
+    joined = sparse_join(keyed, table, ["brand_key"], spread=row_id)
     unmapped = joined.filter((F.coalesce("brand_key", F.lit("")) != "") & F.col("brand_name").isNull()).groupBy("brand_key").agg(F.count("*").alias("products"))
     return joined.drop("brand_key"), unmapped
 

@@ -1,4 +1,7 @@
+import html
 import math
+import re
+import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
@@ -39,6 +42,12 @@ def test_names(spark):
     assert one(spark, names, "v string", tx.name_for_matching(F.col("v"))) == ["foo", "arzte co", None, None, None]
     assert one(spark, names, "v string", tx.name_of_account(F.col("v")))[:2] == ["foo", "ärzte co"]
     assert one(spark, ["Crème—Brûlée  ÄÖ"], "v string", tx.fold(F.col("v"))) == ["creme brulee ao"]
+    odd = ["ﬁne ½ ⑩ ㎏", "e\u0301te\u0308", "𝐀𝐛𝟙", "łódź Ǆ", "ǭ ｆｕｌｌ", None]
+    want = []
+    for t in odd:
+        plain = "".join(c for c in unicodedata.normalize("NFKD", (t or "").lower()) if not unicodedata.combining(c)).lower()
+        want.append(" ".join(re.findall("[a-z0-9]+", plain)))
+    assert one(spark, odd, "v string", tx.fold(F.col("v"))) == want
 
 
 def test_word_edges_know_finnish_letters(spark):
@@ -114,3 +123,10 @@ def test_match_confidence_orders(spark):
     first = one(spark, methods, "v string", bk.match_confidence(F.col("v"), rule_order="first"))
     assert last == [1.0, 0.6, 0.8, 0.75, 0.75, 0.0, 0.0, 0.6, 0.8]
     assert first == [1.0, 1.0, 0.95, 0.6, 0.75, 0.0, 0.0, 0.6, 0.85]
+
+
+def test_character_references(spark):
+    texts = ["a &auml; &ouml;&amp;&lt;b&gt; &copy;&nbsp;x", "&#228;&#xE4;&#x1F600; &#0; &unknown; & &; x&y", "no reference", "&hearts;&euro;&frac12;", "", None]
+    got = one(spark, texts, "v string", tx.decode_references(F.col("v")))
+    assert got[0] == html.unescape(texts[0]) and got[2:] == [html.unescape(t) if t is not None else None for t in texts[2:]]
+    assert got[1] == "ää\U0001F600 &#0; &unknown; & &; x&y"

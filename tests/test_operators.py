@@ -89,7 +89,7 @@ def test_many_to_one_refuses_duplicates(spark):
 
 def test_sparse_join_keeps_every_row(spark):
     left = spark.createDataFrame([(i, "" if i % 3 == 0 else (None if i % 3 == 1 else "k")) for i in range(30)], "id int, k string")
-    out = lk.sparse_join(left, spark.createDataFrame([("k", "v"), ("", "bad")], "k string, v string"), ["k"])
+    out = lk.sparse_join(left, spark.createDataFrame([("k", "v"), ("", "bad")], "k string, v string"), ["k"], spread=["id"])
     rows = out.collect()
     assert len(rows) == 30 and {r["v"] for r in rows if r["k"] == "k"} == {"v"} and {r["v"] for r in rows if r["k"] != "k"} == {None}
 
@@ -98,7 +98,7 @@ def test_cascade_first_method_wins_and_filled_rows_stay(spark):
     rows = spark.createDataFrame([(1, "a", "n", None, None), (2, "zz", "n", None, None), (3, "a", "n", "own", "given"), (4, "zz", "m", None, None)], "id int, c string, n string, g string, m string")
     by_code = spark.createDataFrame([("a", "G1")], "c string, g string")
     by_name = spark.createDataFrame([("n", "G2")], "n string, g string")
-    out = lk.cascade_fill(rows, [("code", ["c"], by_code, ["c"]), ("name", ["n"], by_name, ["n"])], ["g"], "m", F.col("g").isNull())
+    out = lk.cascade_fill(rows, [("code", ["c"], by_code, ["c"]), ("name", ["n"], by_name, ["n"])], ["g"], "m", F.col("g").isNull(), spread=["c", "n"])
     assert {r["id"]: (r["g"], r["m"]) for r in out.collect()} == {1: ("G1", "code"), 2: ("G2", "name"), 3: ("own", "given"), 4: (None, None)}
 
 
