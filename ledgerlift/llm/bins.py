@@ -78,3 +78,19 @@ def unpack(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     new = np.ones(len(keys), dtype=bool)
     new[1:] = (keys[1:] != keys[:-1]) | (docs[1:] != docs[:-1])
     return keys[new], docs[new]
+
+
+def dealt(route: np.ndarray, n: int, columns: list[np.ndarray]) -> list[tuple]:
+    """For each of ``n`` bins that ``route`` (64-bit numbers) leads to, its number and its part of each column as bytes."""
+    if not len(route):
+        return []
+    place = (mix(route.astype(np.uint64), 79) >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)
+    order = np.argsort(place, kind="stable")
+    at, begin = np.unique(place[order], return_index=True)
+    columns = [c[order] for c in columns]
+    return [(int(b), *(c[x:y].tobytes() for c in columns)) for b, x, y in zip(at.tolist(), begin.tolist(), [*begin[1:].tolist(), len(order)], strict=True)]
+
+
+def joined(table: pa.Table, **columns: type) -> list[np.ndarray]:
+    """The named binary columns of a table, each as one array."""
+    return [np.frombuffer(b"".join(table[c].to_pylist()), dtype=d) for c, d in columns.items()]

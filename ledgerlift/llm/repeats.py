@@ -3,16 +3,18 @@
 Every byte that is covered by a string of ``LEAST`` bytes which also starts in a document with a smaller id is
 removed.  Matches don't cross documents, and strings are judged on the input.
 
-1. Equal texts are one content, represented by its smallest id; its other copies are covered whole.
+1. Equal texts are one content, represented by its smallest id; its other copies are covered whole.  A content's
+   name is a 64-bit hash; where two different MD5 digests have one name, both get another.
 2. In each window of ``LEAST`` bytes the ``GRAM``-byte gram with the smallest hash is its *anchor*: equal windows have
    equal anchors at equal places.  Each content's different anchors (about one for 16 bytes) go to bins by
    hash; only anchors of two or more contents can be part of a match.
-3. Around each such anchor its context, the 31 windows that hold it, goes to bins by the anchor's hash.  Equal contexts
-   decide each other at once.  The others are joined into a text whose suffixes are sorted in two stages:
+3. Around each such anchor its context, the 31 windows that hold it, goes to a bin: anchors of few contents by the
+   smallest of these, so that neighbouring anchors of the same documents meet in one bin and give one
+   range; anchors of more than ``FEW`` by their own hash.  Equal contexts decide each other at once.  The others are joined into a text whose suffixes are sorted in two stages:
    suffixes smaller than their successor are sorted directly, all others are induced by scanning the
    buckets of their first bytes; neighbours with a common prefix of ``LEAST`` bytes form a group, and all
    members but those of its smallest document are covered.
-4. Covered ranges return to their documents, are merged, cut out and digested.
+4. Covered ranges are merged, first in their bin, then by content, cut out and digested.
 
 Sizes.  The bins of both exchanges follow the number of entries; a task sorts about ``CHUNK`` contexts at a
 time, and an anchor with many more place by place.  Texts without a covered byte aren't shuffled for step 4.
@@ -30,7 +32,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlift.llm import bins
@@ -42,6 +44,8 @@ _SPAN = LEAST - GRAM  # an anchor's window starts at most so many bytes before i
 _WIDE = 2 * _SPAN + GRAM  # bytes of a context
 #: Contexts that a bin should hold, contexts sorted together, bytes whose grams are hashed together.
 BIN_CONTEXTS, CHUNK, _SLICE = 100_000, 8_000, 1 << 18
+#: Contents up to which an anchor travels with its neighbours.
+FEW = 64
 _CONTEXTS = "bin bigint, keys binary, docs binary, owners binary, places binary, rooms binary, contexts binary"
 
 
@@ -224,7 +228,9 @@ def _judge(keys: np.ndarray, docs: np.ndarray, owners: np.ndarray, places: np.nd
     several = np.concatenate(([True], keys[heads][1:] != keys[heads][:-1]))
     n = np.diff(np.append(np.flatnonzero(several), len(heads)))
     heads = heads[np.repeat(n > 1, n)]
-    cut = np.flatnonzero(np.concatenate(([True], keys[heads][1:] != keys[heads][:-1]))) if len(heads) else np.zeros(0, np.int64)
+    if not len(heads):
+        return
+    cut = np.flatnonzero(np.concatenate(([True], keys[heads][1:] != keys[heads][:-1])))
     edges = [0]
     for begin, c in zip(cut.tolist(), [*cut[1:].tolist(), len(heads)], strict=True):
         if c - begin > CHUNK and begin > edges[-1]:
@@ -251,13 +257,27 @@ def _judge(keys: np.ndarray, docs: np.ndarray, owners: np.ndarray, places: np.nd
         yield owners[occ[r]], places[occ[r]] - _SPAN + s, places[occ[r]] - _SPAN + e - 1 + LEAST
 
 
-def _merged(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Ranges that touch or overlap become one."""
-    order = np.argsort(start, kind="stable")
-    start, end = start[order], np.maximum.accumulate(end[order])
-    new = np.concatenate(([True], start[1:] > end[:-1]))
-    last = np.append(np.flatnonzero(new)[1:] - 1, len(start) - 1)
-    return start[new], end[last]
+def _merged_by(owner: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(owner, start, end) sorted; an owner's ranges that touch or overlap become one."""
+    if not len(owner):
+        return owner, start, end
+    order = np.lexsort((start, owner))
+    owner, start, end = owner[order], start[order], end[order]
+    head = np.concatenate(([True], owner[1:] != owner[:-1]))
+    # every owner's ranges are put behind all of the owner's before, so one running maximum serves
+    wide = int(end.max()) + 1
+    shift = (np.cumsum(head) - 1) * wide
+    reach = np.maximum.accumulate(end + shift)
+    new = head.copy()
+    new[1:] |= start[1:] + shift[1:] > reach[:-1]
+    last = np.append(np.flatnonzero(new)[1:] - 1, len(owner) - 1)
+    return owner[new], start[new], (reach - shift)[last]
+
+
+def _table(rows: list[tuple], number: str, *columns: str) -> pa.Table:
+    """Rows of a number and of bytes."""
+    fields = pa.schema([(number, pa.int64()), *((c, pa.binary()) for c in columns)])
+    return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), fields.types, strict=True)], schema=fields) if rows else fields.empty_table()
 
 
 def covered_ranges(docs: DataFrame, contents: DataFrame) -> DataFrame:
@@ -280,36 +300,48 @@ def covered_ranges(docs: DataFrame, contents: DataFrame) -> DataFrame:
                     yield from packer.rows()
         yield from packer.rows()
 
+    lots = -(-n_bins // 4)
+
     def shared(key, table):
         keys, owners = bins.unpack(table)
         begin = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
         n = np.diff(np.append(begin, len(keys)))
+        # owners are sorted within a key
+        route = np.where(n > FEW, bins.mix(keys[begin], 80), bins.mix(owners[begin].astype(np.uint64), 81))
         keep = np.repeat(n > 1, n)
-        keys, owners = keys[keep], owners[keep]
-        order = np.argsort(owners, kind="stable")
-        keys, owners = keys[order], owners[order]
-        edge = np.flatnonzero(np.concatenate(([True], owners[1:] != owners[:-1]))) if len(owners) else np.zeros(0, np.int64)
-        ends = [*edge[1:].tolist(), len(owners)] if len(owners) else []
-        return pa.table({"content": pa.array(owners[edge], pa.int64()), "n": pa.array([b - a for a, b in zip(edge.tolist(), ends, strict=True)], pa.int64()), "anchors": pa.array([keys[a:b].tobytes() for a, b in zip(edge.tolist(), ends, strict=True)], pa.binary())})
+        rows = bins.dealt(owners[keep].astype(np.uint64), lots, [owners[keep], keys[keep], np.repeat(route, n)[keep]])
+        return _table(rows, "lot", "owners", "keys", "routes")
+
+    def of_content(key, table):
+        owners, keys, routes = bins.joined(table, owners=np.int64, keys=np.uint64, routes=np.uint64)
+        order = np.lexsort((keys, owners))
+        owners, keys, routes = owners[order], keys[order], routes[order]
+        begin = np.flatnonzero(np.concatenate(([True], owners[1:] != owners[:-1])))
+        ends = np.append(begin[1:], len(owners))
+        cut = lambda x: pa.array([x[a:b].tobytes() for a, b in zip(begin.tolist(), ends.tolist(), strict=True)], pa.binary())
+        return pa.table({"content": pa.array(owners[begin], pa.int64()), "n": pa.array(ends - begin, pa.int64()), "anchors": cut(keys), "routes": cut(routes)})
 
     known = docs.where("doc_id is not null")
-    found = stage(known.select("content", "text").mapInArrow(emit, bins.SCHEMA).groupBy("kind", "bin").applyInArrow(shared, "content bigint, n bigint, anchors binary"), "anchors")
+    found = known.select("content", "text").mapInArrow(emit, bins.SCHEMA).groupBy("kind", "bin").applyInArrow(shared, "lot bigint, owners binary, keys binary, routes binary")
+    found = stage(found.groupBy("lot").applyInArrow(of_content, "content bigint, n bigint, anchors binary, routes binary"), "anchors")
     total = found.agg(F.sum("n")).first()[0] or 0
     context_bins = max(1, -(-int(total) // BIN_CONTEXTS))
-    wanted = found.groupBy("content").agg(F.collect_list("anchors").alias("anchors")).join(contents.select("content", F.col("rep").alias("doc_id")), "content")
+    wanted = found.join(contents.select("content", F.col("rep").alias("doc_id")), "content")
 
     def contexts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         n = 0
         for batch in batches:
-            ids, lists = batch.column(batch.schema.get_field_index("doc_id")).to_pylist(), batch.column(batch.schema.get_field_index("anchors")).to_pylist()
-            raws, names = raw_texts(batch), batch.column(batch.schema.get_field_index("content")).to_pylist()
-            for doc_id, name, own, raw, (at, h) in zip(ids, names, lists, raws, anchors(raws), strict=True):
-                good = np.isin(h, np.concatenate([np.frombuffer(a, dtype=np.uint64) for a in own]))
-                at, h = at[good], h[good]
+            ids, names, lists, routes = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("doc_id", "content", "anchors", "routes"))
+            raws = raw_texts(batch)
+            for doc_id, name, own, route, raw, (at, h) in zip(ids, names, lists, routes, raws, anchors(raws), strict=True):
+                own = np.frombuffer(own, dtype=np.uint64)
+                where = np.minimum(np.searchsorted(own, h), len(own) - 1)
+                good = own[where] == h
+                at, h, where = at[good], h[good], where[good]
                 padded = np.frombuffer(b"\0" * _SPAN + raw + b"\0" * LEAST, dtype=np.uint8)
                 view = np.lib.stride_tricks.sliding_window_view(padded, _WIDE)[at]
-                held.append((h, np.full(len(at), doc_id, dtype=np.int64), np.full(len(at), name, dtype=np.int64), at.astype(np.int64), np.minimum(len(raw) - at, LEAST).astype(np.uint8), view))
+                held.append((np.frombuffer(route, dtype=np.uint64)[where], h, np.full(len(at), doc_id, dtype=np.int64), np.full(len(at), name, dtype=np.int64), at.astype(np.int64), np.minimum(len(raw) - at, LEAST).astype(np.uint8), view))
                 n += len(at)
                 if n >= 250_000:
                     yield pack(held)
@@ -319,26 +351,45 @@ def covered_ranges(docs: DataFrame, contents: DataFrame) -> DataFrame:
 
     def pack(held: list[tuple]) -> pa.RecordBatch:
         columns = [np.concatenate(c) for c in zip(*held, strict=True)]
-        place = (bins.mix(columns[0], 78) >> np.uint64(32)) * np.uint64(context_bins) >> np.uint64(32)
-        order = np.argsort(place, kind="stable")
-        columns = [c[order] for c in columns]
-        edges = np.searchsorted(place[order], np.arange(context_bins + 1, dtype=np.uint64))
-        at = [b for b in range(context_bins) if edges[b] < edges[b + 1]]
-        return pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), *(pa.array([c[edges[b]:edges[b + 1]].tobytes() for b in at], pa.binary()) for c in columns)], names=["bin", "keys", "docs", "owners", "places", "rooms", "contexts"])
+        return _table(bins.dealt(columns[0], context_bins, columns[1:]), "bin", "keys", "docs", "owners", "places", "rooms", "contexts").to_batches()[0]
 
     def judge(key, table):
-        whole = [b"".join(table[c].to_pylist()) for c in ("keys", "docs", "owners", "places", "rooms", "contexts")]
-        arrays = [np.frombuffer(w, dtype=d) for w, d in zip(whole, (np.uint64, np.int64, np.int64, np.int64, np.uint8, np.uint8), strict=True)]
-        parts = list(_judge(*arrays[:5], arrays[5].reshape(-1, _WIDE)))
-        owner, start, end = (np.concatenate([p[k] for p in parts]) for k in range(3))
-        order = np.argsort(owner, kind="stable")
-        owner, start, end = owner[order], start[order], end[order]
-        edges = [*np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1]))).tolist(), len(owner)] if len(owner) else [0]
-        ranges = [np.stack(_merged(start[a:b], end[a:b]), axis=1).astype(np.int64).tobytes() for a, b in zip(edges, edges[1:], strict=False)]
-        return pa.table({"content": pa.array(owner[edges[:-1]], pa.int64()), "ranges": pa.array(ranges, pa.binary())})
+        keys, docs, owners, places, rooms, around = bins.joined(table, keys=np.uint64, docs=np.int64, owners=np.int64, places=np.int64, rooms=np.uint8, contexts=np.uint8)
+        parts = list(_judge(keys, docs, owners, places, rooms, around.reshape(-1, _WIDE)))
+        found = _merged_by(*(np.concatenate([p[k] for p in parts]) for k in range(3)))
+        return _table(bins.dealt(found[0].astype(np.uint64), lots, list(found)), "lot", "owners", "starts", "ends")
+
+    def merge(key, table):
+        owners, starts, ends = _merged_by(*bins.joined(table, owners=np.int64, starts=np.int64, ends=np.int64))
+        begin = np.flatnonzero(np.concatenate(([True], owners[1:] != owners[:-1])))
+        both = np.stack([starts, ends], axis=1)
+        return pa.table({"content": pa.array(owners[begin], pa.int64()), "ranges": pa.array([both[a:b].tobytes() for a, b in zip(begin.tolist(), [*begin[1:].tolist(), len(owners)], strict=True)], pa.binary())})
 
     texts = known.join(wanted, ["content", "doc_id"])
-    return texts.select("doc_id", "content", "anchors", "text").mapInArrow(contexts, _CONTEXTS).groupBy("bin").applyInArrow(judge, "content bigint, ranges binary")
+    judged = texts.select("doc_id", "content", "anchors", "routes", "text").mapInArrow(contexts, _CONTEXTS).groupBy("bin").applyInArrow(judge, "lot bigint, owners binary, starts binary, ends binary")
+    return judged.groupBy("lot").applyInArrow(merge, "content bigint, ranges binary")
+
+
+def _name(text: Column) -> Column:
+    """A content's name."""
+    return F.xxhash64(text)
+
+
+def _named(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, text, content) of each row and (content, rep, n_bytes) of each different text."""
+    text = F.coalesce("text", F.lit(""))
+    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", _name(text).alias("content"), F.unhex(F.md5(text.cast("binary"))).alias("digest"))
+    contents = docs.where("doc_id is not null").groupBy("content", "digest").agg(F.min("doc_id").alias("rep"), F.max(F.coalesce(F.octet_length("text"), F.lit(0))).cast("bigint").alias("n_bytes"))
+    contents = stage(contents, "contents")
+    # names that several digests share: for n texts about n * n / 2 ** 65 of them
+    several = stage(contents.groupBy("content").agg(F.count("*").alias("n")).where("n > 1").select("content").join(contents, "content").select("content", "digest", F.xxhash64("digest").alias("other")), "shared-names")
+    if several.isEmpty():
+        return docs.drop("digest"), contents.drop("digest")
+
+    def renamed(df: DataFrame) -> DataFrame:
+        return df.join(several, ["content", "digest"], "left").withColumn("content", F.coalesce("other", "content")).drop("other", "digest")
+
+    return renamed(docs), renamed(contents)
 
 
 def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
@@ -346,14 +397,13 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
 
     ``with_text`` adds ``kept``, the bytes that are left.
     """
-    docs = small_batches(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("content"))
-    contents = stage(docs.where("doc_id is not null").groupBy("content").agg(F.min("doc_id").alias("rep"), F.max(F.coalesce(F.octet_length("text"), F.lit(0))).cast("bigint").alias("n_bytes")), "contents")
+    docs, contents = _named(small_batches(docs))
     long = contents.where(F.col("n_bytes") >= LEAST)
-    ranges = stage(covered_ranges(docs, long), "ranges").groupBy("content").agg(F.collect_list("ranges").alias("ranges"))
+    ranges = stage(covered_ranges(docs, long), "ranges")
     copies = docs.where("doc_id is not null").select("doc_id", "content").join(long.select("content", "rep"), "content").where("doc_id > rep").select("content").distinct()
     info = stage(ranges.join(copies, "content", "full").join(long.select("content", "rep"), "content").select("content", "rep", "ranges"), "info")
     marked = maybe(docs, info, "content")
-    none = {"rep": F.lit(None).cast("bigint"), "ranges": F.lit(None).cast("array<binary>")}
+    none = {"rep": F.lit(None).cast("bigint"), "ranges": F.lit(None).cast("binary")}
     joined = marked.where("__maybe").drop("__maybe").join(info, "content", "left").select("doc_id", "text", "rep", "ranges")
     judged = joined.unionByName(marked.where("not __maybe").withColumns(none).select("doc_id", "text", "rep", "ranges"))
 
@@ -370,8 +420,7 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
                 elif doc_id > rep:
                     start, end = np.array([0]), np.array([len(raw)])
                 else:
-                    both = np.concatenate([np.frombuffer(r, dtype=np.int64) for r in own]).reshape(-1, 2)
-                    start, end = _merged(both[:, 0], both[:, 1])
+                    start, end = np.frombuffer(own, dtype=np.int64).reshape(-1, 2).T
                 removed.append(int((end - start).sum()))
                 spans.append(len(start))
                 edges = [0, *np.stack([start, end], axis=1).ravel().tolist(), len(raw)]
