@@ -252,7 +252,7 @@ def similarity_at(threshold: float):
     return ratio
 
 
-GRAM = 3
+GRAM = 2
 
 
 def _max_edits(total: Column, threshold: float) -> Column:
@@ -278,8 +278,9 @@ def similar_candidates(left: DataFrame, left_key: str, right: DataFrame, right_k
     A ratio r over lengths m and n allows d = (1 - r)(m + n) insertions and deletions, and each spoils the grams at
     ``GRAM`` places at most.  So of each text's different grams all but ``GRAM * d`` are the other's too, and under
     any order of all grams the first one in common is among the first ``GRAM * d + 1`` of both.  Grams are ordered by how many texts hold them, rare ones
-    first: what most names begin or end with is never a key.  Pairs that meet are counted on all their
-    grams before anything is scored.
+    first: what most names begin or end with is hardly ever a key.  Pairs that meet must then have grams and
+    characters enough in common, both counted in expressions, before anything is scored.  Below a threshold of
+    about .8 the edits may spoil all grams; such texts meet by length.
     """
     lefts = left.select(F.col(left_key).alias("_t")).filter(F.length("_t") > 0).distinct()
     rights = right.select(F.col(right_key).alias("_t")).filter(F.length("_t") > 0).distinct()
@@ -304,7 +305,11 @@ def similar_candidates(left: DataFrame, left_key: str, right: DataFrame, right_k
     reach = lambda side, t: tiny.filter(F.col("_side") == side).select(F.col("_t").alias(t), F.explode(F.sequence("_low", "_high")).alias("_n"))
     others = lambda side, t: both.filter(F.col("_side") == side).select(F.col("_t").alias(t), "_n")
     by_length = reach(0, "_l").join(others(1, "_r"), "_n").select("_l", "_r").unionByName(reach(1, "_r").join(others(0, "_l"), "_n").select("_l", "_r"))
-    return met.unionByName(by_length).distinct()
+    # the characters in common, each as often as both have it, are no fewer than what matches
+    times = lambda text, c: F.length(text) - F.length(F.replace(text, c, F.lit("")))
+    shared = F.array_intersect(F.split("_l", ""), F.split("_r", ""))
+    same = F.aggregate(shared, F.lit(0), lambda n, c: n + F.least(times(F.col("_l"), c), times(F.col("_r"), c)))
+    return met.unionByName(by_length).distinct().filter(2.0 * same >= threshold * (F.length("_l") + F.length("_r")) - 1e-9)
 
 
 def similar_pairs(left: DataFrame, left_key: str, right: DataFrame, right_key: str, threshold: float, *, condition=None) -> DataFrame:

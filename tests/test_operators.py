@@ -175,3 +175,42 @@ def test_sparse_join_reads_keys_only_and_keeps_their_types(spark, tmp_path):
     out = lk.sparse_join(left, right, ["k"], spread=["id"]).select("id", "v")
     assert "wide" not in out._jdf.queryExecution().executedPlan().toString()
     assert {r["id"]: r["v"] for r in out.collect()} == {i: None if i % 3 == 0 or i >= 50 else 2 * i for i in range(100)}
+
+
+def test_take_places_when_everyone_wants_the_first(spark, monkeypatch):
+    monkeypatch.setattr(rk, "PLACE_SHARE", 7)
+    monkeypatch.setattr(rk, "PLACE_BLOCK", 4)
+    wanted = spark.createDataFrame([(i, "one" if i < 90 else None, i % 12) for i in range(100)], "id int, seg string, need int")
+    ranked = spark.createDataFrame([("one", p, f"item{p}") for p in range(1, 11)] + [(None, p, f"none{p}") for p in range(1, 4)], "seg string, place bigint, item string")
+    got = rk.take_places(wanted, ranked, ["seg"], "place", F.col("need"), ["id"])
+    assert got.columns == ["id", "seg", "need", "place", "item"]
+    want = {(i, f"item{p}") for i in range(90) for p in range(1, min(i % 12, 10) + 1)} | {(i, f"none{p}") for i in range(90, 100) for p in range(1, min(i % 12, 3) + 1)}
+    rows = [(r["id"], r["item"]) for r in got.collect()]
+    assert len(rows) == len(want) and set(rows) == want
+    every = rk.take_places(wanted.select("id"), ranked.filter("seg is not null").drop("seg"), [], "place", F.lit(3), ["id"])
+    assert every.count() == 300
+
+
+def test_contained_names_against_brute_force(spark):
+    rng = random.Random(3)
+    word = lambda n: "".join(rng.choice("abc ") for _ in range(n))
+    texts = [(k, word(rng.choice([0, 1, 3, 9, 40]))) for k in range(120)] + [(500, None)]
+    names = sorted({word(n) for n in (1, 2, 3, 4, 5, 7, 8, 9, 12, 16, 20) for _ in range(8)} | {t[k:k + n] for _, t in texts if t for k in (0, 2) for n in (1, 3, 4, 8, 17)} - {""})
+    got = lk.contained_names(
+        spark.createDataFrame(texts, "id int, t string"), "id", "t", spark.createDataFrame([(n, len(n)) for n in names], "name string, size int"), "name"
+    )
+    rows = [(r["id"], r["name"]) for r in got.collect()]
+    want = {(k, n) for k, t in texts if t for n in names if n in t}
+    assert len(rows) == len(want) and set(rows) == want and all(r["size"] == len(r["name"]) for r in got.collect())
+
+
+def test_similar_candidates_are_few_where_all_names_begin_alike(spark):
+    rng = random.Random(9)
+    names = ["sovelletun tuoteryhmän " + "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(14)) for _ in range(150)]
+    asked = [n[:30] + "q" + n[31:] for n in names[:75]] + names[75:80]
+    left, right = spark.createDataFrame([(n,) for n in asked], "a string"), spark.createDataFrame([(n,) for n in names], "b string")
+    pairs = {(r["_l"], r["_r"]) for r in lk.similar_candidates(left, "a", right, "b", 0.9).collect()}
+    want = {(a, b) for a in asked for b in names if SequenceMatcher(None, a, b).ratio() >= 0.9}
+    assert want <= pairs and len(want) >= 80 and len(pairs) < 0.05 * len(asked) * len(names)
+    got = {(r["a"], r["b"]) for r in lk.similar_pairs(left, "a", right, "b", 0.9).collect()}
+    assert got == want

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerlift.plans import allocate as al
+from ledgerlift.plans import backtest as bt
 from ledgerlift.plans import crm as cr
 from ledgerlift.plans import enrich as en
 from ledgerlift.plans import features as ft
@@ -261,3 +262,106 @@ def test_rules_with_a_support_of_one(spark):
     baskets = spark.createDataFrame([(1, "a"), (1, "b"), (2, "a"), (3, "c")], "b int, i string")
     got = {(r["antecedent"], r["consequent"]): r["support_count"] for r in association_rules(baskets, "b", "i", min_support=1).collect()}
     assert got == {("a", "b"): 1, ("b", "a"): 1}
+
+
+def test_upsert_rewrites_touched_buckets_and_switches_at_once(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(feeds, "BUCKET_ROWS", 25)
+    target = str(tmp_path / "state")
+    write = feeds.upsert_sink(target, "k", ["at"])
+    batch = lambda rows: spark.createDataFrame(rows, "k int, at int, v string, change_type string")
+    write(batch([(k, 1, f"a{k}", "ADDED") for k in range(100)]), 0)
+    first = feeds.manifest(spark, target)
+    assert first["buckets"] == 4 and sum(first["rows"].values()) == 100
+    write(batch([(7, 2, "b7", "UPDATED")]), 1)
+    second = feeds.manifest(spark, target)
+    changed = [b for b in first["folders"] if first["folders"][b] != second["folders"][b]]
+    assert len(changed) == 1 and second["rows"] == first["rows"] and second["version"] == 2
+    state = lambda: {r["k"]: r["v"] for r in feeds.current_rows(spark, target).collect()}
+    assert state()[7] == "b7" and len(state()) == 100
+    # a crash before the switch leaves the old table; the repeated batch then counts once
+    with monkeypatch.context() as m:
+        m.setattr(feeds, "_publish", lambda *a: (_ for _ in ()).throw(OSError("lost")))
+        with pytest.raises(OSError):
+            write(batch([(8, 3, "c8", "UPDATED"), (9, 3, "c9", "DELETED")]), 2)
+    assert state()[8] == "a8" and 9 in state()
+    for _ in range(2):
+        write(batch([(8, 3, "c8", "UPDATED"), (9, 3, "c9", "DELETED")]), 2)
+    assert state()[8] == "c8" and 9 not in state() and feeds.manifest(spark, target)["version"] == 3
+    with pytest.raises(RuntimeError):
+        feeds._publish(spark, target, feeds.manifest(spark, target))
+    # the table grows beyond its buckets
+    write(batch([(k, 4, f"d{k}", "ADDED") for k in range(100, 220)]), 3)
+    grown = feeds.manifest(spark, target)
+    assert grown["buckets"] == 16 and sum(grown["rows"].values()) == 220 and len(state()) == 219 and state()[8] == "c8"
+    gone = feeds.vacuum(spark, target, keep=1)
+    assert any("/data/" in g for g in gone) and len(state()) == 219 and feeds.vacuum(spark, target, keep=1) == []
+
+
+def test_rules_of_a_large_basket_are_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(rc, "BASKET_BLOCK", 10)
+    baskets = [(1, f"i{k}") for k in range(95)] + [(2, f"i{k}") for k in range(0, 95, 3)] + [(3, "i0"), (3, "i1")] + [(4, None), (None, "i1")]
+    df = spark.createDataFrame(baskets, "b int, i string")
+    got = {(r["antecedent"], r["consequent"]): r["support_count"] for r in rc.association_rules(df, "b", "i", min_support=1, min_confidence=0.0, min_lift=0.0).collect()}
+    held = {}
+    for b, i in baskets:
+        if b is not None and i is not None:
+            held.setdefault(b, set()).add(i)
+    want = {}
+    for items in held.values():
+        for x in items:
+            for y in items - {x}:
+                want[x, y] = want.get((x, y), 0) + 1
+    assert got == want
+    parts = rc._basket_pairs(df.filter("b = 1").select("b", "i"))
+    assert parts.count() == 95 * 94 // 2
+
+
+def test_name_cascade_by_description_and_its_audit(spark):
+    master = spark.createDataFrame([("P1", "sininen kynä", "Kynät", "kuulakärkikynä sininen"), ("P2", "muki", "Mukit", "")], "product_code string, name_key string, product_group string, description_key string")
+    lines = spark.createDataFrame(
+        [("tuntematon", "", "kuulakärkikynä sininen", "Invoiced"), ("tuntematon", "", "kuulakärkikynä sininen", "Open"), ("sininen kynä", "", "", "Invoiced"), ("zzzz", "", "", "Open"), (None, "", "", "Open")],
+        "name_key string, category_key string, description_key string, status string",
+    )
+    matched = en.group_by_name(lines.filter("name_key is not null"), master, terms=["rahti"], aliases={})
+    got = {r["name_key"]: (r["product_group"], r["product_code"], r["name_match"]) for r in matched.collect()}
+    assert got["tuntematon"] == ("Kynät", "P1", "description_exact") and got["sininen kynä"][2] == "unique_master_name" and got["zzzz"] == (None, None, "unmatched")
+    audit = {r["name_match"]: (r["lines"], r["invoiced_lines"], r["codes_filled"], r["invoiced_codes_filled"]) for r in en.name_audit(lines, matched, invoiced=F.col("status") == "Invoiced").collect()}
+    assert audit == {"description_exact": (2, 1, 2, 1), "unique_master_name": (1, 1, 1, 1), "unmatched": (1, 0, 0, 0), "no_name": (1, 0, 0, 0)}
+
+
+def test_context_ends_with_a_similar_name(spark):
+    lines = spark.createDataFrame(
+        [(1, "a", "o1", "r1", "urheilupullo metallinen harmaa", None), (2, "a", "o2", "r2", "urheilupullo metallinen harmaas", None), (3, "b", "o3", "r3", "jotain aivan muuta", None), (4, "b", "o3", "r4", "muki", "Mukit"), (5, "b", "o5", "r5", "", None)],
+        "line_id int, account_id string, order_id string, reference string, name_key string, product_group string",
+    )
+    master = spark.createDataFrame([("urheilupullo metallinen harmaa", "Juomapullot"), ("kangaskassi pitkällä sangalla", "Kassit")], "name_key string, product_group string")
+    got = {r["line_id"]: (r["product_group"], r["context_source"]) for r in en.group_by_context(lines, row_id=["line_id"], master=master).collect()}
+    assert got[1] == got[2] == ("Juomapullot", "fuzzy_high_confidence") and got[3] == ("Mukit", "order_context") and got[5] == (None, "unmatched") and got[4] == ("Mukit", None)
+
+
+def test_sparse_grid_equals_the_full_one(spark):
+    import itertools
+
+    customers = [("a", "s1", 100.0), ("b", "s1", 50.0), ("c", "s1", -10.0), ("d", "s2", 0.0), ("e", None, 70.0)]
+    sales = [("a", "g1", 1999, 60.0), ("a", "g2", 1999, 40.0), ("b", "g1", 2000, 20.0), ("e", "g3", 1999, 70.0), ("d", "g1", 1999, 5.0), ("x", "g4", 2000, 9.0)]
+    rec = [("c", "g2", 33.0, 1), ("a", "g1", 7.0, 1)]
+    frame = spark.createDataFrame(customers, "business_id string, company_segment string, sales_y2_eur double")
+    grid = bt.group_model(
+        spark.createDataFrame(sales, "business_id string, product_group string, year int, sales_eur double"), frame,
+        spark.createDataFrame(rec, "business_id string, product_group string, recommended_group_expected_potential_eur double, recommendation_rank int"), y2=1999, y3=2000,
+    )
+    groups, sums = ["g1", "g2", "g3", "g4"], {}
+    for b, g, y, v in sales:
+        sums[b, g, y] = sums.get((b, g, y), 0.0) + v
+    peer = {(s, g): (sum(sums.get((b, g, 1999), 0.0) for b, t, _ in customers if t == s) / y if y else 0.0) for s in ("s1", "s2") for g in groups for y in [sum(v for _, t, v in customers if t == s)]}
+    want = {g: [0, 0.0, 0.0, 0.0, 0.0] for g in groups}
+    for (b, s, y), g in itertools.product(customers, groups):
+        own = sums.get((b, g, 1999), 0.0) / y if y else 0.0
+        expected = y * max(peer.get((s, g), 0.0) - own, 0.0) if s else 0.0
+        actual = sums.get((b, g, 2000), 0.0)
+        for k, v in enumerate((1, expected, actual, abs(expected - actual), sum(v for x, h, v, _ in rec if (x, h) == (b, g)))):
+            want[g][k] += v
+    got = {r["product_group"]: [r["customers"], r["e"], r["a"], r["m"], r["r"]] for r in grid.groupBy("product_group").agg(
+        F.sum("customers").alias("customers"), F.sum("group_model_expected_eur").alias("e"), F.sum("actual_group_sales_y3_eur").alias("a"), F.sum("absolute_error_eur").alias("m"),
+        F.sum("recommended_group_expected_potential_eur").alias("r")).collect()}
+    assert got.keys() == want.keys() and all(v == pytest.approx(want[g]) for g, v in got.items())
