@@ -414,11 +414,13 @@ def _supplier_case(spark, sf):
         F.when(key % 2 == 0, 7.0).alias("length_value"), F.lit(None).cast("double").alias("depth_value"),
     )
     li = table(spark, sf, "supplier").select("s_suppkey")
+    # even ids are found by code, every other odd one by a code in the product's text, the rest by name
+    ean = F.concat(F.lit("EAN"), F.lpad((F.col("s_suppkey") + 1000).cast("string"), 8, "0"))
     records = li.select(
         F.col("s_suppkey").alias("record_id"),
         F.when(F.col("s_suppkey") % 2 == 0, F.array(F.concat(F.lit("SKU-"), F.lpad(F.col("s_suppkey").cast("string"), 7, "0"))))
-        .otherwise(F.array(F.concat(F.lit("EAN"), F.lpad((F.col("s_suppkey") + 1000).cast("string"), 8, "0")))).alias("match_keys"),
-        F.lit("no such name").alias("product_name"), (F.col("s_suppkey") % 10 + 1.0).alias("gross_weight_kg"), F.lit(None).cast("double").alias("net_weight_kg"),
+        .when(F.col("s_suppkey") % 4 == 1, F.array(ean)).otherwise(F.array(F.concat(F.lit("OWN-"), F.col("s_suppkey").cast("string")))).alias("match_keys"),
+        F.when(F.col("s_suppkey") % 4 == 3, F.concat(F.lit("Art "), ean)).otherwise("no such name").alias("product_name"), (F.col("s_suppkey") % 10 + 1.0).alias("gross_weight_kg"), F.lit(None).cast("double").alias("net_weight_kg"),
         (F.col("s_suppkey") % 7 + 2.0).alias("width_cm"), F.lit(9.0).alias("length_cm"), F.lit(None).cast("double").alias("depth_cm"),
     )
     return items, records

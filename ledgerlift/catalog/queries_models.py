@@ -64,7 +64,7 @@ def _(spark, sf):
 @query("ml_06_out_of_fold_forest")
 def _(spark, sf):
     frame = back_frame(spark, sf).drop("improved_probability_of_growth", "improved_expected_sales_eur")
-    out = ml.out_of_fold(frame, "business_id", HISTORY, label="grew_y3", target="actual_sales_y3_eur", k=3, trees=20, depth=6)
+    out = ml.out_of_fold(frame, "business_id", HISTORY, label="grew_y3", target="actual_sales_y3_eur")
     return out.select("business_id", "improved_probability_of_growth", "improved_expected_sales_eur")
 
 
@@ -72,14 +72,14 @@ def _(spark, sf):
 def _(spark, sf):
     m, a = months_and_accounts(spark, sf)
     frame = stage(tg.add_sales_label(weighted_model(spark, sf).drop("sales_3y_total_eur"), tg.buyer_targets(m, a)), "two-stage")
-    return ml.two_stage(frame, trees=20, depth=6).select("business_id", "purchase_probability", "predicted_buyer_potential_eur", "expected_12m_sales_eur")
+    return ml.two_stage(frame).select("business_id", "purchase_probability", "predicted_buyer_potential_eur", "expected_12m_sales_eur")
 
 
 @query("sc_08_two_stage_ranking")
 def _(spark, sf):
     m, a = months_and_accounts(spark, sf)
     frame = stage(tg.add_sales_label(weighted_model(spark, sf).drop("sales_3y_total_eur"), tg.buyer_targets(m, a)), "two-stage")
-    scored = ml.two_stage(frame, trees=20, depth=6)
+    scored = ml.two_stage(frame)
     return po.rank_and_label(scored, "expected_12m_sales_eur").select("business_id", "rank", "priority", "expected_12m_sales_eur")
 
 
@@ -87,9 +87,9 @@ def _(spark, sf):
 def _(spark, sf):
     frame = stage(back_frame(spark, sf).select("business_id", "grew_y3", *HISTORY), "importance-frame")
     data = VectorAssembler(inputCols=HISTORY, outputCol="features").transform(frame.withColumn("_y", F.col("grew_y3").cast("double")))
-    forest = RandomForestClassifier(featuresCol="features", labelCol="_y", numTrees=20, maxDepth=6, seed=42).fit(data)
+    forest = RandomForestClassifier(featuresCol="features", labelCol="_y", numTrees=250, minInstancesPerNode=15, maxDepth=ml.DEEPEST, seed=42).fit(data)
     values = frame.select("business_id", "grew_y3", F.array(*[F.col(c).cast("double") for c in HISTORY]).alias("values"))
-    return ml.permutation_importance(forest, values, "business_id", HISTORY, label="grew_y3", repeats=2)
+    return ml.permutation_importance(forest, values, "business_id", HISTORY, label="grew_y3")
 
 
 @query("ml_09_classification_metrics", sql("custs", """

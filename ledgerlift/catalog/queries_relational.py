@@ -124,15 +124,14 @@ _TOK = r"[A-Z0-9][A-Z0-9._/-]{4,}"
 
 
 @query("jn_14_token_in_text", f"""
-WITH w AS (SELECT DISTINCT doc_id, regexp_replace(t, '^[._/-]+|[._/-]+$', '', 'g') AS k FROM (SELECT doc_id, unnest(regexp_extract_all(upper(text), '{_TOK}')) AS t FROM documents)),
-r AS (SELECT DISTINCT item_id, regexp_replace(t, '^[._/-]+|[._/-]+$', '', 'g') AS k FROM (SELECT item_id, unnest(regexp_extract_all(upper(text), '{_TOK}')) AS t FROM benchmark) WHERE length(t) >= 5),
+WITH w AS (SELECT DISTINCT doc_id, regexp_replace(t, '^[._/-]+|[._/-]+$', '', 'g') AS k FROM (SELECT doc_id, unnest(regexp_extract_all(upper(replace(text, 'ß', 'ss')), '{_TOK}')) AS t FROM documents)),
+r AS (SELECT DISTINCT item_id, regexp_replace(t, '^[._/-]+|[._/-]+$', '', 'g') AS k FROM (SELECT item_id, unnest(regexp_extract_all(upper(replace(text, 'ß', 'ss')), '{_TOK}')) AS t FROM benchmark) WHERE length(t) >= 5),
 few AS (SELECT k FROM w GROUP BY 1 HAVING count(*) <= 5)
 SELECT DISTINCT item_id, doc_id FROM r JOIN few USING (k) JOIN w USING (k)""")
 def _(spark, sf):
     b, d = table(spark, sf, "benchmark"), table(spark, sf, "documents")
     keys = F.regexp_extract_all(F.upper("text"), F.lit(f"({_TOK})"), F.lit(1))
-    # tokens of plain A-Z text; other letters end a token, as they do in the pattern's neighbours
-    return lk.token_in_text_join(b, "item_id", keys, d, "doc_id", F.regexp_replace("text", r"[^\x00-\x7F]", " "))
+    return lk.token_in_text_join(b, "item_id", keys, d, "doc_id", F.col("text"))
 
 
 @query("jn_15_unique_contains", """

@@ -11,14 +11,14 @@ from dataclasses import dataclass, field
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlift.functions.numbers import clip
-from ledgerlift.operators.ranking import global_row_number, grouped_row_number, top_n
+from ledgerlift.operators.ranking import exact_quantiles, global_row_number, grouped_row_number
 from ledgerlift.plans.features import sanitize
 from ledgerlift.session import stage
 
@@ -43,12 +43,22 @@ def prepare(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str], *
     return out
 
 
+def medians(df: DataFrame, numeric: Sequence[str]) -> dict[str, float]:
+    """Exact median of each column, nulls and NaN left out; 0 for a column without values."""
+    long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("double").alias("v")) for c in numeric])).alias("e")).select("e.c", "e.v")
+    rows = exact_quantiles(long.filter(~F.isnan("v")), ["c"], "v", [0.5]).collect()  # a row a column
+    return {c: 0.0 for c in numeric} | {r["c"]: float(r["value"]) for r in rows}
+
+
+def imputed(df: DataFrame, middle: dict[str, float]) -> DataFrame:
+    """Columns ``_<name>_imp`` in which missing numbers are the median."""
+    return df.withColumns({f"_{c}_imp": F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")), F.lit(m)) for c, m in middle.items()})
+
+
 def preprocessing(numeric: Sequence[str], categorical: Sequence[str]) -> list:
-    """Median impute and standardise numbers; index and one-hot categories (unseen ones are all zeros)."""
-    imputed = [f"_{c}_imp" for c in numeric]
+    """Standardise numbers (see :func:`imputed`); index and one-hot categories (unseen ones are all zeros)."""
     return [
-        Imputer(strategy="median", inputCols=list(numeric), outputCols=imputed, relativeError=1e-4),
-        VectorAssembler(inputCols=imputed, outputCol="_num"),
+        VectorAssembler(inputCols=[f"_{c}_imp" for c in numeric], outputCol="_num"),
         StandardScaler(inputCol="_num", outputCol="_scaled", withMean=True, withStd=True),
         StringIndexer(inputCols=list(categorical), outputCols=[f"_{c}_idx" for c in categorical], handleInvalid="keep", stringOrderType="alphabetAsc"),
         OneHotEncoder(inputCols=[f"_{c}_idx" for c in categorical], outputCols=[f"_{c}_vec" for c in categorical], dropLast=True, handleInvalid="keep"),
@@ -84,14 +94,14 @@ def folds(df: DataFrame, key: str, k: int, *, seed: int = 42, label: str | None
     ).drop("_h", "_place")
 
 
-def estimator(kind: str, rows: int, *, label: str = "label", seed: int = 42, c: float = 1.0):
+def estimator(kind: str, rows: int, *, label: str = "label", seed: int = 42, c: float = 1.0, rounds: int = 100):
     """Balanced logistic regression with an L2 term like C on the summed loss, or boosted trees."""
     if kind == "logistic_regression":
         return LogisticRegression(
-            featuresCol="features", labelCol=label, weightCol="_weight", regParam=1.0 / (c * max(rows, 1)), elasticNetParam=0.0, standardization=False, maxIter=200,
+            featuresCol="features", labelCol=label, weightCol="_weight", regParam=1.0 / (c * max(rows, 1)), elasticNetParam=0.0, standardization=False, maxIter=1000,
         )
     if kind == "gradient_boosting":
-        return GBTClassifier(featuresCol="features", labelCol=label, maxIter=30, maxDepth=5, seed=seed)
+        return GBTClassifier(featuresCol="features", labelCol=label, maxIter=rounds, maxDepth=5, seed=seed)
     raise TrainingError(f"unknown model type {kind!r}")
 
 
@@ -103,10 +113,11 @@ class Trained:
     model: object
     numeric: tuple[str, ...]
     categorical: tuple[str, ...]
+    middle: dict[str, float]
     calibrators: list = field(default_factory=list)
 
     def features(self, df: DataFrame) -> DataFrame:
-        return self.preprocessor.transform(prepare(df, self.numeric, self.categorical))
+        return self.preprocessor.transform(imputed(prepare(df, self.numeric, self.categorical), self.middle))
 
     def score(self, df: DataFrame, out: str = "score") -> DataFrame:
         """Probability of the positive class (mean of the calibrated models, if there are any)."""
@@ -124,11 +135,13 @@ class Trained:
 
 def train(df: DataFrame, *, label: str = "label", numeric: Sequence[str] = NUMERIC, categorical: Sequence[str] = CATEGORICAL, kind: str = "logistic_regression", seed: int = 42) -> Trained:
     ready = with_class_weights(prepare(df, numeric, categorical), label)
+    middle = medians(ready, numeric)
+    ready = imputed(ready, middle)
     pre = Pipeline(stages=preprocessing(numeric, categorical)).fit(ready)
     data = pre.transform(ready).select("features", F.col(label).cast("double").alias(label), "_weight")
     data = stage(data, "training")  # read once per iteration
     fitted = estimator(kind, data.count(), label=label, seed=seed).fit(data)
-    return Trained(pre, fitted, tuple(numeric), tuple(categorical))
+    return Trained(pre, fitted, tuple(numeric), tuple(categorical), middle)
 
 
 def train_and_evaluate(df: DataFrame, key: str, *, label: str = "label", numeric: Sequence[str] = NUMERIC, categorical: Sequence[str] = CATEGORICAL, seed: int = 42) -> tuple[Trained, DataFrame]:
@@ -144,7 +157,7 @@ def calibrate_sigmoid(df: DataFrame, key: str, *, label: str = "label", numeric:
     base = train(df, label=label, numeric=numeric, categorical=categorical, kind=kind, seed=seed)
     smallest = df.groupBy(label).agg(F.count("*").alias("n")).agg(F.min("n")).first()[0]
     ready = with_class_weights(prepare(df, numeric, categorical), label)
-    data = folds(base.preprocessor.transform(ready).select(key, "features", F.col(label).cast("double").alias(label), "_weight"), key, min(k, max(smallest, 1)), label=label, seed=seed)
+    data = folds(base.preprocessor.transform(imputed(ready, base.middle)).select(key, "features", F.col(label).cast("double").alias(label), "_weight"), key, min(k, max(smallest, 1)), label=label, seed=seed)
     data = stage(data, "folds")
 
     def sigmoid(model, rows: DataFrame) -> tuple[float, float]:
@@ -175,25 +188,45 @@ def calibrate_isotonic(df: DataFrame, raw: str, label: str, out: str = "calibrat
     return fitted.transform(safe).withColumn(out, clip(F.col("prediction"), low, high)).drop("_raw", "prediction")
 
 
-def out_of_fold(df: DataFrame, key: str, features: Sequence[str], *, label: str, target: str, k: int = 5, trees: int = 250, seed: int = 42, depth: int = 10) -> DataFrame:
-    """Forest predictions for rows the forest has not seen: class probability and value."""
+#: As deep as Spark's forests can be; the smallest leaf is what ends a branch.
+DEEPEST = 30
+
+
+def out_of_fold(df: DataFrame, key: str, features: Sequence[str], *, label: str, target: str, k: int = 5, trees: int = 250, seed: int = 42, depth: int = DEEPEST) -> DataFrame:
+    """Forest predictions for rows the forest has not seen: class probability and value.
+
+    The classes are dealt out evenly over at most ``k`` folds, as many as the smaller class has rows; with fewer than
+    two of a class the probability is the rate of the label for everyone.  The values have folds of their own, by
+    key alone: ``k`` of them, fewer below 100 rows a fold, two at least.
+    """
     ready = sanitize(df, features, fill=0.0)
     data = VectorAssembler(inputCols=list(features), outputCol="features").transform(ready)
-    data = with_class_weights(data.withColumns({"_y": F.col(label).cast("double"), "_t": F.greatest(F.col(target), F.lit(0.0))}), "_y")
-    data = stage(folds(data, key, k, seed=seed, label="_y"), "forest")
-    out = None
-    for i in range(k):
+    data = data.withColumns({"_y": F.col(label).cast("double"), "_t": F.greatest(F.col(target), F.lit(0.0))})
+    row = data.agg(F.count("*").alias("n"), F.coalesce(F.sum("_y"), F.lit(0.0)).alias("p")).first()
+    smaller = int(min(row["p"], row["n"] - row["p"]))
+    class_folds, value_folds = (max(2, min(k, smaller)) if smaller >= 2 else 0), min(k, max(2, row["n"] // 100))
+    if class_folds:
+        data = folds(with_class_weights(data, "_y"), key, class_folds, seed=seed, label="_y").withColumnRenamed("_fold", "_class_fold")
+    data = stage(folds(data, key, value_folds, seed=seed + 1), "forest")
+    chance = None
+    for i in range(class_folds):
+        seen, unseen = data.filter(F.col("_class_fold") != i), data.filter(F.col("_class_fold") == i)
+        fitted = RandomForestClassifier(featuresCol="features", labelCol="_y", weightCol="_weight", numTrees=trees, minInstancesPerNode=15, maxDepth=depth, seed=seed).fit(seen)
+        part = fitted.transform(unseen).select(key, clip(vector_to_array("probability")[1], 0.01, 0.99).alias("improved_probability_of_growth"))
+        chance = part if chance is None else chance.unionByName(part)
+    value = None
+    for i in range(value_folds):
         seen, unseen = data.filter(F.col("_fold") != i), data.filter(F.col("_fold") == i)
-        classes = RandomForestClassifier(featuresCol="features", labelCol="_y", weightCol="_weight", numTrees=trees, minInstancesPerNode=15, maxDepth=depth, seed=seed).fit(seen)
-        values = RandomForestRegressor(featuresCol="features", labelCol="_t", numTrees=trees, minInstancesPerNode=10, maxDepth=depth, seed=seed).fit(seen)
-        scored = classes.transform(unseen).withColumn("improved_probability_of_growth", clip(vector_to_array("probability")[1], 0.01, 0.99)).drop("rawPrediction", "probability", "prediction")
-        scored = values.transform(scored).withColumn("improved_expected_sales_eur", F.greatest("prediction", F.lit(0.0)))
-        part = scored.select(*df.columns, "improved_probability_of_growth", "improved_expected_sales_eur")
-        out = part if out is None else out.unionByName(part)
-    return out
+        fitted = RandomForestRegressor(featuresCol="features", labelCol="_t", numTrees=trees, minInstancesPerNode=10, maxDepth=depth, seed=seed).fit(seen)
+        part = fitted.transform(unseen).select(*df.columns, F.greatest("prediction", F.lit(0.0)).alias("improved_expected_sales_eur"))
+        value = part if value is None else value.unionByName(part)
+    if chance is None:
+        rate = row["p"] / row["n"] if row["n"] else 0.0
+        return value.withColumn("improved_probability_of_growth", clip(F.lit(float(rate)), 0.01, 0.99))
+    return value.join(chance, key)
 
 
-def two_stage(df: DataFrame, *, numeric: Sequence[str] = NUMERIC, categorical: Sequence[str] = CATEGORICAL, trees: int = 300, depth: int = 10, seed: int = 42) -> DataFrame:
+def two_stage(df: DataFrame, *, numeric: Sequence[str] = NUMERIC, categorical: Sequence[str] = CATEGORICAL, trees: int = 300, depth: int = DEEPEST, seed: int = 42) -> DataFrame:
     """Chance to buy times predicted yearly value of a buyer (forest on log sales)."""
     purchase = train(df, label="has_sales_history", numeric=numeric, categorical=categorical, seed=seed)
     buyers = purchase.features(df.filter("has_sales_history = 1")).withColumn("_log", F.log1p("actual_avg_annual_sales_3y_eur"))

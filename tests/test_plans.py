@@ -365,3 +365,25 @@ def test_sparse_grid_equals_the_full_one(spark):
         F.sum("customers").alias("customers"), F.sum("group_model_expected_eur").alias("e"), F.sum("actual_group_sales_y3_eur").alias("a"), F.sum("absolute_error_eur").alias("m"),
         F.sum("recommended_group_expected_potential_eur").alias("r")).collect()}
     assert got.keys() == want.keys() and all(v == pytest.approx(want[g]) for g, v in got.items())
+
+
+def test_medians_are_exact_and_missing_numbers_get_them(spark):
+    rng = np.random.RandomState(4)
+    values = [float(v) for v in rng.randint(0, 1000, 501)]
+    df = spark.createDataFrame([(v, None if k % 5 == 0 else v * 2) for k, v in enumerate(values)] + [(float("nan"), None)], "a double, b double").withColumn("c", F.lit(None).cast("double"))
+    middle = ml.medians(df, ["a", "b", "c"])
+    assert middle == {"a": float(np.median(values)), "b": float(np.median([v * 2 for k, v in enumerate(values) if k % 5])), "c": 0.0}
+    row = ml.imputed(df.filter(F.isnan("a")), middle).first()
+    assert (row["_a_imp"], row["_b_imp"], row["_c_imp"]) == (middle["a"], middle["b"], 0.0)
+
+
+def test_out_of_fold_forests(spark):
+    rng = np.random.RandomState(6)
+    rows = [(k, float(x), float(y), int(x + 0.3 * rng.randn() > 0.5), float(100 * y + rng.randn())) for k, (x, y) in enumerate(rng.rand(400, 2))]
+    df = spark.createDataFrame(rows, "id int, x double, y double, label int, target double")
+    out = ml.out_of_fold(df, "id", ["x", "y"], label="label", target="target", k=3, trees=30).collect()
+    right = np.mean([(r["improved_probability_of_growth"] > 0.5) == r["label"] for r in out])
+    assert len(out) == 400 and right > 0.75 and np.corrcoef([r["improved_expected_sales_eur"] for r in out], [r["target"] for r in out])[0, 1] > 0.95
+    # one row of a class: its rate for everyone
+    few = ml.out_of_fold(df.withColumn("label", (F.col("id") == 7).cast("int")), "id", ["x", "y"], label="label", target="target", k=2, trees=5).collect()
+    assert len(few) == 400 and {r["improved_probability_of_growth"] for r in few} == {0.01}
