@@ -5,15 +5,17 @@ Two sets with at least ``percent`` per cent Jaccard similarity share at least ``
 larger one, so under *any* order of all shingles their prefixes of ``n - ceil(percent * n / 100) + 1``
 shingles share one.  Several orders give several such filters; a pair must pass all of them before it is
 verified.  Every order puts frequent shingles last: first by powers of two of what a shingle's counter has
-above the usual, so common passages don't fill the prefixes, then by how common its words are, so chance meetings of common words
-don't either; equally frequent ones follow a hash of the order's own.  Counts are over all documents, in
+above the usual, so common passages don't fill the prefixes.  Equally frequent ones come in the first order by how
+common their words are, so chance meetings of common words don't fill them either, in every other order by a
+hash of its own: what meets by chance in one order mostly doesn't in the next.  Counts are over all documents, in
 tables of fixed size; they only shape the orders, never the result.
 
 1. One pass counts shingles and words and gives each text's size and set digest; equal sets become one class.
 2. A second pass sends the prefixes of each order to bins; texts that repeat inside a task are sent once.
-3. A shingle's list of documents gives pairs whose sizes and places in the order allow the similarity.  Lists
-   with very many such pairs give links to their smallest document only (a star).  Pairs are intersected over
-   the orders, mapped to classes and verified.
+3. A shingle's list of documents goes on to a bin by its smallest document, and gives there the pairs whose
+   sizes and places in the order allow the similarity, once for all shingles that the bin has seen.  Lists with
+   very many such pairs give links to their smallest document only (a star).  Pairs are intersected over the
+   orders, mapped to classes and verified.
 4. What stars leave open is decided in blocks: documents of a star outside its centre's component are
    compared with all its documents, blocks against blocks, inside tasks; only links come out.
 5. Components of the verified links, in which classes and so all copies are included.
@@ -144,7 +146,9 @@ def prefix_length(n: int, percent: int) -> int:
 def _prefix(s: np.ndarray, words: np.ndarray, classes: np.ndarray, order: int, percent: int) -> np.ndarray:
     """The first shingles of a set under an order, in that order."""
     p = prefix_length(len(s), percent)
-    key = (classes[_counter(s)].astype(np.uint64) << np.uint64(58)) | (words << np.uint64(48)) | (bins.mix(s, 200 + order) >> np.uint64(16))
+    key = (classes[_counter(s)].astype(np.uint64) << np.uint64(58)) | (bins.mix(s, 200 + order) >> np.uint64(16 if order == 0 else 6))
+    if order == 0:
+        key |= words << np.uint64(48)
     first = np.argpartition(key, p - 1)[:p] if p < len(s) else np.arange(len(s))
     return s[first[np.argsort(key[first])]]
 
@@ -234,30 +238,32 @@ def _prefix_rows(docs: DataFrame, classes: np.ndarray, common: np.ndarray, n_bin
     return docs.select("doc_id", "text").mapInArrow(emit, bins.SCHEMA)
 
 
-def _pairs_of(keys: np.ndarray, docs: np.ndarray, size: np.ndarray, left: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
-    """(a, b) of one bin: pairs of lists, and centre and document of lists with too many pairs, marked by the third value.
+def _lists(keys: np.ndarray, docs: np.ndarray, size: np.ndarray, left: np.ndarray, percent: int) -> tuple[np.ndarray, ...]:
+    """The entries sorted into lists of a shingle each: keys, docs, size, left, the list's number, partners behind each entry, lists with too many pairs.
 
-    Pairs whose sizes, or whose places in the order, leave no room for the similarity are left out: if the
-    first shingle that two sets share has ``left`` of each set from it on, they share at most the smaller of these.
+    Partners of an entry stand behind it in its list, up to the largest size that can be similar.
     """
     order = np.lexsort((docs, size, keys))
     keys, docs, size, left = keys[order], docs[order], size[order], left[order]
-    begin = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-    n = np.diff(np.append(begin, len(keys)))
-    group = np.repeat(np.arange(len(begin)), n)
-    # partners of an entry stand behind it in its list, up to the largest size that can be similar
+    group = np.cumsum(np.concatenate(([False], keys[1:] != keys[:-1])))
+    n = np.bincount(group)
     band = group.astype(np.int64) << np.int64(34)
     last = np.searchsorted(band + size, band + 100 * size // percent, side="right")
     partners = last - np.arange(len(keys)) - 1
-    pairs = np.bincount(group, partners, len(begin))
-    starry = pairs > np.maximum(LIST * LIST // 2, LIST // 2 * n)
-    for g in np.flatnonzero(starry).tolist():
-        own = np.unique(docs[begin[g]:begin[g] + n[g]])
-        if len(own) > 1:
-            yield np.full(len(own) - 1, own[0]), own[1:], True
-    partners[starry[group]] = 0
+    starry = np.bincount(group, partners) > np.maximum(LIST * LIST // 2, LIST // 2 * n)
+    return keys, docs, size, left, group, partners, starry
+
+
+def _pairs_of(keys: np.ndarray, docs: np.ndarray, size: np.ndarray, left: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(a, b) of the pairs that lists of one bin give, each once.
+
+    Pairs whose sizes, or whose places in the order, leave no room for the similarity are left out: if the
+    first shingle that two sets share has ``left`` of each set from it on, they share at most the smaller of these.
+    """
+    keys, docs, size, left, _, partners, _ = _lists(keys, docs, size, left, percent)
     some = np.flatnonzero(partners)
     cuts = np.searchsorted(np.cumsum(partners[some]), np.arange(0, partners.sum() + _PAIRS, _PAIRS), side="left")
+    found = np.zeros((0, 2), dtype=np.int64)
     for a, b in zip(cuts, [*cuts[1:], len(some)], strict=False):
         x = some[a:b]
         if not len(x):
@@ -268,22 +274,47 @@ def _pairs_of(keys: np.ndarray, docs: np.ndarray, size: np.ndarray, left: np.nda
         room = np.minimum(left[i], left[j])
         good = (100 * room >= percent * (size[i] + size[j] - room)) & (docs[i] != docs[j])
         one, two = docs[i[good]], docs[j[good]]
-        rows = np.unique(np.stack([np.minimum(one, two), np.maximum(one, two)], axis=1), axis=0)
-        yield rows[:, 0], rows[:, 1], False
+        rows = np.stack([np.minimum(one, two), np.maximum(one, two)], axis=1)
+        found = np.unique(np.concatenate((found, rows)), axis=0)
+    return found[:, 0], found[:, 1]
 
 
-def candidates(prefixes: DataFrame, orders: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(a, b) of pairs that pass every order, and (a, b) of stars: centre and document."""
+def candidates(prefixes: DataFrame, orders: int, percent: int, n_bins: int) -> tuple[DataFrame, DataFrame]:
+    """(a, b) of pairs that pass every order, and (a, b) of stars: centre and document.
+
+    Near copies meet under many shingles, which lie in different bins.  So lists are first dealt out again by their
+    smallest document, under which the same documents mostly meet; pairs are made there, once for all their shingles.
+    A star's rows are dealt by centre and document, so each leaves once, and a large star is many tasks' work.
+    """
+    again = -(-n_bins // 2)
+    schema = pa.schema([("kind", pa.int32()), ("bin", pa.int64()), ("keys", pa.binary()), ("docs", pa.binary()), ("notes", pa.binary())])
+
+    def entries(table):
+        keys, docs, notes = bins.joined(table, keys=np.uint64, docs=np.int64, notes=np.uint64)
+        return keys, docs, (notes >> np.uint64(32)).astype(np.int64), (notes & np.uint64(2**32 - 1)).astype(np.int64)
+
+    def deal(key, table):
+        keys, docs, size, left, group, partners, starry = _lists(*entries(table), percent)
+        least = np.minimum.reduceat(docs, np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1]))))[group]
+        short = (~starry & (np.bincount(group, partners) > 0))[group]
+        notes = (size[short].astype(np.uint64) << np.uint64(32)) | left[short].astype(np.uint64)
+        rows = [(key[0].as_py(), *r) for r in bins.dealt(least[short].astype(np.uint64), again, [keys[short], docs[short], notes])]
+        star = np.unique(np.stack([least, docs], axis=1)[starry[group] & (docs != least)], axis=0)
+        spread = bins.mix(star[:, 0].astype(np.uint64), 5) ^ star[:, 1].astype(np.uint64)
+        rows += [(key[0].as_py() + orders, *r) for r in bins.dealt(spread, again, [star[:, 0], star[:, 1], np.zeros(len(star), dtype=np.uint64)])]
+        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema) if rows else schema.empty_table()
 
     def meet(key, table):
-        keys, docs, notes = (np.concatenate([np.frombuffer(x, dtype=d) for x in table[c].to_pylist()]) for c, d in (("keys", np.uint64), ("docs", np.int64), ("notes", np.uint64)))
-        found = list(_pairs_of(keys, docs, (notes >> np.uint64(32)).astype(np.int64), (notes & np.uint64(2**32 - 1)).astype(np.int64), percent))
-        none = [np.zeros(0, dtype=np.int64)]
-        kind = pa.array(np.full(sum(len(a) for a, _, _ in found), key[0].as_py()), pa.int32())
-        star = np.concatenate([none[0].astype(bool), *(np.full(len(a), s) for a, _, s in found)])
-        return pa.table({"kind": kind, "a": np.concatenate(none + [a for a, _, _ in found]), "b": np.concatenate(none + [b for _, b, _ in found]), "star": pa.array(star, pa.bool_())})
-
-    rows = stage(prefixes.groupBy("kind", "bin").applyInArrow(meet, "kind int, a bigint, b bigint, star boolean").distinct(), "candidates")
+        kind = key[0].as_py()
+        keys, docs, size, left = entries(table)
+        if kind >= orders:
+            a, b = np.unique(np.stack([keys.astype(np.int64), docs]), axis=1)
+        else:
+            a, b = _pairs_of(keys, docs, size, left, percent)
+        return pa.table({"kind": pa.array(np.full(len(a), kind % orders), pa.int32()), "a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "star": pa.array(np.full(len(a), kind >= orders), pa.bool_())})
+
+    dealt = prefixes.groupBy("kind", "bin").applyInArrow(deal, bins.SCHEMA)
+    rows = stage(dealt.groupBy("kind", "bin").applyInArrow(meet, "kind int, a bigint, b bigint, star boolean").distinct(), "candidates")
     stars = rows.where("star").select("a", "b").distinct()
     # a pair that is short of an order may still meet in one of its long lists, where pairs aren't enumerated
     ends = stage(rows.where("star").select("kind", F.explode(F.array("a", "b")).alias("doc")).distinct().groupBy("doc").agg(F.bit_or(F.expr("shiftleft(1, kind)")).alias("long")), "long-lists")
@@ -369,8 +400,8 @@ def link(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, orders: in
     entries = signed.agg(F.sum(F.floor(F.col("n") * (100 - percent) / 100) + 1)).first()[0] or 0
     first = signed.where("n > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"))
     reps = stage(signed.where("n > 0 and doc_id is not null").join(first, "digest").select("doc_id", "rep").distinct(), "classes")
-    prefixes = _prefix_rows(docs, classes, common, bins.count(int(entries)), width, percent, orders)
-    pairs, stars = candidates(prefixes, orders, percent)
+    n_bins = bins.count(int(entries))
+    pairs, stars = candidates(_prefix_rows(docs, classes, common, n_bins, width, percent, orders), orders, percent, n_bins)
 
     def of_classes(df: DataFrame) -> DataFrame:
         for c in ("a", "b"):

@@ -6,9 +6,10 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from ledgerlift.llm import decontaminate, extract, minhash, near, packing, periodic, pii, quality, repeats, toxicity, tries, url_filter, warc
+from ledgerlift.llm import bins, decontaminate, extract, minhash, near, packing, periodic, pii, quality, repeats, toxicity, tries, url_filter, warc
 from ledgerlift.llm.components import components
 from ledgerlift.llm.queries import PII_KEY, QUERIES, tokenizer_path, with_planted_runs
 from ledgerlift.session import stage_path
@@ -339,6 +340,35 @@ def test_near_duplicates_stage(spark, sf_dir):
     assert [i for i, _ in rows(corpus_pipeline.near_duplicates(spark, alone, sf_dir), "doc_id", "text")] == [i for i, _ in want if i > 9 or i == 3] + [3] * (3 not in [i for i, _ in want])
 
 
+def test_results_leave_once(spark, monkeypatch):
+    """Near copies and repeats give as many candidate rows with many bins as with one."""
+    texts = []
+    for k in range(12):
+        words = prose(2000 + k, 200).split()
+        for j in range(8):
+            texts.append((len(texts), " ".join(f"w{j}" if i == 20 * j + k else w for i, w in enumerate(words))))
+    df = spark.createDataFrame(texts, "doc_id bigint, text string").repartition(4)
+    signed, classes, common = near.signatures(df, 4)
+    made = []
+    for n in (1, 5, 25):
+        whole, parts = [], near.stage
+        monkeypatch.setattr(near, "stage", lambda d, label, w=whole: w.append((label, d.count())) or parts(d, label))
+        pairs, _ = near.candidates(near._prefix_rows(df, classes, common, n, 4, 85, 2), 2, 85, n)
+        made.append((dict(whole)["candidates"], sorted(map(tuple, pairs.collect()))))
+        monkeypatch.setattr(near, "stage", parts)
+    assert made[0] == made[1] == made[2] and len(made[0][1]) >= 12 * 28
+    want = rows(repeats.remove_repeats(df), "doc_id", "n_removed", "kept_sha256")
+    monkeypatch.setattr(bins, "BIN_ENTRIES", 200)
+    monkeypatch.setattr(repeats, "BIN_CONTEXTS", 100)
+    for few in (64, 2):  # with the second, anchors travel alone
+        monkeypatch.setattr(repeats, "FEW", few)
+        assert rows(repeats.remove_repeats(df), "doc_id", "n_removed", "kept_sha256") == want
+    monkeypatch.setattr(repeats, "CHUNK", 3)  # place by place
+    assert rows(repeats.remove_repeats(df), "doc_id", "n_removed", "kept_sha256") == want
+    monkeypatch.setattr(repeats, "_name", lambda text: F.lit(7).cast("bigint"))  # all contents share a name
+    assert rows(repeats.remove_repeats(df), "doc_id", "n_removed", "kept_sha256") == want
+
+
 def test_components(spark):
     rng = np.random.RandomState(2)
     pairs = [(int(a), int(b)) for a, b in rng.randint(0, 300, (220, 2))] + [(1000, k) for k in range(1001, 1100)] + [(k, k + 1) for k in range(2000, 2060)]
@@ -471,8 +501,10 @@ def test_toxicity_does_not_move_with_the_sample(spark):
 
 def test_pipeline(spark, docs, none, sf_dir):
     columns = docs.columns
-    extra = docs.withColumn("n_words", docs.n_chars).withColumn("hit_items", docs.lang)
+    names = ("n_words", "hit_items", "hit_spans", "_text", "pseudonyms", "_cut", "failures")
+    extra = docs.withColumns({n: F.concat(F.lit(n), F.coalesce("lang", F.lit("-"))) for n in names})
     for name, fn in corpus_pipeline.STAGES[:-1]:
+        assert all(r[n] == n + (r["lang"] if r["lang"] is not None else "-") for r in fn(spark, extra, sf_dir).collect() for n in names), name
         assert fn(spark, none, sf_dir).count() == 0 and fn(spark, docs, sf_dir).columns == columns, name
         assert fn(spark, extra, sf_dir).columns == extra.columns, name
     assert corpus_pipeline.STAGES[-1][1](spark, none, sf_dir).count() == 0
