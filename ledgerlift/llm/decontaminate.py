@@ -14,7 +14,7 @@ each shard, and with several shards the marks are carried in a column and writte
 Defined cases: a null or empty text has no words and no hits; an item without words matches nothing; a
 null item id counts as the id "null"; rows with one item id are one item; repeated document rows are
 judged each for itself; an empty item table leaves every document clean; columns of the documents that
-bear a result's name are replaced.
+bear a result's name are replaced, but in ``decontaminate`` every column keeps its values.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlift.llm.common import WORD_TABLE, add_columns, raw_texts
+from ledgerlift.llm.common import WORD_TABLE, add_columns, aside, raw_texts
 from ledgerlift.session import stage
 
 _WORDS = re.compile(rb"[0-9a-z\x80-\xff]+")
@@ -264,6 +264,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, min_span:
     words hit is removed.  Other texts stay as they are, byte for byte; the columns are those of ``docs``.
     """
     least = 1 if min_span is None else min_span
+    docs, back = aside(docs, "n_words", "hit_items", "hit_spans", "_items", "_spans", "_cut")
     marked = match_items(docs, items, window, shard_words)
     hit = F.aggregate("hit_spans", F.lit(0).cast("bigint"), lambda a, s: a + s["length"])
     kept = marked.where(hit <= F.col("n_words") * F.lit(max_coverage))
@@ -273,7 +274,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, min_span:
         return [pa.array([_cut(r, [s for s in runs if s["length"] >= least]) for r, runs in zip(raws, spans, strict=True)], pa.binary()).cast(pa.string())]
 
     out = add_columns(kept, "_cut string", rows).withColumn("text", F.col("_cut"))
-    return out.select(*docs.columns)
+    return out.select(*docs.columns).withColumnsRenamed(back)
 
 
 def _cut(raw: bytes | None, runs: list[dict]) -> bytes | None:

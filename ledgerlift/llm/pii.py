@@ -11,15 +11,15 @@ can undo it (``restore``).
 | card (13-19 digits, Luhn) | first digit, separators | other digits; the check digit is computed anew |
 | iban (mod 97) | country, spacing | account part; check digits anew |
 | ssn (3-2-4) | dashes | all digits, within the valid areas |
-| phone (+ and 8-15 digits, or (3) 3-4) | country code, punctuation | all other digits |
+| phone (+ and 8-15 digits, (3) 3-4, or 0 and 8-9 digits in groups) | country code, leading 0, punctuation | all other digits |
 | ip (four octets) | dots | the 32-bit number, first octet 1-223 |
 | date (year-month-day, day.month.year, day/month/year; 1900-2099) | notation | the day |
-| email | domain, punctuation | letters and digits before the @ |
+| email | domain, punctuation | letters (Latin ones with accents too) and digits before the @ |
 | key (AKIA and 16 signs), password (after ``password=`` and the like) | the lead | letters and digits |
 
 Defined cases: a null text stays null, an empty one empty, both with no values; texts without values stay
-byte for byte; repeated rows give equal results; an empty table stays empty; columns that bear a
-result's name are replaced.
+byte for byte; repeated rows give equal results; an empty table stays empty; a column ``pseudonyms`` is
+replaced by ``pseudonymise``, all others keep their values; ``replaced`` keeps all columns.
 """
 
 from __future__ import annotations
@@ -35,10 +35,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlift.llm.common import add_columns, texts
+from ledgerlift.llm.common import add_columns, aside, texts
 
 ROUNDS = 8
 _DIGITS, _LOWER, _UPPER, _HEX = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789abcdef"
+# Latin letters with accents; the multiplication and division signs among them are no letters
+_LOWER_MORE, _UPPER_MORE = ("".join(chr(c) for c in range(a, b) if chr(c).isalpha()) for a, b in ((0xDF, 0x100), (0xC0, 0xDF)))
+# Calling codes of one digit and of two; all others have three.
+_CODES_OF_ONE = ("1", "7")
+_CODES_OF_TWO = (
+    "20", "27", "30", "31", "32", "33", "34", "36", "39", "40", "41", "43", "44", "45", "46", "47", "48", "49", "51", "52", "53", "54", "55", "56", "57", "58",
+    "60", "61", "62", "63", "64", "65", "66", "81", "82", "84", "86", "90", "91", "92", "93", "94", "95", "98",
+)
 
 
 class Permutation:
@@ -74,7 +82,7 @@ class Permutation:
 
 
 def _alphabets(signs: str, hexadecimal: bool = False) -> list[str]:
-    return [_HEX if hexadecimal else _DIGITS if c in _DIGITS else _LOWER if c in _LOWER else _UPPER for c in signs]
+    return [_HEX] * len(signs) if hexadecimal else [next(s for s in (_DIGITS, _LOWER, _UPPER, _LOWER_MORE, _UPPER_MORE) if c in s) for c in signs]
 
 
 def _rank(signs: str, sets: list[str]) -> int:
@@ -111,6 +119,10 @@ def _is_sign(c: str) -> bool:
     return c in _DIGITS or c in _LOWER or c in _UPPER
 
 
+def _is_letter_or_digit(c: str) -> bool:
+    return _is_sign(c) or c in _LOWER_MORE or c in _UPPER_MORE
+
+
 def luhn_digit(payload: str) -> str:
     total = sum(sum(divmod(2 * int(c), 10)) if k % 2 == 0 else int(c) for k, c in enumerate(reversed(payload)))
     return str(-total % 10)
@@ -147,9 +159,11 @@ def _phone(value: str, perm: Permutation) -> str | None:
     digits = "".join(filter(_is_digit, value))
     lead = 0
     if value.startswith("+"):
-        lead = 1 if digits[0] in "17" else 2
+        lead = 1 if digits[0] in _CODES_OF_ONE else 2 if digits[:2] in _CODES_OF_TWO else 3
         if not 8 <= len(digits) <= 15:
             return None
+    elif value[0] == "0":
+        lead = 1
     first = digits[lead]
     # a number that may not start with 0 or 1 still doesn't
     valid = (lambda d: d[0] not in "01") if first not in "01" else (lambda d: d[0] in "01")
@@ -185,7 +199,7 @@ def _date(value: str, perm: Permutation) -> str | None:
 
 def _email(value: str, perm: Permutation) -> str | None:
     local, _, domain = value.rpartition("@")
-    return f"{_refill(local, _permuted(perm, ''.join(filter(_is_sign, local))), _is_sign)}@{domain}"
+    return f"{_refill(local, _permuted(perm, ''.join(filter(_is_letter_or_digit, local))), _is_letter_or_digit)}@{domain}"
 
 
 def _key(value: str, perm: Permutation) -> str | None:
@@ -200,7 +214,7 @@ def _password(value: str, perm: Permutation) -> str | None:
 
 #: Kind, pattern, replacement; of patterns that start at one place the first wins.
 KINDS: tuple[tuple[str, str, Callable[[str, Permutation], str | None]], ...] = (
-    ("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9][A-Za-z0-9-]*(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}", _email),
+    ("email", r"(?<![A-Za-z0-9À-ÖØ-öø-ÿ._%+-])[A-Za-z0-9À-ÖØ-öø-ÿ][A-Za-z0-9À-ÖØ-öø-ÿ._%+-]{0,63}@[A-Za-z0-9][A-Za-z0-9-]*(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}", _email),
     ("key", r"(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])", _key),
     ("password", r"(?<![A-Za-z])(?:[Pp]assword|[Pp]asswd|[Pp]wd|[Ss]ecret|[Tt]oken|[Aa]pi_?[Kk]ey)[=:]\s?[A-Za-z0-9_+/.-]*[0-9][A-Za-z0-9_+/-]*", _password),
     ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", _iban),
@@ -208,7 +222,7 @@ KINDS: tuple[tuple[str, str, Callable[[str, Permutation], str | None]], ...] = (
     ("ip", r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?!\d|\.\d)", _ip),
     ("ssn", r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])", _ssn),
     ("card", r"(?<![\dA-Za-z])(?:\d{13,19}|\d{4}(?:[ -]\d{4}){2}[ -]\d{1,7}|\d{4}[ -]\d{6}[ -]\d{5})(?![\dA-Za-z])", _card),
-    ("phone", r"(?<![\d+])(?:\+\d{1,3}(?:[ .-]?\(\d{1,4}\))?(?:[ .-]?\d{2,5}){2,5}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?!\d)", _phone),
+    ("phone", r"(?<![\d+])(?:\+\d{1,3}(?:[ .-]?\(\d{1,4}\))?(?:[ .-]?\d{2,5}){2,5}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4}|0\d{1,2}[ -]\d{3,4}[ -]\d{3,4})(?!\d)", _phone),
 )
 _FIND = re.compile("|".join(f"(?P<{k}>{p})" for k, p, _ in KINDS), re.ASCII)
 _REPLACE = {k: f for k, _, f in KINDS}
@@ -272,8 +286,15 @@ def pseudonymise(docs: DataFrame, key: bytes) -> DataFrame:
         return [pa.array([t for t, _ in new], pa.string()), pa.array([f for _, f in new], kind)]
 
     worker: Pseudonyms | None = None
+    docs, back = aside(docs, "_text")
     out = add_columns(docs, "_text string, pseudonyms array<struct<kind:string,value:string>>", rows)
-    return out.withColumn("text", F.col("_text")).drop("_text")
+    return out.withColumn("text", F.col("_text")).drop("_text").withColumnsRenamed(back)
+
+
+def replaced(docs: DataFrame, key: bytes) -> DataFrame:
+    """``docs`` with pseudonyms in ``text`` and all its own columns."""
+    docs, back = aside(docs, "pseudonyms")
+    return pseudonymise(docs, key).select(*docs.columns).withColumnsRenamed(back)
 
 
 def counts(pseudonymised: DataFrame) -> DataFrame:

@@ -238,3 +238,47 @@ def test_filters(text):
     w = re.findall("[^\x20\x09-\x0d]+", text)
     want = (len(w) < 100) + 2 * (100 * len(set(w)) < 80 * len(w)) + 4 * (100 * len(re.findall("[A-Z]", text)) > 10 * len(text)) + 8 * bool(re.search(r"[#$%&*|]", text))
     assert tries.own_mask(text.encode()) == want
+
+
+@pytest.mark.parametrize(("text", "lead"), [
+    ("+358 40 123 4567", "+358 "), ("+1 (212) 555 0147", "+1 ("), ("+44 20 7946 0958", "+44 "), ("+372 5123 4567", "+372 "), ("040 123 4567", "0"), ("0400-123 4567", None),
+])
+def test_phone_keeps_its_country(text, lead):
+    new, found = pii.Pseudonyms(KEY)(f"call {text} now")
+    if lead is None:
+        return
+    assert [f["kind"] for f in found] == ["phone"] and new.startswith(f"call {lead}") and new != f"call {text} now"
+    assert re.sub(r"\d", "9", new) == re.sub(r"\d", "9", f"call {text} now") and pii.restore(new, KEY) == f"call {text} now"
+
+
+def test_small_formats_are_permuted():
+    """Every value of a small format has its own pseudonym, of the same format: a brute-force table."""
+    for signs in ("07", "aZ", "ÄÅ", "éß"):
+        sets = pii._alphabets(signs)
+        perm, back = pii.Permutation(KEY, "email"), pii.Permutation(KEY, "email", back=True)
+        every = [a + b for a in sets[0] for b in sets[1]]
+        table = {v: pii._permuted(perm, v) for v in every}
+        assert sorted(table.values()) == sorted(every) and all(pii._permuted(back, new) == old for old, new in table.items())
+    new, found = pii.Pseudonyms(KEY)("mail Ä.Virtanen@yritys.fi, élan@b.fr")
+    assert [f["kind"] for f in found] == ["email", "email"] and "Virtanen" not in new and "yritys.fi" in new and pii.restore(new, KEY) == "mail Ä.Virtanen@yritys.fi, élan@b.fr"
+
+
+@pytest.mark.parametrize(("page", "want"), [
+    ('<article><p class="notice">x<p>A<p>B</article>', ["A", "B"]),
+    ('<ul><li class="menu">m<li>A<li>B</ul><p>rest', ["A", "B", "rest"]),
+    ('<div class="content no-sidebar"><p>A</div>', ["A"]),
+    ('<article><p>A</p><pre>x <span class="comment"># why</span></pre></article>', ["A", "x # why"]),
+    ('<article><section class="related-work"><p>A</section></article>', ["A"]),
+    ("<article><p>for <math><mi>x</mi></math> all</article>", ["for x all"]),
+    ('<article><p>A</article><div class="comments"><article><p>I think</article></div>', ["A"]),
+    ('<div class="comments"><p>I think</div><p>B', ["B"]),
+    ('<div class="sidebar-left"><p>x</div><div class="has-banner"><p>A</div><div class="social-policy">B</div><div class="ad">x</div>', ["A", "B"]),
+    ("<dl><dt class=ad>x<dd>A<dt>B</dl><table><tr class=promo><td>x<tr><td>C<td>D</table>", ["A", "B", "C D"]),
+    ('<div class="ad"><div>x</div>y</div>A<div class="menu"><ul><li>m</div>B', ["A", "B"]),
+    ("<nav><ul><li>m<article><h1>T</h1><p>A</article>", ["T", "A"]),
+    ("<p>A<div>B</div>C</p>D", ["A", "B", "C", "D"]),
+])
+def test_blocks_of_loose_markup(page, want):
+    found = extract.blocks(page)
+    main = any(m for _, m in found)
+    assert [t for t, m in found if m or not main] == want
