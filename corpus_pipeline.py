@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ledgerlift.llm import decontaminate, near, packing, pii, quality
 from ledgerlift.llm.common import table
-from ledgerlift.llm.queries import PII_KEY, tokenizer_path
+from ledgerlift.llm.queries import pii_key, tokenizer_path
 from ledgerlift.session import stage
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -36,14 +36,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of benchmark items are cut; documents that are mostly such passages go."""
-    columns = docs.columns
-    return _with_length(decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))).select(*columns)
+    return _with_length(decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark")))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data become pseudonyms."""
-    columns = docs.columns
-    return _with_length(pii.pseudonymise(docs, PII_KEY)).select(*columns)
+    return _with_length(pii.replaced(docs, pii_key(spark)))
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
