@@ -376,7 +376,33 @@ def _(spark, sf):
     return en.extract_dimensions(_described(spark, sf), "description").select("p_partkey", "dimension_parse_status", "width_value", "length_value", "length_unit", "depth_value")
 
 
-@query("en_11_page_facts")
+_NUMBER, _UNITS = r"\d+(?:[.,]\d+)?", "kilograms|kilogram|kg|grams|gram|g"
+_SIZES, _LONG_UNITS = rf"{_NUMBER}\s*(?:x|×|\*|by)\s*{_NUMBER}(?:\s*(?:x|×|\*|by)\s*{_NUMBER})?", "millimeter|millimetre|centimeter|centimetre|mm|cm|m"
+
+
+def _visible_sql(html: str) -> str:
+    """Visible text of a page, with the references that the pages use."""
+    for tag in ("script", "style", "noscript"):
+        html = f"regexp_replace({html}, '<{tag}\\b.*?</{tag}\\s*>', ' ', 'gis')"
+    html = f"regexp_replace(regexp_replace({html}, '<!--.*?-->', ' ', 'gs'), '<[^>]*>', ' ', 'gs')"
+    for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&copy;", "©"), ("&middot;", "·"), ("&nbsp;", " "), ("&amp;", "&")):
+        html = f"replace({html}, '{name}', '{char}')"
+    return f"trim(regexp_replace({html}, '\\s+', ' ', 'g'))"
+
+
+def _fact_sql(patterns: list[str], group: int) -> str:
+    return "coalesce(" + ", ".join(f"nullif(regexp_extract(t, '{p}', {group}), '')" for p in patterns) + ")"
+
+
+_WEIGHTS_SQL = [rf"\b(?:{en.WEIGHT_WORDS})\b\s*[:\-]?\s*({_NUMBER})\s*({_UNITS})\b", rf"({_NUMBER})\s*({_UNITS})\s*(?:\b(?:{en.WEIGHT_WORDS})\b)"]
+_SIZES_SQL = [rf"\b(?:{en.SIZE_WORDS})\b\s*[:\-]?\s*({_SIZES})\s*({_LONG_UNITS})\b", rf"({_SIZES})\s*({_LONG_UNITS})\s*(?:\b(?:{en.SIZE_WORDS})\b)", rf"\b({_SIZES})\s*({_LONG_UNITS})\b"]
+
+
+@query("en_11_page_facts", f"""
+SELECT page_id, replace({_fact_sql(_WEIGHTS_SQL, 1)}, ',', '.') AS extracted_weight, CASE WHEN {_fact_sql(_WEIGHTS_SQL, 2)} LIKE 'k%' THEN 'kg' WHEN {_fact_sql(_WEIGHTS_SQL, 2)} IS NOT NULL THEN 'g' END AS extracted_weight_unit,
+ regexp_replace(translate({_fact_sql(_SIZES_SQL, 1)}, '×*,', 'xx.'), '\s*(?:x|\bby\b)\s*', ' x ', 'g') AS extracted_dimensions,
+ CASE WHEN {_fact_sql(_SIZES_SQL, 2)} LIKE 'milli%' THEN 'mm' WHEN {_fact_sql(_SIZES_SQL, 2)} LIKE 'centi%' THEN 'cm' ELSE {_fact_sql(_SIZES_SQL, 2)} END AS extracted_dimension_unit
+FROM (SELECT page_id, lower({_visible_sql("html")}) AS t FROM pages)""")
 def _(spark, sf):
     """Weights and sizes found anywhere in the visible text of whole pages."""
     pages = table(spark, sf, "pages").withColumn("page_text", tx.html_text(F.col("html")))

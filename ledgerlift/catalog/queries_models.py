@@ -55,10 +55,19 @@ def _(spark, sf):
     return ml.calibrate_sigmoid(model, "business_id").score(model).select("business_id", "label", "score")
 
 
-@query("ml_05_isotonic_calibration")
+# the best monotone fit at a score is the largest, over starts before it, of the smallest mean from there to any end behind it
+@query("ml_05_isotonic_calibration", sql("back", """
+SELECT business_id, round(current_probability_of_growth, 9) AS current_probability_of_growth, round(least(greatest(v, 0.01), 0.99), 9) AS calibrated_probability
+FROM (SELECT *, least(greatest(coalesce(current_probability_of_growth, 0), 0), 1) AS x FROM back) JOIN iso USING (x)""", {
+    "pts": "SELECT least(greatest(coalesce(current_probability_of_growth, 0), 0), 1) AS x, avg(grew_y3)::DOUBLE AS y, count(*)::DOUBLE AS w FROM back GROUP BY 1",
+    "sums": "SELECT *, row_number() OVER (ORDER BY x) AS i, sum(w) OVER (ORDER BY x) AS cw, sum(w * y) OVER (ORDER BY x) AS cy FROM pts",
+    "means": "SELECT a.i AS j, b.i AS k, b.x, (b.cy - a.cy + a.w * a.y) / (b.cw - a.cw + a.w) AS m FROM sums a JOIN sums b ON a.i <= b.i",
+    "iso": "SELECT x, max(m) AS v FROM (SELECT j, x, min(m) OVER (PARTITION BY j ORDER BY k DESC) AS m FROM means) GROUP BY x",
+}))
 def _(spark, sf):
     frame = back_frame(spark, sf).drop("calibrated_probability")
-    return ml.calibrate_isotonic(frame, "current_probability_of_growth", "grew_y3").select("business_id", "current_probability_of_growth", "calibrated_probability")
+    out = ml.calibrate_isotonic(frame, "current_probability_of_growth", "grew_y3")
+    return out.select("business_id", F.round("current_probability_of_growth", 9).alias("current_probability_of_growth"), F.round("calibrated_probability", 9).alias("calibrated_probability"))
 
 
 @query("ml_06_out_of_fold_forest")

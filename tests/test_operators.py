@@ -214,3 +214,21 @@ def test_similar_candidates_are_few_where_all_names_begin_alike(spark):
     assert want <= pairs and len(want) >= 80 and len(pairs) < 0.05 * len(asked) * len(names)
     got = {(r["a"], r["b"]) for r in lk.similar_pairs(left, "a", right, "b", 0.9).collect()}
     assert got == want
+
+
+@pytest.mark.parametrize("keys", [[], ["g"]])
+def test_quantiles_between_brackets(spark, monkeypatch, keys):
+    np = pytest.importorskip("numpy")
+    rng = random.Random(8)
+    rows = [(rng.choice(["a", "a", "a", None]), rng.choice([0.0, 0.0, rng.gauss(0, 50), float(rng.randint(0, 9))])) for _ in range(4000)] + [("one", 5.0), ("two", 1.0), ("two", 2.0), ("a", None)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    points = [0.0, 0.1, 0.25, 0.5, 0.9, 0.999, 1.0]
+    for sketch in (10_000, 50):
+        monkeypatch.setattr(rk, "SKETCH", sketch)
+        got = {(*(r[k] for k in keys), r["quantile"]): r["value"] for r in rk.exact_quantiles(df, keys, "v", points).collect()}
+        groups = {(): [v for _, v in rows if v is not None]} if not keys else {(g,): [v for h, v in rows if h == g and v is not None] for g in ("a", None, "one", "two")}
+        want = {(*g, p): float(np.quantile(v, p)) for g, v in groups.items() for p in points}
+        assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+    sure = {(*(r[k] for k in keys), r["quantile"]): r["value"] for r in rk._ranked_quantiles(df.filter("v is not null").select(*keys, F.col("v").alias("_v")), keys, points).collect()}
+    assert all(sure[k] == pytest.approx(want[k]) for k in want)
+    assert rk.exact_quantiles(df.filter("v is null"), keys, "v", points).count() == 0
