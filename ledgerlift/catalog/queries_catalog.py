@@ -398,7 +398,7 @@ _WEIGHTS_SQL = [rf"\b(?:{en.WEIGHT_WORDS})\b\s*[:\-]?\s*({_NUMBER})\s*({_UNITS})
 _SIZES_SQL = [rf"\b(?:{en.SIZE_WORDS})\b\s*[:\-]?\s*({_SIZES})\s*({_LONG_UNITS})\b", rf"({_SIZES})\s*({_LONG_UNITS})\s*(?:\b(?:{en.SIZE_WORDS})\b)", rf"\b({_SIZES})\s*({_LONG_UNITS})\b"]
 
 
-@query("en_11_page_facts", f"""
+@query("en_11_page_facts", rf"""
 SELECT page_id, replace({_fact_sql(_WEIGHTS_SQL, 1)}, ',', '.') AS extracted_weight, CASE WHEN {_fact_sql(_WEIGHTS_SQL, 2)} LIKE 'k%' THEN 'kg' WHEN {_fact_sql(_WEIGHTS_SQL, 2)} IS NOT NULL THEN 'g' END AS extracted_weight_unit,
  regexp_replace(translate({_fact_sql(_SIZES_SQL, 1)}, '×*,', 'xx.'), '\s*(?:x|\bby\b)\s*', ' x ', 'g') AS extracted_dimensions,
  CASE WHEN {_fact_sql(_SIZES_SQL, 2)} LIKE 'milli%' THEN 'mm' WHEN {_fact_sql(_SIZES_SQL, 2)} LIKE 'centi%' THEN 'cm' ELSE {_fact_sql(_SIZES_SQL, 2)} END AS extracted_dimension_unit
