@@ -1,15 +1,19 @@
 """Main text of web pages, with a suffix array of each host against boilerplate.
 
-Parsing drops what the markup itself calls no article: head, scripts, styles, navigation, headers, footers,
-asides, forms, hidden parts, and parts whose class, id or role names adverts, menus, sidebars, notices,
-sharing, related links or comments.  The rest becomes blocks: character references decoded, white space
-one space, blocks without text left out.  A page with ``article`` or ``main`` elements keeps only their blocks.
-
-What markup doesn't tell, repetition does.  The token streams of a host's pages form one suffix array: every
-suffix is dealt, under its host, by its first ``RUN`` tokens and sorted there with its page, so suffixes with a
-common prefix that long become neighbours, whatever task their pages came from.  In pages without an article
-element, tokens covered by such strings of two or more different pages are removed and unique runs
-kept; a short block goes if it repeats whole.  Inside an article only a whole block that stands on at least
+Parsing keeps a stack of open elements, with the ends that HTML lets authors leave out (p, li, dt, dd, tr, td, th,
+option, and whatever an enclosing element's end closes).  It drops what the markup itself calls no article: head,
+scripts, styles, navigation, headers, footers, asides, forms, hidden parts, and parts whose class, id or role
+names adverts, menus, sidebars, notices, sharing, related links or comments.  Of a class name the whole or
+its last part counts, or its first before a part that names a container (``sidebar-left``); ``no-``, ``has-`` and
+``with-`` take the meaning away, and inside ``pre`` and ``code`` classes tell colours.  The rest becomes blocks: character
+references decoded, white space one space, blocks without text left out.  A page with ``article`` or ``main``
+elements keeps only their blocks.
+
+What markup doesn't tell, repetition does.  The first ``RUN`` tokens of every suffix of a page's token stream are
+hashed with the host and dealt out, so suffixes with a common prefix that long meet, whatever task their pages came
+from.  The order of suffixes beyond these tokens isn't computed: what is covered depends on these prefixes
+alone.  In pages without an article element, tokens covered by such strings of two or more different pages are
+removed and unique runs kept; a short block goes if it repeats whole.  Inside an article only a whole block that stands on at least
 half of the host's pages (and on ``SITEWIDE``) goes, so articles that quote or copy each other stay whole.  A
 page that would lose everything is a copy and keeps what isn't sitewide.
 
@@ -41,14 +45,14 @@ RUN, SITEWIDE = 8, 5
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"<]*\"|'[^'<]*'|[\"'])*+)(?:>|\Z)|<[!?][^>]*(?:>|\Z)", re.DOTALL)
 _ATTRIBUTE = re.compile(r"([a-zA-Z_:-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
-_RAW = frozenset(("script", "style", "textarea", "title", "noscript", "iframe", "template", "svg", "math", "object", "canvas", "video", "audio", "select"))
+_RAW = frozenset(("script", "style", "textarea", "title", "noscript", "iframe", "template", "svg", "object", "canvas", "video", "audio", "select"))
 _DROPPED = frozenset(("head", "nav", "footer", "aside", "form", "button", "dialog", "menu", "header"))
 _VOID = frozenset(("br", "hr", "img", "input", "meta", "link", "wbr", "area", "base", "col", "embed", "source", "track", "param"))
 _BLOCK = frozenset((
     "html", "body", "p", "div", "h1", "h2", "h3", "h4", "h5", "h6", "ul", "ol", "li", "dl", "dt", "dd", "table", "tr", "caption", "thead", "tbody", "tfoot", "blockquote", "pre",
     "section", "article", "main", "header", "footer", "nav", "aside", "figure", "figcaption", "address", "hr", "form", "fieldset", "details", "summary", "center", "hgroup",
 ))
-_ARTICLE = frozenset(("article", "main"))
+_ARTICLE, _CODE = frozenset(("article", "main")), frozenset(("pre", "code"))
 _NAMES = frozenset((
     "ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "adsense", "banner", "sponsor", "sponsored", "promo", "promotion", "nav", "navbar", "navigation",
     "menu", "submenu", "breadcrumb", "breadcrumbs", "sidebar", "footer", "masthead", "cookie", "cookies", "consent", "gdpr", "notice", "notices", "notification", "popup",
@@ -56,6 +60,22 @@ _NAMES = frozenset((
     "replies", "respond", "disqus", "widget", "toolbar", "pagination", "pager", "copyright", "disclaimer", "hidden", "alert",
 ))
 _ROLES = frozenset(("navigation", "banner", "contentinfo", "complementary", "search", "alert", "alertdialog", "dialog", "menu", "menubar", "toolbar", "tooltip"))
+#: Parts of a class name that say only what its first part is held in.
+_CONTAINERS = frozenset((
+    "area", "bar", "block", "body", "bottom", "box", "button", "buttons", "column", "container", "content", "form", "group", "header", "icon", "icons", "inner", "item", "items", "label",
+    "left", "link", "links", "list", "main", "panel", "post", "posts", "right", "row", "section", "side", "slot", "text", "title", "top", "unit", "wrap", "wrapper", "zone",
+))
+_NEGATIONS = frozenset(("no", "not", "has", "with", "without"))
+#: Start tags that end an open element of the first kind, unless one of the last kind was opened since.
+_LISTS, _TABLES = frozenset(("ul", "ol", "menu", "dl")), frozenset(("table",))
+_IMPLIED = {
+    "li": (frozenset(("li",)), _LISTS), "dt": (frozenset(("dt", "dd")), _LISTS), "dd": (frozenset(("dt", "dd")), _LISTS), "option": (frozenset(("option",)), frozenset()),
+    "tr": (frozenset(("tr", "td", "th")), _TABLES), "td": (frozenset(("td", "th")), _TABLES | {"tr"}), "th": (frozenset(("td", "th")), _TABLES | {"tr"}),
+    "tbody": (frozenset(("tr", "td", "th", "thead", "tbody", "tfoot")), _TABLES), "body": (frozenset(("head",)), frozenset()),
+}
+#: What a block's start ends besides, and what an end tag doesn't reach out of.
+_ENDS_P = frozenset(("p",))
+_SCOPES = {"p": frozenset(("article", "main", "section", "div", "td", "th", "li", "blockquote", "table", "button")), "li": _LISTS, "td": _TABLES, "th": _TABLES, "tr": _TABLES}
 _TALK = frozenset(("comment", "comments", "reply", "replies", "respond", "disqus"))
 
 
@@ -67,21 +87,35 @@ def _unwanted(tag: str, attributes: str, in_article: bool) -> bool:
     found = {}
     for name, *values in _ATTRIBUTE.findall(attributes):
         found.setdefault(name.lower(), "".join(values).lower())
-    names = set(re.split(r"[^a-z0-9]+", " ".join((found.get("class", ""), found.get("id", "")))))
+    names = _meanings(" ".join((found.get("class", ""), found.get("id", ""))))
     if tag in _ARTICLE or tag in ("html", "body"):
         return tag == "article" and bool(names & _TALK)
     hidden = "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "")
     return hidden or bool(names & _NAMES) or (not in_article and "header" in names) or found.get("role") in _ROLES
 
 
+def _meanings(names: str) -> set[str]:
+    """What class names say of an element, as words."""
+    out = set()
+    for name in names.split():
+        parts = [p for p in re.split(r"[^a-z0-9]+", name) if p]
+        if not parts or parts[0] in _NEGATIONS:
+            continue
+        out.add(parts[-1])
+        if all(p in _CONTAINERS or p.isdigit() for p in parts[1:]):
+            out.add(parts[0])
+    return out
+
+
 def blocks(source: str | None) -> list[tuple[str, bool]]:
     """(text, whether inside an article or main element) of each block, in page order."""
     out: list[tuple[str, bool]] = []
     if not source:
         return out
     held: list[str] = []
-    at = article = 0
-    skipped, depth = "", 0
+    at = article = dropped = code = 0
+    seen_article = False
+    stack: list[tuple[str, bool]] = []  # open elements, and whether each is left out
 
     def close() -> None:
         if held:
@@ -90,8 +124,29 @@ def blocks(source: str | None) -> list[tuple[str, bool]]:
             if text:
                 out.append((text, article > 0))
 
+    def leave(n: int) -> None:
+        """Close the innermost elements until ``n`` are open."""
+        nonlocal article, dropped, code
+        while len(stack) > n:
+            tag, left_out = stack[-1]
+            if tag in _BLOCK or left_out:
+                close()
+            stack.pop()
+            dropped -= left_out
+            article -= tag in _ARTICLE and not dropped and not left_out
+            code -= tag in _CODE
+
+    def innermost(tags: frozenset[str], scope: frozenset[str]) -> int | None:
+        """Where the innermost of such elements stands, if none of ``scope`` is opened inside it."""
+        for k in range(len(stack) - 1, -1, -1):
+            if stack[k][0] in tags:
+                return k
+            if stack[k][0] in scope:
+                return None
+        return None
+
     while m := _TAG.search(source, at):
-        if not skipped and m.start() > at:
+        if not dropped and m.start() > at:
             held.append(source[at:m.start()])
         at = m.end()
         end, tag, attributes = m[1], (m[2] or "").lower(), m[3] or ""
@@ -102,25 +157,48 @@ def blocks(source: str | None) -> list[tuple[str, bool]]:
                 closing = re.compile(rf"</{tag}\b[^>]*>?", re.IGNORECASE).search(source, at)
                 at = closing.end() if closing else len(source)
             continue
-        if skipped:
-            if tag == "body" and skipped == "head" or not end and tag in _ARTICLE and skipped in ("div", "span", "header", "nav", "head") and not _unwanted(tag, attributes, False):
-                skipped, depth = "", 0  # what should have been closed before
-            else:
-                depth += (tag == skipped) * (-1 if end else 1)
-                if depth <= 0:
-                    skipped = ""
-                continue
-        elif not end and tag not in _VOID and not attributes.endswith("/") and _unwanted(tag, attributes, article > 0):
-            close()
-            skipped, depth = tag, 1
+        if end:
+            k = innermost(frozenset((tag,)), _SCOPES.get(tag, frozenset()))
+            if k is not None:
+                leave(k)
+            if tag in _BLOCK and not dropped:
+                close()
+            continue
+        if tag in _VOID:
+            if not dropped:
+                if tag in _BLOCK:
+                    close()
+                elif tag == "br":
+                    held.append(" ")
             continue
         if tag in _BLOCK:
-            close()
-        elif tag in ("br", "td", "th"):
-            held.append(" ")
-        if tag in _ARTICLE:
-            article = max(0, article + (-1 if end else 1))
-    if not skipped:
+            k = innermost(_ENDS_P, _SCOPES["p"])
+            if k is not None:
+                leave(k)
+        if tag in _IMPLIED:
+            ended, scope = _IMPLIED[tag]
+            while (k := innermost(ended, scope)) is not None:
+                leave(k)
+        if tag in _ARTICLE and dropped and not seen_article and not _unwanted(tag, attributes, False):
+            # the first article inside what is left out: what should have been closed before
+            k = next(j for j, (_, left_out) in enumerate(stack) if left_out)
+            if stack[k][0] in ("div", "span", "header", "nav", "head"):
+                leave(k)
+        if attributes.endswith("/"):
+            continue
+        left_out = not dropped and _unwanted(tag, "" if code else attributes, article > 0)
+        if not dropped:
+            if tag in _BLOCK or left_out:
+                close()
+            elif tag in ("td", "th"):
+                held.append(" ")
+        if tag in _ARTICLE and not dropped and not left_out:
+            article += 1
+            seen_article = True
+        dropped += left_out
+        code += tag in _CODE
+        stack.append((tag, left_out))
+    if not dropped:
         held.append(source[at:])
     close()
     return out
