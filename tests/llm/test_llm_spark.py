@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from ledgerlift.llm import bins, decontaminate, extract, minhash, near, packing, periodic, pii, quality, repeats, toxicity, tries, url_filter, warc
 from ledgerlift.llm.components import components
-from ledgerlift.llm.queries import PII_KEY, QUERIES, tokenizer_path, with_planted_runs
+from ledgerlift.llm.queries import ORACLES, PII_KEY, QUERIES, tokenizer_path, with_planted_runs
 from ledgerlift.session import stage_path
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -534,3 +534,18 @@ def test_pipeline(spark, docs, none, sf_dir):
 
 def test_queries_are_named():
     assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_query_against_its_sql(spark, sf_dir, name):
+    """Every query with a twin, over whole tables: same columns, same rows."""
+    con = pytest.importorskip("duckdb").connect()
+    for t in ("documents", "benchmark", "pages", "labels"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
+    cur = con.execute(ORACLES[name])
+    columns = [d[0] for d in cur.description]
+    got = QUERIES[name](spark, sf_dir)
+    assert sorted(got.columns) == sorted(columns)
+    plain = lambda v: float(v) if isinstance(v, (int, float)) and not isinstance(v, bool) else v
+    want = sorted((tuple(plain(v) for _, v in sorted(zip(columns, r, strict=True))) for r in cur.fetchall()), key=repr)
+    assert sorted((tuple(plain(r[c]) for c in sorted(columns)) for r in got.collect()), key=repr) == want
