@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 from ledgerlift.catalog.bindings import accounts, companies, products, sales_lines, sales_months, sql, table
 from ledgerlift.catalog.queries_features import history_lines, prepared_history, scored_customers
 from ledgerlift.catalog.queries_recommend import product_sales
+from ledgerlift.catalog.queries_scalar import fold_sql
 from ledgerlift.catalog.registry import query
 from ledgerlift.plans import compare as cm
 from ledgerlift.plans import crm as cr
 from ledgerlift.plans import enrich as en
 from ledgerlift.plans import quality as qa
+from ledgerlift.plans import taxonomy as tax
 from ledgerlift.session import stage_path
 from ledgerlift.sources import columns as co
 from ledgerlift.sources import readers as rd
@@ -401,6 +403,52 @@ def _(spark, sf):
     return qa.missing_by_name(history_lines(spark, sf), "product_name", "total_value", "group_code").withColumn("sales_eur", F.round("sales_eur", 4))
 
 
+_CODED = "CASE WHEN line_id % 4 <> 0 THEN sku WHEN line_id % 8 = 0 THEN '' END"
+
+
+@query("qa_12_missing_summary", sql("hist", f"""
+WITH t AS (SELECT *, {_CODED} AS code, 'm' || (line_id % 3) AS method FROM hist), n AS (SELECT product_name, count(*) AS n FROM t WHERE coalesce(trim(code), '') = '' GROUP BY 1)
+SELECT 'total_rows' AS metric, count(*)::DOUBLE AS value FROM t UNION ALL SELECT 'rows_with_group', count_if(coalesce(trim(group_code), '') <> '')::DOUBLE FROM t UNION ALL SELECT 'rows_missing_group', count_if(coalesce(trim(group_code), '') = '')::DOUBLE FROM t
+UNION ALL SELECT 'missing_code_rows', count_if(coalesce(code, '') = '')::DOUBLE FROM t UNION ALL SELECT 'missing_code_sales_eur', round(sum(total_value) FILTER (coalesce(code, '') = ''), 2) FROM t
+UNION ALL SELECT 'unique_missing_code_names', count(*)::DOUBLE FROM n UNION ALL SELECT 'repeated_missing_code_names', count_if(n > 1)::DOUBLE FROM n UNION ALL SELECT 'rows_in_repeated_missing_code_names', coalesce(sum(n) FILTER (n > 1), 0)::DOUBLE FROM n
+UNION ALL SELECT 'method:' || method, count(*)::DOUBLE FROM t GROUP BY 1"""))
+def _(spark, sf):
+    return qa.missing_summary(_coded_history(spark, sf), name="product_name", value="total_value", code="code", group="group_code", method="method")
+
+
+def _coded_history(spark, sf):
+    k = F.col("line_id")
+    code = F.when(k % 4 != 0, F.col("sku")).when(k % 8 == 0, "")
+    return history_lines(spark, sf).withColumns({"code": code, "method": F.concat(F.lit("m"), (k % 3).cast("string"))})
+
+
+@query("qa_12_missing_worklist", sql("hist", f"""
+SELECT line_id, account_id || '|' || order_id || '|' || line_id AS update_key, NULL::VARCHAR AS new_code, NULL::VARCHAR AS note FROM hist WHERE coalesce({_CODED}, '') = ''"""))
+def _(spark, sf):
+    out = qa.missing_worklist(_coded_history(spark, sf), code="code", key=["account_id", "order_id", "line_id"], fill=["new_code", "note"])
+    return out.select("line_id", "update_key", "new_code", "note")
+
+
+@query("qa_11_review_groups", f"""
+WITH t AS (SELECT p_type AS l1, p_brand AS l2, 'size ' || (p_size % 3) AS l3, CASE WHEN p_partkey % 3 = 0 THEN 'a|b' WHEN p_partkey % 3 = 1 THEN 'b' END AS marks, CASE WHEN p_size > 10 THEN 'S' || (p_size % 5) END AS supplier, p_brand AS brand, p_name,
+  CASE p_partkey % 5 WHEN 0 THEN 'iso esite' WHEN 1 THEN 'suklaa ja lahjakortti' WHEN 2 THEN 'fanilippu' ELSE '' END AS extra FROM part WHERE p_type = 'PROMO'),
+s AS (SELECT *, {fold_sql("p_name || ' ' || extra")} AS x FROM t)
+SELECT 'group' AS "table", l1 || ' > ' || l2 || ' > ' || l3 AS key, count(*) AS product_count FROM t GROUP BY ALL UNION ALL SELECT 'supplier', coalesce(supplier, ''), count(*) FROM t GROUP BY ALL UNION ALL SELECT 'brand', brand, count(*) FROM t GROUP BY ALL
+UNION ALL SELECT 'source', m, count(*) FROM (SELECT unnest(string_split(coalesce(marks, ''), '|')) AS m FROM t) GROUP BY ALL
+UNION ALL SELECT 'suggestion', CASE WHEN contains(x, 'esite') THEN 'medium | ' || {{esite}} WHEN contains(x, 'fanilippu') THEN 'high | ' || {{flag}} WHEN contains(x, 'lahjakortti') THEN 'high | ' || {{card}} ELSE 'manual |  | no rule' END, count(*) FROM s GROUP BY ALL
+UNION ALL (SELECT 'word', w, count(*) FROM (SELECT unnest(regexp_extract_all(lower(p_name || ' ' || extra), '[a-zåäö0-9]{{{{3,}}}}')) AS w FROM t) WHERE w NOT IN ('old') GROUP BY 2 ORDER BY 3 DESC, 2 LIMIT 10)""".format(
+    **{n: "'" + " > ".join(p for p in r.path if p) + f" | {r.name}'" for n, r in ((n, next(r for r in tax.word_rules("review_suggestions", with_confidence=True) if w in r.words)) for n, w in (("esite", "esite"), ("flag", "fanilippu"), ("card", "lahjakortti")))}))
+def _(spark, sf):
+    k = F.col("p_partkey")
+    rows = table(spark, sf, "part").filter("p_type = 'PROMO'").withColumns({
+        "l3": F.concat(F.lit("size "), (F.col("p_size") % 3).cast("string")), "marks": F.when(k % 3 == 0, "a|b").when(k % 3 == 1, "b"),
+        "supplier": F.when(F.col("p_size") > 10, F.concat(F.lit("S"), (F.col("p_size") % 5).cast("string"))), "extra": F.when(k % 5 == 0, "iso esite").when(k % 5 == 1, "suklaa ja lahjakortti").when(k % 5 == 2, "fanilippu").otherwise(""),
+    })
+    return qa.review_analysis(
+        rows, tax.word_rules("review_suggestions", with_confidence=True), levels=["p_type", "p_brand", "l3"], source="marks", supplier="supplier", brand="p_brand", texts=["p_name", "extra"], stop_words=["old"], words=10,
+    )
+
+
 @query("qa_13_status_impact", sql("hist", f"""
 WITH u AS (SELECT * FROM hist WHERE group_code IS NULL OR NOT {_EX})
 SELECT metric, value FROM (SELECT count_if(status = 'Invoiced')::DOUBLE AS current_rows, round(coalesce(sum(total_value) FILTER (status = 'Invoiced'), 0), 2) AS current_eur, (count(DISTINCT account_id) FILTER (status = 'Invoiced'))::DOUBLE AS current_accounts,

@@ -8,9 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlift.functions import numbers as nm
-from ledgerlift.operators.aggregates import metrics_long
+from ledgerlift.functions import text as tx
+from ledgerlift.operators.aggregates import metrics_long, top_words
 from ledgerlift.operators.lookup import flag_member
 from ledgerlift.operators.ranking import exact_quantiles, head, join_on
+from ledgerlift.plans import taxonomy as tax
 
 
 def sales_quality(sales: DataFrame, *, statuses: Sequence[str], group: str, excluded: Sequence[str], value: str = "total_value") -> DataFrame:
@@ -209,6 +211,54 @@ def missing_by_name(rows: DataFrame, name: str, value: str, group: str) -> DataF
     return missing.groupBy(F.coalesce(F.lower(F.trim(name)), F.lit("")).alias("name_key")).agg(F.count("*").alias("rows"), F.sum(value).alias("sales_eur"))
 
 
+def missing_summary(rows: DataFrame, *, name: str, value: str, code: str, group: str, method: str) -> DataFrame:
+    """(metric, value): rows with and without a group, rows without a product code, their euros and names, rows by match method."""
+    blank = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
+    names = rows.filter(blank(code)).groupBy(F.coalesce(name, F.lit("")).alias("_name")).agg(F.count("*").alias("_n"))
+    parts = [
+        metrics_long(rows, {
+            "total_rows": F.count("*"), "rows_with_group": F.count_if(~blank(group)), "rows_missing_group": F.count_if(blank(group)), "missing_code_rows": F.count_if(blank(code)),
+            "missing_code_sales_eur": F.round(F.coalesce(F.sum(F.when(blank(code), F.coalesce(value, F.lit(0.0)))), F.lit(0.0)), 2),
+        }),
+        metrics_long(names, {
+            "unique_missing_code_names": F.count("*"), "repeated_missing_code_names": F.count_if(F.col("_n") > 1),
+            "rows_in_repeated_missing_code_names": F.coalesce(F.sum(F.when(F.col("_n") > 1, F.col("_n"))), F.lit(0)),
+        }),
+        rows.groupBy(F.concat(F.lit("method:"), F.coalesce(method, F.lit(""))).alias("metric")).agg(F.count("*").cast("double").alias("value")),
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def missing_worklist(rows: DataFrame, *, code: str, key: Sequence[str], fill: Sequence[str]) -> DataFrame:
+    """Rows without a product code, with the key by which they are updated and empty columns to fill in."""
+    missing = rows.filter(F.coalesce(F.trim(code), F.lit("")) == "")
+    return missing.withColumns({"update_key": F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in key]), **{c: F.lit(None).cast("string") for c in fill}})
+
+
+def review_analysis(products: DataFrame, rules: Sequence[tax.Rule], *, levels: Sequence[str], source: str, supplier: str, brand: str, texts: Sequence[str], stop_words: Sequence[str], words: int = 40) -> DataFrame:
+    """(table, key, product_count) of the products under review: by group, supplier, brand and suggested group, by source mark, by word.
+
+    ``source`` holds marks between ``|``.  A suggestion is its confidence, path and rule; products that no rule knows are
+    ``manual``.  The first four tables come from one pass of grouping sets; of the words only the commonest are shown.
+    """
+    text = F.concat_ws(" ", *texts)
+    judged = tax.classify(products, rules, tx.fold(text), "_g").withColumn(
+        "_suggested", F.concat_ws(" | ", F.coalesce("_g.confidence", F.lit("manual")), F.concat_ws(" > ", *[F.nullif(F.col(f"_g.l{i + 1}"), F.lit("")) for i in range(3)]), F.coalesce("_g.source", F.lit("no rule")))
+    )
+    # columns of their own, as a level may be the brand too
+    kinds = {"group": [f"_level{i}" for i in range(len(levels))], "supplier": ["_supplier"], "brand": ["_brand"], "suggestion": ["_suggested"]}
+    judged = judged.withColumns({f"_level{i}": F.col(c) for i, c in enumerate(levels)} | {"_supplier": F.col(supplier), "_brand": F.col(brand)})
+    columns = [c for part in kinds.values() for c in part]
+    label, key = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for kind, part in kinds.items():
+        here = F.grouping(part[0]) == 0
+        label, key = F.when(here, F.lit(kind)).otherwise(label), F.when(here, F.concat_ws(" > ", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in part])).otherwise(key)
+    counted = judged.groupingSets(list(kinds.values()), *columns).agg(label.alias("table"), key.alias("key"), F.count("*").alias("product_count")).select("table", "key", "product_count")
+    marks = products.select(F.explode(F.split(F.coalesce(source, F.lit("")), r"\|")).alias("key")).groupBy("key").agg(F.count("*").alias("product_count"))
+    common = top_words(products, text, words, stop_words)
+    return counted.unionByName(marks.withColumn("table", F.lit("source"))).unionByName(common.select(F.lit("word").alias("table"), F.col("word").alias("key"), F.col("word_count").alias("product_count")))
+
+
 def status_impact(sales: DataFrame, base: str, added: str, group: str, excluded: Sequence[str], *, value: str = "total_value") -> DataFrame:
     """What including another status would change: rows, euros and accounts of base, increment and both."""
     usable = ~F.coalesce(F.trim(group).isin(*excluded), F.lit(False)) & F.col("account_id").isNotNull() & F.col("sold_on").isNotNull()
