@@ -413,7 +413,19 @@ def _site_pages(spark, sf):
     return table(spark, sf, "pages").select("page_id", "url", "html", tx.url_domain(F.col("url")).alias("domain"))
 
 
-@query("en_17_rank_links")
+_STOPS = ", ".join(f"'{w}'" for w in tx.NAME_STOP_WORDS)
+_HINTS_SQL = " + ".join(f"CASE WHEN contains(lower(link), '{h}') THEN 0.5::DOUBLE ELSE 0 END" for h in en.PAGE_HINTS)
+
+
+@query("en_17_rank_links", rf"""
+WITH p AS (SELECT page_id, lower(regexp_extract(url, '^https?://([^/?#]+)', 1)) AS domain, regexp_extract(url, '^(https?://[^/?#]+)', 1) AS root, html FROM pages),
+h AS (SELECT page_id, domain, root, regexp_extract_all(html, '<a [^>]*href="(/[^"]*)"', 1) AS hs FROM p),
+l AS (SELECT page_id, domain, regexp_replace(root || regexp_replace(unnest(hs), '#.*$', ''), '/+$', '') AS link, unnest(range(len(hs))) AS i FROM h),
+f AS (SELECT page_id, domain, link, row_number() OVER (PARTITION BY page_id ORDER BY i) AS place FROM (SELECT page_id, domain, link, min(i) AS i FROM l GROUP BY ALL)),
+k AS (SELECT domain, link, min(place) AS place FROM f GROUP BY ALL),
+t AS (SELECT page_id AS product_id, domain, list_filter(regexp_extract_all(lower(regexp_extract(html, '(?is)<title>(.*?)</title>', 1)), '[a-zåäö0-9]+'), lambda w: length(w) >= 3 AND w NOT IN ({_STOPS})) AS words FROM p),
+s AS (SELECT product_id, link, place, len(list_filter(words, lambda w: contains(lower(link), w))) + {_HINTS_SQL} AS link_score FROM t JOIN k USING (domain))
+SELECT product_id, link, link_score, rn::INTEGER AS link_rank FROM (SELECT *, row_number() OVER (PARTITION BY product_id ORDER BY link_score DESC, place, link) AS rn FROM s WHERE link_score > 0) WHERE rn <= 6""")
 def _(spark, sf):
     pages = _site_pages(spark, sf)
     links = pages.select("domain", "page_id", F.posexplode(tx.page_links(F.col("html"), F.col("url"))).alias("place", "link"))

@@ -13,7 +13,7 @@ from ledgerlift.operators.lookup import (
     cascade_fill, contained_names, first_of_columns, fuzzy_best, index_join, key_status, similar_pairs, sparse_join, token_in_text_join,
     unique_lookup,
 )
-from ledgerlift.operators.ranking import first_per_key, join_on
+from ledgerlift.operators.ranking import first_per_key, grouped_row_number, join_on, take_places, top_n
 from ledgerlift.plans import taxonomy as tax
 from ledgerlift.session import stage
 
@@ -355,20 +355,32 @@ PAGE_HINTS = ("product", "products", "tuote", "tuotteet", "shop", "catalog", "it
 def rank_links(products: DataFrame, links: DataFrame, *, n: int = 6, scan: int | None = None) -> DataFrame:
     """Best ``n`` of a site's links (or its first ``scan``) per product: words of the name, half a point per shop hint.
 
-    Words are looked for in the percent-decoded link.
+    Words are looked for in the percent-decoded link, and count as often as the name has them.  Products don't meet
+    all links of their domain: an index tells the words that a link holds, and products meet links under these words.  Of
+    the links that have hints only, a product looks at as many of its domain's best as it may need.
 
     ``products``: product_id, product_name, domain.  ``links``: domain, link, place.
     """
-    from ledgerlift.operators.ranking import top_n
-
     near = links if scan is None else links.filter(F.col("place") <= scan)
-    joined = products.withColumn("_words", tx.name_tokens(F.col("product_name"))).join(near, "domain")
     low = F.lower(F.coalesce(F.try_url_decode(F.replace("link", F.lit("+"), F.lit("%2B"))), "link"))
-    hits = F.size(F.filter("_words", lambda w: F.contains(low, w))).cast("double")
-    for hint in PAGE_HINTS:
-        hits = hits + F.when(low.contains(hint), 0.5).otherwise(0.0)
-    scored = joined.withColumn("link_score", hits).filter(F.col("link_score") > 0)
-    return top_n(scored, ["product_id"], [("link_score", "desc"), ("place", "asc")], n, "link_rank").select("product_id", "link", "link_score", "link_rank")
+    hint = F.lit(0.0)
+    for word in PAGE_HINTS:
+        hint = hint + F.when(F.col("_low").contains(word), 0.5).otherwise(0.0)
+    near = near.withColumns({"_low": low, "_lid": F.monotonically_increasing_id()}).withColumn("_hint", hint)
+    near = stage(near.select("_lid", "domain", "link", "place", "_low", "_hint"), "links")
+    named = products.select("product_id", "domain", F.explode(tx.name_tokens(F.col("product_name"))).alias("word"))
+    named = stage(named.groupBy("product_id", "domain", "word").agg(F.count("*").alias("_times")), "name-words")
+    held = contained_names(near, "_lid", "_low", named.select("word").distinct(), "word").select("_lid", "word")
+    facts = near.select("_lid", "domain", "link", "place", "_hint")
+    met = named.join(held.join(facts, "_lid"), ["domain", "word"]).groupBy("product_id", "domain", "_lid", "link", "place", "_hint").agg(F.sum("_times").alias("_hits"))
+    met = stage(met.withColumn("link_score", F.col("_hits") + F.col("_hint")).drop("_hits", "_hint"), "link-hits")
+    ranked = grouped_row_number(facts.filter("_hint > 0"), ["domain"], [("_hint", "desc"), ("place", "asc"), ("_lid", "asc")], "_rank")
+    asked = products.select("product_id", "domain").join(met.groupBy("product_id").agg(F.count("*").alias("_m")), "product_id", "left")
+    hinted = take_places(asked, ranked, ["domain"], "_rank", F.coalesce("_m", F.lit(0)) + n, ["product_id"])
+    hinted = hinted.join(met.select("product_id", "_lid"), ["product_id", "_lid"], "left_anti").withColumn("link_score", F.col("_hint"))
+    columns = ["product_id", "link", "place", "link_score"]
+    both = met.select(*columns).unionByName(hinted.select(*columns))
+    return top_n(both, ["product_id"], [("link_score", "desc"), ("place", "asc"), ("link", "asc")], n, "link_rank").select("product_id", "link", "link_score", "link_rank")
 
 
 def best_page(candidates: DataFrame, products: DataFrame) -> DataFrame:
