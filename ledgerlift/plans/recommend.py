@@ -477,62 +477,111 @@ def rule_boost(neighbour_scores: DataFrame, rules: DataFrame, *, n: int = 5, nei
 
 # --------------------------------------------------------------------------- neighbours
 
-MAX_PIVOTS = 256
-BLOCK_ROWS = 8192
+#: Rows of a block; cells that a larger one is cut into; rounds after which what can't be told apart stays together.
+BLOCK_ROWS, FAN, DEEPEST = 8192, 64, 16
 
 
 def nearest_neighbours(
-    queries: DataFrame, references: DataFrame, *, query_id: str, reference_id: str, vector: str, k: int = 10, block_rows: int = BLOCK_ROWS
+    queries: DataFrame, references: DataFrame, *, query_id: str, reference_id: str, vector: str, k: int = 10, block_rows: int | None = None
 ) -> DataFrame:
     """Exact ``k`` most similar references (cosine) per query, without a cross join.
 
-    References belong to the nearest of a few pivots.  A query first meets the references of its own
-    pivot; the k-th similarity found there bounds the angle, and by the triangle inequality only
-    pivots whose cell can reach into that angle are visited next.  Cells are cut into blocks of
-    bounded size, so a cell with most of the rows is many tasks.
+    References are dealt into cells round the nearest of up to ``FAN`` pivots, and cells with more than a block's rows
+    again, so the cells follow the rows.  A query first meets the references of the cell that it would be in; the k-th
+    similarity found there bounds the angle.  By the triangle inequality only cells that can reach into that angle are
+    visited next: the query goes down the tree of cells by their pivots and radii alone, and its vector moves to
+    those leaves only that are left.  A leaf that pivots can't divide (equal vectors) is cut into blocks.
     """
+    block_rows = block_rows or BLOCK_ROWS
     units = references.select(F.col(reference_id).cast("string").alias("rid"), _unit(F.col(vector)).alias("v")).filter(F.col("v").isNotNull())
     units = stage(units, "knn-references")
     asks = stage(queries.select(F.col(query_id).cast("string").alias("qid"), _unit(F.col(vector)).alias("v")).filter(F.col("v").isNotNull()), "knn-queries")
-    n_pivots = min(MAX_PIVOTS, math.ceil(units.count() / block_rows))
-    chunks = max(1, math.ceil(asks.count() / block_rows))
-    pivot_rows = units.orderBy(F.xxhash64("rid"), "rid").limit(n_pivots).collect()  # never more than MAX_PIVOTS vectors
-    if not pivot_rows:
+    if units.isEmpty():
         raise ValueError("no reference vectors")
-    pivots = np.array([r["v"] for r in pivot_rows])
-
-    @F.pandas_udf("array<double>")
-    def angles(v: pd.Series) -> pd.Series:
-        if not len(v):
-            return pd.Series([], dtype=object)
-        return pd.Series(list(np.arccos(np.clip(np.stack(v.to_numpy()) @ pivots.T, -1.0, 1.0))))
-
-    def placed(df: DataFrame) -> DataFrame:
-        return df.withColumn("angles", angles("v")).withColumn("cell", F.expr("array_position(angles, array_min(angles)) - 1").cast("int"))
-
-    refs = placed(units).withColumn("angle", F.array_min("angles")).drop("angles")
-    refs = stage(refs, "knn-cells")
-    cells = refs.groupBy("cell").agg(F.count("*").alias("size"), F.max("angle").alias("radius"))
-    cells = cells.withColumn("blocks", F.ceil(F.col("size") / block_rows).cast("int"))  # one row per pivot
-    refs = refs.join(F.broadcast(cells.select("cell", "blocks")), "cell").withColumn(
-        "block", F.pmod(F.xxhash64("rid"), F.col("blocks").cast("bigint")).cast("int")
-    ).select("cell", "block", "rid", "v")
-    asks = stage(placed(asks), "knn-placed")
-    first = _block_search(asks.select("qid", "v", "cell"), refs, cells, k, chunks)
-    bound = top_n(first, ["qid"], [("similarity", "desc"), ("rid", "asc")], k, "_r").groupBy("qid").agg(
-        F.count("*").alias("_n"), F.min("similarity").alias("_s")
-    )
+    chunks = max(1, math.ceil(asks.count() / block_rows))
+    refs, levels = _cells(units, block_rows)
+    leaves = stage(refs.groupBy("cell").agg(F.count("*").alias("size")).select("cell", F.ceil(F.col("size") / block_rows).cast("int").alias("blocks")), "knn-leaves")
+    refs = refs.join(leaves, "cell").withColumn("block", F.pmod(F.xxhash64("rid"), F.col("blocks").cast("bigint")).cast("int")).select("cell", "block", "rid", "v")
+    # down to the cell that a query would be in
+    here, own = asks.withColumn("cell", F.lit(ROOT)), None
+    for level in levels:
+        placed = stage(_to_nearest(here.select(F.col("qid").alias("rid"), "v", "cell", F.lit(chunks).alias("chunks")), level.select(F.col("parent").alias("cell"), F.col("cell").alias("child"), F.col("v").alias("pivot"))).withColumnRenamed("rid", "qid").drop("angle"), "knn-placed")
+        inner = level.filter("not leaf").select("cell")
+        found = placed.join(inner, "cell", "left_anti").select("qid", "v", "cell")
+        own = found if own is None else own.unionByName(found)
+        here = placed.join(inner, "cell", "left_semi").select("qid", "v", "cell")
+    own = stage(here if own is None else own, "knn-own")
+    first = stage(_block_search(own, refs, leaves, k, chunks), "knn-first")
+    bound = top_n(first, ["qid"], [("similarity", "desc"), ("rid", "asc")], k, "_r").groupBy("qid").agg(F.count("*").alias("_n"), F.min("similarity").alias("_s"))
     reach = F.when(F.col("_n") >= k, F.acos(F.greatest(F.least("_s", F.lit(1.0)), F.lit(-1.0)))).otherwise(F.lit(float(np.pi)))
-    cell_list = cells.agg(F.collect_list(F.struct("cell", "radius")).alias("c")).scalar()  # at most one entry per pivot
-    more = asks.join(bound, "qid", "left").withColumn("_reach", F.coalesce(reach, F.lit(float(np.pi)))).withColumn("_c", F.explode(cell_list))
-    more = more.filter(
-        (F.col("_c.cell") != F.col("cell")) & (F.element_at("angles", F.col("_c.cell") + 1) - F.col("_c.radius") <= F.col("_reach") + 1e-6)
-    ).select("qid", "v", F.col("_c.cell").alias("cell"))
-    found = first.unionByName(_block_search(more, refs, cells, k, chunks))
+    bound = stage(asks.select("qid").join(bound, "qid", "left").select("qid", F.coalesce(reach, F.lit(float(np.pi))).alias("reach")), "knn-reach")
+    # from the root to all other leaves in reach
+    at, more = asks.select("qid").withColumn("cell", F.lit(ROOT)), None
+    for level in levels:
+        hit = stage(_in_reach(at.join(asks, "qid").join(bound, "qid"), level, chunks), "knn-in-reach")
+        last = hit.filter("leaf").select("qid", "cell").join(own.select("qid", "cell"), ["qid", "cell"], "left_anti")
+        more = last if more is None else more.unionByName(last)
+        at = hit.filter("not leaf").select("qid", "cell")
+    found = first if more is None else first.unionByName(_block_search(more.join(asks, "qid").select("qid", "v", "cell"), refs, leaves, k, chunks))
     best = top_n(found, ["qid"], [("similarity", "desc"), ("rid", "asc")], k, "neighbour_rank")
     return best.select(F.col("qid").alias(query_id), F.col("rid").alias(reference_id), "similarity", "neighbour_rank")
 
 
+ROOT = "r"
+
+
+def _cells(units: DataFrame, block_rows: int) -> tuple[DataFrame, list[DataFrame]]:
+    """(rid, v, cell) of each reference in its leaf, and for each level of the tree (parent, cell, v, radius, leaf)."""
+    rows, levels, leaves = units.withColumn("cell", F.lit(ROOT)), [], None
+    pivots = None
+    for depth in range(DEEPEST + 1):
+        sizes = rows.groupBy("cell").agg(F.count("*").alias("size"), *([F.max("angle").alias("radius")] if depth else [F.lit(1.0).alias("radius")]))
+        sizes = stage(sizes.withColumn("leaf", (F.col("size") <= block_rows) | (F.col("radius") <= 1e-9) | F.lit(depth == DEEPEST)), "knn-sizes")
+        if pivots is not None:
+            levels.append(stage(pivots.withColumnsRenamed({"cell": "parent", "child": "cell", "pivot": "v"}).join(sizes.select("cell", "radius", "leaf"), "cell"), "knn-level"))
+        done = rows.join(sizes.filter("leaf").select("cell"), "cell").select("rid", "v", "cell")
+        leaves = done if leaves is None else leaves.unionByName(done)
+        large = sizes.filter("not leaf").select("cell", F.ceil(F.col("size") / block_rows).cast("int").alias("chunks"))
+        if large.isEmpty():
+            return leaves, levels
+        rest = rows.join(large, "cell").select("rid", "v", "cell", "chunks")
+        # other pivots in every round, as those of one may be equal
+        picked = top_n(rest.withColumn("_h", F.xxhash64("rid", F.lit(depth))), ["cell"], [("_h", "asc"), ("rid", "asc")], FAN, "_p")
+        pivots = stage(picked.select("cell", F.concat_ws(".", "cell", F.col("_p").cast("string")).alias("child"), F.col("v").alias("pivot")), "knn-pivots")
+        rows = stage(_to_nearest(rest, pivots), "knn-cells")
+
+
+def _to_nearest(rows: DataFrame, pivots: DataFrame) -> DataFrame:
+    """(rid, v, cell, angle): each of ``rows`` (rid, v, cell, chunks) goes to the nearest of its cell's ``pivots`` (cell, child, pivot)."""
+    spread = rows.withColumn("chunk", F.pmod(F.xxhash64("rid"), F.col("chunks").cast("bigint")).cast("int")).drop("chunks")
+    sides = spread.select(F.col("cell").alias("pcell"), F.col("chunk").alias("pchunk")).distinct().join(pivots.withColumnRenamed("cell", "pcell"), "pcell")
+
+    def assign(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if left.empty or right.empty:
+            return pd.DataFrame({"rid": pd.Series([], dtype=str), "v": pd.Series([], dtype=object), "cell": pd.Series([], dtype=str), "angle": pd.Series([], dtype=float)})
+        right = right.sort_values("child")
+        angles = np.arccos(np.clip(np.stack(left["v"].to_numpy()) @ np.stack(right["pivot"].to_numpy()).T, -1.0, 1.0))
+        best = angles.argmin(axis=1)
+        return pd.DataFrame({"rid": left["rid"].to_numpy(), "v": left["v"].to_numpy(), "cell": right["child"].to_numpy()[best], "angle": angles[np.arange(len(best)), best]})
+
+    return spread.groupBy("cell", "chunk").cogroup(sides.groupBy("pcell", "pchunk")).applyInPandas(assign, "rid string, v array<double>, cell string, angle double")
+
+
+def _in_reach(asks: DataFrame, level: DataFrame, chunks: int) -> DataFrame:
+    """(qid, cell, leaf): the children of each asked cell (qid, v, reach, cell) that may hold something within reach."""
+    spread = asks.withColumn("chunk", F.pmod(F.xxhash64("qid"), F.lit(chunks)).cast("int"))
+    sides = spread.select(F.col("cell").alias("pcell"), F.col("chunk").alias("pchunk")).distinct().join(level.select(F.col("parent").alias("pcell"), F.col("cell").alias("child"), F.col("v").alias("pivot"), "radius", "leaf"), "pcell")
+
+    def visit(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if left.empty or right.empty:
+            return pd.DataFrame({"qid": pd.Series([], dtype=str), "cell": pd.Series([], dtype=str), "leaf": pd.Series([], dtype=bool)})
+        angles = np.arccos(np.clip(np.stack(left["v"].to_numpy()) @ np.stack(right["pivot"].to_numpy()).T, -1.0, 1.0))
+        i, j = np.nonzero(angles - right["radius"].to_numpy()[None, :] <= left["reach"].to_numpy()[:, None] + 1e-6)
+        return pd.DataFrame({"qid": left["qid"].to_numpy()[i], "cell": right["child"].to_numpy()[j], "leaf": right["leaf"].to_numpy()[j]})
+
+    return spread.groupBy("cell", "chunk").cogroup(sides.groupBy("pcell", "pchunk")).applyInPandas(visit, "qid string, cell string, leaf boolean")
+
+
 def _unit(vector: Column) -> Column:
     norm = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double")))
     return F.when(norm > 0, F.transform(vector, lambda x: x.cast("double") / norm))
@@ -541,7 +590,7 @@ def _unit(vector: Column) -> Column:
 def _block_search(asks: DataFrame, refs: DataFrame, cells: DataFrame, k: int, chunks: int) -> DataFrame:
     """Per (query chunk, reference block): the k best references of the block for each query."""
     chunk = F.pmod(F.xxhash64("qid"), F.lit(chunks)).cast("int")
-    spread = asks.join(F.broadcast(cells.select("cell", "blocks")), "cell").withColumn("chunk", chunk).withColumn(
+    spread = asks.join(cells.select("cell", "blocks"), "cell").withColumn("chunk", chunk).withColumn(
         "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     ).select("cell", "block", "chunk", "qid", "v")
 

@@ -387,3 +387,32 @@ def test_out_of_fold_forests(spark):
     # one row of a class: its rate for everyone
     few = ml.out_of_fold(df.withColumn("label", (F.col("id") == 7).cast("int")), "id", ["x", "y"], label="label", target="target", k=2, trees=5).collect()
     assert len(few) == 400 and {r["improved_probability_of_growth"] for r in few} == {0.01}
+
+
+@pytest.mark.parametrize("block", [8192, 40])
+def test_neighbours_in_a_tree_of_cells(spark, monkeypatch, block):
+    monkeypatch.setattr(rc, "FAN", 4)
+    rng = np.random.RandomState(11)
+    middles = rng.randn(6, 5)
+    base = [(f"r{k}", [float(x) for x in middles[k % 6] + 0.2 * rng.randn(5)]) for k in range(500)] + [(f"same{k}", [1.0, 0.0, 0.0, 0.0, 0.0]) for k in range(150)] + [("zero", [0.0] * 5), ("none", None)]
+    asked = [(f"q{k}", [float(x) for x in middles[k % 6] + 0.3 * rng.randn(5)]) for k in range(60)] + [("qs", [2.0, 0.0, 0.0, 0.0, 0.0]), ("qzero", [0.0] * 5)]
+    got = {}
+    frame = lambda rows: spark.createDataFrame(rows, "id string, v array<double>")
+    out = rc.nearest_neighbours(frame(asked).withColumnRenamed("id", "q"), frame(base).withColumnRenamed("id", "r"), query_id="q", reference_id="r", vector="v", k=7, block_rows=block)
+    for r in out.collect():
+        got.setdefault(r["q"], []).append((r["neighbour_rank"], r["r"], r["similarity"]))
+    ids = [i for i, v in base if v is not None and any(v)]
+    vectors = np.array([v for _, v in base if v is not None and any(v)])
+    vectors /= np.linalg.norm(vectors, axis=1)[:, None]
+    for q, v in asked:
+        if not any(v):
+            assert q not in got
+            continue
+        sims = np.round(vectors @ (np.array(v) / np.linalg.norm(v)), 12)
+        want = sorted(zip(-sims, ids))[:7]
+        mine = sorted(got[q])
+        assert np.allclose([s for _, _, s in mine], [-s for s, _ in want], atol=1e-9) and len({r for _, r, _ in mine}) == 7
+    if block == 40:
+        leaves, levels = rc._cells(frame(base).filter("v is not null and id <> 'zero'").select(F.col("id").alias("rid"), rc._unit(F.col("v")).alias("v")), 40)
+        sizes = {r["cell"]: r["count"] for r in leaves.groupBy("cell").count().collect()}
+        assert len(levels) >= 2 and sum(sizes.values()) == 650 and sum(n > 40 for n in sizes.values()) <= 1
