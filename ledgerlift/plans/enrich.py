@@ -100,11 +100,22 @@ def fill_by_rules(df: DataFrame, rules: Sequence[tax.Rule], text: Column, catego
     return marked.withColumns(
         {
             **{c: F.when(use, F.col(f"_g.l{i + 1}")).otherwise(F.col(c)) for i, c in enumerate(groups)},
-            method: F.when(use, F.concat(F.lit(f"{prefix}:"), F.col("_g.source"))).otherwise(F.col(method)),
+            method: F.when(use, F.concat(F.lit(f"{prefix}:" if prefix else ""), F.col("_g.source"))).otherwise(F.col(method)),
         }
     ).drop("_g")
 
 
+#: The sets of name rules in the order in which they run, and what they leave as the method; the last also overwrites.
+NAME_FILLS = (("keywords", "name_keyword"), ("common_names", "common_name_keyword"), ("duties", ""), ("category_default", ""), ("overwrites", ""))
+
+
+def fill_by_names(df: DataFrame, name: Column, category: Column, *, groups: Sequence[str] = GROUP, method: str = "match_method") -> DataFrame:
+    """Groups from the shipped name rules: rows without a group first, set by set, then named overwrites on all rows."""
+    for which, prefix in NAME_FILLS:
+        df = fill_by_rules(df, tax.name_fill_rules(which), name, category, groups=groups, method=method, prefix=prefix, only_missing=which != "overwrites")
+    return df
+
+
 def group_by_code(sales: DataFrame, master: DataFrame, *, row_id: Sequence[str]) -> DataFrame:
     """Group by product code and how the code stands: missing, unmatched, ambiguous or unique."""
     status = key_status(master, "product_code", "product_group").withColumnRenamed("product_group", "product_group_from_code")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 from pathlib import Path
@@ -19,7 +20,10 @@ REVIEW = ("Muut / tarkistettavat", "Muut / tarkistettavat", "Tarkistettavat")
 
 @dataclass(frozen=True)
 class Rule:
-    """One line of a rule table: a pattern, or words any of which must occur; the group path; who it is for."""
+    """One line of a rule table: a pattern, words any of which must occur, or conditions; the group path; who it is for.
+
+    ``conditions`` are alternatives, each of (kind, term) pairs that must all hold; see :func:`holds`.
+    """
 
     name: str
     path: tuple[str, ...]
@@ -28,6 +32,7 @@ class Rule:
     categories: tuple[str, ...] = ()
     priority: bool = False
     confidence: str = "medium"
+    conditions: tuple[tuple[tuple[str, str], ...], ...] = ()
 
 
 def _rows(name: str) -> list[list[str]]:
@@ -52,6 +57,35 @@ def word_rules(name: str, *, with_confidence: bool = False) -> list[Rule]:
     return out
 
 
+def name_fill_rules(which: str) -> list[Rule]:
+    """A set of the rules that judge a name by conditions: keywords, common_names, duties, category_default or overwrites."""
+    out = []
+    for own, label, conditions, *path in _rows("name_fills"):
+        if own == which:
+            parts = tuple(tuple(tuple(c.split(":", 1)) for c in p.split(" & ")) if ":" in p.split(" & ")[-1] else (tuple(p.split(":", 1)),) for p in conditions.split(" | "))
+            out.append(Rule(label, tuple(path), confidence="high", conditions=parts))
+    return out
+
+
+def holds(kind: str, term: str, name: Column, category: Column | None) -> Column:
+    """Whether a name meets a condition.
+
+    ``word``: the term stands in the name, no letter beside it; ``has``: anywhere; both in the name in small letters, hyphens as
+    spaces, ``10 x 20 cm`` as ``10x20cm``.  ``exact``: the whole name but for case and spaces; ``pattern``: in it; ``same``: the name
+    as it is; ``category``: the row's category but for case.
+    """
+    name = F.coalesce(name, F.lit(""))
+    plain = tx.collapse(F.lower(name))
+    if kind in ("word", "has"):
+        spelt = tx.collapse(F.regexp_replace(F.regexp_replace(F.replace(F.lower(name), F.lit("-"), F.lit(" ")), r"(?<=\d)\s*x\s*(?=\d)", "x"), r"(?<=\d)\s+cm\b", "cm"))
+        return F.contains(spelt, F.lit(term)) if kind == "has" else spelt.rlike(rf"(?<![a-zåäö]){re.escape(term)}(?![a-zåäö])")
+    if kind == "category":
+        if category is None:
+            raise ValueError("the rule needs a category column")
+        return F.lower(F.trim(F.coalesce(category, F.lit("")))) == term
+    return {"exact": lambda: plain == term, "pattern": lambda: plain.rlike(term), "same": lambda: name == term}[kind]()
+
+
 def category_paths() -> dict[str, tuple[str, ...]]:
     return {key: tuple(path) for key, *path in _rows("inventory_categories")}
 
@@ -62,7 +96,14 @@ def fold_pattern(pattern: str) -> str:
 
 
 def fits(rule: Rule, text: Column, category: Column | None = None, *, folded: bool = False) -> Column:
-    if rule.words:
+    if rule.conditions:
+        test = F.lit(False)
+        for every in rule.conditions:
+            one = F.lit(True)
+            for kind, term in every:
+                one = one & holds(kind, term, text, category)
+            test = test | one
+    elif rule.words:
         test = tx.has_any(text, rule.words)
     else:
         body = fold_pattern(rule.pattern) if folded else rule.pattern
