@@ -64,6 +64,18 @@ def _(spark, sf):
     return tax.classify_or_review(table(spark, sf, "part"), _TEXT_RULES, text).select("p_partkey", "source", "l3")
 
 
+_IMPROVE = tax.word_rules("other_improvement")
+
+
+@query("tx_01_other_improvement", f"""
+WITH t AS (SELECT {fold_sql('text')} AS x FROM documents)
+SELECT coalesce({_rules_sql(_IMPROVE, 'x', 'name', folded=False)}, 'none') AS rule, coalesce({_rules_sql(_IMPROVE, 'x', '3', folded=False)}, '') AS l4, count(*) AS documents FROM t GROUP BY 1, 2""")
+def _(spark, sf):
+    """Words that lift a product out of an "other" group, over whole documents: the first rule of each, with its lowest group."""
+    out = tax.classify(table(spark, sf, "documents"), _IMPROVE, tx.fold(F.col("text")))
+    return out.groupBy(F.coalesce(F.col("group.source"), F.lit("none")).alias("rule"), F.coalesce(F.col("group.l4"), F.lit("")).alias("l4")).agg(F.count("*").alias("documents"))
+
+
 _SUGGEST = tax.word_rules("review_suggestions", with_confidence=True)
 
 
