@@ -232,3 +232,23 @@ def test_quantiles_between_brackets(spark, monkeypatch, keys):
     sure = {(*(r[k] for k in keys), r["quantile"]): r["value"] for r in rk._ranked_quantiles(df.filter("v is not null").select(*keys, F.col("v").alias("_v")), keys, points).collect()}
     assert all(sure[k] == pytest.approx(want[k]) for k in want)
     assert rk.exact_quantiles(df.filter("v is null"), keys, "v", points).count() == 0
+
+
+def test_similar_candidates_lose_nothing_and_are_spread(spark, monkeypatch):
+    """Few bytes of names make many pairs; before, one task checked them all."""
+    from difflib import SequenceMatcher
+
+    monkeypatch.setattr(lk, "PAIR_SHARE", 50)
+    rng = random.Random(3)
+    names = sorted({f"{rng.choice(['old', 'cold', 'gröne'])} ring brand#{rng.randint(1, 25)} {rng.randint(0, 49)}" for _ in range(120)})
+    asked = sorted({f"x{n}" for n in names[::3]} | {n.replace("ring", "rnig") for n in names[1::3]} | {"a", "ab"})
+    left, right = spark.createDataFrame([(n,) for n in asked], "a string"), spark.createDataFrame([(n,) for n in [*names, "ab"]], "b string")
+    found = lk.similar_candidates(left, "a", right, "b", 0.9)
+    assert found.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions")) > 1
+    pairs = [(r["_l"], r["_r"]) for r in found.collect()]
+    assert len(pairs) == len(set(pairs)) < len(asked) * len(names) // 4
+    want = {(x, y): SequenceMatcher(None, x, y).ratio() for x in asked for y in [*names, "ab"]}
+    want = {p: v for p, v in want.items() if v >= 0.9}
+    assert want and set(want) <= set(pairs)
+    scored = lk.similar_pairs(left, "a", right, "b", 0.9).collect()
+    assert {(r["a"], r["b"]): r["similarity"] for r in scored} == want
