@@ -191,8 +191,8 @@ def calibrate_isotonic(df: DataFrame, raw: str, label: str, out: str = "calibrat
 #: As deep as Spark's forests can be; the smallest leaf is what ends a branch.
 DEEPEST = 30
 
-#: How forests are grown, without a say in the result: each row remembers its node, so that it isn't sent down all trees
-#: for every group of nodes, and a group holds four times as many nodes as by default, so that there are fewer passes.
+#: How forests are grown, not how large: each row remembers its node, so that it isn't sent down all trees for every group
+#: of nodes, and a group holds four times as many nodes as by default, so that there are fewer passes.
 GROWING = {"cacheNodeIds": True, "maxMemoryInMB": 1024}
 
 
