@@ -205,12 +205,15 @@ def _fill_rows(spark, sf):
         tx.product_name_key(F.col("title_fi")).alias("title_key"), tx.product_name_key(F.col("inventory_category")).alias("category_key"),
         F.col("product_group_l1_name").alias("group_l1"), F.col("product_group_l2_name").alias("group_l2"), F.col("product_group_l3_name").alias("group_l3"),
     )
-    lines = history_lines(spark, sf).join(p.select("product_id", "product_group_l1_name", "product_group_l2_name", "product_group_l3_name"), "product_id", "left")
+    normal = [tx.source_code_key(F.col("sku")).alias("sku_key"), tx.product_name_key(F.col("product_name")).alias("name_key"), tx.product_name_key(F.col("inventory_category")).alias("category_key")]
+    lines = history_lines(spark, sf, [*normal, "product_group_l1_name", "product_group_l2_name", "product_group_l3_name"])
+    # what a line without a product has
+    text = lambda c: F.coalesce(c, F.lit(""))
     k = F.col("line_id") % 5
     keep = k == 0
     sales = lines.select(
-        "line_id", F.when(k == 1, tx.source_code_key(F.col("sku"))).otherwise("").alias("code_key"), F.when(k == 2, tx.source_code_key(F.col("sku"))).otherwise("").alias("option_key"),
-        F.when(k != 1, tx.product_name_key(F.col("product_name"))).otherwise("").alias("name_key"), tx.product_name_key(F.col("inventory_category")).alias("category_key"),
+        "line_id", F.when(k == 1, text("sku_key")).otherwise("").alias("code_key"), F.when(k == 2, text("sku_key")).otherwise("").alias("option_key"),
+        F.when(k != 1, text("name_key")).otherwise("").alias("name_key"), text("category_key").alias("category_key"),
         tx.product_name_key(F.col("reference")).alias("reference_key"), F.when(keep, F.col("product_group_l1_name")).alias("group_l1"),
         F.when(keep, F.col("product_group_l2_name")).alias("group_l2"), F.when(keep, F.col("product_group_l3_name")).alias("group_l3"), F.when(keep, "given").alias("match_method"),
     )

@@ -32,10 +32,11 @@ def fill_missing_groups(sales: DataFrame, master: DataFrame, *, row_id: Sequence
     First the master (codes, then name and category, then name), then the rows of the same table
     that have a group by now.  ``sales`` and ``master`` carry normalised keys: code_key,
     option_key, name_key, category_key, reference_key; master: code_key, sku_key, name_key,
-    title_key, category_key.
+    title_key, category_key.  The lookups run on the different keys of the open rows, and rows meet the outcome once
+    for the master and once for their own table; rows that have a group are not moved.
     """
     missing = F.coalesce(F.trim(groups[-1]), F.lit("")) == ""
-    known = master.filter(F.coalesce(F.trim(groups[-1]), F.lit("")) != "")
+    known = stage(master.filter(~missing), "fill-known")
     names = known.unionByName(known.withColumn("name_key", F.col("title_key")))
 
     def lookup(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -50,8 +51,9 @@ def fill_missing_groups(sales: DataFrame, master: DataFrame, *, row_id: Sequence
         ("source_zip_name_category_unique", ["name_key", "category_key"], lookup(names, ["name_key", "category_key"]), ["name_key", "category_key"]),
         ("source_zip_name_unique", ["name_key"], lookup(names, ["name_key"]), ["name_key"]),
     ]
-    after_master = stage(cascade_fill(sales, first_steps, groups, "match_method", missing, spread=row_id), "fill-master")
-    grouped = after_master.filter(F.coalesce(F.trim(groups[-1]), F.lit("")) != "")
+    rows = stage(sales, "fill-rows")
+    after_master = stage(_fill_by_keys(rows, first_steps, groups, ["code_key", "option_key", "name_key", "category_key"]), "fill-master")
+    grouped = after_master.filter(~missing)
     own = {
         "same_sales_productcode_unique": ["code_key"],
         "same_sales_optioncode_unique": ["option_key"],
@@ -60,7 +62,27 @@ def fill_missing_groups(sales: DataFrame, master: DataFrame, *, row_id: Sequence
         "same_sales_name_unique": ["name_key"],
     }
     steps = [(method, keys, lookup(grouped, keys), keys) for method, keys in own.items()]
-    return cascade_fill(after_master, steps, groups, "match_method", missing, spread=row_id)
+    return _fill_by_keys(after_master, steps, groups, ["code_key", "option_key", "name_key", "category_key", "reference_key"])
+
+
+def _fill_by_keys(rows: DataFrame, steps: Sequence[tuple[str, Sequence[str], DataFrame, Sequence[str]]], groups: Sequence[str], keys: Sequence[str], method: str = "match_method") -> DataFrame:
+    """As :func:`cascade_fill`, once for each combination of ``keys`` that open rows hold; ``rows`` is read twice.
+
+    Blank and missing keys match nothing, so they count as one.
+    """
+    missing = F.coalesce(F.trim(groups[-1]), F.lit("")) == ""
+    plain = {f"_k_{k}": F.coalesce(F.col(k), F.lit("")) for k in keys}
+    first = [k for _, on, _, _ in steps for k in on[:1]]
+    some = F.coalesce(F.greatest(F.lit(""), *first) != "", F.lit(False))
+    ask = missing & some
+    types = {f.name: f.dataType for f in rows.schema}
+    asked = stage(rows.filter(ask).select(*[c.alias(k) for k, c in zip(keys, plain.values())]).distinct(), "fill-keys")
+    blank = asked.withColumns({c: F.lit(None).cast(types[c]) for c in (*groups, method)})
+    found = cascade_fill(blank, steps, groups, method, missing, spread=keys).filter(F.col(method).isNotNull())
+    found = found.select(*[F.col(k).alias(f"_k_{k}") for k in keys], *[F.col(c).alias(f"_v_{c}") for c in (*groups, method)])
+    hit = F.col(f"_v_{method}").isNotNull()
+    filled = rows.filter(ask).withColumns(plain).join(found, list(plain), "left").withColumns({c: F.when(hit, F.col(f"_v_{c}")).otherwise(F.col(c)) for c in (*groups, method)})
+    return filled.select(*rows.columns).unionByName(rows.filter(~ask))
 
 
 def fill_from_same_key(sales: DataFrame, keys: Sequence[str], category: str, *, groups: Sequence[str] = GROUP, method: str = "match_method") -> DataFrame:
@@ -233,6 +255,8 @@ def group_by_context(sales: DataFrame, *, aliases: DataFrame | None = None, grou
     out = sales.withColumns({"context_source": F.when(F.col(group).isNotNull(), F.lit(None)).otherwise(F.lit("unmatched")), "_row_open": F.col(group).isNull()})
 
     def fill(df: DataFrame, keys: Sequence[str], table: DataFrame, tag: str) -> DataFrame:
+        # written first: a few hot keys, or none, are then seen to be few before rows are moved to meet them
+        table = stage(table, "context-lookup")
         joined = sparse_join(df, table.withColumnRenamed(group, "_g"), keys, F.col(group).isNull(), spread=row_id)
         hit = F.col(group).isNull() & F.col("_g").isNotNull()
         return stage(

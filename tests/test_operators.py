@@ -94,6 +94,21 @@ def test_sparse_join_keeps_every_row(spark):
     assert len(rows) == 30 and {r["v"] for r in rows if r["k"] == "k"} == {"v"} and {r["v"] for r in rows if r["k"] != "k"} == {None}
 
 
+def test_sparse_join_deals_blank_keys_out(spark):
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        left = spark.range(4000).select("id", F.when(F.col("id") % 100 == 0, F.col("id").cast("string")).otherwise("").alias("k"))
+        right = spark.range(0, 4000, 200).select(F.col("id").cast("string").alias("k"), F.lit("v").alias("v"))
+        out = lk.sparse_join(left, right, ["k"], spread=["id"]).groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n"), F.count("v").alias("hits")).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert sum(r["n"] for r in out) == 4000 and sum(r["hits"] for r in out) == 20
+    assert max(r["n"] for r in out) < 1500
+
+
 def test_cascade_first_method_wins_and_filled_rows_stay(spark):
     rows = spark.createDataFrame([(1, "a", "n", None, None), (2, "zz", "n", None, None), (3, "a", "n", "own", "given"), (4, "zz", "m", None, None)], "id int, c string, n string, g string, m string")
     by_code = spark.createDataFrame([("a", "G1")], "c string, g string")
