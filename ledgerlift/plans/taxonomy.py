@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, Window
@@ -104,7 +106,8 @@ def fits(rule: Rule, text: Column, category: Column | None = None, *, folded: bo
                 one = one & holds(kind, term, text, category)
             test = test | one
     elif rule.words:
-        test = tx.has_any(text, rule.words)
+        # plain words are searched as bytes, many times faster than as a pattern
+        test = reduce(or_, [F.contains(text, F.lit(word)) for word in rule.words])
     else:
         body = fold_pattern(rule.pattern) if folded else rule.pattern
         test = text.rlike(f"(?iU){body}")
@@ -140,8 +143,9 @@ def rule_result(rules: Sequence[Rule], position: Column) -> Column:
 
 def classify(df: DataFrame, rules: Sequence[Rule], text: Column, out: str = "group", category: Column | None = None, *, folded: bool = False) -> DataFrame:
     """Adds struct ``out`` of the first fitting rule (null if none fits)."""
-    marked = df.withColumn("_pos", first_rule(rules, text, category, folded=folded))
-    return marked.withColumn(out, rule_result(rules, F.col("_pos"))).drop("_pos")
+    # a column of its own: the text is made once for a row, not once for every rule
+    marked = df.withColumn("_text", text).withColumn("_pos", first_rule(rules, F.col("_text"), category, folded=folded))
+    return marked.withColumn(out, rule_result(rules, F.col("_pos"))).drop("_pos", "_text")
 
 
 def classify_or_review(df: DataFrame, rules: Sequence[Rule], text: Column, *, folded: bool = True) -> DataFrame:
