@@ -267,3 +267,21 @@ def test_similar_candidates_lose_nothing_and_are_spread(spark, monkeypatch):
     assert want and set(want) <= set(pairs)
     scored = lk.similar_pairs(left, "a", right, "b", 0.9).collect()
     assert {(r["a"], r["b"]): r["similarity"] for r in scored} == want
+
+
+def test_shuffles_start_with_partitions_in_proportion_to_the_input(spark, sf_dir, monkeypatch):
+    """Before, their number was fixed, so that a task's sorts and hash tables grew with the tables."""
+    import os
+
+    from ledgerlift import session
+    from ledgerlift.catalog.bindings import table
+
+    monkeypatch.setattr(session, "INPUT_BYTES", 5000)
+    try:
+        want = -(-os.path.getsize(f"{sf_dir}/lineitem.parquet") // 5000)
+        df = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").count()
+        table(spark, sf_dir, "region")  # a smaller table doesn't take partitions away
+        assert want > 8 and f", {want})" in df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset(session._INITIAL)
+    assert spark.conf.get("spark.sql.files.maxPartitionBytes") == "32m"
