@@ -65,7 +65,7 @@ FROM (SELECT *, least(greatest(coalesce(current_probability_of_growth, 0), 0), 1
     "iso": "SELECT x, max(m) AS v FROM (SELECT j, x, min(m) OVER (PARTITION BY j ORDER BY k DESC) AS m FROM means) GROUP BY x",
 }))
 def _(spark, sf):
-    frame = back_frame(spark, sf).drop("calibrated_probability")
+    frame = back_frame(spark, sf).select("business_id", "current_probability_of_growth", "grew_y3")
     out = ml.calibrate_isotonic(frame, "current_probability_of_growth", "grew_y3")
     return out.select("business_id", F.round("current_probability_of_growth", 9).alias("current_probability_of_growth"), F.round("calibrated_probability", 9).alias("calibrated_probability"))
 

@@ -178,7 +178,7 @@ def calibrate_sigmoid(df: DataFrame, key: str, *, label: str = "label", numeric:
 
 def calibrate_isotonic(df: DataFrame, raw: str, label: str, out: str = "calibrated_probability", *, low: float = 0.01, high: float = 0.99) -> DataFrame:
     """Monotone calibration of a probability, kept in .01-.99; too few distinct values give the mean."""
-    safe = df.withColumn("_raw", clip(F.coalesce(F.col(raw), F.lit(0.0)), 0.0, 1.0))
+    safe = stage(df.withColumn("_raw", clip(F.coalesce(F.col(raw), F.lit(0.0)), 0.0, 1.0)), "isotonic")  # read three times
     row = safe.agg(F.count_distinct("_raw").alias("v"), F.count_distinct(label).alias("c"), F.avg(F.col(label).cast("double")).alias("m")).first()
     if row["v"] <= 2 or row["c"] < 2:
         return safe.withColumn(out, F.lit(float(row["m"] or 0.0))).drop("_raw")
