@@ -146,7 +146,8 @@ def train(df: DataFrame, *, label: str = "label", numeric: Sequence[str] = NUMER
 
 def train_and_evaluate(df: DataFrame, key: str, *, label: str = "label", numeric: Sequence[str] = NUMERIC, categorical: Sequence[str] = CATEGORICAL, seed: int = 42) -> tuple[Trained, DataFrame]:
     """Model trained on four fifths of each class, and its metrics on the rest."""
-    parts = stage(split_stratified(df, label, key, seed=seed), "split")
+    used = df.select(*[c for c in dict.fromkeys([key, label, *numeric, *categorical]) if c in df.columns])  # the split sorts and writes its rows
+    parts = stage(split_stratified(used, label, key, seed=seed), "split")
     model = train(parts.filter("part = 'train'"), label=label, numeric=numeric, categorical=categorical, seed=seed)
     held_out = model.score(parts.filter("part = 'test'"))
     return model, classification_metrics(held_out, label, "score")
