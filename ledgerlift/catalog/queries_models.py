@@ -80,14 +80,14 @@ def _(spark, sf):
 @query("ml_07_two_stage")
 def _(spark, sf):
     m, a = months_and_accounts(spark, sf)
-    frame = stage(tg.add_sales_label(weighted_model(spark, sf).drop("sales_3y_total_eur"), tg.buyer_targets(m, a)), "two-stage")
+    frame = stage(tg.add_sales_label(weighted_model(spark, sf, (m, a)).drop("sales_3y_total_eur"), tg.buyer_targets(m, a)), "two-stage")
     return ml.two_stage(frame).select("business_id", "purchase_probability", "predicted_buyer_potential_eur", "expected_12m_sales_eur")
 
 
 @query("sc_08_two_stage_ranking")
 def _(spark, sf):
     m, a = months_and_accounts(spark, sf)
-    frame = stage(tg.add_sales_label(weighted_model(spark, sf).drop("sales_3y_total_eur"), tg.buyer_targets(m, a)), "two-stage")
+    frame = stage(tg.add_sales_label(weighted_model(spark, sf, (m, a)).drop("sales_3y_total_eur"), tg.buyer_targets(m, a)), "two-stage")
     scored = ml.two_stage(frame)
     return po.rank_and_label(scored, "expected_12m_sales_eur").select("business_id", "rank", "priority", "expected_12m_sales_eur")
 

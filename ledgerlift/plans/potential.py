@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from ledgerlift.functions import buckets as bk
 from ledgerlift.functions import numbers as nm
 from ledgerlift.functions import text as tx
-from ledgerlift.operators.lookup import flag_member
+from ledgerlift.operators.lookup import flag_member, sparse_join
 from ledgerlift.operators.ranking import first_per_key, global_row_number
+from ledgerlift.session import stage
 
 FLAGS = (
     "excluded_current_customer", "excluded_external_business_id", "excluded_customer_parent_company",
@@ -22,13 +23,23 @@ FLAGS = (
 def exclusion_flags(
     frame: DataFrame, accounts: DataFrame, excluded_ids: DataFrame, *, terms: Sequence[str] = ()
 ) -> DataFrame:
-    """Five reasons not to treat a company as a prospect, each as a flag."""
-    own = accounts.select("business_id")
-    parents = accounts.select(F.col("parent_business_id").alias("business_id"))
-    out = flag_member(frame, "business_id", own, "business_id", "excluded_current_customer")
-    out = flag_member(out, "business_id", excluded_ids, "business_id", "excluded_external_business_id")
-    out = flag_member(out, "business_id", parents, "business_id", "excluded_customer_parent_company")
-    out = flag_member(out, "parent_business_id", own.union(parents), "business_id", "excluded_customer_group")
+    """Five reasons not to treat a company as a prospect, each as a flag.
+
+    The ids of accounts are gathered once, each with what it is: an account's own, a parent's or both.
+    """
+    both = F.array(
+        F.struct(F.col("business_id").alias("_id"), F.lit(True).alias("_own"), F.lit(False).alias("_parent")),
+        F.struct(F.col("parent_business_id").alias("_id"), F.lit(False).alias("_own"), F.lit(True).alias("_parent")),
+    )
+    ids = accounts.select(F.explode(both).alias("_m")).select("_m.*").filter(F.col("_id").isNotNull())
+    ids = ids.groupBy("_id").agg(F.bool_or("_own").alias("_own"), F.bool_or("_parent").alias("_parent"))
+    out = frame.join(ids, F.col("business_id") == F.col("_id"), "left").withColumn("excluded_current_customer", F.coalesce("_own", F.lit(False)))
+    out = flag_member(out.drop("_id", "_own"), "business_id", excluded_ids, "business_id", "excluded_external_business_id")
+    out = out.withColumn("excluded_customer_parent_company", F.coalesce("_parent", F.lit(False))).drop("_parent")
+    # both marks are looked at again, so that the gathered ids are the same table to Spark and are used twice
+    out = out.join(ids, F.col("parent_business_id") == F.col("_id"), "left").withColumn(
+        "excluded_customer_group", F.coalesce(F.col("_own") | F.col("_parent"), F.lit(False))
+    ).drop("_id", "_own", "_parent")
     words = [t for t in (" ".join(term.lower().split()) for term in terms) if t]
     hit = F.lit(False)
     for name in ("company_name", "marketing_name") if words else ():
@@ -213,23 +224,34 @@ def customer_rollup(crm: DataFrame, scored: DataFrame, *, shown_ids: int | None
     A customer is its business id, else its name, else the row itself.  The best row per customer
     stays; potentials add up.  Source rows are listed in the text column, all or the first ``shown_ids``;
     one row for each is in the second table ``(customer_key, crm_row_id)``.
+
+    Keys are written once: sums, lists and best rows would each make them again, and the optimizer copies their texts
+    into a filter of every join.  Only the best row needs the model's figures.
     """
     facts = first_per_key(scored.filter(F.col("business_id").isNotNull()), ["business_id"], [("rank", "asc")]).select(
         "business_id", F.col("estimated_potential_eur").cast("double").alias("model_estimated_potential_eur"), "priority", "company",
     )
-    rows = crm.join(facts, "business_id", "left").withColumns(
-        {
-            "customer_key": F.when(F.coalesce("business_id", F.lit("")) != "", F.concat(F.lit("bid:"), "business_id"))
-            .when(F.coalesce("name_key", F.lit("")) != "", F.concat(F.lit("name:"), "name_key"))
-            .otherwise(F.concat(F.lit("row:"), F.col("crm_row_id").cast("string"))),
-            "crm_row_potential_eur": nm.zero_if_null(F.col("sales")) * nm.share_of_one(F.col("probability")),
-        }
+    rows = stage(
+        crm.withColumns(
+            {
+                "customer_key": F.when(F.coalesce("business_id", F.lit("")) != "", F.concat(F.lit("bid:"), "business_id"))
+                .when(F.coalesce("name_key", F.lit("")) != "", F.concat(F.lit("name:"), "name_key"))
+                .otherwise(F.concat(F.lit("row:"), F.col("crm_row_id").cast("string"))),
+                "crm_row_potential_eur": nm.zero_if_null(F.col("sales")) * nm.share_of_one(F.col("probability")),
+            }
+        ),
+        "crm-rows",
     )
     sums = rows.groupBy("customer_key").agg(
         F.count("*").alias("crm_source_row_count"), F.sum("crm_row_potential_eur").alias("crm_potential_eur")
     )
+    # most rows have no id; the sign keeps a blank one a key like any other
+    signed = F.concat(F.lit("="), F.col("business_id"))
+    modelled = sparse_join(
+        rows.withColumn("_id", signed), facts.withColumn("_id", signed).drop("business_id"), ["_id"], spread=["crm_row_id"]
+    ).drop("_id")
     best = first_per_key(
-        rows.withColumn("_model", F.coalesce("model_estimated_potential_eur", F.lit(-1.0))),
+        modelled.withColumn("_model", F.coalesce("model_estimated_potential_eur", F.lit(-1.0))),
         ["customer_key"],
         [("_model", "desc"), ("crm_row_potential_eur", "desc"), ("crm_row_id", "asc")],
     ).drop("_model", "crm_row_potential_eur")

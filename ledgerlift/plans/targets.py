@@ -11,7 +11,6 @@ from ledgerlift.functions import buckets as bk
 from ledgerlift.functions.dates import in_lookback
 from ledgerlift.functions.numbers import clip
 from ledgerlift.operators.aggregates import sum_where
-from ledgerlift.operators.lookup import flag_member
 from ledgerlift.operators.ranking import first_per_key, head
 from ledgerlift.session import stage
 
@@ -32,20 +31,16 @@ def status_in(col: Column, allowed: Sequence[str]) -> Column:
 
 
 def account_summary(accounts: DataFrame) -> DataFrame:
-    """Per business id: first account name, distinct statuses, number of accounts.
+    """Per business id: first account name, distinct statuses, number of accounts, from one pass.
 
-    Statuses are made distinct per id before they are collected.
+    A set holds each status of an id once, however many accounts share it.
     """
     known = accounts.filter(F.col("business_id").isNotNull() & F.col("account_id").isNotNull())
-    names = known.groupBy("business_id").agg(
+    return known.groupBy("business_id").agg(
         F.min_by("company_account_name", "account_id").alias("account_company_name"),
         F.count_distinct("account_id").alias("account_count"),
+        F.array_join(F.array_sort(F.collect_set(F.trim("customer_status"))), ", ").alias("account_status"),
     )
-    statuses = (
-        known.select("business_id", F.trim("customer_status").alias("s")).filter(F.col("s").isNotNull()).distinct()
-        .groupBy("business_id").agg(F.array_join(F.array_sort(F.collect_list("s")), ", ").alias("account_status"))
-    )
-    return names.join(statuses, "business_id", "left").withColumn("account_status", F.coalesce("account_status", F.lit("")))
 
 
 def company_base(companies: DataFrame, accounts: DataFrame) -> DataFrame:
@@ -166,9 +161,8 @@ def modeling_frame(companies: DataFrame, accounts: DataFrame, targets: DataFrame
     """Companies with segments, customer flag, target, top-customer label and segment lift."""
     targets = stage(targets, "targets")
     base = bk.add_segment_features(company_base(companies, accounts))
-    base = flag_member(base, "business_id", accounts.filter(F.col("account_id").isNotNull()), "business_id", "_c").withColumn(
-        "current_customer", F.col("_c").cast("int")
-    ).drop("_c")
+    # an id with accounts is one that has a count of them
+    base = base.withColumn("current_customer", F.col("account_count").isNotNull().cast("int"))
     labels = top_customers(targets, top_n).select("business_id", F.lit(1).alias("label"))
     # read by the lift, the medians and every later step: written once
     frame = stage(
