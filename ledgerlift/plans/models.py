@@ -6,6 +6,7 @@ deviation used for scaling (sample instead of population); ranks do not depend o
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
@@ -19,7 +20,9 @@ from pyspark.sql import functions as F
 
 from ledgerlift.functions.numbers import clip
 from ledgerlift.operators.ranking import exact_quantiles, global_row_number, grouped_row_number
+from ledgerlift.plans import forest as fo
 from ledgerlift.plans.features import sanitize
+from ledgerlift.plans.forest import Forest, spread
 from ledgerlift.session import stage
 
 NUMERIC = ("revenue_k_eur", "headcount", "growth_pct", "revenue_per_employee", "segment_lift")
@@ -192,20 +195,11 @@ def calibrate_isotonic(df: DataFrame, raw: str, label: str, out: str = "calibrat
 #: As deep as Spark's forests can be; the smallest leaf is what ends a branch.
 DEEPEST = 30
 
-#: How forests are grown, not how large: each row remembers its node, so that it isn't sent down all trees for every group
+#: How Spark's forests are grown, not how large: each row remembers its node, so that it isn't sent down all trees for every group
 #: of nodes, and a group holds four times as many nodes as by default, so that there are fewer passes.
 GROWING = {"cacheNodeIds": True, "maxMemoryInMB": 1024}
 
 
-def spread(df: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Rows dealt over all cores: a small table makes as large a forest as its trees are many, and would be one task.
-
-    Rows are in hash order in each task, so that a retried one draws the same samples.
-    """
-    tasks = df.sparkSession.sparkContext.defaultParallelism
-    return df.withColumn("_h", F.xxhash64(*by)).repartition(tasks, "_h").sortWithinPartitions("_h").drop("_h")
-
-
 def out_of_fold(df: DataFrame, key: str, features: Sequence[str], *, label: str, target: str, k: int = 5, trees: int = 250, seed: int = 42, depth: int = DEEPEST) -> DataFrame:
     """Forest predictions for rows the forest has not seen: class probability and value.
 
@@ -214,14 +208,33 @@ def out_of_fold(df: DataFrame, key: str, features: Sequence[str], *, label: str,
     key alone: ``k`` of them, fewer below 100 rows a fold, two at least.
     """
     ready = sanitize(df, features, fill=0.0)
-    data = VectorAssembler(inputCols=list(features), outputCol="features").transform(ready)
-    data = data.withColumns({"_y": F.col(label).cast("double"), "_t": F.greatest(F.col(target), F.lit(0.0))})
+    data = ready.withColumns({"_y": F.col(label).cast("double"), "_t": F.greatest(F.col(target), F.lit(0.0))})
     row = data.agg(F.count("*").alias("n"), F.coalesce(F.sum("_y"), F.lit(0.0)).alias("p")).first()
     smaller = int(min(row["p"], row["n"] - row["p"]))
     class_folds, value_folds = (max(2, min(k, smaller)) if smaller >= 2 else 0), min(k, max(2, row["n"] // 100))
     if class_folds:
-        data = folds(with_class_weights(data, "_y"), key, class_folds, seed=seed, label="_y").withColumnRenamed("_fold", "_class_fold")
-    data = stage(spread(folds(data, key, value_folds, seed=seed + 1), [key]), "forest")
+        data = folds(data, key, class_folds, seed=seed, label="_y").withColumnRenamed("_fold", "_class_fold")
+    data = folds(data, key, value_folds, seed=seed + 1)
+    rate = row["p"] / row["n"] if row["n"] else 0.0
+    if row["n"] > fo.MOST_ROWS:
+        return _spark_out_of_fold(df.columns, data, key, features, rate, class_folds, value_folds, trees, depth, seed)
+    weights = (row["n"] / (2.0 * (row["n"] - row["p"])), row["n"] / (2.0 * row["p"])) if class_folds else None
+    forests = [Forest(0, "_t", trees, 10, math.ceil(len(features) / 3), depth, seed, fold="_fold", number=i) for i in range(value_folds)]
+    forests += [Forest(1, "_y", trees, 15, math.ceil(math.sqrt(len(features))), depth, seed, classes=weights, fold="_class_fold", number=i) for i in range(class_folds)]
+    facts = {"_y": "u1", "_t": "f8", "_fold": "u1"} | ({"_class_fold": "u1"} if class_folds else {})
+    out = fo.grown(data, [key], features, {}, facts, forests, together=25)
+    return out.select(
+        *df.columns, F.greatest("_out0", F.lit(0.0)).alias("improved_expected_sales_eur"),
+        clip(F.col("_out1") if class_folds else F.lit(float(rate)), 0.01, 0.99).alias("improved_probability_of_growth"),
+    )
+
+
+def _spark_out_of_fold(columns: Sequence[str], data: DataFrame, key: str, features: Sequence[str], rate: float, class_folds: int, value_folds: int, trees: int, depth: int, seed: int) -> DataFrame:
+    """As :func:`out_of_fold`, with Spark's forests, which no task has to hold the rows for."""
+    data = VectorAssembler(inputCols=list(features), outputCol="features").transform(data)
+    if class_folds:
+        data = with_class_weights(data, "_y")
+    data = stage(spread(data, [key]), "forest")
     chance = None
     for i in range(class_folds):
         seen, unseen = data.filter(F.col("_class_fold") != i), data.filter(F.col("_class_fold") == i)
@@ -232,10 +245,9 @@ def out_of_fold(df: DataFrame, key: str, features: Sequence[str], *, label: str,
     for i in range(value_folds):
         seen, unseen = data.filter(F.col("_fold") != i), data.filter(F.col("_fold") == i)
         fitted = RandomForestRegressor(featuresCol="features", labelCol="_t", numTrees=trees, minInstancesPerNode=10, maxDepth=depth, seed=seed, **GROWING).fit(seen)
-        part = fitted.transform(unseen).select(*df.columns, F.greatest("prediction", F.lit(0.0)).alias("improved_expected_sales_eur"))
+        part = fitted.transform(unseen).select(*columns, F.greatest("prediction", F.lit(0.0)).alias("improved_expected_sales_eur"))
         value = part if value is None else value.unionByName(part)
     if chance is None:
-        rate = row["p"] / row["n"] if row["n"] else 0.0
         return value.withColumn("improved_probability_of_growth", clip(F.lit(float(rate)), 0.01, 0.99))
     return value.join(chance, key)
 
@@ -243,11 +255,22 @@ def out_of_fold(df: DataFrame, key: str, features: Sequence[str], *, label: str,
 def two_stage(df: DataFrame, *, numeric: Sequence[str] = NUMERIC, categorical: Sequence[str] = CATEGORICAL, trees: int = 300, depth: int = DEEPEST, seed: int = 42) -> DataFrame:
     """Chance to buy times predicted yearly value of a buyer (forest on log sales)."""
     purchase = train(df, label="has_sales_history", numeric=numeric, categorical=categorical, seed=seed)
-    buyers = purchase.features(df.filter("has_sales_history = 1")).withColumn("_log", F.log1p("actual_avg_annual_sales_3y_eur"))
-    buyers = stage(spread(buyers.select("features", "_log", *df.columns), df.columns).select("features", "_log"), "buyers")
-    value = RandomForestRegressor(featuresCol="features", labelCol="_log", numTrees=trees, minInstancesPerNode=5, maxDepth=depth, seed=seed, **GROWING).fit(buyers)
-    scored = purchase.model.transform(purchase.features(df)).withColumn("purchase_probability", vector_to_array("probability")[1])
-    scored = value.transform(scored.drop("rawPrediction", "probability", "prediction")).withColumn("predicted_buyer_potential_eur", F.greatest(F.expm1("prediction"), F.lit(0.0)))
+    scored = purchase.model.transform(purchase.features(df)).withColumn("purchase_probability", vector_to_array("probability")[1]).drop("rawPrediction", "probability", "prediction")
+    if df.count() > fo.MOST_ROWS:
+        buyers = purchase.features(df.filter("has_sales_history = 1")).withColumn("_log", F.log1p("actual_avg_annual_sales_3y_eur"))
+        buyers = stage(spread(buyers.select("features", "_log", *df.columns), df.columns).select("features", "_log"), "buyers")
+        value = RandomForestRegressor(featuresCol="features", labelCol="_log", numTrees=trees, minInstancesPerNode=5, maxDepth=depth, seed=seed, **GROWING).fit(buyers)
+        scored = value.transform(scored)
+    else:
+        indexer = next(s for s in purchase.preprocessor.stages if hasattr(s, "labelsArray"))
+        # with the place of what wasn't seen; each level is a feature, as in the one-hot columns
+        levels = {f"_{c}_idx": len(labels) + 1 for c, labels in zip(categorical, indexer.labelsArray)}
+        numbers = [f"_{c}_imp" for c in numeric]
+        rows = scored.select(*df.columns, "purchase_probability", *numbers, *levels, F.when(F.col("has_sales_history") == 1, F.log1p("actual_avg_annual_sales_3y_eur")).otherwise(0.0).alias("_log"))
+        tried = math.ceil((len(numbers) + sum(levels.values())) / 3)
+        forest = Forest(0, "_log", trees, 5, tried, depth, seed, seen="has_sales_history")
+        scored = fo.grown(rows, df.columns, numbers, levels, {"_log": "f8", "has_sales_history": "u1"}, [forest]).withColumnRenamed("_out0", "prediction")
+    scored = scored.withColumn("predicted_buyer_potential_eur", F.greatest(F.expm1("prediction"), F.lit(0.0)))
     return scored.withColumn("expected_12m_sales_eur", F.col("purchase_probability") * F.col("predicted_buyer_potential_eur")).select(
         *df.columns, "purchase_probability", "predicted_buyer_potential_eur", "expected_12m_sales_eur"
     )
@@ -308,6 +331,18 @@ def permutation_importance(model, data: DataFrame, key: str, features: Sequence[
     )
 
 
+def forest_importance(df: DataFrame, key: str, features: Sequence[str], *, label: str, trees: int = 250, depth: int = DEEPEST, repeats: int = 5, seed: int = 42) -> DataFrame:
+    """Permutation importance of a class forest on the rows it has seen."""
+    rows = stage(df.select(key, label, *[F.col(c).cast("double").alias(c) for c in features]), "importance-frame")
+    if rows.count() <= fo.MOST_ROWS:
+        forest = Forest(0, label, trees, 15, math.ceil(math.sqrt(len(features))), depth, seed, classes=(1.0, 1.0))
+        return fo.importance(rows, [key], features, label, forest, repeats=repeats, seed=seed)
+    frame = stage(spread(rows, [key]), "importance-frame")
+    data = VectorAssembler(inputCols=list(features), outputCol="features").transform(frame.withColumn("_y", F.col(label).cast("double")))
+    fitted = RandomForestClassifier(featuresCol="features", labelCol="_y", numTrees=trees, minInstancesPerNode=15, maxDepth=depth, seed=seed, **GROWING).fit(data)
+    return permutation_importance(fitted, frame.select(key, label, F.array(*features).alias("values")), key, features, label=label, repeats=repeats, seed=seed)
+
+
 def contributions(trained: Trained, df: DataFrame, *, n: int = 3) -> DataFrame:
     """Largest contributions (coefficient times value, per source feature) of each row, as structs and as text.
 
