@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
 from ledgerlift.catalog.bindings import accounts, exclusions, sql, table
@@ -94,11 +92,7 @@ def _(spark, sf):
 
 @query("ml_08_permutation_importance")
 def _(spark, sf):
-    frame = stage(ml.spread(back_frame(spark, sf).select("business_id", "grew_y3", *HISTORY), ["business_id"]), "importance-frame")
-    data = VectorAssembler(inputCols=HISTORY, outputCol="features").transform(frame.withColumn("_y", F.col("grew_y3").cast("double")))
-    forest = RandomForestClassifier(featuresCol="features", labelCol="_y", numTrees=250, minInstancesPerNode=15, maxDepth=ml.DEEPEST, seed=42, **ml.GROWING).fit(data)
-    values = frame.select("business_id", "grew_y3", F.array(*[F.col(c).cast("double") for c in HISTORY]).alias("values"))
-    return ml.permutation_importance(forest, values, "business_id", HISTORY, label="grew_y3")
+    return ml.forest_importance(back_frame(spark, sf), "business_id", HISTORY, label="grew_y3")
 
 
 @query("ml_09_classification_metrics", sql("custs", """
