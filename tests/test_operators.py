@@ -285,3 +285,22 @@ def test_shuffles_start_with_partitions_in_proportion_to_the_input(spark, sf_dir
     finally:
         spark.conf.unset(session._INITIAL)
     assert spark.conf.get("spark.sql.files.maxPartitionBytes") == "32m"
+
+
+def test_a_written_step_leaves_no_shuffle_files(spark):
+    """They stayed until the driver collected garbage, so a job of many steps needed disk for all of them at once."""
+    import time
+
+    from ledgerlift.session import _CLEANUP, stage
+
+    def files():
+        return set(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n").split("\n"))
+
+    before, setting = files(), spark.conf.get(_CLEANUP, "false")
+    out = stage(spark.range(20000).repartition(8, "id").groupBy((F.col("id") % 77).alias("k")).agg(F.count("*").alias("n")), "step")
+    for _ in range(50):
+        left = [f for f in files() - before if "shuffle_" in f]
+        if not left:
+            break
+        time.sleep(0.1)
+    assert not left and out.count() == 77 and spark.conf.get(_CLEANUP, "false") == setting
