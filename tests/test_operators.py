@@ -304,3 +304,16 @@ def test_a_written_step_leaves_no_shuffle_files(spark):
             break
         time.sleep(0.1)
     assert not left and out.count() == 77 and spark.conf.get(_CLEANUP, "false") == setting
+
+
+def test_crowded_grams_are_dealt_on_both_sides(spark, monkeypatch):
+    """The right side went to every piece of the left one, so copies grew with the cube of a gram's rows."""
+    monkeypatch.setattr(lk, "PAIR_SHARE", 100)
+    a = spark.range(200).select(F.lit("hot").alias("_g"), F.col("id").cast("string").alias("_l")).unionByName(spark.createDataFrame([("cold", "x")], "_g string, _l string"))
+    b = spark.range(300).select(F.lit("hot").alias("_g"), F.col("id").cast("string").alias("_r")).unionByName(spark.createDataFrame([("cold", "y"), ("odd", "z")], "_g string, _r string"))
+    a, b = lk.dealt_in_blocks(a, b, "_g", "_l", "_r")
+    # 20 and 30 pieces of about ten; the right side alone was 300 * 600 rows before
+    assert a.filter("_g = 'hot'").count() == 200 * 30 and b.filter("_g = 'hot'").count() == 300 * 20 and a.count() + b.count() == 12003
+    met = a.join(b, ["_g", "_part"])
+    assert met.count() == 200 * 300 + 1 == met.select("_l", "_r").distinct().count()
+    assert met.groupBy("_g", "_part").count().agg(F.max("count")).first()[0] < 500
